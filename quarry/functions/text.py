@@ -178,15 +178,21 @@ def join_tokens(arr) -> Column:
 
 
 def word_ngrams(tokens, n_max: int = 2) -> Column:
-    """1..n_max word n-grams of a token array, joined by single spaces."""
+    """1..n_max word n-grams of a token array, joined by single spaces.
+
+    Linear in the token count: the n-grams are ``zip_with`` of the
+    (n-1)-grams and the token array shifted by n-1 (no per-position slice).
+    Pass a column reference, not a long expression, so the tokens are not
+    recomputed for every shifted slice.
+    """
     toks = _c(tokens)
-    grams = toks
+    L = F.size(toks)
+    grams, prev = toks, toks
     for n in range(2, n_max + 1):
-        idx = F.sequence(F.lit(0), F.size(toks) - n)
-        gram_n = F.when(F.size(toks) >= n, F.transform(
-            idx, lambda i: F.array_join(F.slice(toks, i + 1, n), " ")
-        )).otherwise(F.array().cast("array<string>"))
-        grams = F.concat(grams, gram_n)
+        m = F.greatest(L - (n - 1), F.lit(0))
+        prev = F.zip_with(F.slice(prev, 1, m), F.slice(toks, n, m),
+                          lambda a, b: F.concat(a, F.lit(" "), b))
+        grams = F.concat(grams, prev)
     return grams
 
 

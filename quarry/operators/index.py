@@ -119,7 +119,8 @@ class TfidfIndex:
 
 def tfidf_terms(c: Column, tokenizer: Tokenizer = default_tokenizer,
                 ngram_max: int = 2) -> Column:
-    """Lower-case, tokenize, 1..n word n-grams."""
+    """Lower-case, tokenize, 1..n word n-grams (for short texts such as
+    questions; corpus rows materialise the token column first)."""
     return T.word_ngrams(tokenizer(F.lower(c)), ngram_max)
 
 
@@ -128,8 +129,8 @@ def build_tfidf(docs: DataFrame, tokenizer: Tokenizer = default_tokenizer,
     """I2 + I3: vocabulary = the ``max_features`` terms of highest corpus
     frequency (ties: term ascending); weight = tf * (ln((1+N)/(1+df)) + 1),
     L2-normalised per document."""
-    grams = docs.select("dkey", "document_id",
-                        tfidf_terms(F.col("ptext"), tokenizer, ngram_max).alias("g"))
+    toks = docs.select("dkey", "document_id", tokenizer(F.lower(F.col("ptext"))).alias("t"))
+    grams = toks.select("dkey", "document_id", T.word_ngrams(F.col("t"), ngram_max).alias("g"))
     n_docs = grams.agg(F.count(F.lit(1)).alias("n")).scalar()
     tf = (grams.select("dkey", "document_id", F.explode_outer("g").alias("term"))
                .filter(F.col("term").isNotNull())

@@ -57,8 +57,10 @@ def query_terms(questions: DataFrame, terms_of: Callable[[Column], Column],
     q = F.col(question)
     if preprocess:
         q = T.preprocess(q)
-    return (questions.select(F.col(qid).alias("qid"), F.explode(terms_of(q)).alias("term"))
-                     .groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf")))
+    pre = questions.select(F.col(qid).alias("qid"), q.alias("_q"))
+    return (pre.select("qid", F.explode_outer(terms_of(F.col("_q"))).alias("term"))
+               .filter(F.col("term").isNotNull())
+               .groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf")))
 
 
 def _join_postings(postings: DataFrame, qside: DataFrame) -> DataFrame:

@@ -109,3 +109,138 @@ def q_i7(spark, sf) -> DataFrame:
     docs = I.prepare_corpus(fx.corpus(spark, sf))
     idx = I.build_bm25(docs)
     return I.corpus_stats(docs, idx.postings)
+
+
+# ---------------------------------------------------------------- TF-IDF
+
+def _tfidf(spark, sf):
+    return I.build_tfidf(I.prepare_corpus(fx.corpus(spark, sf)))
+
+
+@register("i2_tfidf_vocab")
+def q_i2(spark, sf) -> DataFrame:
+    v = _tfidf(spark, sf).vocab
+    return v.select("term", "cf", "df", F.round("idf", 6).alias("idf"))
+
+
+@register("i3_tfidf_doc_norms")
+def q_i3(spark, sf) -> DataFrame:
+    w = _tfidf(spark, sf).weights
+    return w.groupBy("document_id").agg(
+        F.count(F.lit(1)).alias("n_terms"),
+        F.round(F.sum(F.col("w") * F.col("w")), 6).alias("norm2"),
+        F.round(F.max("w"), 6).alias("max_w"))
+
+
+@register("r3_tfidf_topk")
+def q_r3(spark, sf) -> DataFrame:
+    return R.tfidf_topk(_tfidf(spark, sf), fx.questions(spark, sf), k=10)
+
+
+@register("r1_oov_report")
+def q_r1(spark, sf) -> DataFrame:
+    idx = _tfidf(spark, sf)
+    # questions plus their reversed-token variants (a realistic OOV mix)
+    qs = fx.questions(spark, sf)
+    rev = qs.select((F.col("qid") + 1000000).alias("qid"), F.reverse(F.col("question")).alias("question"))
+    terms_of = lambda c: I.tfidf_terms(c, idx.tokenizer, idx.ngram_max)
+    return R.oov_report(idx.vocab, qs.unionByName(rev), terms_of)
+
+
+# ---------------------------------------------------------------- passages
+
+def _clean_docs(spark, sf):
+    """wiki->passage job: clean text (P6), exact dedup on it, keep first."""
+    c = fx.corpus(spark, sf).withColumn("clean", T.preprocess(F.col("text")))
+    kept = D.dedup_keep_first(c.select("document_id", "title", "clean"), "clean", "document_id")
+    return kept.withColumn("toks", T.whitespace_tokens(F.col("clean"), normalized=True))
+
+
+@register("c1_passages")
+def q_c1(spark, sf) -> DataFrame:
+    from quarry.operators import chunk as C
+    p = C.passages(_clean_docs(spark, sf), "toks", 150, 50)
+    return p.select("document_id", "window_index", F.length("text").alias("n_chars"),
+                    F.size(F.split("text", " ")).alias("n_tokens"), F.sha2("text", 256).alias("h"))
+
+
+@register("c2_passage_ids")
+def q_c2(spark, sf) -> DataFrame:
+    from quarry.operators import chunk as C
+    p = C.numbered_passages(_clean_docs(spark, sf), "toks", 150, 50, n_ranges=16)
+    return p.select("passage_id", "document_id", "title", "window_index",
+                    F.sha2("text", 256).alias("h"))
+
+
+# ---------------------------------------------------------------- evaluation
+
+def _qa_pred(spark, sf):
+    return fx.qa(spark, sf).join(fx.predictions(spark, sf), "id")
+
+
+@register("e1_exact_match")
+def q_e1(spark, sf) -> DataFrame:
+    j = _qa_pred(spark, sf)
+    em = F.array_max(F.transform("answers.text",
+                                 lambda g: E.exact_match(F.col("prediction_text"), g)))
+    return j.select("id", em.alias("em"))
+
+
+@register("e2_char_f1")
+def q_e2(spark, sf) -> DataFrame:
+    j = _qa_pred(spark, sf)
+    return j.select("id", F.round(E.max_over_truths(E.char_f1, F.col("prediction_text"),
+                                                    F.col("answers.text")), 6).alias("f1"))
+
+
+@register("e4_dataset_scores")
+def q_e4(spark, sf) -> DataFrame:
+    truth = fx.qa(spark, sf).select("id", F.col("answers.text").alias("answers"))
+    return E.dataset_scores(truth, fx.predictions(spark, sf))
+
+
+@register("e5_squad_scores")
+def q_e5(spark, sf) -> DataFrame:
+    truth = fx.qa(spark, sf).select("id", F.col("answers.text").alias("answers"))
+    return E.squad_scores(truth, fx.predictions(spark, sf))
+
+
+@register("j10_unanswered")
+def q_j10(spark, sf) -> DataFrame:
+    return E.unanswered(fx.qa(spark, sf), fx.predictions(spark, sf))
+
+
+@register("e7_eval_table")
+def q_e7(spark, sf) -> DataFrame:
+    j = _qa_pred(spark, sf)
+    return j.select("id", "prediction_text", "prediction_start",
+                    F.element_at("answers.answer_start", 1).alias("answer_start"),
+                    F.element_at("answers.text", 1).alias("answer_text"),
+                    "context", "question")
+
+
+@register("e8_pred_table")
+def q_e8(spark, sf) -> DataFrame:
+    j = _qa_pred(spark, sf)
+    return j.select("id", "prediction_text", "prediction_start", "question", "context")
+
+
+@register("e9_strict_match")
+def q_e9(spark, sf) -> DataFrame:
+    j = _qa_pred(spark, sf)
+    return j.select("id", E.strict_match(
+        F.col("prediction_text"), F.col("prediction_start"),
+        F.element_at("answers.text", 1), F.element_at("answers.answer_start", 1)).alias("strict"))
+
+
+@register("p9_question_decoration")
+def q_p9(spark, sf) -> DataFrame:
+    q = fx.qa(spark, sf)
+    return q.select("id", T.decorate_question(F.col("question"), F.col("title")).alias("question"))
+
+
+@register("p14_first_answer")
+def q_p14(spark, sf) -> DataFrame:
+    q = fx.qa(spark, sf)
+    return q.select("id", F.get(F.col("answers.text"), 0).alias("answer_text"),
+                    F.get(F.col("answers.answer_start"), 0).alias("answer_start"))

@@ -88,3 +88,43 @@ def gold(spark, sf_dir, anchor: int = 4) -> DataFrame:
         F.col("text").contains(F.col("question"))).select("qid", "document_id")
     out = verified.unionByName(short)
     return out.distinct()
+
+
+def qa(spark, sf_dir) -> DataFrame:
+    """`qa`: benchmark items as extractive QA rows.
+
+    t = tok(text); context = all tokens; question = tokens 1-5; answer =
+    tokens 6-7 at zero-based ``answer_start = length(question) + 1``.
+    """
+    b = table(spark, sf_dir, "benchmark")
+    t = oracle_tok(F.col("text"))
+    x = b.select(F.col("item_id").alias("id"), t.alias("t"))
+    question = F.array_join(F.slice("t", 1, 5), " ")
+    answer = F.array_join(F.slice("t", 6, 2), " ")
+    return x.select(
+        "id",
+        F.concat(F.lit("item "), F.col("id").cast("string")).alias("title"),
+        F.array_join("t", " ").alias("context"),
+        question.alias("question"),
+        F.struct(F.array(answer).alias("text"),
+                 F.array((F.length(question) + 1).cast("int")).alias("answer_start")
+                 ).alias("answers"),
+        F.col("id").alias("document_id"))
+
+
+def predictions(spark, sf_dir) -> DataFrame:
+    """`predictions` by id % 5: 0 the answer; 1 the answer upper-cased in
+    parentheses; 2 tokens 6-8; 3 tokens 1-2; 4 no row. ``prediction_start``
+    is the zero-based position of the text in the context (-1 if absent)."""
+    q = qa(spark, sf_dir).withColumn("t", F.split("context", " "))
+    m = F.pmod(F.col("id"), F.lit(5))
+    ans = F.col("answers.text")[0]
+    pred = (F.when(m == 0, ans)
+             .when(m == 1, F.concat(F.lit("("), F.upper(ans), F.lit(")")))
+             .when(m == 2, F.array_join(F.slice("t", 6, 3), " "))
+             .when(m == 3, F.array_join(F.slice("t", 1, 2), " ")))
+    return (q.filter(m != 4)
+             .select("id", pred.alias("prediction_text"), "context")
+             .select("id", "prediction_text",
+                     (F.instr("context", F.col("prediction_text")) - 1).cast("int")
+                     .alias("prediction_start")))

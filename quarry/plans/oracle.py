@@ -150,3 +150,54 @@ qw AS (SELECT qid, term, wq / sqrt(sum(wq * wq) OVER (PARTITION BY qid)) AS wq F
 cosine AS (
   SELECT qid, document_id, sum(wq * w) AS score
   FROM qw JOIN w USING (term) GROUP BY qid, document_id)"""
+
+
+def qa_cte(name="qa") -> str:
+    q = "array_to_string(t[1:5], ' ')"
+    a = "array_to_string(t[6:7], ' ')"
+    return f"""{name} AS (
+  SELECT item_id AS id, 'item ' || CAST(item_id AS VARCHAR) AS title,
+         array_to_string(t, ' ') AS context, {q} AS question,
+         {{'text': [{a}], 'answer_start': [CAST(length({q}) + 1 AS INTEGER)]}} AS answers,
+         item_id AS document_id
+  FROM (SELECT item_id, {tok('text')} AS t FROM benchmark))"""
+
+
+def predictions_cte(name="preds") -> str:
+    return f"""{name} AS (
+  SELECT id, p AS prediction_text, CAST(instr(context, p) - 1 AS INTEGER) AS prediction_start
+  FROM (
+    SELECT id, context,
+      CASE id % 5
+        WHEN 0 THEN answers.text[1]
+        WHEN 1 THEN '(' || upper(answers.text[1]) || ')'
+        WHEN 2 THEN array_to_string(string_split(context, ' ')[6:8], ' ')
+        WHEN 3 THEN array_to_string(string_split(context, ' ')[1:2], ' ')
+      END AS p
+    FROM qa WHERE id % 5 <> 4))"""
+
+
+def chars(x):
+    return f"list_filter(string_split(replace({x}, ' ', ''), ''), lambda c: c <> '')"
+
+
+def multiset_f1(p, g):
+    same = (f"list_sum(list_transform(list_distinct({p}), lambda c: least("
+            f"len(list_filter({p}, lambda y: y = c)), len(list_filter({g}, lambda y: y = c)))))")
+    return (f"(CASE WHEN coalesce({same}, 0) = 0 THEN 0.0 ELSE "
+            f"2.0 * ({same} / len({p})) * ({same} / len({g})) / "
+            f"(({same} / len({p})) + ({same} / len({g}))) END)")
+
+
+def char_f1(p, g):
+    return multiset_f1(chars(p11(p)), chars(p11(g)))
+
+
+def squad_norm(x):
+    y = f"translate(lower({x}), {lit(T.ASCII_PUNCTUATION)}, '')"
+    return (f"array_to_string(list_filter({toks(p5(y))}, "
+            f"lambda w: w NOT IN ('a', 'an', 'the')), ' ')")
+
+
+def squad_f1(p, g):
+    return multiset_f1(toks(squad_norm(p)), toks(squad_norm(g)))

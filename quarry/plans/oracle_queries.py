@@ -82,3 +82,135 @@ def _i7():
     return f"""WITH {O.bm25_ctes()}
 SELECT (SELECT count(*) FROM docs) AS n_docs, (SELECT count(DISTINCT term) FROM post) AS n_terms,
        (SELECT count(*) FROM post) AS n_postings"""
+
+
+@sql("i2_tfidf_vocab")
+def _i2():
+    return f"WITH {O.tfidf_ctes()}\nSELECT term, cf, df, round(idf, 6) AS idf FROM vocab"
+
+
+@sql("i3_tfidf_doc_norms")
+def _i3():
+    return f"""WITH {O.tfidf_ctes()}
+SELECT document_id, count(*) AS n_terms, round(sum(w * w), 6) AS norm2, round(max(w), 6) AS max_w
+FROM w GROUP BY document_id"""
+
+
+@sql("r3_tfidf_topk")
+def _r3():
+    return f"WITH {O.tfidf_ctes()}\n{O.topk_select('cosine', 10)}"
+
+
+@sql("r1_oov_report")
+def _r1():
+    base = O.tfidf_ctes().replace(
+        O.questions_cte(),
+        "qs AS (SELECT item_id AS qid, text AS question FROM benchmark UNION ALL "
+        "SELECT item_id + 1000000, reverse(text) FROM benchmark)")
+    return f"""WITH {base}
+SELECT qid, count(*) AS n_terms, CAST(sum(CASE WHEN v.term IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_oov,
+       count(*) = sum(CASE WHEN v.term IS NULL THEN 1 ELSE 0 END) AS all_oov
+FROM qt LEFT JOIN vocab v USING (term) GROUP BY qid"""
+
+
+def _clean_docs_cte():
+    return f"""cd0 AS (SELECT doc_id AS document_id, source AS title, {O.p6('text')} AS clean FROM documents),
+cd AS (SELECT min(document_id) AS document_id, arg_min(title, document_id) AS title, clean
+       FROM cd0 GROUP BY clean),
+ct AS (SELECT document_id, title, {O.toks('clean')} AS t FROM cd),
+cw AS (SELECT document_id, title, t,
+              CAST(1 + ceil(greatest(len(t) - 150, 0) / 100.0) AS INTEGER) AS nw FROM ct),
+pw AS (SELECT document_id, title, CAST(i AS INTEGER) AS window_index,
+              array_to_string(t[i * 100 + 1 : i * 100 + 150], ' ') AS text
+       FROM (SELECT *, unnest(range(0, nw)) AS i FROM cw))"""
+
+
+@sql("c1_passages")
+def _c1():
+    return f"""WITH {_clean_docs_cte()}
+SELECT document_id, window_index, CAST(length(text) AS INTEGER) AS n_chars,
+       CAST(len(string_split(text, ' ')) AS INTEGER) AS n_tokens, sha256(text) AS h FROM pw"""
+
+
+@sql("c2_passage_ids")
+def _c2():
+    return f"""WITH {_clean_docs_cte()}
+SELECT row_number() OVER (ORDER BY document_id, window_index) - 1 AS passage_id,
+       document_id, title, window_index, sha256(text) AS h FROM pw"""
+
+
+def _qa_pred():
+    return f"{O.qa_cte()}, {O.predictions_cte()}, j AS (SELECT * FROM qa JOIN preds USING (id))"
+
+
+@sql("e1_exact_match")
+def _e1():
+    return f"""WITH {_qa_pred()}
+SELECT id, list_max(list_transform(answers.text, lambda g: {O.p11('prediction_text')} = {O.p11('g')})) AS em FROM j"""
+
+
+@sql("e2_char_f1")
+def _e2():
+    return f"""WITH {_qa_pred()}
+SELECT id, round(coalesce(list_max(list_transform(answers.text, lambda g: {O.char_f1('prediction_text', 'g')})), 0.0), 6) AS f1 FROM j"""
+
+
+def _em_f1_cols():
+    em = f"coalesce(list_max(list_transform(answers.text, lambda g: CAST({O.p11('p.prediction_text')} = {O.p11('g')} AS DOUBLE))), 0.0)"
+    f1 = f"coalesce(list_max(list_transform(answers.text, lambda g: {O.char_f1('p.prediction_text', 'g')})), 0.0)"
+    return em, f1
+
+
+@sql("e4_dataset_scores")
+def _e4():
+    em, f1 = _em_f1_cols()
+    return f"""WITH {O.qa_cte()}, {O.predictions_cte()},
+s AS (SELECT CASE WHEN p.id IS NULL THEN 0.0 ELSE {em} END AS em,
+             CASE WHEN p.id IS NULL THEN 0.0 ELSE {f1} END AS f1,
+             p.id IS NULL AS miss
+      FROM qa LEFT JOIN preds p USING (id)),
+a AS (SELECT avg(em) AS em, avg(f1) AS f1, count(*) AS n_total,
+             CAST(sum(CAST(miss AS INTEGER)) AS BIGINT) AS n_unanswered FROM s)
+SELECT round(em, 6) AS em, round(f1, 6) AS f1, printf('%.2f%%', em * 100) AS em_str,
+       printf('%.2f%%', f1 * 100) AS f1_str, n_total, n_unanswered FROM a"""
+
+
+@sql("e5_squad_scores")
+def _e5():
+    em = f"list_max(list_transform(answers.text, lambda g: CAST({O.squad_norm('prediction_text')} = {O.squad_norm('g')} AS DOUBLE)))"
+    f1 = f"list_max(list_transform(answers.text, lambda g: {O.squad_f1('prediction_text', 'g')}))"
+    return f"""WITH {_qa_pred()}
+SELECT round(100 * avg({em}), 6) AS exact_match, round(100 * avg({f1}), 6) AS f1 FROM j"""
+
+
+@sql("j10_unanswered")
+def _j10():
+    return f"WITH {O.qa_cte()}, {O.predictions_cte()}\nSELECT id FROM qa ANTI JOIN preds USING (id)"
+
+
+@sql("e7_eval_table")
+def _e7():
+    return f"""WITH {_qa_pred()}
+SELECT id, prediction_text, prediction_start, answers.answer_start[1] AS answer_start,
+       answers.text[1] AS answer_text, context, question FROM j"""
+
+
+@sql("e8_pred_table")
+def _e8():
+    return f"WITH {_qa_pred()}\nSELECT id, prediction_text, prediction_start, question, context FROM j"
+
+
+@sql("e9_strict_match")
+def _e9():
+    return f"""WITH {_qa_pred()}
+SELECT id, prediction_start = answers.answer_start[1] AND prediction_text = answers.text[1] AS strict FROM j"""
+
+
+@sql("p9_question_decoration")
+def _p9():
+    return f"WITH {O.qa_cte()}\nSELECT id, question || ' [SEP] ^' || coalesce(title, '') || '^' AS question FROM qa"
+
+
+@sql("p14_first_answer")
+def _p14():
+    return f"WITH {O.qa_cte()}\nSELECT id, answers.text[1] AS answer_text, answers.answer_start[1] AS answer_start FROM qa"
