@@ -161,21 +161,25 @@ def span_loss(start_logits, end_logits, start_pos, end_pos) -> Column:
 
 def inbatch_contrastive(pairs: DataFrame, batch: str = "batch_id", qid: str = "qid",
                         qvec: str = "qvec", pvec: str = "pvec") -> DataFrame:
-    """In-batch softmax NLL of the matching passage.
+    """In-batch softmax NLL of the matching passage, per batch.
 
     ``pairs``: one (question vector, passage vector) per row with a batch id.
-    Within each batch, every question is scored against every passage of the
-    batch (a bounded group: the batch size), log-softmax by row, and the
-    negative log-likelihood of its own passage is averaged per batch and
-    overall.
+    A batch (bounded by the batch size, a parameter) is gathered into one row;
+    for question i the logits are its dot products with every passage of the
+    batch, and the loss is ``logsumexp(logits) - logits[i]``, averaged over
+    the batch. The similarity matrix lives inside the row; no pair rows are
+    produced.
     """
-    q = pairs.select(batch, F.col(qid).alias("q"), F.col(qvec).alias("qv"))
-    p = pairs.select(batch, F.col(qid).alias("p"), F.col(pvec).alias("pv"))
-    dot = F.aggregate(F.zip_with("qv", "pv", lambda a, b: a.cast("double") * b.cast("double")),
-                      F.lit(0.0), lambda acc, x: acc + x)
-    s = q.join(p, batch).select(batch, "q", "p", dot.alias("s"))
-    w = Window.partitionBy(batch, "q")
-    lse = F.log(F.sum(F.exp(F.col("s") - F.max("s").over(w))).over(w)) + F.max("s").over(w)
-    nll = s.withColumn("nll", lse - F.col("s")).filter(F.col("q") == F.col("p"))
-    return nll.groupBy(batch).agg(F.round(F.avg("nll"), 6).alias("loss"),
-                                  F.count(F.lit(1)).alias("n"))
+    rows = pairs.groupBy(batch).agg(F.array_sort(F.collect_list(F.struct(
+        F.col(qid).alias("id"), F.col(qvec).cast("array<double>").alias("q"),
+        F.col(pvec).cast("array<double>").alias("p")))).alias("b"))
+
+    def dot(a, b):
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0),
+                           lambda acc, v: acc + v)
+
+    per_q = F.transform("b", lambda r, i: _logsumexp(
+        F.transform("b", lambda o: dot(r["q"], o["p"]))) - dot(r["q"], r["p"]))
+    n = F.size("b")
+    return rows.select(batch, F.round(F.aggregate(per_q, F.lit(0.0), lambda a, x: a + x) / n, 6)
+                       .alias("loss"), n.cast("long").alias("n"))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text as T
 from quarry.operators.index import (Bm25Index, TfidfIndex, default_tokenizer,
                                     tfidf_terms)
-from quarry.plans.sizing import maybe_broadcast
+from quarry.plans.sizing import attach_row, maybe_broadcast
 
 SCORE_DIGITS = 6
 
@@ -264,32 +264,37 @@ def _sq_l2(a: Column, b: Column) -> Column:
                        F.lit(0.0).cast("double"), lambda acc, v: acc + v)
 
 
-def _packed_centroids(centroids: DataFrame) -> Column:
-    """All centroids as one array value (scalar subquery). The table has
+def _packed_centroids(centroids: DataFrame) -> DataFrame:
+    """All centroids as one array value in a one-row table. The table has
     ``num_clusters`` rows, a parameter, so the value has a proven bound."""
     return centroids.agg(F.collect_list(F.struct(
         F.col("cluster_id").alias("cid"),
-        F.col("centroid").cast("array<double>").alias("c"))).alias("cs")).scalar()
+        F.col("centroid").cast("array<double>").alias("c"))).alias("_cs"))
+
+
+def _nearest(v: Column, cs: Column) -> Column:
+    """Centroids sorted by (squared L2 distance rounded to 9 places, id)."""
+    return F.array_sort(F.transform(cs, lambda c: F.struct(
+        F.round(_sq_l2(v, c["c"]), 9).alias("d"), c["cid"].alias("cid"))))
 
 
 def ivf_assign(vectors: DataFrame, centroids: DataFrame, vec: str = "vec") -> DataFrame:
     """Every vector gets its nearest centroid (squared L2; ties: lower id)."""
-    cs = _packed_centroids(centroids)
     v = F.col(vec).cast("array<double>")
-    best = F.array_min(F.transform(cs, lambda c: F.struct(
+    x = attach_row(vectors, _packed_centroids(centroids))
+    best = F.array_min(F.transform("_cs", lambda c: F.struct(
         F.round(_sq_l2(v, c["c"]), 9).alias("d"), c["cid"].alias("cid"))))
-    return vectors.withColumn("cluster_id", best["cid"])
+    return x.withColumn("cluster_id", best["cid"]).drop("_cs")
 
 
 def ivf_probes(queries: DataFrame, centroids: DataFrame, nprobe: int = 1,
                vec: str = "vec") -> DataFrame:
     """Nearest ``nprobe`` clusters of each query: ``(qid, vec, cluster_id)``."""
-    cs = _packed_centroids(centroids)
     v = F.col(vec).cast("array<double>")
-    ranked = F.slice(F.array_sort(F.transform(cs, lambda c: F.struct(
-        F.round(_sq_l2(v, c["c"]), 9).alias("d"), c["cid"].alias("cid")))), 1, nprobe)
-    return queries.select("qid", vec, F.explode(F.transform(ranked, lambda s: s["cid"]))
-                          .alias("cluster_id"))
+    x = attach_row(queries, _packed_centroids(centroids))
+    ranked = F.slice(_nearest(v, F.col("_cs")), 1, nprobe)
+    return x.select("qid", vec, F.explode(F.transform(ranked, lambda s: s["cid"]))
+                    .alias("cluster_id"))
 
 
 def ivf_topk(passages: DataFrame, queries: DataFrame, centroids: DataFrame,

@@ -244,3 +244,46 @@ def q_p14(spark, sf) -> DataFrame:
     q = fx.qa(spark, sf)
     return q.select("id", F.get(F.col("answers.text"), 0).alias("answer_text"),
                     F.get(F.col("answers.answer_start"), 0).alias("answer_start"))
+
+
+# ---------------------------------------------------------------- dense, IVF
+
+@register("r6_dense_topk")
+def q_r6(spark, sf) -> DataFrame:
+    q, p = fx.vectors(spark, sf)
+    return R.dense_topk(p, q, k=10, rows_per_block=128, queries_per_block=8).select(
+        "qid", "rank", "pid", "score")
+
+
+@register("r7_dense_doc_topk")
+def q_r7(spark, sf) -> DataFrame:
+    q, p = fx.vectors(spark, sf)
+    return R.dense_topk(p, q, k=10, group_col="document_id", rows_per_block=128,
+                        queries_per_block=8)
+
+
+@register("i6_ivf_assign")
+def q_i6(spark, sf) -> DataFrame:
+    q, p = fx.vectors(spark, sf)
+    cents = R.centroids_by_label(p)
+    return R.ivf_assign(p, cents).select("pid", "cluster_id")
+
+
+@register("r8_ivf_topk")
+def q_r8(spark, sf) -> DataFrame:
+    q, p = fx.vectors(spark, sf)
+    cents = R.centroids_by_label(p)
+    return R.ivf_topk(R.ivf_assign(p, cents), q, cents, k=10, nprobe=1,
+                      rows_per_block=64).select("qid", "rank", "pid", "score")
+
+
+@register("i5_vector_table_stats")
+def q_i5(spark, sf) -> DataFrame:
+    q, p = fx.vectors(spark, sf)
+    return p.groupBy("document_id").agg(F.count(F.lit(1)).alias("n_vectors"),
+                                        F.max(F.size("vec")).alias("dim"))
+
+
+@register("e18_inbatch_contrastive")
+def q_e18(spark, sf) -> DataFrame:
+    return E.inbatch_contrastive(fx.pairs(spark, sf))

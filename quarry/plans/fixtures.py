@@ -128,3 +128,23 @@ def predictions(spark, sf_dir) -> DataFrame:
              .select("id", "prediction_text",
                      (F.instr("context", F.col("prediction_text")) - 1).cast("int")
                      .alias("prediction_start")))
+
+
+def vectors(spark, sf_dir):
+    """`vectors`: embeddings with vec_id < 20 as queries, the rest passages
+    with document_id = vec_id div 5. Returns (queries, passages)."""
+    e = table(spark, sf_dir, "embeddings")
+    q = e.filter(F.col("vec_id") < 20).select(F.col("vec_id").alias("qid"),
+                                              F.col("embedding").alias("vec"))
+    p = e.filter(F.col("vec_id") >= 20).select(
+        F.col("vec_id").alias("pid"), F.floor(F.col("vec_id") / 5).cast("long").alias("document_id"),
+        F.col("embedding").alias("vec"), "label")
+    return q, p
+
+
+def pairs(spark, sf_dir):
+    """`pairs`: embedding i as question and i+1 as passage, batch = i div 8."""
+    e = table(spark, sf_dir, "embeddings")
+    a = e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    b = e.select((F.col("vec_id") - 1).alias("qid"), F.col("embedding").alias("pvec"))
+    return a.join(b, "qid").withColumn("batch_id", F.floor(F.col("qid") / 8).cast("long"))

@@ -214,3 +214,81 @@ def _p9():
 @sql("p14_first_answer")
 def _p14():
     return f"WITH {O.qa_cte()}\nSELECT id, answers.text[1] AS answer_text, answers.answer_start[1] AS answer_start FROM qa"
+
+
+def _vec_ctes():
+    return """q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 20),
+p AS (SELECT vec_id AS pid, vec_id // 5 AS document_id, embedding::DOUBLE[] AS v, label
+      FROM embeddings WHERE vec_id >= 20)"""
+
+
+@sql("r6_dense_topk")
+def _r6():
+    return f"""WITH {_vec_ctes()},
+s AS (SELECT qid, pid, round(list_dot_product(q.v, p.v), 6) AS score FROM q, p)
+SELECT qid, rank, pid, score FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS INTEGER) AS rank FROM s)
+WHERE rank <= 10"""
+
+
+@sql("r7_dense_doc_topk")
+def _r7():
+    return f"""WITH {_vec_ctes()},
+s AS (SELECT qid, pid, document_id, round(list_dot_product(q.v, p.v), 6) AS score FROM q, p),
+best AS (SELECT qid, document_id, pid, score FROM (
+           SELECT *, row_number() OVER (PARTITION BY qid, document_id ORDER BY score DESC, pid) AS r FROM s)
+         WHERE r = 1)
+SELECT qid, rank, pid, document_id, score FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, document_id) AS INTEGER) AS rank FROM best)
+WHERE rank <= 10"""
+
+
+def _centroid_ctes():
+    return _vec_ctes() + """,
+pe AS (SELECT label, i, avg(x) AS m FROM (
+         SELECT label, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS x FROM p) GROUP BY label, i),
+c AS (SELECT label AS cluster_id, list(m ORDER BY i) AS cv FROM pe GROUP BY label),
+asg AS (SELECT pid, v, cluster_id FROM (
+          SELECT pid, p.v, cluster_id, row_number() OVER (PARTITION BY pid ORDER BY
+                 round(list_sum(list_transform(list_zip(p.v, cv), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 9),
+                 cluster_id) AS r
+          FROM p, c) WHERE r = 1)"""
+
+
+@sql("i6_ivf_assign")
+def _i6():
+    return f"WITH {_centroid_ctes()}\nSELECT pid, cluster_id FROM asg"
+
+
+@sql("r8_ivf_topk")
+def _r8():
+    return f"""WITH {_centroid_ctes()},
+qp AS (SELECT qid, v, cluster_id FROM (
+         SELECT qid, q.v, cluster_id, row_number() OVER (PARTITION BY qid ORDER BY
+                round(list_sum(list_transform(list_zip(q.v, cv), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 9),
+                cluster_id) AS r
+         FROM q, c) WHERE r = 1),
+s AS (SELECT qid, pid,
+             round(list_sum(list_transform(list_zip(qp.v, asg.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 6) AS score
+      FROM qp JOIN asg USING (cluster_id))
+SELECT qid, rank, pid, score FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score, pid) AS INTEGER) AS rank FROM s)
+WHERE rank <= 10"""
+
+
+@sql("i5_vector_table_stats")
+def _i5():
+    return f"""WITH {_vec_ctes()}
+SELECT document_id, count(*) AS n_vectors, CAST(max(len(v)) AS INTEGER) AS dim FROM p GROUP BY document_id"""
+
+
+@sql("e18_inbatch_contrastive")
+def _e18():
+    return """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+pr AS (SELECT a.vec_id AS qid, a.v AS qv, b.v AS pv, a.vec_id // 8 AS batch_id
+       FROM e a JOIN e b ON b.vec_id = a.vec_id + 1),
+s AS (SELECT x.batch_id, x.qid, y.qid AS pq, list_dot_product(x.qv, y.pv) AS logit
+      FROM pr x JOIN pr y USING (batch_id)),
+l AS (SELECT batch_id, qid, max(logit) + ln(sum(exp(logit - m))) - max(CASE WHEN pq = qid THEN logit END) AS nll
+      FROM (SELECT *, max(logit) OVER (PARTITION BY batch_id, qid) AS m FROM s) GROUP BY batch_id, qid)
+SELECT batch_id, round(avg(nll), 6) AS loss, count(*) AS n FROM l GROUP BY batch_id"""
