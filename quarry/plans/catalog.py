@@ -287,3 +287,63 @@ def q_i5(spark, sf) -> DataFrame:
 @register("e18_inbatch_contrastive")
 def q_e18(spark, sf) -> DataFrame:
     return E.inbatch_contrastive(fx.pairs(spark, sf))
+
+
+# ---------------------------------------------------------------- decoding
+
+def _decoded(spark, sf, v2=False):
+    from quarry.operators import decode as N
+    return N.nbest(fx.reader_features(spark, sf), fx.qa(spark, sf), n_best=10,
+                   max_answer_length=30, version_2_with_negative=v2, answers="answers")
+
+
+@register("n13_nbest")
+def q_n13(spark, sf) -> DataFrame:
+    from quarry.operators import decode as N
+    return N.nbest_long(_decoded(spark, sf))
+
+
+@register("n10_best_answer")
+def q_n10(spark, sf) -> DataFrame:
+    return _decoded(spark, sf).select("example_id", "prediction_text", "prediction_start", "label")
+
+
+@register("n11_best_answer_negative")
+def q_n11(spark, sf) -> DataFrame:
+    return _decoded(spark, sf, v2=True).select("example_id", "prediction_text",
+                                                "prediction_start", "score_diff")
+
+
+@register("n12_nbest_negative")
+def q_n12(spark, sf) -> DataFrame:
+    from quarry.operators import decode as N
+    return N.nbest_long(_decoded(spark, sf, v2=True))
+
+
+@register("n1_feature_alignment")
+def q_n1(spark, sf) -> DataFrame:
+    from quarry.operators import decode as N
+    f = fx.reader_features(spark, sf)
+    return f.agg(F.count(F.lit(1)).alias("n_features"),
+                 N.check_features(f).select(F.count(F.lit(1))).scalar().alias("n_misaligned"))
+
+
+@register("n2_top_positions")
+def q_n2(spark, sf) -> DataFrame:
+    from quarry.operators import decode as N
+    f = fx.reader_features(spark, sf)
+    return f.select("example_id", "window_index",
+                    N.top_positions(F.col("start_logits"), 10).alias("top_start"),
+                    N.top_positions(F.col("end_logits"), 10).alias("top_end"))
+
+
+@register("e19_span_loss")
+def q_e19(spark, sf) -> DataFrame:
+    """Mean start/end cross entropy of the logits fixture against the C6
+    labels of the same windows (positions clamped to [0, L], L ignored)."""
+    from quarry.operators import features as C
+    f = fx.reader_features(spark, sf)
+    lab = C.span_labels_from_offsets(f, fx.qa(spark, sf))
+    s_ce, e_ce = E.span_loss(F.col("start_logits"), F.col("end_logits"),
+                             F.col("start_positions"), F.col("end_positions"))
+    return lab.select("example_id", "window_index", F.round((s_ce + e_ce) / 2, 6).alias("loss"))

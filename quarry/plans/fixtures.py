@@ -148,3 +148,28 @@ def pairs(spark, sf_dir):
     a = e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
     b = e.select((F.col("vec_id") - 1).alias("qid"), F.col("embedding").alias("pvec"))
     return a.join(b, "qid").withColumn("batch_id", F.floor(F.col("qid") / 8).cast("long"))
+
+
+def reader_features(spark, sf_dir, W: int = 32, S: int = 8) -> DataFrame:
+    """`windows` + `logits`: C1 windows of W tokens (overlap S) over the qa
+    contexts, context_index 0. Position 0 is the null (CLS) position with a
+    null offset; position p >= 1 is window token p. Start/end logit at each
+    position = round(10 u - 5, 3), u the portable uniform of
+    (seed, example id, window, position) with seeds 's' and 'e'."""
+    from quarry.operators.chunk import window_count
+    q = qa(spark, sf_dir)
+    x = q.select("id", T.token_offsets(F.col("context")).alias("o"))
+    x = x.select("id", "o", F.explode(F.sequence(
+        F.lit(0), window_count(F.size("o"), W, S) - 1)).alias("w"))
+    win = F.slice("o", F.col("w") * (W - S) + 1, W)
+    null_off = F.lit(None).cast("struct<s:int,e:int>")
+    offsets = F.concat(F.array(null_off), F.transform(win, lambda t: F.struct(
+        t["s"].alias("s"), t["e"].alias("e"))))
+    pos = F.sequence(F.lit(0), F.size(win))
+
+    def logits(seed):
+        return F.transform(pos, lambda p: F.round(
+            10 * T.portable_uniform(F.lit(seed), F.col("id"), F.col("w"), p) - 5, 3))
+    return x.select(F.col("id").alias("example_id"), F.col("w").alias("window_index"),
+                    F.lit(0).alias("context_index"), offsets.alias("offsets"),
+                    logits("s").alias("start_logits"), logits("e").alias("end_logits"))

@@ -201,3 +201,70 @@ def squad_norm(x):
 
 def squad_f1(p, g):
     return multiset_f1(toks(squad_norm(p)), toks(squad_norm(g)))
+
+
+def features_cte(W=32, S=8) -> str:
+    """`windows` + `logits` (needs `qa`)."""
+    step = W - S
+    sl = f"list_transform(range(0, m + 1), lambda p: round(10 * {uniform(chr(39) + 's' + chr(39), 'id', 'w', 'p')} - 5, 3))"
+    el = sl.replace("'s'", "'e'")
+    return f"""ft0 AS (
+  SELECT id, context, t,
+         list_transform(range(1, len(t) + 1),
+           lambda j: length(array_to_string(t[1:j - 1], ' ')) + CASE WHEN j > 1 THEN 1 ELSE 0 END) AS st
+  FROM (SELECT id, context, string_split(context, ' ') AS t FROM qa)),
+ft1 AS (
+  SELECT id, context, t, st, CAST(w AS INTEGER) AS w, CAST(least({W}, len(t) - w * {step}) AS INTEGER) AS m
+  FROM (SELECT *, unnest(range(0, CAST(1 + ceil(greatest(len(t) - {W}, 0) / {step}.0) AS BIGINT))) AS w FROM ft0)),
+feats AS (
+  SELECT id AS example_id, w AS window_index, 0 AS context_index, context,
+         list_concat([NULL::STRUCT(s INTEGER, e INTEGER)],
+           list_transform(range(1, m + 1), lambda p: {{'s': CAST(st[w * {step} + p] AS INTEGER),
+                                                      'e': CAST(st[w * {step} + p] + length(t[w * {step} + p]) AS INTEGER)}})) AS offsets,
+         {sl} AS start_logits, {el} AS end_logits
+  FROM ft1)"""
+
+
+def nbest_ctes(n_best=10, max_len=30, v2=False) -> str:
+    null_c = ""
+    if v2:
+        null_c = """,
+nul AS (
+  SELECT example_id, window_index, s, e, start_logit, end_logit, score, cs, ce, 1 AS kind FROM (
+    SELECT example_id, window_index, 0 AS s, 0 AS e, start_logits[1] AS start_logit, end_logits[1] AS end_logit,
+           start_logits[1] + end_logits[1] AS score, 0 AS cs, 0 AS ce,
+           row_number() OVER (PARTITION BY example_id ORDER BY start_logits[1] + end_logits[1], window_index) AS q
+    FROM feats) WHERE q = 1)"""
+    union = "SELECT * FROM cand" + (" UNION ALL SELECT * FROM nul" if v2 else "")
+    keep = f"r <= {n_best}" + (" OR kind = 1" if v2 else "")
+    return f"""{features_cte()},
+sp AS (SELECT example_id, window_index, unnest(range(0, len(start_logits))) AS p, unnest(start_logits) AS v FROM feats),
+ep AS (SELECT example_id, window_index, unnest(range(0, len(end_logits))) AS p, unnest(end_logits) AS v FROM feats),
+stp AS (SELECT example_id, window_index, p AS s, v AS sv FROM (
+          SELECT *, row_number() OVER (PARTITION BY example_id, window_index ORDER BY v DESC, p) AS q FROM sp) WHERE q <= {n_best}),
+etp AS (SELECT example_id, window_index, p AS e, v AS ev FROM (
+          SELECT *, row_number() OVER (PARTITION BY example_id, window_index ORDER BY v DESC, p) AS q FROM ep) WHERE q <= {n_best}),
+cand AS (
+  SELECT example_id, window_index, s, e, sv AS start_logit, ev AS end_logit, sv + ev AS score,
+         f.offsets[s + 1].s AS cs, f.offsets[e + 1].e AS ce, 0 AS kind
+  FROM stp JOIN etp USING (example_id, window_index) JOIN feats f USING (example_id, window_index)
+  WHERE f.offsets[s + 1] IS NOT NULL AND f.offsets[e + 1] IS NOT NULL AND e >= s AND e - s + 1 <= {max_len}){null_c},
+allc AS ({union}),
+nb AS (SELECT *, row_number() OVER (PARTITION BY example_id ORDER BY score DESC, kind, window_index, s, e) AS r FROM allc),
+kept AS (
+  SELECT example_id, r, kind, score, start_logit, end_logit,
+         CASE WHEN kind = 1 THEN '' ELSE substring(qa.context, cs + 1, ce - cs) END AS text,
+         cs AS prediction_start, CASE WHEN kind = 1 THEN NULL ELSE 0 END AS context_index
+  FROM nb JOIN qa ON qa.id = nb.example_id WHERE {keep}),
+cnt AS (SELECT qa.id AS example_id, count(kept.example_id) AS n, max(CASE WHEN r = 1 THEN text END) AS t1
+        FROM qa LEFT JOIN kept ON kept.example_id = qa.id GROUP BY qa.id),
+allp AS (
+  SELECT example_id, CAST(row_number() OVER (PARTITION BY example_id ORDER BY r) AS INTEGER)
+           + CASE WHEN n = 0 OR (n = 1 AND t1 = '') THEN 1 ELSE 0 END AS rank,
+         kind, score, start_logit, end_logit, text, prediction_start, context_index
+  FROM kept JOIN cnt USING (example_id)
+  UNION ALL
+  SELECT example_id, 1, 0, 0.0, 0.0, 0.0, 'empty', 0, NULL FROM cnt WHERE n = 0 OR (n = 1 AND t1 = '')),
+prob AS (
+  SELECT *, round(exp(score - mx) / sum(exp(score - mx)) OVER (PARTITION BY example_id), 6) AS probability
+  FROM (SELECT *, max(score) OVER (PARTITION BY example_id) AS mx FROM allp))"""

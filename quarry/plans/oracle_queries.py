@@ -292,3 +292,56 @@ s AS (SELECT x.batch_id, x.qid, y.qid AS pq, list_dot_product(x.qv, y.pv) AS log
 l AS (SELECT batch_id, qid, max(logit) + ln(sum(exp(logit - m))) - max(CASE WHEN pq = qid THEN logit END) AS nll
       FROM (SELECT *, max(logit) OVER (PARTITION BY batch_id, qid) AS m FROM s) GROUP BY batch_id, qid)
 SELECT batch_id, round(avg(nll), 6) AS loss, count(*) AS n FROM l GROUP BY batch_id"""
+
+
+def _long_select():
+    return """SELECT example_id, rank, text, start_logit, end_logit, probability, prediction_start,
+       CAST(context_index AS INTEGER) AS context_index FROM prob"""
+
+
+@sql("n13_nbest")
+def _n13():
+    return f"WITH {O.qa_cte()}, {O.nbest_ctes()}\n{_long_select()}"
+
+
+@sql("n12_nbest_negative")
+def _n12():
+    return f"WITH {O.qa_cte()}, {O.nbest_ctes(v2=True)}\n{_long_select()}"
+
+
+@sql("n10_best_answer")
+def _n10():
+    return f"""WITH {O.qa_cte()}, {O.nbest_ctes()}
+SELECT p.example_id, p.text AS prediction_text, CAST(p.prediction_start AS INTEGER) AS prediction_start,
+       qa.answers.text[1] AS label
+FROM prob p JOIN qa ON qa.id = p.example_id WHERE rank = 1"""
+
+
+@sql("n11_best_answer_negative")
+def _n11():
+    return f"""WITH {O.qa_cte()}, {O.nbest_ctes(v2=True)},
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY example_id ORDER BY rank) AS q
+                        FROM prob WHERE text <> '') WHERE q = 1),
+nulls AS (SELECT example_id, score AS ns FROM prob WHERE kind = 1),
+d AS (SELECT b.example_id, b.text, b.prediction_start, ns - b.start_logit - b.end_logit AS diff
+      FROM best b JOIN nulls USING (example_id))
+SELECT example_id, CASE WHEN diff > 0.0 THEN '' ELSE text END AS prediction_text,
+       CAST(CASE WHEN diff > 0.0 THEN 0 ELSE prediction_start END AS INTEGER) AS prediction_start,
+       round(diff, 6) AS score_diff FROM d"""
+
+
+@sql("n1_feature_alignment")
+def _n1():
+    return f"""WITH {O.qa_cte()}, {O.features_cte()}
+SELECT count(*) AS n_features,
+       count(*) FILTER (WHERE len(start_logits) <> len(offsets) OR len(end_logits) <> len(offsets)) AS n_misaligned
+FROM feats"""
+
+
+@sql("n2_top_positions")
+def _n2():
+    def top(col):
+        return (f"list_transform(list_sort(list_transform(range(0, len({col})), lambda i: {{'nv': -{col}[i + 1], 'i': i}}))[1:10], "
+                f"lambda x: CAST(x.i AS INTEGER))")
+    return f"""WITH {O.qa_cte()}, {O.features_cte()}
+SELECT example_id, window_index, {top('start_logits')} AS top_start, {top('end_logits')} AS top_end FROM feats"""
