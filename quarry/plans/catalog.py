@@ -347,3 +347,74 @@ def q_e19(spark, sf) -> DataFrame:
     s_ce, e_ce = E.span_loss(F.col("start_logits"), F.col("end_logits"),
                              F.col("start_positions"), F.col("end_positions"))
     return lab.select("example_id", "window_index", F.round((s_ce + e_ce) / 2, 6).alias("loss"))
+
+
+# ---------------------------------------------------------------- features
+
+def _windows(spark, sf, decorate=False):
+    from quarry.operators import features as C
+    q = fx.qa(spark, sf)
+    if decorate:
+        q = q.withColumn("question", T.decorate_question(F.col("question"), F.col("title")))
+    return C.reader_windows(q, max_seq_length=48, doc_stride=8)
+
+
+@register("c3_reader_windows")
+def q_c3(spark, sf) -> DataFrame:
+    w = _windows(spark, sf)
+    return w.select("example_id", "window_index", "input_ids", "token_type_ids", "attention_mask",
+                    F.transform("offset_mapping", lambda o: o["s"]).alias("offset_start"),
+                    F.transform("offset_mapping", lambda o: o["e"]).alias("offset_end"))
+
+
+@register("c6_span_labels")
+def q_c6(spark, sf) -> DataFrame:
+    from quarry.operators import features as C
+    f = C.with_span_labels(_windows(spark, sf), fx.qa(spark, sf))
+    return f.select("example_id", "window_index", "start_positions", "end_positions",
+                    C.answerability("start_positions").alias("answerable"))
+
+
+@register("c7_title_segments")
+def q_c7(spark, sf) -> DataFrame:
+    from quarry.operators import features as C
+    f = C.with_span_labels(_windows(spark, sf, decorate=True), fx.qa(spark, sf))
+    m = C.merge_title_segment(f)
+    return m.select("example_id", "window_index", "input_ids", "token_type_ids",
+                    "start_positions", "end_positions")
+
+
+@register("c8_answer_centred")
+def q_c8(spark, sf) -> DataFrame:
+    from quarry.operators import features as C
+    a = C.answer_centred(fx.qa(spark, sf), max_passage_length=16)
+    return a.select("id", "window_start", "p_input_ids", "p_attention_mask")
+
+
+@register("c10_batch_padding")
+def q_c10(spark, sf) -> DataFrame:
+    from quarry.operators import features as C
+    b = C.batch_pad(fx.mlm_rows(spark, sf), "row_id", batch_size=8, pad_to_multiple_of=8,
+                    n_ranges=8)
+    return b.select("row_id", "row_index", "batch_id", F.size("input_ids").alias("padded_len"),
+                    F.element_at("input_ids", -1).alias("last_id"))
+
+
+@register("c11_mlm_mask")
+def q_c11(spark, sf) -> DataFrame:
+    from quarry.operators import features as C
+    return C.mlm_mask(fx.mlm_rows(spark, sf)).select("row_id", "input_ids", "labels")
+
+
+@register("c13_span_mask")
+def q_c13(spark, sf) -> DataFrame:
+    from quarry.operators import features as C
+    m = C.mlm_mask(fx.mlm_rows(spark, sf), ner="ner_map", span_masking=True, mlm_probability=0.3)
+    return m.select("row_id", "input_ids", "labels")
+
+
+@register("c14_causal_labels")
+def q_c14(spark, sf) -> DataFrame:
+    from quarry.operators import features as C
+    b = C.batch_pad(fx.mlm_rows(spark, sf), "row_id", batch_size=8, n_ranges=8)
+    return b.select("row_id", C.causal_labels(F.col("input_ids")).alias("labels"))

@@ -173,3 +173,21 @@ def reader_features(spark, sf_dir, W: int = 32, S: int = 8) -> DataFrame:
     return x.select(F.col("id").alias("example_id"), F.col("w").alias("window_index"),
                     F.lit(0).alias("context_index"), offsets.alias("offsets"),
                     logits("s").alias("start_logits"), logits("e").alias("end_logits"))
+
+
+def mlm_rows(spark, sf_dir, max_tokens: int = 128, vocab_size: int = 30000) -> DataFrame:
+    """`mlm`: tok(documents.text), first max_tokens - 2 tokens, ids hashed
+    into the vocabulary, [CLS]/[SEP] at first and last position,
+    ner_map = token length >= 6."""
+    from quarry.operators import features as C
+    d = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("row_id"), F.slice(oracle_tok(F.col("text")), 1, max_tokens - 2).alias("t"))
+    ids = F.concat(F.array(F.lit(C.CLS_ID)),
+                   F.transform("t", lambda x: T.hashed_token_id(x, vocab_size - C.N_SPECIAL, C.N_SPECIAL)),
+                   F.array(F.lit(C.SEP_ID)))
+    n = F.size("t")
+    special = F.concat(F.array(F.lit(1)), F.array_repeat(F.lit(0), n), F.array(F.lit(1)))
+    ner = F.concat(F.array(F.lit(False)), F.transform("t", lambda x: F.length(x) >= 6),
+                   F.array(F.lit(False)))
+    return d.select("row_id", ids.alias("input_ids"), special.alias("special_tokens_mask"),
+                    ner.alias("ner_map"))

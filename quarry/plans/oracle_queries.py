@@ -345,3 +345,171 @@ def _n2():
                 f"lambda x: CAST(x.i AS INTEGER))")
     return f"""WITH {O.qa_cte()}, {O.features_cte()}
 SELECT example_id, window_index, {top('start_logits')} AS top_start, {top('end_logits')} AS top_end FROM feats"""
+
+
+def _lse(x):
+    return f"(list_max({x}) + ln(list_sum(list_transform({x}, lambda v: exp(v - list_max({x}))))))"
+
+
+def _labels_ctes(src, offsets="offsets", id_col="example_id"):
+    return f"""lab AS (SELECT f.*, qa.answers.answer_start[1] AS sc,
+                  qa.answers.answer_start[1] + length(qa.answers.text[1]) AS ec
+           FROM {src} f JOIN qa ON qa.id = f.{id_col}),
+lab2 AS (SELECT *, list_filter(range(0, len({offsets})), lambda p: {offsets}[p + 1] IS NOT NULL) AS ctx FROM lab),
+lab3 AS (SELECT *, coalesce(len(ctx) > 0 AND {offsets}[ctx[1] + 1].s <= sc AND {offsets}[ctx[-1] + 1].e >= ec
+                          AND NOT (sc = 0 AND ec = 0), false) AS ok,
+                list_max(list_filter(ctx, lambda p: {offsets}[p + 1].s <= sc)) AS s0,
+                list_min(list_filter(ctx, lambda p: {offsets}[p + 1].e >= ec)) AS e0 FROM lab2),
+labs AS (SELECT *, CAST(CASE WHEN ok THEN s0 ELSE 0 END AS INTEGER) AS start_positions,
+                CAST(CASE WHEN ok THEN e0 ELSE 0 END AS INTEGER) AS end_positions FROM lab3)"""
+
+
+@sql("e19_span_loss")
+def _e19():
+    return f"""WITH {O.qa_cte()}, {O.features_cte()}, {_labels_ctes('feats')}
+SELECT example_id, window_index,
+       round(((({_lse('start_logits')}) - start_logits[start_positions + 1])
+            + (({_lse('end_logits')}) - end_logits[end_positions + 1])) / 2, 6) AS loss FROM labs"""
+
+
+def _tid(x):
+    return f"CAST(5 + (('0x' || substr(md5({x}), 1, 8))::BIGINT % 29995) AS INTEGER)"
+
+
+def _token_id(x):
+    return (f"CASE {x} WHEN '[PAD]' THEN 0 WHEN '[UNK]' THEN 1 WHEN '[CLS]' THEN 2 "
+            f"WHEN '[SEP]' THEN 3 WHEN '[MASK]' THEN 4 ELSE {_tid(x)} END")
+
+
+def _windows_ctes(decorate=False, max_len=48, stride=8):
+    q = "question || ' [SEP] ^' || coalesce(title, '') || '^'" if decorate else "question"
+    return f"""w0 AS (
+  SELECT id, context, {O.tok_raw(q)} AS qt, string_split(context, ' ') AS ct,
+         list_transform(range(1, len(string_split(context, ' ')) + 1),
+           lambda j: length(array_to_string(string_split(context, ' ')[1:j - 1], ' ')) + CASE WHEN j > 1 THEN 1 ELSE 0 END) AS st
+  FROM qa),
+w1 AS (SELECT *, {max_len} - len(qt) - 3 AS W FROM w0 WHERE {max_len} - len(qt) - 3 > {stride}),
+w2 AS (SELECT *, CAST(wi AS INTEGER) AS window_index FROM (
+         SELECT *, unnest(range(0, CAST(1 + ceil(greatest(len(ct) - W, 0) / (W - {stride})) AS BIGINT))) AS wi FROM w1)),
+w3 AS (SELECT *, list_transform(range(window_index * (W - {stride}) + 1, least(window_index * (W - {stride}) + W, len(ct)) + 1),
+                               lambda j: {{'tok': ct[j], 's': CAST(st[j] AS INTEGER), 'e': CAST(st[j] + length(ct[j]) AS INTEGER)}}) AS win
+       FROM w2),
+wins AS (
+  SELECT id AS example_id, window_index,
+         list_concat([2], list_transform(qt, lambda t: {_token_id('t')}), [3],
+                     list_transform(win, lambda o: {_token_id('o.tok')}), [3]) AS input_ids,
+         list_concat(list_transform(range(0, len(qt) + 2), lambda i: 0), list_transform(range(0, len(win) + 1), lambda i: 1)) AS token_type_ids,
+         list_concat(list_transform(range(0, len(qt) + 2), lambda i: NULL::STRUCT(s INTEGER, e INTEGER)),
+                     list_transform(win, lambda o: {{'s': o.s, 'e': o.e}}), [NULL::STRUCT(s INTEGER, e INTEGER)]) AS offset_mapping
+  FROM w3)"""
+
+
+@sql("c3_reader_windows")
+def _c3():
+    return f"""WITH {O.qa_cte()}, {_windows_ctes()}
+SELECT example_id, window_index, input_ids, token_type_ids,
+       list_transform(input_ids, lambda x: 1) AS attention_mask,
+       list_transform(offset_mapping, lambda o: o.s) AS offset_start,
+       list_transform(offset_mapping, lambda o: o.e) AS offset_end FROM wins"""
+
+
+@sql("c6_span_labels")
+def _c6():
+    return f"""WITH {O.qa_cte()}, {_windows_ctes()}, {_labels_ctes('wins', 'offset_mapping')}
+SELECT example_id, window_index, start_positions, end_positions,
+       CASE WHEN start_positions > 0 THEN 1.0 ELSE 0.0 END AS answerable FROM labs"""
+
+
+@sql("c7_title_segments")
+def _c7():
+    return f"""WITH {O.qa_cte()}, {_windows_ctes(decorate=True)}, {_labels_ctes('wins', 'offset_mapping')},
+sp AS (SELECT *, list_filter(range(0, len(input_ids)), lambda i: input_ids[i + 1] = 3) AS seps FROM labs)
+SELECT example_id, window_index,
+       list_filter(input_ids, lambda v, i: i - 1 <> seps[2]) AS input_ids,
+       list_filter(list_transform(token_type_ids, lambda v, i: CASE WHEN i - 1 > seps[1] AND i - 1 < seps[2] THEN 1 ELSE v END),
+                   lambda v, i: i - 1 <> seps[2]) AS token_type_ids,
+       CAST(greatest(start_positions - 1, 0) AS INTEGER) AS start_positions,
+       CAST(greatest(end_positions - 1, 0) AS INTEGER) AS end_positions
+FROM sp WHERE len(seps) = 3"""
+
+
+@sql("c8_answer_centred")
+def _c8():
+    L = 14
+    return f"""WITH {O.qa_cte()},
+a0 AS (SELECT id, string_split(context, ' ') AS ct, answers.answer_start[1] AS sc,
+              answers.answer_start[1] + length(answers.text[1]) AS ec,
+              list_transform(range(1, len(string_split(context, ' ')) + 1),
+                lambda j: length(array_to_string(string_split(context, ' ')[1:j - 1], ' ')) + CASE WHEN j > 1 THEN 1 ELSE 0 END) AS st
+       FROM qa),
+a1 AS (SELECT *, len(ct) AS n,
+              coalesce(list_max(list_filter(range(0, len(ct)), lambda p: st[p + 1] <= sc)), 0) AS ts,
+              coalesce(list_min(list_filter(range(0, len(ct)), lambda p: st[p + 1] + length(ct[p + 1]) >= ec)), len(ct) - 1) AS te
+       FROM a0),
+a2 AS (SELECT *, CAST(CASE WHEN n <= {L} THEN 0 ELSE least(greatest(floor((ts + te) / 2) - {L // 2 + L % 2}, 0), n - {L}) END AS INTEGER) AS window_start FROM a1),
+a3 AS (SELECT *, list_concat([2], list_transform(ct[window_start + 1 : window_start + {L}], lambda t: {_tid('t')}), [3]) AS ids FROM a2)
+SELECT id, window_start, list_concat(ids, list_transform(range(0, 16 - len(ids)), lambda i: 0)) AS p_input_ids,
+       list_concat(list_transform(ids, lambda i: 1), list_transform(range(0, 16 - len(ids)), lambda i: 0)) AS p_attention_mask
+FROM a3"""
+
+
+def _mlm_cte():
+    return f"""mlm AS (
+  SELECT row_id, list_concat([2], list_transform(t, lambda x: {_tid('x')}), [3]) AS input_ids,
+         list_concat([1], list_transform(t, lambda x: 0), [1]) AS special_tokens_mask,
+         list_concat([false], list_transform(t, lambda x: length(x) >= 6), [false]) AS ner_map
+  FROM (SELECT doc_id AS row_id, {O.tok('text')}[1:126] AS t FROM documents))"""
+
+
+def _batches(multiple=None):
+    mx = "max(len(input_ids)) OVER (PARTITION BY batch_id)"
+    if multiple:
+        mx = f"CAST(ceil({mx} / {multiple}.0) * {multiple} AS INTEGER)"
+    return f"""bt AS (SELECT *, CAST(row_number() OVER (ORDER BY row_id) - 1 AS BIGINT) AS row_index FROM mlm),
+bt2 AS (SELECT *, row_index // 8 AS batch_id FROM bt),
+bt3 AS (SELECT *, list_concat(input_ids, list_transform(range(0, {mx} - len(input_ids)), lambda i: 0)) AS padded FROM bt2)"""
+
+
+@sql("c10_batch_padding")
+def _c10():
+    return f"""WITH {_mlm_cte()}, {_batches(8)}
+SELECT row_id, row_index, batch_id, CAST(len(padded) AS INTEGER) AS padded_len, padded[-1] AS last_id FROM bt3"""
+
+
+@sql("c14_causal_labels")
+def _c14():
+    return f"""WITH {_mlm_cte()}, {_batches()}
+SELECT row_id, list_transform(padded, lambda v: CASE WHEN v = 0 THEN -100 ELSE v END) AS labels FROM bt3"""
+
+
+def _mlm_select(prob, ner=False, span=False):
+    u = lambda tag: O.uniform("42", f"'{tag}'", "row_id", "p")
+    elig = "special_tokens_mask[p + 1] = 0" + (" AND ner_map[p + 1]" if ner else "")
+    base = f"""m1 AS (SELECT *, list_transform(range(0, len(input_ids)), lambda p: {elig} AND {u('m')} < {prob}) AS d0 FROM mlm)"""
+    if span:
+        base += """,
+m2 AS (SELECT *, list_transform(range(0, len(input_ids)), lambda p: len(list_filter(ner_map[1:p], lambda v: NOT v))) AS k FROM m1),
+m3 AS (SELECT *, list_distinct(list_transform(list_filter(range(0, len(input_ids)), lambda p: d0[p + 1]), lambda p: k[p + 1])) AS runs FROM m2),
+m4 AS (SELECT *, list_transform(range(0, len(input_ids)), lambda p: d0[p + 1] OR (ner_map[p + 1] AND list_contains(runs, k[p + 1]))) AS d FROM m3)"""
+        last = "m4"
+    else:
+        base += ", m4 AS (SELECT *, d0 AS d FROM m1)"
+        last = "m4"
+    return f"""{base}
+SELECT row_id,
+  list_transform(range(0, len(input_ids)), lambda p: CASE
+      WHEN d[p + 1] AND {u('r')} < 0.8 THEN 4
+      WHEN d[p + 1] AND {u('k')} < 0.5 THEN CAST(floor({u('v')} * 30000) AS INTEGER)
+      ELSE input_ids[p + 1] END) AS input_ids,
+  list_transform(range(0, len(input_ids)), lambda p: CASE WHEN d[p + 1] THEN input_ids[p + 1] ELSE -100 END) AS labels
+FROM {last}"""
+
+
+@sql("c11_mlm_mask")
+def _c11():
+    return f"WITH {_mlm_cte()}, {_mlm_select(0.15)}"
+
+
+@sql("c13_span_mask")
+def _c13():
+    return f"WITH {_mlm_cte()}, {_mlm_select(0.3, ner=True, span=True)}"
