@@ -43,8 +43,8 @@ ANSWER_SYMBOLS = "'\"《》<>〈〉()‘’"
 # ... and Python's string.punctuation (32 ASCII characters), deleted after.
 ASCII_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 # Characters that are neither word characters, whitespace nor Hangul.
-# Python's `\w` on str = Unicode letters, marks, digits, connector punctuation.
-SPECIAL_CHAR = ("[^\\p{L}\\p{M}\\p{Nd}\\p{Pc}" + WS_CHARS + "ㄱ-ㅎㅏ-ㅣ가-힣]")
+# Python's `\w` on str = alphanumeric (letters L*, numbers N*) or underscore.
+SPECIAL_CHAR = ("[^\\p{L}\\p{N}_" + WS_CHARS + "ㄱ-ㅎㅏ-ㅣ가-힣]")
 # P9 / P10 default separator token of the reader / encoder vocabulary.
 SEP_TOKEN = "[SEP]"
 # ---------------------------------------------------------------------------

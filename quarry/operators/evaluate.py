@@ -78,8 +78,9 @@ def squad_f1(pred, truth) -> Column:
 
 
 def fmt_percent(x) -> Column:
-    """``f"{x:.2%}"``."""
-    return F.format_string("%.2f%%", _c(x) * 100)
+    """``f"{x:.2%}"`` (rounding as Python: see ``report.fixed2``)."""
+    from quarry.operators.report import fixed2
+    return F.concat(fixed2(_c(x) * 100), F.lit("%"))
 
 
 def dataset_scores(truth: DataFrame, preds: DataFrame, id_col: str = "id",

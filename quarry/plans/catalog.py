@@ -418,3 +418,145 @@ def q_c14(spark, sf) -> DataFrame:
     from quarry.operators import features as C
     b = C.batch_pad(fx.mlm_rows(spark, sf), "row_id", batch_size=8, n_ranges=8)
     return b.select("row_id", C.causal_labels(F.col("input_ids")).alias("labels"))
+
+
+# ---------------------------------------------------------------- profiles
+
+@register("p15_substring_search")
+def q_p15(spark, sf) -> DataFrame:
+    from quarry.operators import profile as P
+    return P.substring_search(_docs(spark, sf), "ion d").select("doc_id")
+
+
+@register("p16_length_outliers")
+def q_p16(spark, sf) -> DataFrame:
+    from quarry.operators import profile as P
+    return P.length_outliers(_docs(spark, sf), 20000).select(
+        "doc_id", F.length("text").alias("n_chars"))
+
+
+def _overlap(spark, sf):
+    from quarry.operators import profile as P
+    p = fx.overlap_pairs(spark, sf)
+    x = p.select("conv_id", "turn", "question", "context",
+                 T.whitespace_tokens("question").alias("qt"), T.whitespace_tokens("context").alias("ct"))
+    shared, ratio = P.token_overlap(F.col("qt"), F.col("ct"))
+    return x.select("conv_id", "turn", "question", "context", F.size("qt").alias("n_q_tokens"),
+                    F.size(shared).alias("n_shared"), F.round(ratio, 6).alias("ratio"),
+                    F.array_join(shared, " ").alias("shared"))
+
+
+@register("e13_token_overlap")
+def q_e13(spark, sf) -> DataFrame:
+    return _overlap(spark, sf).select("conv_id", "turn", "n_q_tokens", "n_shared", "ratio", "shared")
+
+
+@register("r13_overlap_lowest")
+def q_r13a(spark, sf) -> DataFrame:
+    from quarry.operators import profile as P
+    o = _overlap(spark, sf)
+    return P.top_n(o, 10, F.col("ratio").asc(), "conv_id", "turn").select("conv_id", "turn", "ratio")
+
+
+@register("r13_overlap_highest")
+def q_r13b(spark, sf) -> DataFrame:
+    from quarry.operators import profile as P
+    o = _overlap(spark, sf)
+    return P.top_n(o, 10, F.col("ratio").desc(), "conv_id", "turn").select("conv_id", "turn", "ratio")
+
+
+@register("r13_longest_documents")
+def q_r13c(spark, sf) -> DataFrame:
+    from quarry.operators import profile as P
+    d = _docs(spark, sf).select("doc_id", F.length("text").alias("n_chars"))
+    return P.top_n(d, 100, F.col("n_chars").desc(), "doc_id")
+
+
+@register("s9_overlap_report")
+def q_s9(spark, sf) -> DataFrame:
+    from quarry.operators import report as RP
+    o = _overlap(spark, sf)
+    return o.select("conv_id", "turn", RP.overlap_report(
+        F.col("conv_id"), F.col("context"), F.col("question"), F.lit(""), F.col("shared"),
+        F.col("ratio")).alias("report"))
+
+
+@register("e14_length_histogram")
+def q_e14(spark, sf) -> DataFrame:
+    from quarry.operators import profile as P
+    return P.length_histogram(_docs(spark, sf))
+
+
+@register("e14_length_summary")
+def q_e14s(spark, sf) -> DataFrame:
+    from quarry.operators import profile as P
+    return P.length_summary(_docs(spark, sf))
+
+
+@register("e15_joined_length")
+def q_e15(spark, sf) -> DataFrame:
+    from quarry.operators import profile as P
+    return P.joined_length(_docs(spark, sf))
+
+
+@register("e16_special_chars")
+def q_e16(spark, sf) -> DataFrame:
+    from quarry.operators import profile as P
+    return P.special_chars(_docs(spark, sf))
+
+
+@register("j12_special_chars_in_answers")
+def q_j12(spark, sf) -> DataFrame:
+    from quarry.operators import profile as P
+    chars = P.special_chars(_docs(spark, sf))
+    ans = fx.qa(spark, sf).select(F.element_at("answers.text", 1).alias("answer_text"))
+    return P.special_chars_in_answers(chars, ans)
+
+
+@register("e17_micro_f1")
+def q_e17(spark, sf) -> DataFrame:
+    from quarry.operators import profile as P
+    return P.micro_f1(fx.table(spark, sf, "labels"), "toxic", "quality")
+
+
+# ---------------------------------------------------------------- reports
+
+def _eval_rows(spark, sf):
+    j = _qa_pred(spark, sf).filter(F.col("prediction_start") >= 0)
+    return j.select("id", "question", "context", "prediction_text", "prediction_start",
+                    F.element_at("answers.text", 1).alias("answer_text"),
+                    F.element_at("answers.answer_start", 1).alias("answer_start"))
+
+
+@register("e10_highlight_eval")
+def q_e10(spark, sf) -> DataFrame:
+    from quarry.operators import report as RP
+    r = _eval_rows(spark, sf)
+    return r.select("id", RP.highlight_eval("context", "prediction_start", "prediction_text",
+                                            "answer_start", "answer_text").alias("html"))
+
+
+@register("e11_highlight_pred")
+def q_e11(spark, sf) -> DataFrame:
+    from quarry.operators import report as RP
+    r = _eval_rows(spark, sf)
+    return r.select("id", RP.highlight_pred("context", "prediction_start", "prediction_text").alias("html"))
+
+
+@register("e12_eval_paragraphs")
+def q_e12(spark, sf) -> DataFrame:
+    from quarry.operators import report as RP
+    r = _eval_rows(spark, sf)
+    m = E.strict_match(F.col("prediction_text"), F.col("prediction_start"),
+                       F.col("answer_text"), F.col("answer_start"))
+    para = RP.highlight_eval("context", "prediction_start", "prediction_text",
+                             "answer_start", "answer_text")
+    return r.select("id", RP.eval_paragraph(F.col("id"), F.col("question"), m, para).alias("fragment"))
+
+
+@register("e12_pred_paragraphs")
+def q_e12p(spark, sf) -> DataFrame:
+    from quarry.operators import report as RP
+    r = _eval_rows(spark, sf)
+    para = RP.highlight_pred("context", "prediction_start", "prediction_text")
+    return r.select("id", RP.pred_paragraph(F.col("id"), F.col("question"), para).alias("fragment"))

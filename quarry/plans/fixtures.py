@@ -191,3 +191,12 @@ def mlm_rows(spark, sf_dir, max_tokens: int = 128, vocab_size: int = 30000) -> D
                    F.array(F.lit(False)))
     return d.select("row_id", ids.alias("input_ids"), special.alias("special_tokens_mask"),
                     ner.alias("ner_map"))
+
+
+def overlap_pairs(spark, sf_dir) -> DataFrame:
+    """`overlap`: a user turn as question, the next assistant turn as context."""
+    c = table(spark, sf_dir, "conversations")
+    u = c.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("question"))
+    a = c.filter(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("context"))
+    return u.join(a, ["conv_id", "turn"])

@@ -513,3 +513,177 @@ def _c11():
 @sql("c13_span_mask")
 def _c13():
     return f"WITH {_mlm_cte()}, {_mlm_select(0.3, ner=True, span=True)}"
+
+
+@sql("p15_substring_search")
+def _p15():
+    return "SELECT doc_id FROM documents WHERE contains(text, 'ion d')"
+
+
+@sql("p16_length_outliers")
+def _p16():
+    return "SELECT doc_id, CAST(length(text) AS INTEGER) AS n_chars FROM documents WHERE length(text) > 20000"
+
+
+def _overlap_ctes():
+    return f"""pr AS (
+  SELECT u.conv_id, u.turn, u.text AS question, a.text AS context
+  FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+  WHERE u.role = 'user' AND a.role = 'assistant'),
+ov0 AS (SELECT *, {O.tok_raw('question')} AS qt, {O.tok_raw('context')} AS ct FROM pr),
+ov AS (SELECT conv_id, turn, question, context, CAST(len(qt) AS INTEGER) AS n_q_tokens,
+              list_filter(qt, lambda t: list_contains(ct, t)) AS sh FROM ov0),
+ovr AS (SELECT conv_id, turn, question, context, n_q_tokens, CAST(len(sh) AS INTEGER) AS n_shared,
+               round(CASE WHEN n_q_tokens > 0 THEN len(sh) / n_q_tokens END, 6) AS ratio,
+               array_to_string(sh, ' ') AS shared FROM ov)"""
+
+
+@sql("e13_token_overlap")
+def _e13():
+    return f"WITH {_overlap_ctes()}\nSELECT conv_id, turn, n_q_tokens, n_shared, ratio, shared FROM ovr"
+
+
+@sql("r13_overlap_lowest")
+def _r13a():
+    return f"WITH {_overlap_ctes()}\nSELECT conv_id, turn, ratio FROM ovr ORDER BY ratio ASC NULLS FIRST, conv_id, turn LIMIT 10"
+
+
+@sql("r13_overlap_highest")
+def _r13b():
+    return f"WITH {_overlap_ctes()}\nSELECT conv_id, turn, ratio FROM ovr ORDER BY ratio DESC NULLS LAST, conv_id, turn LIMIT 10"
+
+
+@sql("r13_longest_documents")
+def _r13c():
+    return "SELECT doc_id, CAST(length(text) AS INTEGER) AS n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 100"
+
+
+@sql("s9_overlap_report")
+def _s9():
+    lines = ("array_to_string(list_transform(range(0, CAST(ceil(length(context) / 100.0) AS BIGINT)), "
+             "lambda i: substring(context, i * 100 + 1, 100) || chr(10)), '')")
+    return f"""WITH {_overlap_ctes()}
+SELECT conv_id, turn, CAST(conv_id AS VARCHAR) || ' ' || {lines} || 'Q: ' || question || ' -> A: ' || chr(10)
+       || 'SAME: ' || shared || ' -> ACCURACY:' || printf('%.2f', ratio) || chr(10) || chr(10) AS report FROM ovr"""
+
+
+@sql("e14_length_histogram")
+def _e14():
+    return """SELECT CAST(CASE WHEN length(text) = 5000 THEN 29 ELSE floor(length(text) * 30 / 5000) END AS INTEGER) AS bin,
+       count(*) AS n FROM documents WHERE length(text) <= 5000 GROUP BY bin"""
+
+
+@sql("e14_length_summary")
+def _e14s():
+    return """SELECT count(*) AS n_docs, CAST(min(length(text)) AS INTEGER) AS min_len,
+       CAST(max(length(text)) AS INTEGER) AS max_len,
+       CAST(sum(CASE WHEN length(text) > 20000 THEN 1 ELSE 0 END) AS BIGINT) AS n_outliers FROM documents"""
+
+
+@sql("e15_joined_length")
+def _e15():
+    return "SELECT CAST(sum(length(text)) + count(*) - 1 AS BIGINT) AS total_chars FROM documents"
+
+
+def _special_cte():
+    from quarry.functions.text import SPECIAL_CHAR
+    return f"""sc AS (SELECT ch, count(*) AS n FROM (
+  SELECT unnest(regexp_extract_all(text, {O.lit(SPECIAL_CHAR)}, 0)) AS ch FROM documents) GROUP BY ch)"""
+
+
+@sql("e16_special_chars")
+def _e16():
+    return f"WITH {_special_cte()}\nSELECT ch, n FROM sc"
+
+
+@sql("j12_special_chars_in_answers")
+def _j12():
+    return f"""WITH {O.qa_cte()}, {_special_cte()},
+ac AS (SELECT DISTINCT unnest(string_split(answers.text[1], '')) AS ch FROM qa)
+SELECT ch, ch IN (SELECT ch FROM ac) AS in_answer FROM sc"""
+
+
+@sql("e17_micro_f1")
+def _e17():
+    return "SELECT round(avg(CAST(toxic = quality AS DOUBLE)), 6) AS micro_f1, count(*) AS n FROM labels"
+
+
+def _psub(ctx, a, b):
+    a2 = f"least(greatest({a}, 0), length({ctx}))"
+    b2 = f"least(greatest({b}, {a2}), length({ctx}))"
+    return f"substring({ctx}, {a2} + 1, {b2} - {a2})"
+
+
+def _wrap(ctx, a, b, start):
+    from quarry.operators.report import SPAN_END
+    return f"{_psub(ctx, '0', a)} || {O.lit(start)} || {_psub(ctx, a, b)} || {O.lit(SPAN_END)}"
+
+
+def _highlight_eval():
+    from quarry.operators.report import BLUE_START, RED_START, SPAN_END
+    c = "context"
+    tail = lambda x: _psub(c, x, f"length({c})")
+    return f"""CASE
+  WHEN ps = a0 AND prediction_text = answer_text THEN {_wrap(c, 'a0', 'ae0', BLUE_START)} || {tail('ae0')}
+  WHEN ps <= a0 AND ae0 <= pe THEN {_wrap(c, 'ps', 'pe', RED_START)} || {tail('pe')}
+  WHEN pe <= as_ THEN {_wrap(c, 'ps', 'pe', RED_START)} || {_psub(c, 'pe', 'as_')} || {O.lit(BLUE_START)}
+       || {_psub(c, 'as_', 'ae')} || {O.lit(SPAN_END)} || {tail('ae')}
+  WHEN ps >= ae THEN {_wrap(c, 'as_', 'ae', BLUE_START)} || {_psub(c, 'ae', 'ps')} || {O.lit(RED_START)}
+       || {_psub(c, 'ps', 'pe')} || {O.lit(SPAN_END)} || {tail('pe')}
+  ELSE {_wrap(c, 'a0', 'ae0', BLUE_START)} || {tail('ae0')} END"""
+
+
+def _eval_rows_ctes():
+    return f"""{_qa_pred()},
+r0 AS (SELECT id, question, context, prediction_text, prediction_start AS ps,
+              answers.text[1] AS answer_text, answers.answer_start[1] AS a0,
+              prediction_start + length(prediction_text) AS pe,
+              answers.answer_start[1] + length(answers.text[1]) AS ae0
+       FROM j WHERE prediction_start >= 0),
+r1 AS (SELECT *, CASE WHEN ps < ae0 AND ae0 < pe THEN ps - 1 ELSE ae0 END AS ae,
+              CASE WHEN NOT (ps < ae0 AND ae0 < pe) AND ps < a0 AND a0 < pe THEN pe + 1 ELSE a0 END AS as_ FROM r0)"""
+
+
+@sql("e10_highlight_eval")
+def _e10():
+    return f"WITH {_eval_rows_ctes()}\nSELECT id, {_highlight_eval()} AS html FROM r1"
+
+
+@sql("e11_highlight_pred")
+def _e11():
+    from quarry.operators.report import BLUE_START
+    return f"""WITH {_eval_rows_ctes()}
+SELECT id, {_wrap('context', 'ps', 'pe', BLUE_START)} || {_psub('context', 'pe', 'length(context)')} AS html FROM r1"""
+
+
+def _template(t, values):
+    out, rest = [], t
+    while "$" in rest:
+        i = rest.index("$")
+        out.append(O.lit(rest[:i]))
+        j = i + 1
+        while j < len(rest) and (rest[j].isalnum() or rest[j] == "_"):
+            j += 1
+        out.append(values[rest[i + 1:j]])
+        rest = rest[j:]
+    out.append(O.lit(rest))
+    return " || ".join(out)
+
+
+@sql("e12_eval_paragraphs")
+def _e12():
+    from quarry.operators.report import EVAL_PARAGRAPH_TEMPLATE
+    frag = _template(EVAL_PARAGRAPH_TEMPLATE, {
+        "id": "CAST(id AS VARCHAR)", "question": "question",
+        "is_match": "CASE WHEN ps = a0 AND prediction_text = answer_text THEN 'True' ELSE 'False' END",
+        "paragraph": f"({_highlight_eval()})"})
+    return f"WITH {_eval_rows_ctes()}\nSELECT id, {frag} AS fragment FROM r1"
+
+
+@sql("e12_pred_paragraphs")
+def _e12p():
+    from quarry.operators.report import BLUE_START, PRED_PARAGRAPH_TEMPLATE
+    para = f"({_wrap('context', 'ps', 'pe', BLUE_START)} || {_psub('context', 'pe', 'length(context)')})"
+    frag = _template(PRED_PARAGRAPH_TEMPLATE, {"id": "CAST(id AS VARCHAR)", "question": "question",
+                                               "paragraph": para})
+    return f"WITH {_eval_rows_ctes()}\nSELECT id, {frag} AS fragment FROM r1"
