@@ -560,3 +560,186 @@ def q_e12p(spark, sf) -> DataFrame:
     r = _eval_rows(spark, sf)
     para = RP.highlight_pred("context", "prediction_start", "prediction_text")
     return r.select("id", RP.pred_paragraph(F.col("id"), F.col("question"), para).alias("fragment"))
+
+
+# ---------------------------------------------------------------- more text, tokens, joins
+
+@register("p8_title_prefix")
+def q_p8(spark, sf) -> DataFrame:
+    c = fx.corpus(spark, sf)
+    return c.select("document_id", T.title_prefixed(F.col("title"), T.preprocess(F.col("text")))
+                    .alias("ptext"))
+
+
+@register("p10_title_text_join")
+def q_p10(spark, sf) -> DataFrame:
+    t = fx.titles(spark, sf)
+    return t.select("page_id", "title", T.title_text_join(F.col("title"), F.col("text")).alias("passage"))
+
+
+@register("p13_column_resolution")
+def q_p13(spark, sf) -> DataFrame:
+    from quarry.operators.columns import resolve_columns
+    b = fx.table(spark, sf, "benchmark")
+    return resolve_columns(b, ["item_id", "question"])
+
+
+@register("p17_drop_token_type_ids")
+def q_p17(spark, sf) -> DataFrame:
+    from quarry.operators.columns import drop_if_present
+    w = drop_if_present(_windows(spark, sf), "token_type_ids", "offset_mapping")
+    return w.select("example_id", "window_index", "input_ids", "attention_mask")
+
+
+@register("t3_token_offsets")
+def q_t3(spark, sf) -> DataFrame:
+    d = _docs(spark, sf).select("doc_id", T.token_offsets(F.col("text")).alias("o"))
+    return d.select("doc_id", F.size("o").alias("n_tokens"),
+                    F.transform("o", lambda x: x["s"]).alias("starts"),
+                    F.transform("o", lambda x: x["e"]).alias("ends"))
+
+
+@register("t4_join_tokens")
+def q_t4(spark, sf) -> DataFrame:
+    d = _docs(spark, sf)
+    return d.select("doc_id", T.join_tokens(T.whitespace_tokens(F.col("text"))).alias("joined"))
+
+
+@register("i1_word_ngrams")
+def q_i1(spark, sf) -> DataFrame:
+    d = _docs(spark, sf).select("doc_id", T.whitespace_tokens(F.lower("text")).alias("t"))
+    g = d.select("doc_id", T.word_ngrams(F.col("t"), 2).alias("g"), F.size("t").alias("n"))
+    return g.select("doc_id", F.size("g").alias("n_grams"),
+                    F.try_element_at("g", F.col("n") + 1).alias("first_bigram"),
+                    F.element_at("g", -1).alias("last_gram"))
+
+
+@register("j3_union_splits")
+def q_j3(spark, sf) -> DataFrame:
+    q = fx.qa(spark, sf)
+    train = q.filter(F.pmod("id", F.lit(2)) == 0).withColumn("split", F.lit("train"))
+    val = q.filter(F.pmod("id", F.lit(2)) == 1).withColumn("split", F.lit("validation"))
+    return train.unionByName(val).select("id", "split", "question")
+
+
+def _bm25_top(spark, sf, k):
+    docs = I.prepare_corpus(fx.corpus(spark, sf))
+    return docs, R.bm25_topk(I.build_bm25(docs), fx.questions(spark, sf), k=k)
+
+
+@register("j7_document_lookup")
+def q_j7(spark, sf) -> DataFrame:
+    docs, top = _bm25_top(spark, sf, 3)
+    j = R.attach_documents(top, docs)
+    return j.select("qid", "rank", "document_id", "title", F.length("context").alias("n_chars"))
+
+
+@register("r9_retrieved_table")
+def q_r9(spark, sf) -> DataFrame:
+    docs, top = _bm25_top(spark, sf, 3)
+    t = R.retrieved_table(top, docs, fx.questions(spark, sf))
+    return t.select("qid", "question", "title", "document_id",
+                    F.transform("context", lambda c: F.length(c)).alias("context_chars"))
+
+
+@register("c4_multi_context")
+def q_c4(spark, sf) -> DataFrame:
+    from quarry.operators import features as C
+    docs, top = _bm25_top(spark, sf, 3)
+    t = R.retrieved_table(top, docs, fx.questions(spark, sf))
+    # Reader input in predict mode (id, question, title[], context[])
+    reader_in = t.select(F.col("qid").alias("id"), "question", "title", "context")
+    f = C.multi_context(reader_in)
+    return f.select("id", "context_index", "title", F.length("context").alias("n_chars"))
+
+
+@register("j8_passage_document_audit")
+def q_j8(spark, sf) -> DataFrame:
+    """Passages are built from text-deduplicated documents, the retriever
+    corpus from title+text-deduplicated ones: passage documents missing from
+    the retriever corpus (the reference raises on them)."""
+    from quarry.operators import chunk as C
+    p = C.passages(_clean_docs(spark, sf), "toks", 150, 50).select("document_id").distinct()
+    docs = I.prepare_corpus(fx.corpus(spark, sf)).select("document_id")
+    return p.join(docs, "document_id", "left_anti")
+
+
+@register("j9_features_per_example")
+def q_j9(spark, sf) -> DataFrame:
+    w = _windows(spark, sf)
+    return w.groupBy("example_id").agg(F.count(F.lit(1)).alias("n_windows"),
+                                       F.max("window_index").alias("last_window"))
+
+
+@register("c9_pad_truncate")
+def q_c9(spark, sf) -> DataFrame:
+    from quarry.operators import features as C
+    m = fx.mlm_rows(spark, sf)
+    return m.select("row_id", C.pad_to_length(F.col("input_ids"), 64).alias("input_ids"))
+
+
+# ---------------------------------------------------------------- sources and sinks
+
+@register("s1_corpus_jsonl_roundtrip")
+def q_s1(spark, sf) -> DataFrame:
+    from quarry.sources import io
+    path = io.scratch_path(spark, "corpus.jsonl")
+    fx.corpus(spark, sf).write.json(path)
+    c = io.read_corpus_jsonl(spark, path)
+    return c.select("document_id", "title", F.length("text").alias("n_chars"))
+
+
+@register("s2_qa_split_scan")
+def q_s2(spark, sf) -> DataFrame:
+    from quarry.sources import io
+    path = io.scratch_path(spark, "qa")
+    q = fx.qa(spark, sf).withColumn("split", F.when(F.pmod("id", F.lit(2)) == 0, "train")
+                                    .otherwise("validation"))
+    io.write_qa(q, path)
+    v = io.read_qa_split(spark, path, "validation")
+    return v.select("id", "question", F.element_at("answers.text", 1).alias("answer_text"))
+
+
+@register("s3_passages_roundtrip")
+def q_s3(spark, sf) -> DataFrame:
+    from quarry.operators import chunk as C
+    from quarry.sources import io
+    path = io.scratch_path(spark, "passages")
+    io.write_passages(C.numbered_passages(_clean_docs(spark, sf), "toks", 150, 50, n_ranges=16), path)
+    p = io.read_passages(spark, path)
+    return p.select("passage_id", "document_id", "title", "window_index", F.sha2("text", 256).alias("h"))
+
+
+@register("s4_bm25_persistent_topk")
+def q_s4(spark, sf) -> DataFrame:
+    from quarry.sources import io
+    src = fx.corpus(spark, sf)
+    root = io.scratch_path(spark, "indexes")
+    idx, _ = io.bm25_persistent(spark, src, I.prepare_corpus(src), root=root)
+    return R.bm25_topk(idx, fx.questions(spark, sf), k=10)
+
+
+@register("s5_predictions_json")
+def q_s5(spark, sf) -> DataFrame:
+    from quarry.sources import io
+    out = io.scratch_path(spark, "out")
+    best = _decoded(spark, sf).select("example_id", "prediction_text", "prediction_start")
+    paths = io.write_predictions(best, out, prefix="val")
+    return spark.read.schema("example_id long, prediction_text string, prediction_start int").json(
+        paths["predictions"])
+
+
+@register("s7_result_csv_roundtrip")
+def q_s7(spark, sf) -> DataFrame:
+    from quarry.sources import io
+    path = io.scratch_path(spark, "result.csv")
+    e7 = QUERIES["e7_eval_table"](spark, sf)
+    io.write_csv(e7, path)
+    return io.read_csv(spark, path, schema=e7.schema)
+
+
+@register("s8_metrics_table")
+def q_s8(spark, sf) -> DataFrame:
+    from quarry.sources import io
+    m = QUERIES["e4_dataset_scores"](spark, sf).select("em", "f1", "n_total", "n_unanswered")
+    return io.metrics_table(m)

@@ -200,3 +200,12 @@ def overlap_pairs(spark, sf_dir) -> DataFrame:
     a = c.filter(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("context"))
     return u.join(a, ["conv_id", "turn"])
+
+
+def titles(spark, sf_dir) -> DataFrame:
+    """`titles`: page title (text between <title> and </title>) and the page
+    text (tags replaced by spaces, whitespace collapsed)."""
+    p = table(spark, sf_dir, "pages")
+    return p.select("page_id",
+                    F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("title"),
+                    T.collapse_ws(F.regexp_replace("html", "<[^>]*>", " ")).alias("text"))

@@ -687,3 +687,148 @@ def _e12p():
     frag = _template(PRED_PARAGRAPH_TEMPLATE, {"id": "CAST(id AS VARCHAR)", "question": "question",
                                                "paragraph": para})
     return f"WITH {_eval_rows_ctes()}\nSELECT id, {frag} AS fragment FROM r1"
+
+
+@sql("p8_title_prefix")
+def _p8():
+    return f"SELECT doc_id AS document_id, coalesce(source, '') || ' ' || {O.p6('text')} AS ptext FROM documents"
+
+
+def _titles_cte():
+    from quarry.functions.text import SEP_TOKEN
+    return f"""tt AS (SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS title,
+                    {O.p5("regexp_replace(html, '<[^>]*>', ' ', 'g')")} AS text FROM pages)"""
+
+
+@sql("p10_title_text_join")
+def _p10():
+    return f"WITH {_titles_cte()}\nSELECT page_id, title, coalesce(title, '') || '[SEP]' || coalesce(text, '') AS passage FROM tt"
+
+
+@sql("p13_column_resolution")
+def _p13():
+    return "SELECT item_id, text AS question FROM benchmark"
+
+
+@sql("p17_drop_token_type_ids")
+def _p17():
+    return f"""WITH {O.qa_cte()}, {_windows_ctes()}
+SELECT example_id, window_index, input_ids, list_transform(input_ids, lambda x: 1) AS attention_mask FROM wins"""
+
+
+@sql("t3_token_offsets")
+def _t3():
+    from quarry.functions.text import WS_CHARS
+    tokp = O.lit("[^" + WS_CHARS + "]+")
+    gapp = O.lit("([" + WS_CHARS + "]*)[^" + WS_CHARS + "]+")
+    return f"""WITH d AS (SELECT doc_id, regexp_extract_all(text, {tokp}) AS toks,
+                          regexp_extract_all(text, {gapp}, 1) AS gaps FROM documents),
+x AS (SELECT doc_id, unnest(toks) AS tok, unnest(gaps) AS gap, unnest(range(1, len(toks) + 1)) AS j FROM d),
+y AS (SELECT doc_id, j, CAST(sum(length(gap) + length(tok)) OVER (PARTITION BY doc_id ORDER BY j) - length(tok) AS INTEGER) AS s,
+             CAST(sum(length(gap) + length(tok)) OVER (PARTITION BY doc_id ORDER BY j) AS INTEGER) AS e FROM x),
+z AS (SELECT doc_id, CAST(count(*) AS INTEGER) AS n_tokens, list(s ORDER BY j) AS starts, list(e ORDER BY j) AS ends
+      FROM y GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_tokens, 0) AS n_tokens, coalesce(starts, []) AS starts, coalesce(ends, []) AS ends
+FROM documents d LEFT JOIN z USING (doc_id)"""
+
+
+@sql("t4_join_tokens")
+def _t4():
+    return f"SELECT doc_id, array_to_string({O.tok_raw('text')}, ' ') AS joined FROM documents"
+
+
+@sql("i1_word_ngrams")
+def _i1():
+    return f"""WITH d AS (SELECT doc_id, {O.tok_raw('lower(text)')} AS t FROM documents),
+g AS (SELECT doc_id, len(t) AS n,
+             list_concat(t, CASE WHEN len(t) >= 2 THEN list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]) ELSE [] END) AS g FROM d)
+SELECT doc_id, CAST(len(g) AS INTEGER) AS n_grams, g[n + 1] AS first_bigram, g[-1] AS last_gram FROM g"""
+
+
+@sql("j3_union_splits")
+def _j3():
+    return f"""WITH {O.qa_cte()}
+SELECT id, 'train' AS split, question FROM qa WHERE id % 2 = 0
+UNION ALL SELECT id, 'validation', question FROM qa WHERE id % 2 = 1"""
+
+
+def _bm25_top3():
+    return f"{O.bm25_ctes()}, top AS ({O.topk_select('bm25', 3)})"
+
+
+@sql("j7_document_lookup")
+def _j7():
+    return f"""WITH {_bm25_top3()}
+SELECT qid, rank, document_id, title, CAST(length(text) AS INTEGER) AS n_chars FROM top JOIN docs USING (document_id)"""
+
+
+@sql("r9_retrieved_table")
+def _r9():
+    return f"""WITH {_bm25_top3()},
+l AS (SELECT qid, list(title ORDER BY rank) AS title, list(document_id ORDER BY rank) AS document_id,
+             list(CAST(length(text) AS INTEGER) ORDER BY rank) AS context_chars
+      FROM top JOIN docs USING (document_id) GROUP BY qid)
+SELECT qs.qid, qs.question, l.title, l.document_id, l.context_chars FROM qs LEFT JOIN l USING (qid)"""
+
+
+@sql("c4_multi_context")
+def _c4():
+    return f"""WITH {_bm25_top3()}
+SELECT t.qid AS id, CAST(t.rank - 1 AS INTEGER) AS context_index, d.title, CAST(length(d.text) AS INTEGER) AS n_chars
+FROM top t JOIN docs d USING (document_id)"""
+
+
+@sql("j8_passage_document_audit")
+def _j8():
+    return f"""WITH {_clean_docs_cte()}, {O.corpus_ctes()}
+SELECT DISTINCT document_id FROM pw WHERE document_id NOT IN (SELECT document_id FROM docs)"""
+
+
+@sql("j9_features_per_example")
+def _j9():
+    return f"""WITH {O.qa_cte()}, {_windows_ctes()}
+SELECT example_id, count(*) AS n_windows, max(window_index) AS last_window FROM wins GROUP BY example_id"""
+
+
+@sql("c9_pad_truncate")
+def _c9():
+    return f"""WITH {_mlm_cte()}
+SELECT row_id, list_concat(input_ids[1:64], list_transform(range(0, 64 - len(input_ids[1:64])), lambda i: 0)) AS input_ids FROM mlm"""
+
+
+@sql("s1_corpus_jsonl_roundtrip")
+def _s1():
+    return "SELECT doc_id AS document_id, source AS title, CAST(length(text) AS INTEGER) AS n_chars FROM documents"
+
+
+@sql("s2_qa_split_scan")
+def _s2():
+    return f"WITH {O.qa_cte()}\nSELECT id, question, answers.text[1] AS answer_text FROM qa WHERE id % 2 = 1"
+
+
+SQL["s3_passages_roundtrip"] = SQL["c2_passage_ids"]
+SQL["s4_bm25_persistent_topk"] = SQL["r5_bm25_topk"]
+
+
+@sql("s5_predictions_json")
+def _s5():
+    return f"""WITH {O.qa_cte()}, {O.nbest_ctes()}
+SELECT example_id, text AS prediction_text, CAST(prediction_start AS INTEGER) AS prediction_start FROM prob WHERE rank = 1"""
+
+
+SQL["s7_result_csv_roundtrip"] = SQL["e7_eval_table"]
+
+
+@sql("s8_metrics_table")
+def _s8():
+    em, f1 = _em_f1_cols()
+    return f"""WITH {O.qa_cte()}, {O.predictions_cte()},
+s AS (SELECT CASE WHEN p.id IS NULL THEN 0.0 ELSE {em} END AS em,
+             CASE WHEN p.id IS NULL THEN 0.0 ELSE {f1} END AS f1, p.id IS NULL AS miss
+      FROM qa LEFT JOIN preds p USING (id)),
+a AS (SELECT round(avg(em), 6) AS em, round(avg(f1), 6) AS f1, count(*) AS n_total,
+             sum(CAST(miss AS INTEGER)) AS n_unanswered FROM s)
+SELECT 'eval_em' AS metric, CAST(em AS DOUBLE) AS value FROM a
+UNION ALL SELECT 'eval_f1', CAST(f1 AS DOUBLE) FROM a
+UNION ALL SELECT 'eval_n_total', CAST(n_total AS DOUBLE) FROM a
+UNION ALL SELECT 'eval_n_unanswered', CAST(n_unanswered AS DOUBLE) FROM a"""
