@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.operators.dedup import content_key
+from quarry.plans.sizing import attach_row
 
 Tokenizer = Callable[[Column], Column]
 
@@ -36,40 +37,70 @@ def default_tokenizer(c: Column) -> Column:
 # Corpus preparation: P6 -> P8 -> J1
 # --------------------------------------------------------------------------
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that has fewer input splits than the cluster has
+    cores (a few large files or row groups) before per-row heavy work. Large
+    inputs already have many splits and pass through unchanged."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
 def prepare_corpus(corpus: DataFrame, no_other_languages: bool = False,
-                   quote_normalize: bool = True) -> DataFrame:
-    """Corpus ``(document_id, title, text)`` -> deduplicated rows with
-    ``dkey, document_id, title, text, ptext``.
+                   quote_normalize: bool = True, keep_text: bool = False) -> DataFrame:
+    """Corpus ``(document_id, title, text)`` -> deduplicated rows
+    ``dkey, document_id, title, ptext [, text]``.
 
     ``ptext = title + ' ' + P6(text)``; duplicates on ptext keep the smallest
-    document_id. The shuffle carries the key hash and the original columns
-    only; ptext is recomputed after it (a regex pass is cheaper than moving
-    the text twice).
+    document_id. The cleaning runs once, before the shuffle; the shuffle
+    carries ptext (and the raw text only when ``keep_text``: retrieval
+    output looks the raw text up by document_id instead, see
+    ``retrieve.attach_documents``).
     """
-    def ptext(df):
-        return T.title_prefixed(df["title"], T.preprocess(
-            df["text"], no_other_languages, quote_normalize))
-
-    base = corpus.select("document_id", "title", "text")
-    keyed = base.select(content_key(ptext(base)).alias("dkey"),
-                        "document_id", "title", "text")
-    packed = F.struct("document_id", "title", "text")
-    out = (keyed.groupBy("dkey")
-                .agg(F.min_by(packed, F.col("document_id")).alias("_r"))
-                .select("dkey", "_r.document_id", "_r.title", "_r.text"))
-    return out.withColumn("ptext", ptext(out))
+    base = spread(corpus.select("document_id", "title", "text"))
+    pt = T.title_prefixed(F.col("title"), T.preprocess(
+        F.col("text"), no_other_languages, quote_normalize))
+    keyed = base.select("document_id", "title", "text", pt.alias("ptext"))
+    keyed = keyed.withColumn("dkey", content_key(F.col("ptext")))
+    fields = ["document_id", "title", "ptext"] + (["text"] if keep_text else [])
+    packed = F.struct(*fields)
+    return (keyed.groupBy("dkey")
+                 .agg(F.min_by(packed, F.col("document_id")).alias("_r"))
+                 .select("dkey", *[F.col("_r." + f).alias(f) for f in fields]))
 
 
 # --------------------------------------------------------------------------
 # BM25 (I4)
 # --------------------------------------------------------------------------
 
+def with_term_counts(df: DataFrame, toks: str, out: str = "tc") -> DataFrame:
+    """Adds the distinct tokens of each row with their counts as
+    ``array<struct<term, tf>>``, computed in the row: sort the tokens, keep
+    the last index of every run of equal tokens, take run lengths.
+
+    The sorted array and the run ends are materialised as columns first: an
+    expression used inside a lambda would be re-evaluated per element.
+    """
+    x = df.withColumn("_st", F.array_sort(F.col(toks)))
+    st, n = F.col("_st"), F.size("_st")
+    x = x.withColumn("_ends", F.when(n > 0, F.filter(
+        F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
+        lambda i: (i == n) | (F.element_at(st, i) != F.try_element_at(st, i + 1))))
+        .otherwise(F.array().cast("array<int>")))
+    ends = F.col("_ends")
+    lens = F.slice(F.zip_with(ends, F.concat(F.array(F.lit(0)), ends), lambda e, p: e - p),
+                   1, F.size(ends))
+    pairs = F.arrays_zip(F.transform(ends, lambda i: F.element_at(st, i)).alias("term"),
+                         lens.alias("tf"))
+    return x.withColumn(out, pairs).drop("_st", "_ends")
+
+
 @dataclass
 class Bm25Index:
     postings: DataFrame      # dkey, document_id, dl, term, tf
     terms: DataFrame         # term, df, idf
-    n_docs: Column           # scalar subquery
-    avgdl: Column            # scalar subquery
+    stats: DataFrame         # one row: n_docs, avgdl
     k1: float = 1.5
     b: float = 0.75
     tokenizer: Tokenizer = default_tokenizer
@@ -84,24 +115,40 @@ def build_bm25(docs: DataFrame, tokenizer: Tokenizer = default_tokenizer,
     Empty documents count in N and in the average length.
     """
     toks = docs.select("dkey", "document_id", tokenizer(F.col("ptext")).alias("toks"))
-    stats = toks.agg(F.count(F.lit(1)).alias("n"),
-                     F.avg(F.size("toks").cast("double")).alias("avgdl"))
-    n_docs = stats.select("n").scalar()
-    avgdl = stats.select("avgdl").scalar()
-    # explode_outer + null filter: a plain explode makes Catalyst infer
-    # size(toks) > 0 below the projection and evaluate the tokenizer twice.
-    postings = (toks.select("dkey", "document_id", F.size("toks").alias("dl"),
-                            F.explode_outer("toks").alias("term"))
-                    .filter(F.col("term").isNotNull())
-                    .groupBy("dkey", "document_id", "dl", "term")
-                    .agg(F.count(F.lit(1)).alias("tf")))
-    raw = (postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-                   .withColumn("idf_raw", F.log(n_docs - F.col("df") + 0.5)
-                               - F.log(F.col("df") + 0.5)))
-    eps = raw.select((F.lit(epsilon) * F.avg("idf_raw")).alias("e")).scalar()
-    terms = raw.select("term", "df", F.when(F.col("idf_raw") < 0, eps)
-                       .otherwise(F.col("idf_raw")).alias("idf"))
-    return Bm25Index(postings, terms, n_docs, avgdl, k1, b, tokenizer)
+    # Term counts are computed inside each document row (sort + run lengths),
+    # so postings need no hash aggregate. One extra row per document with a
+    # NULL term lets the per-term aggregate also yield N (its count) and the
+    # total length (its sum of dl): term statistics and corpus scalars come
+    # from ONE shuffle, which the scalar subqueries reuse.
+    tc = with_term_counts(toks.select("dkey", "document_id", F.size("toks").alias("dl"),
+                                      "toks"), "toks").drop("toks")
+    grouped = tc.select("dkey", "document_id", "dl", F.explode(F.concat(
+        "tc", F.array(F.struct(F.lit(None).cast("string").alias("term"),
+                               F.lit(1).alias("tf"))))).alias("p")).select(
+        "dkey", "document_id", "dl", F.col("p.term").alias("term"),
+        F.col("p.tf").cast("long").alias("tf"))
+    postings = grouped.filter(F.col("term").isNotNull())
+    # `_doc` is an aggregate output: filters on it cannot be pushed below the
+    # aggregate, so every consumer shares one plan and one exchange. The
+    # corpus scalars are one-row tables attached by a broadcast join (not
+    # scalar subqueries, which are planned apart and would recompute it).
+    per_term = (grouped.groupBy("term").agg(F.count(F.lit(1)).alias("df"),
+                                            F.sum("dl").alias("_len"),
+                                            F.max(F.col("term").isNull()).alias("_doc"))
+                       # always true (a sum over >= 1 row); it makes every
+                       # consumer reference all three aggregates, so column
+                       # pruning leaves one identical, reusable exchange
+                       .filter(F.col("_len").isNotNull()))
+    stats = per_term.filter(F.col("_doc")).select(
+        F.col("df").alias("n_docs"), (F.col("_len") / F.col("df")).alias("avgdl"))
+    raw = attach_row(per_term.filter(~F.col("_doc")).select("term", "df"),
+                     stats.select("n_docs")).withColumn(
+        "idf_raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    eps = raw.agg((F.lit(epsilon) * F.avg("idf_raw")).alias("_eps"))
+    terms = attach_row(raw, eps).select(
+        "term", "df", F.when(F.col("idf_raw") < 0, F.col("_eps"))
+        .otherwise(F.col("idf_raw")).alias("idf"))
+    return Bm25Index(postings, terms, stats, k1, b, tokenizer)
 
 
 # --------------------------------------------------------------------------
@@ -111,8 +158,7 @@ def build_bm25(docs: DataFrame, tokenizer: Tokenizer = default_tokenizer,
 @dataclass
 class TfidfIndex:
     weights: DataFrame       # dkey, document_id, term, w   (L2-normalised)
-    vocab: DataFrame         # term, df, idf                (<= max_features rows)
-    n_docs: Column
+    vocab: DataFrame         # term, cf, df, idf            (<= max_features rows)
     ngram_max: int = 2
     tokenizer: Tokenizer = default_tokenizer
 
@@ -131,26 +177,28 @@ def build_tfidf(docs: DataFrame, tokenizer: Tokenizer = default_tokenizer,
     L2-normalised per document."""
     toks = docs.select("dkey", "document_id", tokenizer(F.lower(F.col("ptext"))).alias("t"))
     grams = toks.select("dkey", "document_id", T.word_ngrams(F.col("t"), ngram_max).alias("g"))
-    n_docs = grams.agg(F.count(F.lit(1)).alias("n")).scalar()
-    tf = (grams.select("dkey", "document_id", F.explode_outer("g").alias("term"))
-               .filter(F.col("term").isNotNull())
-               .groupBy("dkey", "document_id", "term")
-               .agg(F.count(F.lit(1)).alias("tf")))
-    vocab = vocabulary(tf, max_features).withColumn(
-        "idf", F.log((n_docs + 1.0) / (F.col("df") + 1.0)) + 1.0)
+    # NULL-term marker row per document: N comes out of the same aggregate
+    # as the term frequencies (see build_bm25).
+    tf_all = (grams.select("dkey", "document_id", F.explode(
+                  F.concat("g", F.array(F.lit(None).cast("string")))).alias("term"))
+                   .groupBy("dkey", "document_id", "term")
+                   .agg(F.count(F.lit(1)).alias("tf")))
+    tf = tf_all.filter(F.col("term").isNotNull())
+    cf_all = tf_all.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"),
+                                        F.max(F.col("term").isNull()).alias("_doc"))
+    n_docs = cf_all.filter(F.col("_doc")).select(F.col("df").alias("n_docs"))
+    cf = cf_all.filter(~F.col("_doc")).select("term", "cf", "df")
+    top = cf.orderBy(F.desc("cf"), F.asc("term")).limit(max_features)
+    vocab = attach_row(top, n_docs).select(
+        "term", "cf", "df",
+        (F.log((F.col("n_docs") + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
     # vocab has at most max_features rows: a proven row bound.
     w = (tf.join(F.broadcast(vocab.select("term", "idf")), "term")
            .withColumn("w", F.col("tf") * F.col("idf")))
     per_doc = Window.partitionBy("dkey", "document_id")
     w = w.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(per_doc)))
     return TfidfIndex(w.select("dkey", "document_id", "term", "w"), vocab,
-                      n_docs, ngram_max, tokenizer)
-
-
-def vocabulary(tf: DataFrame, max_features: int) -> DataFrame:
-    """Top terms by collection frequency with their document frequency."""
-    cf = tf.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
-    return cf.orderBy(F.desc("cf"), F.asc("term")).limit(max_features)
+                      ngram_max, tokenizer)
 
 
 # --------------------------------------------------------------------------

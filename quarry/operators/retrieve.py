@@ -63,10 +63,11 @@ def query_terms(questions: DataFrame, terms_of: Callable[[Column], Column],
                .groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf")))
 
 
-def _join_postings(postings: DataFrame, qside: DataFrame) -> DataFrame:
-    """Inverted-index join; broadcast the query side when it measures small."""
-    side, _ = maybe_broadcast(qside, [F.length("term")])
-    return postings.join(side, "term")
+def _join_postings(postings: DataFrame, qside: DataFrame, small: bool) -> DataFrame:
+    """Inverted-index join: the query side is broadcast when its measured
+    size allows (the postings then stream through without a shuffle);
+    otherwise both sides shuffle by term and AQE splits skewed terms."""
+    return postings.join(F.broadcast(qside) if small else qside, "term")
 
 
 # --------------------------------------------------------------------------
@@ -77,14 +78,18 @@ def bm25_scores(index: Bm25Index, questions: DataFrame, qid: str = "qid",
                 question: str = "question", preprocess: bool = True) -> DataFrame:
     """All positive BM25 scores ``(qid, dkey, document_id, score)``."""
     qt = query_terms(questions, index.tokenizer, qid, question, preprocess)
-    qi, _ = maybe_broadcast(qt, [F.length("term")])
+    # measure the question side only; joining the (unique-term) statistics
+    # cannot add rows, so the bound carries over to the joined side
+    qt, small = maybe_broadcast(qt, [F.length("term")])
     # idf per query term; terms absent from the corpus contribute 0 -> dropped
-    qside = qi.join(index.terms.select("term", "idf"), "term")
+    # the average length rides on the (small) query side into the join
+    qside = attach_row(qt.join(index.terms.select("term", "idf"), "term"),
+                       index.stats.select("avgdl"))
     k1, b = index.k1, index.b
     tf, dl = F.col("tf"), F.col("dl")
     contrib = (F.col("qtf") * F.col("idf") * tf * (k1 + 1)
-               / (tf + k1 * (1 - b + b * dl / index.avgdl)))
-    return (_join_postings(index.postings, qside)
+               / (tf + k1 * (1 - b + b * dl / F.col("avgdl"))))
+    return (_join_postings(index.postings, qside, small)
             .groupBy("qid", "dkey", "document_id")
             .agg(F.sum(contrib).alias("score")))
 
@@ -100,20 +105,22 @@ def bm25_topk(index: Bm25Index, questions: DataFrame, k: int = 10, **kw) -> Data
 # --------------------------------------------------------------------------
 
 def tfidf_query_weights(index: TfidfIndex, questions: DataFrame, qid: str = "qid",
-                        question: str = "question", preprocess: bool = True) -> DataFrame:
-    """Query vectors in the fitted vocabulary, L2-normalised: ``(qid, term, wq)``."""
+                        question: str = "question", preprocess: bool = True):
+    """Query vectors in the fitted vocabulary, L2-normalised: ``(qid, term, wq)``.
+    Returns the frame and whether its measured size allows a broadcast."""
     terms_of = lambda c: tfidf_terms(c, index.tokenizer, index.ngram_max)
     qt = query_terms(questions, terms_of, qid, question, preprocess)
-    vocab, _ = maybe_broadcast(index.vocab.select("term", "idf"), [F.length("term")])
-    w = qt.join(vocab, "term").withColumn("wq", F.col("qtf") * F.col("idf"))
+    qt, small = maybe_broadcast(qt, [F.length("term")])
+    w = qt.join(index.vocab.select("term", "idf"), "term").withColumn(
+        "wq", F.col("qtf") * F.col("idf"))
     norm = Window.partitionBy("qid")
     return w.select("qid", "term", (F.col("wq") / F.sqrt(
-        F.sum(F.col("wq") * F.col("wq")).over(norm))).alias("wq"))
+        F.sum(F.col("wq") * F.col("wq")).over(norm))).alias("wq")), small
 
 
 def tfidf_scores(index: TfidfIndex, questions: DataFrame, **kw) -> DataFrame:
-    qw = tfidf_query_weights(index, questions, **kw)
-    return (_join_postings(index.weights, qw)
+    qw, small = tfidf_query_weights(index, questions, **kw)
+    return (_join_postings(index.weights, qw, small)
             .groupBy("qid", "dkey", "document_id")
             .agg(F.sum(F.col("wq") * F.col("w")).alias("score")))
 
@@ -130,8 +137,10 @@ def oov_report(vocab: DataFrame, questions: DataFrame,
     """Per question, how many of its distinct terms are outside the
     vocabulary; ``all_oov`` marks questions that would score zero."""
     qt = query_terms(questions, terms_of, qid, question, preprocess)
-    v, _ = maybe_broadcast(vocab.select("term"), [F.length("term")])
-    known = qt.join(v.withColumn("_in", F.lit(1)), "term", "left")
+    # the vocabulary is a lookup set; keep the question side as the streamed
+    # side of a left join (broadcasting the right side when it is small is
+    # AQE's runtime decision)
+    known = qt.join(vocab.select("term").withColumn("_in", F.lit(1)), "term", "left")
     return (known.groupBy("qid")
                  .agg(F.count(F.lit(1)).alias("n_terms"),
                       F.sum(F.when(F.col("_in").isNull(), 1).otherwise(0)).alias("n_oov"))
@@ -325,10 +334,11 @@ def ivf_topk(passages: DataFrame, queries: DataFrame, centroids: DataFrame,
 # --------------------------------------------------------------------------
 
 def attach_documents(topk: DataFrame, docs: DataFrame) -> DataFrame:
-    """Add title and text of each retrieved document.
+    """Add title and raw text of each retrieved document.
 
-    The top-k side (questions x k rows) is measured and broadcast; the corpus
-    is streamed once.
+    ``docs`` is the raw corpus ``(document_id, title, text)`` (document ids
+    are unique there). The top-k side (questions x k rows) is measured and
+    broadcast when small, so the corpus is streamed once without a shuffle.
     """
     side, _ = maybe_broadcast(topk)
     return docs.select("document_id", "title", F.col("text").alias("context")).join(

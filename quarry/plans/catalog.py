@@ -623,8 +623,9 @@ def q_j3(spark, sf) -> DataFrame:
 
 
 def _bm25_top(spark, sf, k):
-    docs = I.prepare_corpus(fx.corpus(spark, sf))
-    return docs, R.bm25_topk(I.build_bm25(docs), fx.questions(spark, sf), k=k)
+    raw = fx.corpus(spark, sf)
+    docs = I.prepare_corpus(raw)
+    return raw, R.bm25_topk(I.build_bm25(docs), fx.questions(spark, sf), k=k)
 
 
 @register("j7_document_lookup")

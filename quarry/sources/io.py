@@ -124,13 +124,10 @@ def bm25_persistent(spark: SparkSession, docs_source: DataFrame, prepared: DataF
 
     def build():
         idx = I.build_bm25(prepared)
-        stats = prepared.select(I.default_tokenizer(F.col("ptext")).alias("t")).agg(
-            F.count(F.lit(1)).alias("n"), F.avg(F.size("t").cast("double")).alias("avgdl"))
-        return {"docs": prepared.select("dkey", "document_id", "title", "text"),
-                "postings": idx.postings, "terms": idx.terms, "stats": stats}
+        return {"docs": prepared.select("dkey", "document_id", "title", "ptext"),
+                "postings": idx.postings, "terms": idx.terms, "stats": idx.stats}
     t = load_or_build(spark, "bm25", fp, build, ("docs", "postings", "terms", "stats"), root)
-    idx = I.Bm25Index(t["postings"], t["terms"], t["stats"].select("n").scalar(),
-                      t["stats"].select("avgdl").scalar())
+    idx = I.Bm25Index(t["postings"], t["terms"], t["stats"])
     return idx, t["docs"]
 
 
