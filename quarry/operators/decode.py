@@ -154,14 +154,14 @@ def nbest(features: DataFrame, examples: DataFrame, n_best: int = 10,
         x["prediction_start"].alias("prediction_start"),
         x["context_index"].alias("context_index")))
     out = out.withColumn("nbest", nb)
-    first = F.element_at("_a", 1)
+    first = F.try_element_at("_a", F.lit(1))
     if not version_2_with_negative:
         out = out.withColumn("prediction_text", first["text"]).withColumn(
             "prediction_start", first["prediction_start"]).withColumn(
             "score_diff", F.lit(None).cast("double"))
     else:
-        best = F.element_at(F.filter("_a", lambda x: x["text"] != ""), 1)
-        null_sc = F.element_at(F.filter("_a", lambda x: x["kind"] == 1), 1)["score"]
+        best = F.try_element_at(F.filter("_a", lambda x: x["text"] != ""), F.lit(1))
+        null_sc = F.try_element_at(F.filter("_a", lambda x: x["kind"] == 1), F.lit(1))["score"]
         diff = null_sc - best["start_logit"] - best["end_logit"]
         out = (out.withColumn("score_diff", F.round(diff, SCORE_DIGITS))
                   .withColumn("prediction_text", F.when(diff > null_score_diff_threshold, F.lit(""))
