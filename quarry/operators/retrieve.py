@@ -368,20 +368,39 @@ def retrieved_table(topk: DataFrame, docs: DataFrame, questions: DataFrame,
     return questions.select(*cols).join(nested, "qid", "left")
 
 
-METHODS = ("bm25", "tfidf")
+METHODS = ("bm25", "tfidf", "dpr", "faiss")
 
 
-def retrieve(questions: DataFrame, docs: DataFrame, method: str = "bm25",
-             k: int = 10, **kw) -> DataFrame:
-    """One interface over the sparse methods; returns the long top-k.
+def retrieve(questions: DataFrame, docs: DataFrame | None = None, method: str = "bm25",
+             k: int = 10, passages: DataFrame | None = None,
+             query_vectors: DataFrame | None = None, centroids: DataFrame | None = None,
+             nprobe: int = 1, **kw) -> DataFrame:
+    """One interface over the four methods; returns the long top-k.
 
-    ``docs`` are prepared corpus rows (``prepare_corpus``). Dense and IVF
-    retrieval take vectors, not texts: see :func:`dense_topk`,
-    :func:`ivf_topk`.
+    Sparse methods take ``questions (qid, question)`` and prepared ``docs``
+    (``prepare_corpus``). Dense methods take vectors computed outside
+    (encoders are not part of this library): ``passages (pid, vec,
+    document_id)`` and ``query_vectors (qid, vec)``; ``dpr`` returns the top
+    k distinct documents (R7), ``faiss`` probes ``nprobe`` clusters (R8).
     """
     from quarry.operators.index import build_bm25, build_tfidf
     if method == "bm25":
         return bm25_topk(build_bm25(docs, **kw), questions, k)
     if method == "tfidf":
         return tfidf_topk(build_tfidf(docs, **kw), questions, k)
+    if method == "dpr":
+        return dense_topk(passages, query_vectors, k, group_col="document_id", **kw)
+    if method == "faiss":
+        cents = centroids if centroids is not None else kmeans_centroids(passages, **kw)
+        return ivf_topk(ivf_assign(passages, cents), query_vectors, cents, k, nprobe)
     raise ValueError(f"unknown method {method!r}; expected one of {METHODS}")
+
+
+def retrieve_one(spark, question: str, docs: DataFrame, raw_corpus: DataFrame,
+                 method: str = "bm25", k: int = 10) -> DataFrame:
+    """R10 (and R2, R4): one question string -> its top-k (rank, score,
+    document_id, title, context) through the same bulk operator."""
+    q = spark.createDataFrame([(0, question)], "qid long, question string")
+    top = retrieve(q, docs, method, k)
+    return attach_documents(top, raw_corpus).select("rank", "score", "document_id",
+                                                    "title", "context")

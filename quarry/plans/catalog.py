@@ -744,3 +744,18 @@ def q_s8(spark, sf) -> DataFrame:
     from quarry.sources import io
     m = QUERIES["e4_dataset_scores"](spark, sf).select("em", "f1", "n_total", "n_unanswered")
     return io.metrics_table(m)
+
+
+@register("p1_p5_cleaning_steps")
+def q_p1_p5(spark, sf) -> DataFrame:
+    d = _docs(spark, sf)
+    p1 = T.unescape_newlines(F.col("text"))
+    return d.select("doc_id", p1.alias("p1"), T.unify_quotes(p1).alias("p3"),
+                    T.drop_empty_brackets(p1).alias("p4"), T.collapse_ws(F.col("text")).alias("p5"))
+
+
+@register("p12_projection_by_mode")
+def q_p12(spark, sf) -> DataFrame:
+    from quarry.operators.columns import by_mode
+    e = by_mode(fx.qa(spark, sf), "eval")
+    return e.select("id", "question", "title", "context", F.col("answers.text").alias("answer_texts"))

@@ -832,3 +832,14 @@ SELECT 'eval_em' AS metric, CAST(em AS DOUBLE) AS value FROM a
 UNION ALL SELECT 'eval_f1', CAST(f1 AS DOUBLE) FROM a
 UNION ALL SELECT 'eval_n_total', CAST(n_total AS DOUBLE) FROM a
 UNION ALL SELECT 'eval_n_unanswered', CAST(n_unanswered AS DOUBLE) FROM a"""
+
+
+@sql("p1_p5_cleaning_steps")
+def _p1_p5():
+    return f"""SELECT doc_id, {O.p1('text')} AS p1, {O.p3(O.p1('text'))} AS p3,
+       {O.p4(O.p1('text'))} AS p4, {O.p5('text')} AS p5 FROM documents"""
+
+
+@sql("p12_projection_by_mode")
+def _p12():
+    return f"WITH {O.qa_cte()}\nSELECT id, question, title, context, answers.text AS answer_texts FROM qa"
