@@ -1,8 +1,9 @@
 """Text expressions: every function maps Column -> Column.
 
-All of them are built-in Spark expressions (regexp_replace, translate, split,
-higher-order functions), so they stay inside the JVM and, where Spark allows,
-inside whole-stage codegen. No Python runs per row.
+All of them except T3 are built-in Spark expressions (regexp_replace,
+translate, split, higher-order functions), so they stay inside the JVM and,
+where Spark allows, inside whole-stage codegen. T3 (token offsets) needs a
+running sum over each token list and is an Arrow-batched pandas UDF.
 
 Character classes are spelled out explicitly instead of relying on ``\\s`` or
 ``\\d``: Python (the behaviour we match), Java and RE2 disagree on what those

@@ -1,0 +1,9 @@
+"""Streaming: intentionally empty.
+
+The system this library re-expresses loads every input whole (corpus,
+question splits, logits) and has no stream, watermark, window or state
+(SURVEY §2.11). No streaming operator is built. The batch operators are plain
+DataFrame -> DataFrame functions, so a caller that does receive questions as
+a stream can apply them per micro-batch with ``foreachBatch`` against index
+tables written by ``quarry.sources.io.load_or_build``.
+"""
