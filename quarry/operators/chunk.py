@@ -45,9 +45,15 @@ def passages(df: DataFrame, tokens_col: str, W: int = 150, S: int = 50,
 
 
 def with_dense_offset(df: DataFrame, order_col: str, count: Column,
-                      n_ranges: int = 64, offset: str = "offset") -> DataFrame:
+                      n_ranges: int | None = None, offset: str = "offset") -> DataFrame:
     """Adds ``offset`` = sum of ``count`` over rows with a smaller
-    ``order_col`` (unique per row). Distributed two-level prefix sum."""
+    ``order_col`` (unique per row). Distributed two-level prefix sum.
+
+    ``n_ranges`` defaults to ``spark.sql.shuffle.partitions`` (at least 64),
+    so each range window is one task of about N / n_ranges rows.
+    """
+    if n_ranges is None:
+        n_ranges = max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     fracs = [i / n_ranges for i in range(1, n_ranges)]
     # range index = number of boundaries <= key; the boundaries are joined as
     # a one-row table (bounded by n_ranges) because Spark does not allow a
@@ -73,7 +79,7 @@ def with_dense_offset(df: DataFrame, order_col: str, count: Column,
 def numbered_passages(df: DataFrame, tokens_col: str, W: int = 150, S: int = 50,
                       order_col: str = "document_id",
                       keep: tuple[str, ...] = ("document_id", "title"),
-                      n_ranges: int = 64) -> DataFrame:
+                      n_ranges: int | None = None) -> DataFrame:
     """Passages with a dense global ``passage_id`` in (order_col, window)
     order, starting at 0."""
     _check(W, S)

@@ -225,7 +225,7 @@ def pad_to_length(arr: Column, length: int, pad_value: int = PAD_ID) -> Column:
 
 def batch_pad(df: DataFrame, order_col: str, batch_size: int, col: str = "input_ids",
               pad_to_multiple_of: int | None = None, padding_side: str = "right",
-              pad_value: int = PAD_ID, n_ranges: int = 64) -> DataFrame:
+              pad_value: int = PAD_ID, n_ranges: int | None = None) -> DataFrame:
     """Rows in ``order_col`` order form batches of ``batch_size``; each
     array is padded to the longest in its batch, rounded up to a multiple.
     Row numbers come from the distributed prefix sum; the padding length is
@@ -249,17 +249,18 @@ def mlm_mask(df: DataFrame, seed: int = 42, mlm_probability: float = 0.15,
              id_col: str = "row_id", ids: str = "input_ids",
              special: str = "special_tokens_mask", ner: str | None = None,
              span_masking: bool = False, vocab_size: int = 30000) -> DataFrame:
-    """Masked-LM inputs and labels with a seeded hash uniform per
-    (seed, draw, row, position) instead of a random generator, so results do
-    not depend on partitioning or task retries.
+    """Masked-LM inputs and labels from seeded hash uniforms instead
+    of a random generator, so results do not depend on partitioning or task
+    retries.
 
-    A non-special position (restricted to ``ner`` positions when given) is
+    Per position, md5(seed:row:position) gives four uniforms (its four
+    8-hex-digit slices): draw, mask-vs-other, random-vs-keep, random id. A
+    non-special position (restricted to ``ner`` positions when given) is
     drawn with probability ``mlm_probability``; with ``span_masking`` a drawn
     entity position extends to its whole contiguous run of entity positions.
     Drawn positions: 80 % -> [MASK], 10 % -> random id, 10 % unchanged.
     Labels are the original ids at drawn positions, -100 elsewhere.
     """
-    u = T.portable_uniform
     rid = F.col(id_col)
     idsc, sp = F.col(ids), F.col(special)
     pos = F.sequence(F.lit(0), F.size(idsc) - 1)
@@ -267,14 +268,20 @@ def mlm_mask(df: DataFrame, seed: int = 42, mlm_probability: float = 0.15,
     def at(a, p):
         return F.element_at(a, p + 1)
 
+    # one hash per position, materialised before the lambdas that read it
+    x = df.withColumn("_h", F.transform(pos, lambda p: F.md5(
+        F.concat_ws(":", F.lit(str(seed)), rid.cast("string"), p.cast("string")))))
+
+    def u(p, k):
+        return (F.conv(F.substring(at(F.col("_h"), p), 8 * k + 1, 8), 16, 10).cast("bigint")
+                / F.lit(4294967296.0))
+
     def eligible(p):
         e = at(sp, p) == 0
         if ner:
             e = e & at(F.col(ner), p).cast("boolean")
         return e
-    drawn = F.transform(pos, lambda p: eligible(p) & (u(F.lit(seed), F.lit("m"), rid, p)
-                                                       < mlm_probability))
-    x = df.withColumn("_d", drawn)
+    x = x.withColumn("_d", F.transform(pos, lambda p: eligible(p) & (u(p, 0) < mlm_probability)))
     if ner and span_masking:
         nr = F.col(ner)
         # run key: number of non-entity positions before p (constant on a run)
@@ -287,10 +294,9 @@ def mlm_mask(df: DataFrame, seed: int = 42, mlm_probability: float = 0.15,
     d = F.col("_d")
     labels = F.transform(idsc, lambda v, p: F.when(at(d, p), v).otherwise(F.lit(IGNORE)))
     new_ids = F.transform(idsc, lambda v, p: F.when(
-        at(d, p) & (u(F.lit(seed), F.lit("r"), rid, p) < 0.8), F.lit(MASK_ID)).when(
-        at(d, p) & (u(F.lit(seed), F.lit("k"), rid, p) < 0.5),
-        F.floor(u(F.lit(seed), F.lit("v"), rid, p) * vocab_size).cast("int")).otherwise(v))
-    return x.withColumn("labels", labels).withColumn(ids, new_ids).drop("_d")
+        at(d, p) & (u(p, 1) < 0.8), F.lit(MASK_ID)).when(
+        at(d, p) & (u(p, 2) < 0.5), F.floor(u(p, 3) * vocab_size).cast("int")).otherwise(v))
+    return x.withColumn("labels", labels).withColumn(ids, new_ids).drop("_d", "_h")
 
 
 def causal_labels(ids: Column, pad_id: int = PAD_ID) -> Column:

@@ -177,15 +177,18 @@ def build_tfidf(docs: DataFrame, tokenizer: Tokenizer = default_tokenizer,
     L2-normalised per document."""
     toks = docs.select("dkey", "document_id", tokenizer(F.lower(F.col("ptext"))).alias("t"))
     grams = toks.select("dkey", "document_id", T.word_ngrams(F.col("t"), ngram_max).alias("g"))
-    # NULL-term marker row per document: N comes out of the same aggregate
-    # as the term frequencies (see build_bm25).
-    tf_all = (grams.select("dkey", "document_id", F.explode(
-                  F.concat("g", F.array(F.lit(None).cast("string")))).alias("term"))
-                   .groupBy("dkey", "document_id", "term")
-                   .agg(F.count(F.lit(1)).alias("tf")))
+    # in-row term counts; NULL-term marker row per document so N comes out of
+    # the same aggregate as the term frequencies (see build_bm25)
+    tc = with_term_counts(grams, "g").drop("g")
+    tf_all = tc.select("dkey", "document_id", F.explode(F.concat(
+        "tc", F.array(F.struct(F.lit(None).cast("string").alias("term"),
+                               F.lit(1).alias("tf"))))).alias("p")).select(
+        "dkey", "document_id", F.col("p.term").alias("term"), F.col("p.tf").cast("long").alias("tf"))
     tf = tf_all.filter(F.col("term").isNotNull())
-    cf_all = tf_all.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"),
-                                        F.max(F.col("term").isNull()).alias("_doc"))
+    cf_all = (tf_all.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"),
+                                         F.max(F.col("term").isNull()).alias("_doc"))
+                    # always true; keeps one identical aggregate for all consumers
+                    .filter(F.col("cf").isNotNull()))
     n_docs = cf_all.filter(F.col("_doc")).select(F.col("df").alias("n_docs"))
     cf = cf_all.filter(~F.col("_doc")).select("term", "cf", "df")
     top = cf.orderBy(F.desc("cf"), F.asc("term")).limit(max_features)

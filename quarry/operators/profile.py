@@ -26,7 +26,10 @@ def length_outliers(df: DataFrame, threshold: int = 20000, text: str = "text") -
 def token_overlap(q_tokens: Column, c_tokens: Column) -> tuple[Column, Column]:
     """Question tokens found in the context (duplicates in the question
     count) and their share of the question."""
-    shared = F.filter(q_tokens, lambda t: F.array_contains(c_tokens, t))
+    # array_intersect is hash based (linear); each question token is then
+    # looked up in the (at most |q|) common tokens, not in the whole context
+    common = F.array_intersect(q_tokens, c_tokens)
+    shared = F.filter(q_tokens, lambda t: F.array_contains(common, t))
     ratio = F.when(F.size(q_tokens) > 0, F.size(shared) / F.size(q_tokens))
     return shared, ratio
 

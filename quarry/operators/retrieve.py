@@ -320,10 +320,15 @@ def ivf_topk(passages: DataFrame, queries: DataFrame, centroids: DataFrame,
                          F.col("n") / F.lit(rows_per_block))).cast("int").alias("nsub")))
     # one row per cluster: bounded by num_clusters
     sizes = F.broadcast(sizes)
-    p = (passages.join(sizes, "cluster_id")
+    probes = ivf_probes(queries, centroids, nprobe)
+    # clusters nobody probes are dropped before the shuffle (at most
+    # num_clusters ids); on a table partitioned by cluster_id this is a
+    # partition filter
+    probed = F.broadcast(probes.select("cluster_id").distinct())
+    p = (passages.join(probed, "cluster_id", "left_semi").join(sizes, "cluster_id")
                  .select("pid", F.col("pid").alias("document_id"), "vec", "cluster_id",
                          F.pmod(F.xxhash64("pid"), F.col("nsub")).cast("int").alias("sb")))
-    q = (ivf_probes(queries, centroids, nprobe).join(sizes, "cluster_id")
+    q = (probes.join(sizes, "cluster_id")
          .select("qid", "vec", "cluster_id",
                  F.explode(F.sequence(F.lit(0), F.col("nsub") - 1)).alias("sb")))
     return _blocked_topk(p, q, ["cluster_id", "sb"], k, "l2", None)

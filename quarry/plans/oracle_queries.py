@@ -483,26 +483,27 @@ SELECT row_id, list_transform(padded, lambda v: CASE WHEN v = 0 THEN -100 ELSE v
 
 
 def _mlm_select(prob, ner=False, span=False):
-    u = lambda tag: O.uniform("42", f"'{tag}'", "row_id", "p")
+    def u(k):
+        return f"(('0x' || substr(h[p + 1], {8 * k + 1}, 8))::BIGINT / 4294967296.0)"
     elig = "special_tokens_mask[p + 1] = 0" + (" AND ner_map[p + 1]" if ner else "")
-    base = f"""m1 AS (SELECT *, list_transform(range(0, len(input_ids)), lambda p: {elig} AND {u('m')} < {prob}) AS d0 FROM mlm)"""
+    base = f"""m0 AS (SELECT *, list_transform(range(0, len(input_ids)),
+                 lambda p: md5('42:' || CAST(row_id AS VARCHAR) || ':' || CAST(p AS VARCHAR))) AS h FROM mlm),
+m1 AS (SELECT *, list_transform(range(0, len(input_ids)), lambda p: {elig} AND {u(0)} < {prob}) AS d0 FROM m0)"""
     if span:
         base += """,
 m2 AS (SELECT *, list_transform(range(0, len(input_ids)), lambda p: len(list_filter(ner_map[1:p], lambda v: NOT v))) AS k FROM m1),
 m3 AS (SELECT *, list_distinct(list_transform(list_filter(range(0, len(input_ids)), lambda p: d0[p + 1]), lambda p: k[p + 1])) AS runs FROM m2),
 m4 AS (SELECT *, list_transform(range(0, len(input_ids)), lambda p: d0[p + 1] OR (ner_map[p + 1] AND list_contains(runs, k[p + 1]))) AS d FROM m3)"""
-        last = "m4"
     else:
         base += ", m4 AS (SELECT *, d0 AS d FROM m1)"
-        last = "m4"
     return f"""{base}
 SELECT row_id,
   list_transform(range(0, len(input_ids)), lambda p: CASE
-      WHEN d[p + 1] AND {u('r')} < 0.8 THEN 4
-      WHEN d[p + 1] AND {u('k')} < 0.5 THEN CAST(floor({u('v')} * 30000) AS INTEGER)
+      WHEN d[p + 1] AND {u(1)} < 0.8 THEN 4
+      WHEN d[p + 1] AND {u(2)} < 0.5 THEN CAST(floor({u(3)} * 30000) AS INTEGER)
       ELSE input_ids[p + 1] END) AS input_ids,
   list_transform(range(0, len(input_ids)), lambda p: CASE WHEN d[p + 1] THEN input_ids[p + 1] ELSE -100 END) AS labels
-FROM {last}"""
+FROM m4"""
 
 
 @sql("c11_mlm_mask")
