@@ -5,7 +5,7 @@ Window arithmetic is closed-form, so one input row becomes its windows through
 
 Dense passage ids (C2) need a global running count in document order. A
 single ordered window would pull every row into one task; instead the order
-key is cut into ranges by approximate quantiles (a one-row table), each
+key is cut into ranges by approximate quantiles (n_ranges scalars), each
 range counts its rows (one tiny table), the range totals are prefix-summed,
 and the running count inside a range is a window partitioned by range.
 """
@@ -55,16 +55,12 @@ def with_dense_offset(df: DataFrame, order_col: str, count: Column,
     if n_ranges is None:
         n_ranges = max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     fracs = [i / n_ranges for i in range(1, n_ranges)]
-    # range index = number of boundaries <= key; the boundaries are joined as
-    # a one-row table (bounded by n_ranges) because Spark does not allow a
-    # subquery inside a lambda
-    bt = df.agg(F.percentile_approx(order_col, fracs, 10000).alias("_bounds"))
-    ranged = (df.withColumn("_one", F.lit(1))
-                .join(F.broadcast(bt.withColumn("_one", F.lit(1))), "_one")
-                .drop("_one")
-                .withColumn("_cnt", count)
-                .withColumn("_rg", F.size(F.filter("_bounds", lambda b: b <= F.col(order_col))))
-                .drop("_bounds"))
+    # range boundaries: n_ranges - 1 approximate quantiles (scalars) of the
+    # order key; range index = number of boundaries <= key
+    bounds = sorted(set(df.approxQuantile(order_col, fracs, 1.0 / (4 * n_ranges)))) if fracs else []
+    arr = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<double>")
+    ranged = (df.withColumn("_cnt", count)
+                .withColumn("_rg", F.size(F.filter(arr, lambda b: b <= F.col(order_col)))))
     totals = ranged.groupBy("_rg").agg(F.sum("_cnt").alias("_rt"))
     # at most n_ranges rows: the ordered window over them is one small task
     before = Window.orderBy("_rg").rowsBetween(Window.unboundedPreceding, -1)

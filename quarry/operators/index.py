@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.operators.dedup import content_key
-from quarry.plans.sizing import attach_row
+from quarry.plans.sizing import maybe_broadcast
+from quarry.session import shared_dir
 
 Tokenizer = Callable[[Column], Column]
 
@@ -100,12 +101,31 @@ def with_term_counts(df: DataFrame, toks: str, out: str = "tc") -> DataFrame:
 class Bm25Index:
     postings: DataFrame      # dkey, document_id, dl, term, tf
     terms: DataFrame         # term, df, idf
-    stats: DataFrame         # one row: n_docs, avgdl
+    n_docs: int
+    avgdl: float
     k1: float = 1.5
     b: float = 0.75
     tokenizer: Tokenizer = default_tokenizer
 
 
+def _postings_with_marker(docs: DataFrame, toks_expr: Column, grams: int = 1) -> DataFrame:
+    """Per document: its distinct terms with counts, exploded, plus one
+    marker row with a NULL term (dl = token count) so that the per-term
+    aggregate also counts documents and their total length."""
+    toks = docs.select("dkey", "document_id", toks_expr.alias("toks"))
+    if grams > 1:
+        toks = toks.select("dkey", "document_id", F.size("toks").alias("dl"),
+                           T.word_ngrams(F.col("toks"), grams).alias("toks"))
+    else:
+        toks = toks.select("dkey", "document_id", F.size("toks").alias("dl"), "toks")
+    # term counts inside each row (sort + run lengths): no hash aggregate
+    tc = with_term_counts(toks, "toks").drop("toks")
+    marker = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(1).alias("tf")))
+    return tc.select("dkey", "document_id", "dl", F.explode(F.concat("tc", marker)).alias("p")).select(
+        "dkey", "document_id", "dl", F.col("p.term").alias("term"),
+        F.col("p.tf").cast("long").alias("tf"))
+
+
 def build_bm25(docs: DataFrame, tokenizer: Tokenizer = default_tokenizer,
                k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> Bm25Index:
     """I4: Okapi BM25 statistics over prepared docs (``dkey, document_id, ptext``).
@@ -113,42 +133,30 @@ def build_bm25(docs: DataFrame, tokenizer: Tokenizer = default_tokenizer,
     idf = ln(N - df + 0.5) - ln(df + 0.5); a negative idf is replaced by
     ``epsilon * mean(idf)`` (mean over all corpus terms, negatives included).
     Empty documents count in N and in the average length.
+
+    Building is an action: the per-term statistics (one row per distinct
+    term, plus the document-count row) are computed in one job and
+    checkpointed to the shared folder; N, the average length and the idf
+    floor are then read from that small table. The postings stay lazy and
+    keep the ``dkey`` partitioning of ``docs``, so scoring needs no shuffle of
+    postings.
     """
-    toks = docs.select("dkey", "document_id", tokenizer(F.col("ptext")).alias("toks"))
-    # Term counts are computed inside each document row (sort + run lengths),
-    # so postings need no hash aggregate. One extra row per document with a
-    # NULL term lets the per-term aggregate also yield N (its count) and the
-    # total length (its sum of dl): term statistics and corpus scalars come
-    # from ONE shuffle, which the scalar subqueries reuse.
-    tc = with_term_counts(toks.select("dkey", "document_id", F.size("toks").alias("dl"),
-                                      "toks"), "toks").drop("toks")
-    grouped = tc.select("dkey", "document_id", "dl", F.explode(F.concat(
-        "tc", F.array(F.struct(F.lit(None).cast("string").alias("term"),
-                               F.lit(1).alias("tf"))))).alias("p")).select(
-        "dkey", "document_id", "dl", F.col("p.term").alias("term"),
-        F.col("p.tf").cast("long").alias("tf"))
+    shared_dir(docs.sparkSession)           # checkpoint folder (shared storage)
+    grouped = _postings_with_marker(docs, tokenizer(F.col("ptext")))
     postings = grouped.filter(F.col("term").isNotNull())
-    # `_doc` is an aggregate output: filters on it cannot be pushed below the
-    # aggregate, so every consumer shares one plan and one exchange. The
-    # corpus scalars are one-row tables attached by a broadcast join (not
-    # scalar subqueries, which are planned apart and would recompute it).
-    per_term = (grouped.groupBy("term").agg(F.count(F.lit(1)).alias("df"),
-                                            F.sum("dl").alias("_len"),
-                                            F.max(F.col("term").isNull()).alias("_doc"))
-                       # always true (a sum over >= 1 row); it makes every
-                       # consumer reference all three aggregates, so column
-                       # pruning leaves one identical, reusable exchange
-                       .filter(F.col("_len").isNotNull()))
-    stats = per_term.filter(F.col("_doc")).select(
-        F.col("df").alias("n_docs"), (F.col("_len") / F.col("df")).alias("avgdl"))
-    raw = attach_row(per_term.filter(~F.col("_doc")).select("term", "df"),
-                     stats.select("n_docs")).withColumn(
-        "idf_raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    eps = raw.agg((F.lit(epsilon) * F.avg("idf_raw")).alias("_eps"))
-    terms = attach_row(raw, eps).select(
-        "term", "df", F.when(F.col("idf_raw") < 0, F.col("_eps"))
-        .otherwise(F.col("idf_raw")).alias("idf"))
-    return Bm25Index(postings, terms, stats, k1, b, tokenizer)
+    per_term = (grouped.groupBy("term")
+                       .agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("len"))
+                       .checkpoint(eager=True))
+    corpus = per_term.filter(F.col("term").isNull()).first()
+    n_docs = int(corpus["df"]) if corpus else 0
+    avgdl = (corpus["len"] / corpus["df"]) if corpus and corpus["df"] else 0.0
+    raw = per_term.filter(F.col("term").isNotNull()).select(
+        "term", "df", (F.log(F.lit(float(n_docs)) - F.col("df") + 0.5)
+                       - F.log(F.col("df") + 0.5)).alias("idf_raw"))
+    mean_idf = raw.agg(F.avg("idf_raw")).first()[0] or 0.0
+    terms = raw.select("term", "df", F.when(F.col("idf_raw") < 0, F.lit(epsilon * mean_idf))
+                       .otherwise(F.col("idf_raw")).alias("idf"))
+    return Bm25Index(postings, terms, n_docs, avgdl, k1, b, tokenizer)
 
 
 # --------------------------------------------------------------------------
@@ -159,6 +167,7 @@ def build_bm25(docs: DataFrame, tokenizer: Tokenizer = default_tokenizer,
 class TfidfIndex:
     weights: DataFrame       # dkey, document_id, term, w   (L2-normalised)
     vocab: DataFrame         # term, cf, df, idf            (<= max_features rows)
+    n_docs: int
     ngram_max: int = 2
     tokenizer: Tokenizer = default_tokenizer
 
@@ -174,33 +183,28 @@ def build_tfidf(docs: DataFrame, tokenizer: Tokenizer = default_tokenizer,
                 ngram_max: int = 2, max_features: int = 50000) -> TfidfIndex:
     """I2 + I3: vocabulary = the ``max_features`` terms of highest corpus
     frequency (ties: term ascending); weight = tf * (ln((1+N)/(1+df)) + 1),
-    L2-normalised per document."""
-    toks = docs.select("dkey", "document_id", tokenizer(F.lower(F.col("ptext"))).alias("t"))
-    grams = toks.select("dkey", "document_id", T.word_ngrams(F.col("t"), ngram_max).alias("g"))
-    # in-row term counts; NULL-term marker row per document so N comes out of
-    # the same aggregate as the term frequencies (see build_bm25)
-    tc = with_term_counts(grams, "g").drop("g")
-    tf_all = tc.select("dkey", "document_id", F.explode(F.concat(
-        "tc", F.array(F.struct(F.lit(None).cast("string").alias("term"),
-                               F.lit(1).alias("tf"))))).alias("p")).select(
-        "dkey", "document_id", F.col("p.term").alias("term"), F.col("p.tf").cast("long").alias("tf"))
-    tf = tf_all.filter(F.col("term").isNotNull())
-    cf_all = (tf_all.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"),
-                                         F.max(F.col("term").isNull()).alias("_doc"))
-                    # always true; keeps one identical aggregate for all consumers
-                    .filter(F.col("cf").isNotNull()))
-    n_docs = cf_all.filter(F.col("_doc")).select(F.col("df").alias("n_docs"))
-    cf = cf_all.filter(~F.col("_doc")).select("term", "cf", "df")
-    top = cf.orderBy(F.desc("cf"), F.asc("term")).limit(max_features)
-    vocab = attach_row(top, n_docs).select(
-        "term", "cf", "df",
-        (F.log((F.col("n_docs") + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
-    # vocab has at most max_features rows: a proven row bound.
-    w = (tf.join(F.broadcast(vocab.select("term", "idf")), "term")
-           .withColumn("w", F.col("tf") * F.col("idf")))
+    L2-normalised per document.
+
+    Building is an action: the vocabulary (at most ``max_features`` rows)
+    and the document count are computed in one job and checkpointed; the
+    vocabulary is then measured before it is broadcast against the postings.
+    """
+    shared_dir(docs.sparkSession)
+    grouped = _postings_with_marker(docs, tokenizer(F.lower(F.col("ptext"))), ngram_max)
+    tf = grouped.filter(F.col("term").isNotNull()).select("dkey", "document_id", "term", "tf")
+    per_term = grouped.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
+    top = (per_term.filter(F.col("term").isNotNull())
+                   .orderBy(F.desc("cf"), F.asc("term")).limit(max_features))
+    small = top.unionByName(per_term.filter(F.col("term").isNull())).checkpoint(eager=True)
+    corpus = small.filter(F.col("term").isNull()).first()
+    n_docs = int(corpus["df"]) if corpus else 0
+    vocab = small.filter(F.col("term").isNotNull()).select(
+        "term", "cf", "df", (F.log(F.lit(n_docs + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
+    side, small_enough = maybe_broadcast(vocab.select("term", "idf"), [F.length("term")])
+    w = tf.join(side, "term").withColumn("w", F.col("tf") * F.col("idf"))
     per_doc = Window.partitionBy("dkey", "document_id")
     w = w.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(per_doc)))
-    return TfidfIndex(w.select("dkey", "document_id", "term", "w"), vocab,
+    return TfidfIndex(w.select("dkey", "document_id", "term", "w"), vocab, n_docs,
                       ngram_max, tokenizer)
 
 

@@ -25,11 +25,12 @@ from typing import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from quarry.functions import text as T
 from quarry.operators.index import (Bm25Index, TfidfIndex, default_tokenizer,
                                     tfidf_terms)
-from quarry.plans.sizing import attach_row, maybe_broadcast
+from quarry.plans.sizing import maybe_broadcast
 
 SCORE_DIGITS = 6
 
@@ -82,13 +83,11 @@ def bm25_scores(index: Bm25Index, questions: DataFrame, qid: str = "qid",
     # cannot add rows, so the bound carries over to the joined side
     qt, small = maybe_broadcast(qt, [F.length("term")])
     # idf per query term; terms absent from the corpus contribute 0 -> dropped
-    # the average length rides on the (small) query side into the join
-    qside = attach_row(qt.join(index.terms.select("term", "idf"), "term"),
-                       index.stats.select("avgdl"))
+    qside = qt.join(index.terms.select("term", "idf"), "term")
     k1, b = index.k1, index.b
     tf, dl = F.col("tf"), F.col("dl")
     contrib = (F.col("qtf") * F.col("idf") * tf * (k1 + 1)
-               / (tf + k1 * (1 - b + b * dl / F.col("avgdl"))))
+               / (tf + k1 * (1 - b + b * dl / F.lit(float(index.avgdl)))))
     return (_join_postings(index.postings, qside, small)
             .groupBy("qid", "dkey", "document_id")
             .agg(F.sum(contrib).alias("score")))
@@ -245,7 +244,6 @@ def dense_topk(passages: DataFrame, queries: DataFrame, k: int = 10,
 def centroids_by_label(vectors: DataFrame, label: str = "label",
                        vec: str = "vec") -> DataFrame:
     """Deterministic coarse centroids: the mean vector of each label."""
-    dim = vectors.select(F.size(vec).alias("d")).agg(F.max("d")).scalar()
     ex = vectors.select(F.col(label).alias("cluster_id"),
                         F.posexplode(vec).alias("i", "x"))
     return (ex.groupBy("cluster_id", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
@@ -268,42 +266,57 @@ def kmeans_centroids(vectors: DataFrame, num_clusters: int = 64, seed: int = 42,
                                  "cluster_id int, centroid array<double>")
 
 
-def _sq_l2(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)),
-                       F.lit(0.0).cast("double"), lambda acc, v: acc + v)
-
+def _centroid_model(centroids: DataFrame):
+    """The centroid matrix on the driver, sorted by id: ``num_clusters`` rows
+    (a parameter), i.e. model parameters of bounded size, shipped to tasks
+    as one broadcast value (as Spark ML's KMeansModel does)."""
+    import numpy as np
+    rows = centroids.select("cluster_id", "centroid").orderBy("cluster_id").collect()
+    ids = np.array([int(r["cluster_id"]) for r in rows], dtype=np.int64)
+    C = np.array([list(r["centroid"]) for r in rows], dtype=np.float64)
+    return centroids.sparkSession.sparkContext.broadcast((ids, C))
 
-def _packed_centroids(centroids: DataFrame) -> DataFrame:
-    """All centroids as one array value in a one-row table. The table has
-    ``num_clusters`` rows, a parameter, so the value has a proven bound."""
-    return centroids.agg(F.collect_list(F.struct(
-        F.col("cluster_id").alias("cid"),
-        F.col("centroid").cast("array<double>").alias("c"))).alias("_cs"))
 
+def _nearest_fn(bc, vec: str, nprobe: int, explode_out: bool):
+    import numpy as np
 
-def _nearest(v: Column, cs: Column) -> Column:
-    """Centroids sorted by (squared L2 distance rounded to 9 places, id)."""
-    return F.array_sort(F.transform(cs, lambda c: F.struct(
-        F.round(_sq_l2(v, c["c"]), 9).alias("d"), c["cid"].alias("cid"))))
+    def run(batches):
+        ids, C = bc.value
+        cn = (C * C).sum(1)
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            V = np.stack(pdf[vec].to_numpy()).astype(np.float64)
+            # squared L2 to every centroid, rounded so ties resolve by id
+            D = np.round((V * V).sum(1)[:, None] + cn[None, :] - 2.0 * (V @ C.T), 9)
+            order = np.lexsort((np.broadcast_to(ids, D.shape), D), axis=1)[:, :nprobe]
+            best = ids[order]
+            if explode_out:
+                out = pdf.loc[pdf.index.repeat(best.shape[1])].reset_index(drop=True)
+                out["cluster_id"] = best.reshape(-1).astype("int32")
+            else:
+                out = pdf.copy()
+                out["cluster_id"] = best[:, 0].astype("int32")
+            yield out
+    return run
 
 
 def ivf_assign(vectors: DataFrame, centroids: DataFrame, vec: str = "vec") -> DataFrame:
-    """Every vector gets its nearest centroid (squared L2; ties: lower id)."""
-    v = F.col(vec).cast("array<double>")
-    x = attach_row(vectors, _packed_centroids(centroids))
-    best = F.array_min(F.transform("_cs", lambda c: F.struct(
-        F.round(_sq_l2(v, c["c"]), 9).alias("d"), c["cid"].alias("cid"))))
-    return x.withColumn("cluster_id", best["cid"]).drop("_cs")
+    """Every vector gets its nearest centroid (squared L2 rounded to 9
+    places; ties: lower id). Vectorised per Arrow batch."""
+    bc = _centroid_model(centroids)
+    schema = StructType(vectors.schema.fields + [StructField("cluster_id", IntegerType())])
+    return vectors.mapInPandas(_nearest_fn(bc, vec, 1, False), schema)
 
 
 def ivf_probes(queries: DataFrame, centroids: DataFrame, nprobe: int = 1,
                vec: str = "vec") -> DataFrame:
-    """Nearest ``nprobe`` clusters of each query: ``(qid, vec, cluster_id)``."""
-    v = F.col(vec).cast("array<double>")
-    x = attach_row(queries, _packed_centroids(centroids))
-    ranked = F.slice(_nearest(v, F.col("_cs")), 1, nprobe)
-    return x.select("qid", vec, F.explode(F.transform(ranked, lambda s: s["cid"]))
-                    .alias("cluster_id"))
+    """Nearest ``nprobe`` clusters of each query: ``(qid, vec, cluster_id)``,
+    one row per probed cluster."""
+    bc = _centroid_model(centroids)
+    q = queries.select("qid", vec)
+    schema = StructType(q.schema.fields + [StructField("cluster_id", IntegerType())])
+    return q.mapInPandas(_nearest_fn(bc, vec, nprobe, True), schema)
 
 
 def ivf_topk(passages: DataFrame, queries: DataFrame, centroids: DataFrame,

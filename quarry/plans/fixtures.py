@@ -52,8 +52,9 @@ def gold(spark, sf_dir, anchor: int = 4) -> DataFrame:
     candidate. Questions of fewer than 3 tokens have no interior token and are
     verified against all documents through a measured broadcast.
     """
-    docs = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("document_id"), "text")
+    from quarry.operators.index import spread
+    docs = spread(table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("document_id"), "text"))
     qs = questions(spark, sf_dir)
     qtok = qs.select("qid", "question", T.whitespace_tokens("question").alias("t"))
     n = F.size("t")
@@ -72,21 +73,27 @@ def gold(spark, sf_dir, anchor: int = 4) -> DataFrame:
         m = win.join(side.filter(F.col("alen") == L), "akey").select(
             "qid", "document_id", "question")
         cands = m if cands is None else cands.unionByName(m)
+    # questions of < 3 tokens have no anchor; they are checked against every
+    # document through a measured broadcast (a nested-loop join), which is
+    # only planned when such questions exist
     short_q = qtok.filter(n < 3).select("qid", "question")
-    short_side, ok = maybe_broadcast(short_q, [F.length("question")])
-    if not ok:
-        raise ValueError("too many questions of < 3 tokens to verify by broadcast")
-    short = docs.join(short_side, F.col("text").contains(F.col("question"))).select(
-        "qid", "document_id")
+    short = None
+    if short_q.limit(1).count() > 0:
+        short_side, ok = maybe_broadcast(short_q, [F.length("question")])
+        if not ok:
+            raise ValueError("too many questions of < 3 tokens to verify by broadcast")
+        short = docs.join(short_side, F.col("text").contains(F.col("question"))).select(
+            "qid", "document_id")
     if cands is None:
-        return short.distinct()
-    # verify candidates against the full text: one lookup join, candidates
-    # (anchor hits, not all windows) on the broadcast side when they fit
+        return short.distinct() if short is not None else spark.createDataFrame(
+            [], "qid long, document_id long")
+    # verify candidates (anchor hits, not all windows) against the full text;
+    # the candidate set depends on the corpus, so it is not measured up front:
+    # Spark plans the lookup join and AQE broadcasts it at run time when small
     cands = cands.distinct()
-    cside, _ = maybe_broadcast(cands, [F.length("question")])
-    verified = docs.join(cside, "document_id").filter(
+    verified = docs.join(cands, "document_id").filter(
         F.col("text").contains(F.col("question"))).select("qid", "document_id")
-    out = verified.unionByName(short)
+    out = verified if short is None else verified.unionByName(short)
     return out.distinct()
 
 

@@ -45,14 +45,3 @@ def maybe_broadcast(df: DataFrame, var_width: list[Column] | None = None,
     if measured_bytes(df, var_width) <= lim:
         return F.broadcast(df), True
     return df, False
-
-
-def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Add the columns of a one-row table (an aggregate with no grouping, so
-    exactly one row) to every row of ``df``. Planned as a broadcast hash join
-    on a constant key: the broadcast side is one row by construction. Used
-    where a value is needed inside a lambda, which cannot hold a subquery."""
-    k = "_attach_key"
-    return (df.withColumn(k, F.lit(1))
-              .join(F.broadcast(one_row.withColumn(k, F.lit(1))), k)
-              .drop(k))

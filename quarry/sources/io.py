@@ -124,10 +124,12 @@ def bm25_persistent(spark: SparkSession, docs_source: DataFrame, prepared: DataF
 
     def build():
         idx = I.build_bm25(prepared)
+        stats = spark.createDataFrame([(idx.n_docs, float(idx.avgdl))], "n_docs long, avgdl double")
         return {"docs": prepared.select("dkey", "document_id", "title", "ptext"),
-                "postings": idx.postings, "terms": idx.terms, "stats": idx.stats}
+                "postings": idx.postings, "terms": idx.terms, "stats": stats}
     t = load_or_build(spark, "bm25", fp, build, ("docs", "postings", "terms", "stats"), root)
-    idx = I.Bm25Index(t["postings"], t["terms"], t["stats"])
+    st = t["stats"].first()
+    idx = I.Bm25Index(t["postings"], t["terms"], int(st["n_docs"]), float(st["avgdl"]))
     return idx, t["docs"]
 
 
