@@ -45,19 +45,24 @@ def passages(df: DataFrame, tokens_col: str, W: int = 150, S: int = 50,
 
 
 def with_dense_offset(df: DataFrame, order_col: str, count: Column,
-                      n_ranges: int | None = None, offset: str = "offset") -> DataFrame:
+                      n_ranges: int | None = None, offset: str = "offset",
+                      bounds_from: DataFrame | None = None) -> DataFrame:
     """Adds ``offset`` = sum of ``count`` over rows with a smaller
     ``order_col`` (unique per row). Distributed two-level prefix sum.
 
     ``n_ranges`` defaults to ``spark.sql.shuffle.partitions`` (at least 64),
-    so each range window is one task of about N / n_ranges rows.
+    so each range window is one task of about N / n_ranges rows. The range
+    boundaries only balance work (any boundaries give the same offsets), so
+    they may come from a cheaper frame holding the same key, e.g. the
+    source table before cleaning (``bounds_from``; one column is read).
     """
     if n_ranges is None:
         n_ranges = max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     fracs = [i / n_ranges for i in range(1, n_ranges)]
     # range boundaries: n_ranges - 1 approximate quantiles (scalars) of the
     # order key; range index = number of boundaries <= key
-    bounds = sorted(set(df.approxQuantile(order_col, fracs, 1.0 / (4 * n_ranges)))) if fracs else []
+    src = (bounds_from if bounds_from is not None else df).select(order_col)
+    bounds = sorted(set(src.approxQuantile(order_col, fracs, 1.0 / (4 * n_ranges)))) if fracs else []
     arr = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<double>")
     ranged = (df.withColumn("_cnt", count)
                 .withColumn("_rg", F.size(F.filter(arr, lambda b: b <= F.col(order_col)))))
@@ -75,12 +80,13 @@ def with_dense_offset(df: DataFrame, order_col: str, count: Column,
 def numbered_passages(df: DataFrame, tokens_col: str, W: int = 150, S: int = 50,
                       order_col: str = "document_id",
                       keep: tuple[str, ...] = ("document_id", "title"),
-                      n_ranges: int | None = None) -> DataFrame:
+                      n_ranges: int | None = None,
+                      bounds_from: DataFrame | None = None) -> DataFrame:
     """Passages with a dense global ``passage_id`` in (order_col, window)
     order, starting at 0."""
     _check(W, S)
     n = window_count(F.size(tokens_col), W, S)
-    base = with_dense_offset(df, order_col, n, n_ranges)
+    base = with_dense_offset(df, order_col, n, n_ranges, bounds_from=bounds_from)
     wins = token_windows(F.col(tokens_col), W, S)
     return base.select(*keep, "offset", F.posexplode(wins).alias("window_index", "_w")).select(
         (F.col("offset") + F.col("window_index")).alias("passage_id"), *keep,

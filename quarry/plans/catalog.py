@@ -167,7 +167,8 @@ def q_c1(spark, sf) -> DataFrame:
 @register("c2_passage_ids")
 def q_c2(spark, sf) -> DataFrame:
     from quarry.operators import chunk as C
-    p = C.numbered_passages(_clean_docs(spark, sf), "toks", 150, 50, n_ranges=16)
+    p = C.numbered_passages(_clean_docs(spark, sf), "toks", 150, 50, n_ranges=16,
+                            bounds_from=fx.corpus(spark, sf))
     return p.select("passage_id", "document_id", "title", "window_index",
                     F.sha2("text", 256).alias("h"))
 
@@ -706,7 +707,8 @@ def q_s3(spark, sf) -> DataFrame:
     from quarry.operators import chunk as C
     from quarry.sources import io
     path = io.scratch_path(spark, "passages")
-    io.write_passages(C.numbered_passages(_clean_docs(spark, sf), "toks", 150, 50, n_ranges=16), path)
+    io.write_passages(C.numbered_passages(_clean_docs(spark, sf), "toks", 150, 50, n_ranges=16,
+                                          bounds_from=fx.corpus(spark, sf)), path)
     p = io.read_passages(spark, path)
     return p.select("passage_id", "document_id", "title", "window_index", F.sha2("text", 256).alias("h"))
 
