@@ -164,13 +164,15 @@ def qa_cte(name="qa") -> str:
 
 
 def predictions_cte(name="preds") -> str:
+    # Python and Java upper-case 'ß' to 'SS' (full case mapping); DuckDB keeps
+    # one character, so the oracle spells that mapping out
     return f"""{name} AS (
   SELECT id, p AS prediction_text, CAST(instr(context, p) - 1 AS INTEGER) AS prediction_start
   FROM (
     SELECT id, context,
       CASE id % 5
         WHEN 0 THEN answers.text[1]
-        WHEN 1 THEN '(' || upper(answers.text[1]) || ')'
+        WHEN 1 THEN '(' || upper(replace(answers.text[1], 'ß', 'ss')) || ')'
         WHEN 2 THEN array_to_string(string_split(context, ' ')[6:8], ' ')
         WHEN 3 THEN array_to_string(string_split(context, ' ')[1:2], ' ')
       END AS p
