@@ -192,13 +192,16 @@ def build_tfidf(docs: DataFrame, tokenizer: Tokenizer = default_tokenizer,
     shared_dir(docs.sparkSession)
     grouped = _postings_with_marker(docs, tokenizer(F.lower(F.col("ptext"))), ngram_max)
     tf = grouped.filter(F.col("term").isNotNull()).select("dkey", "document_id", "term", "tf")
-    per_term = grouped.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
-    top = (per_term.filter(F.col("term").isNotNull())
-                   .orderBy(F.desc("cf"), F.asc("term")).limit(max_features))
-    small = top.unionByName(per_term.filter(F.col("term").isNull())).checkpoint(eager=True)
-    corpus = small.filter(F.col("term").isNull()).first()
+    # `_doc` marks the document-count row; filtering on an aggregate output
+    # (not on the grouping key) keeps both union branches on one identical
+    # aggregate, so its exchange is computed once
+    per_term = grouped.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"),
+                                           F.max(F.col("term").isNull()).alias("_doc"))
+    top = per_term.filter(~F.col("_doc")).orderBy(F.desc("cf"), F.asc("term")).limit(max_features)
+    small = top.unionByName(per_term.filter(F.col("_doc"))).checkpoint(eager=True)
+    corpus = small.filter(F.col("_doc")).first()
     n_docs = int(corpus["df"]) if corpus else 0
-    vocab = small.filter(F.col("term").isNotNull()).select(
+    vocab = small.filter(~F.col("_doc")).select(
         "term", "cf", "df", (F.log(F.lit(n_docs + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
     side, small_enough = maybe_broadcast(vocab.select("term", "idf"), [F.length("term")])
     w = tf.join(side, "term").withColumn("w", F.col("tf") * F.col("idf"))
