@@ -761,3 +761,21 @@ def q_p12(spark, sf) -> DataFrame:
     from quarry.operators.columns import by_mode
     e = by_mode(fx.qa(spark, sf), "eval")
     return e.select("id", "question", "title", "context", F.col("answers.text").alias("answer_texts"))
+
+
+@register("s4_tfidf_persistent_topk")
+def q_s4t(spark, sf) -> DataFrame:
+    from quarry.sources import io
+    src = fx.corpus(spark, sf)
+    idx = io.tfidf_persistent(spark, src, I.prepare_corpus(src), root=io.scratch_path(spark, "ix"))
+    return R.tfidf_topk(idx, fx.questions(spark, sf), k=10)
+
+
+@register("s4_ivf_persistent_topk")
+def q_s4i(spark, sf) -> DataFrame:
+    from quarry.sources import io
+    q, p = fx.vectors(spark, sf)
+    vecs, cents = io.ivf_persistent(spark, p, R.centroids_by_label(p),
+                                    root=io.scratch_path(spark, "ix"))
+    return R.ivf_topk(vecs, q, cents, k=10, nprobe=1, rows_per_block=64).select(
+        "qid", "rank", "pid", "score")

@@ -844,3 +844,7 @@ def _p1_p5():
 @sql("p12_projection_by_mode")
 def _p12():
     return f"WITH {O.qa_cte()}\nSELECT id, question, title, context, answers.text AS answer_texts FROM qa"
+
+
+SQL["s4_tfidf_persistent_topk"] = SQL["r3_tfidf_topk"]
+SQL["s4_ivf_persistent_topk"] = SQL["r8_ivf_topk"]

@@ -204,3 +204,38 @@ def write_text(df: DataFrame, col: str, path: str) -> None:
 def scratch_path(spark: SparkSession, *parts: str) -> str:
     """A fresh folder in the shared directory for round trips."""
     return os.path.join(shared_dir(spark), "scratch", uuid.uuid4().hex, *parts)
+
+
+def tfidf_persistent(spark: SparkSession, docs_source: DataFrame, prepared: DataFrame,
+                     params: dict | None = None, root: str | None = None):
+    """S4 for TF-IDF: normalised weights, vocabulary (with idf) and N."""
+    from quarry.operators import index as I
+    params = dict(params or {}, method="tfidf")
+    fp = input_fingerprint(spark, docs_source, params)
+    kw = {k: v for k, v in params.items() if k in ("ngram_max", "max_features")}
+
+    def build():
+        idx = I.build_tfidf(prepared, **kw)
+        stats = spark.createDataFrame([(idx.n_docs,)], "n_docs long")
+        return {"weights": idx.weights, "vocab": idx.vocab, "stats": stats}
+    t = load_or_build(spark, "tfidf", fp, build, ("weights", "vocab", "stats"), root)
+    return I.TfidfIndex(t["weights"], t["vocab"], int(t["stats"].first()["n_docs"]),
+                        kw.get("ngram_max", 2))
+
+
+def ivf_persistent(spark: SparkSession, passages: DataFrame, centroids: DataFrame,
+                   params: dict | None = None, root: str | None = None):
+    """S4 for IVF: the centroid table and the passage vectors with their
+    cluster, written partitioned by ``cluster_id`` so that probing a few
+    clusters reads only their files (partition pruning on the probe join)."""
+    from quarry.operators import retrieve as R
+    params = dict(params or {}, method="ivf")
+    fp = input_fingerprint(spark, passages, params)
+    base = os.path.join(root or os.path.join(shared_dir(spark), "indexes"), "ivf", fp)
+    done = os.path.join(base, "centroids")
+    if not _exists(spark, done):
+        R.ivf_assign(passages, centroids).write.mode("overwrite").partitionBy(
+            "cluster_id").parquet(os.path.join(base, "vectors"))
+        centroids.write.mode("overwrite").parquet(done)
+    return (spark.read.parquet(os.path.join(base, "vectors")),
+            spark.read.parquet(done))
