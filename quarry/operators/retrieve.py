@@ -158,45 +158,52 @@ def assert_not_all_oov(report: DataFrame) -> None:
 # Dense (R6, R7) and IVF
 # --------------------------------------------------------------------------
 
-def _block_scorer(k: int, metric: str, group_col: str | None):
+def _score_block(P, pid, doc, Q, qids, k: int, metric: str, grouped: bool):
+    """Top k passages (or distinct documents) per question for one block of
+    passages and questions, as a pandas frame. Order: best score (rounded),
+    then smallest document id, then smallest passage id."""
     import numpy as np
     import pandas as pd
+    if metric == "ip":
+        S = Q @ P.T
+    else:  # squared L2, as an IVF-Flat L2 index reports
+        S = np.maximum((Q * Q).sum(1)[:, None] + (P * P).sum(1)[None, :] - 2.0 * (Q @ P.T), 0.0)
+    S = np.round(S, SCORE_DIGITS)
+    sign = -1.0 if metric == "ip" else 1.0
+    out_q, out_p, out_d, out_s = [], [], [], []
+    for i, qid in enumerate(qids):
+        row = S[i]
+        order = np.lexsort((pid, doc, sign * row))
+        if grouped:
+            _, first = np.unique(doc[order], return_index=True)
+            order = order[np.sort(first)]
+        order = order[:k]
+        out_q.append(np.full(len(order), qid))
+        out_p.append(pid[order])
+        out_d.append(doc[order])
+        out_s.append(row[order])
+    if not out_q:
+        return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "pid": pd.Series([], dtype="int64"),
+                             "document_id": pd.Series([], dtype="int64"),
+                             "score": pd.Series([], dtype="float64")})
+    return pd.DataFrame({"qid": np.concatenate(out_q).astype("int64"),
+                         "pid": np.concatenate(out_p).astype("int64"),
+                         "document_id": np.concatenate(out_d).astype("int64"),
+                         "score": np.concatenate(out_s).astype("float64")})
+
 
-    def score(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"qid": pd.Series([], dtype="int64"),
-                              "pid": pd.Series([], dtype="int64"),
-                              "document_id": pd.Series([], dtype="int64"),
-                              "score": pd.Series([], dtype="float64")})
+def _block_scorer(k: int, metric: str, group_col: str | None):
+    import numpy as np
+
+    def score(p, q):
         if len(p) == 0 or len(q) == 0:
-            return empty
+            return _score_block(np.zeros((0, 1)), np.zeros(0, np.int64), np.zeros(0, np.int64),
+                                np.zeros((0, 1)), [], k, metric, False)
         P = np.stack(p["vec"].to_numpy()).astype(np.float64)
         Q = np.stack(q["vec"].to_numpy()).astype(np.float64)
-        if metric == "ip":
-            S = Q @ P.T
-        else:  # squared L2, as an IVF-Flat L2 index reports
-            S = (Q * Q).sum(1)[:, None] + (P * P).sum(1)[None, :] - 2.0 * (Q @ P.T)
-            S = np.maximum(S, 0.0)
-        S = np.round(S, SCORE_DIGITS)
         pid = p["pid"].to_numpy()
-        doc = p["document_id"].to_numpy() if group_col else pid
-        sign = -1.0 if metric == "ip" else 1.0
-        out_q, out_p, out_d, out_s = [], [], [], []
-        for i, qid in enumerate(q["qid"].to_numpy()):
-            row = S[i]
-            # order: best score, then smallest document id, then smallest pid
-            order = np.lexsort((pid, doc, sign * row))
-            if group_col:
-                _, first = np.unique(doc[order], return_index=True)
-                order = order[np.sort(first)]
-            order = order[:k]
-            out_q.append(np.full(len(order), qid))
-            out_p.append(pid[order])
-            out_d.append(doc[order])
-            out_s.append(row[order])
-        return pd.DataFrame({"qid": np.concatenate(out_q).astype("int64"),
-                             "pid": np.concatenate(out_p).astype("int64"),
-                             "document_id": np.concatenate(out_d).astype("int64"),
-                             "score": np.concatenate(out_s).astype("float64")})
+        doc = p["document_id"].to_numpy()
+        return _score_block(P, pid, doc, Q, q["qid"].to_numpy(), k, metric, bool(group_col))
     return score
 
 
@@ -209,29 +216,98 @@ def _blocked_topk(p: DataFrame, q: DataFrame, keys: list[str], k: int,
     fn = _block_scorer(k, metric, group_col)
     part = (p.groupBy(*keys).cogroup(q.groupBy(*keys))
              .applyInPandas(fn, _BLOCK_SCHEMA))
-    tie = "document_id"
-    ranked = rank_topk(part, k, score="score", tie=tie, ascending=(metric != "ip"))
+    return _final_topk(part, k, metric)
+
+
+def _final_topk(part: DataFrame, k: int, metric: str) -> DataFrame:
+    ranked = rank_topk(part, k, score="score", tie="document_id", ascending=(metric != "ip"))
     return ranked.select("qid", "rank", "pid", "document_id", "score")
 
 
+def _query_matrix(queries: DataFrame, extra: str | None = None):
+    """The (measured, small) question matrix as one broadcast value."""
+    import numpy as np
+    cols = ["qid", "vec"] + ([extra] if extra else [])
+    rows = queries.select(*cols).collect()
+    qids = np.array([int(r["qid"]) for r in rows], dtype=np.int64)
+    dim = len(rows[0]["vec"]) if rows else 1
+    Q = np.array([list(r["vec"]) for r in rows], dtype=np.float64).reshape(len(rows), dim)
+    payload = (qids, Q, [r[extra] for r in rows] if extra else None)
+    return queries.sparkSession.sparkContext.broadcast(payload)
+
+
+def _streamed_scorer(bc, k: int, metric: str, grouped: bool, chunk: int):
+    import numpy as np
+
+    def run(batches):
+        qids, Q, probes = bc.value
+        by_cluster = None
+        if probes is not None:
+            by_cluster = {}
+            for i, c in enumerate(probes):
+                by_cluster.setdefault(int(c), []).append(i)
+        for pdf in batches:
+            if len(pdf) == 0 or len(qids) == 0:
+                continue
+            P = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
+            pid = pdf["pid"].to_numpy()
+            doc = pdf["document_id"].to_numpy()
+            if by_cluster is None:
+                groups = [(np.arange(len(pdf)), np.arange(len(qids)))]
+            else:
+                cl = pdf["cluster_id"].to_numpy()
+                groups = [(np.nonzero(cl == c)[0], np.array(by_cluster[int(c)]))
+                          for c in np.unique(cl) if int(c) in by_cluster]
+            for rows, qs in groups:
+                for j in range(0, len(qs), chunk):
+                    sel = qs[j:j + chunk]
+                    yield _score_block(P[rows], pid[rows], doc[rows], Q[sel], qids[sel],
+                                       k, metric, grouped)
+    return run
+
+
+def _fits(queries: DataFrame, vec: str = "vec") -> bool:
+    """Measured size of the question matrix (8 bytes per component)."""
+    from quarry.plans.sizing import broadcast_limit, measured_bytes
+    return measured_bytes(queries, [F.size(vec) * 8]) <= broadcast_limit(queries.sparkSession)
+
+
 def dense_topk(passages: DataFrame, queries: DataFrame, k: int = 10,
                group_col: str | None = None, rows_per_block: int = 50000,
-               queries_per_block: int = 4096) -> DataFrame:
+               queries_per_block: int = 4096, stream: bool | None = None) -> DataFrame:
     """R6 exact inner-product top-k; with ``group_col`` (R7) the top k
     distinct groups (documents), each by its best passage.
 
     ``passages``: ``pid, vec [, document_id]``; ``queries``: ``qid, vec``.
-    Passages are hashed into ``ceil(N / rows_per_block)`` blocks (by the
-    group column when grouping, so a document's passages meet in one block),
-    questions into ``ceil(Q / queries_per_block)`` blocks; every (passage
-    block, question block) pair is one task holding bounded inputs.
+
+    When the question matrix measures under the broadcast limit (the usual
+    case: thousands of questions against a huge corpus) it is broadcast and
+    the passages stream through ``mapInPandas`` without any shuffle; every
+    Arrow batch emits at most k rows per question (per-batch top k, or
+    per-batch top k documents by their best passage, both exact after the
+    final top-k). Otherwise passages and questions are hashed into bounded
+    blocks (``ceil(N / rows_per_block)``, ``ceil(Q / queries_per_block)``;
+    by the group column when grouping) and every (passage block, question
+    block) pair is one co-grouped task.
     """
+    doc = F.col(group_col) if group_col else F.col("pid")
+    if stream is None:
+        stream = _fits(queries)
+    if stream:
+        bc = _query_matrix(queries)
+        p = passages.select("pid", doc.cast("long").alias("document_id"), "vec")
+        part = p.mapInPandas(_streamed_scorer(bc, k, "ip", bool(group_col), queries_per_block),
+                             _BLOCK_SCHEMA)
+        if group_col:
+            # a document's passages may sit in several batches: keep its best
+            one = Window.partitionBy("qid", "document_id").orderBy(F.col("score").desc(), "pid")
+            part = part.withColumn("_b", F.row_number().over(one)).filter(F.col("_b") == 1).drop("_b")
+        return _final_topk(part, k, "ip")
     n_p = passages.count()
     n_q = queries.count()
     pb = max(1, math.ceil(n_p / rows_per_block))
     qb = max(1, math.ceil(n_q / queries_per_block))
     hash_col = group_col or "pid"
-    doc = F.col(group_col) if group_col else F.col("pid")
     p = passages.select("pid", doc.cast("long").alias("document_id"), "vec",
                         F.pmod(F.xxhash64(hash_col), F.lit(pb)).alias("pb"),
                         F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("qb"))
@@ -320,27 +396,39 @@ def ivf_probes(queries: DataFrame, centroids: DataFrame, nprobe: int = 1,
 
 
 def ivf_topk(passages: DataFrame, queries: DataFrame, centroids: DataFrame,
-             k: int = 10, nprobe: int = 1, rows_per_block: int = 50000) -> DataFrame:
+             k: int = 10, nprobe: int = 1, rows_per_block: int = 50000,
+             queries_per_block: int = 4096, stream: bool | None = None) -> DataFrame:
     """Approximate top-k by squared L2 over the probed clusters only.
 
-    ``passages`` must carry ``cluster_id`` (from :func:`ivf_assign`). A
-    cluster larger than ``rows_per_block`` is split into sub-blocks (a hot
-    cluster holding a third of the corpus becomes many tasks); each query is
-    replicated to the sub-blocks of the clusters it probes.
+    ``passages`` must carry ``cluster_id`` (from :func:`ivf_assign`, or a
+    table written partitioned by it). Passages of clusters nobody probes are
+    dropped first (a semi-join on at most num_clusters ids; on a partitioned
+    table a dynamic partition filter). Then, as in :func:`dense_topk`, a
+    small question set is broadcast with its probe lists and the passages
+    stream through ``mapInPandas``; a large one is co-grouped by (cluster,
+    sub-block), where a cluster larger than ``rows_per_block`` is split into
+    sub-blocks (a hot cluster becomes many tasks) and each question is
+    replicated only to the sub-blocks of the clusters it probes.
     """
-    sizes = (passages.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
-                     .select("cluster_id", F.greatest(F.lit(1), F.ceil(
-                         F.col("n") / F.lit(rows_per_block))).cast("int").alias("nsub")))
-    # one row per cluster: bounded by num_clusters
-    sizes = F.broadcast(sizes)
     probes = ivf_probes(queries, centroids, nprobe)
-    # clusters nobody probes are dropped before the shuffle (at most
-    # num_clusters ids); on a table partitioned by cluster_id this is a
-    # partition filter
     probed = F.broadcast(probes.select("cluster_id").distinct())
-    p = (passages.join(probed, "cluster_id", "left_semi").join(sizes, "cluster_id")
-                 .select("pid", F.col("pid").alias("document_id"), "vec", "cluster_id",
-                         F.pmod(F.xxhash64("pid"), F.col("nsub")).cast("int").alias("sb")))
+    live = passages.join(probed, "cluster_id", "left_semi")
+    if stream is None:
+        stream = _fits(queries)
+    if stream:
+        bc = _query_matrix(probes, extra="cluster_id")
+        p = live.select("pid", F.col("pid").alias("document_id"), "vec", "cluster_id")
+        part = p.mapInPandas(_streamed_scorer(bc, k, "l2", False, queries_per_block),
+                             _BLOCK_SCHEMA)
+        return _final_topk(part, k, "l2")
+    sizes = (live.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
+                 .select("cluster_id", F.greatest(F.lit(1), F.ceil(
+                     F.col("n") / F.lit(rows_per_block))).cast("int").alias("nsub")))
+    # one row per cluster: bounded by num_clusters
+    sizes = F.broadcast(sizes)
+    p = (live.join(sizes, "cluster_id")
+             .select("pid", F.col("pid").alias("document_id"), "vec", "cluster_id",
+                     F.pmod(F.xxhash64("pid"), F.col("nsub")).cast("int").alias("sb")))
     q = (probes.join(sizes, "cluster_id")
          .select("qid", "vec", "cluster_id",
                  F.explode(F.sequence(F.lit(0), F.col("nsub") - 1)).alias("sb")))

@@ -99,21 +99,23 @@ def _vectors(spark, n=60, q=7, dim=8, seed=3):
     return P, Q, p, qq
 
 
-@pytest.mark.parametrize("rows_per_block,q_per_block", [(7, 2), (1000, 1000)])
-def test_dense_topk_brute_force(spark, rows_per_block, q_per_block):
+@pytest.mark.parametrize("rows_per_block,q_per_block,stream",
+                         [(7, 2, False), (1000, 1000, False), (1000, 3, True)])
+def test_dense_topk_brute_force(spark, rows_per_block, q_per_block, stream):
     P, Q, p, q = _vectors(spark)
     got = R.dense_topk(p, q, k=5, rows_per_block=rows_per_block,
-                       queries_per_block=q_per_block).collect()
+                       queries_per_block=q_per_block, stream=stream).collect()
     S = np.round(Q.astype(np.float64) @ P.astype(np.float64).T, 6)
     for i in range(len(Q)):
         exp = sorted(range(len(P)), key=lambda j: (-S[i, j], j))[:5]
         assert [r.pid for r in sorted(got, key=lambda r: r.rank) if r.qid == i] == exp
 
 
-def test_dense_distinct_documents(spark):
+@pytest.mark.parametrize("stream", [False, True])
+def test_dense_distinct_documents(spark, stream):
     P, Q, p, q = _vectors(spark)
-    got = R.dense_topk(p, q, k=4, group_col="document_id", rows_per_block=9,
-                       queries_per_block=3).collect()
+    got = R.dense_topk(p.repartition(5), q, k=4, group_col="document_id", rows_per_block=9,
+                       queries_per_block=3, stream=stream).collect()
     S = np.round(Q.astype(np.float64) @ P.astype(np.float64).T, 6)
     for i in range(len(Q)):
         best = {}
@@ -125,11 +127,12 @@ def test_dense_distinct_documents(spark):
         assert [r.document_id for r in sorted(got, key=lambda r: r.rank) if r.qid == i] == exp
 
 
-def test_ivf_all_probes_equals_exact(spark):
+@pytest.mark.parametrize("stream", [False, True])
+def test_ivf_all_probes_equals_exact(spark, stream):
     P, Q, p, q = _vectors(spark)
     cents = R.centroids_by_label(p)
     assigned = R.ivf_assign(p, cents)
-    got = R.ivf_topk(assigned, q, cents, k=5, nprobe=4, rows_per_block=5).collect()
+    got = R.ivf_topk(assigned, q, cents, k=5, nprobe=4, rows_per_block=5, stream=stream).collect()
     D = ((Q[:, None, :].astype(np.float64) - P[None, :, :].astype(np.float64)) ** 2).sum(-1)
     D = np.round(D, 6)
     for i in range(len(Q)):
