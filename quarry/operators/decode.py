@@ -59,8 +59,12 @@ def candidates(features: DataFrame, n_best: int = 10, max_answer_length: int = 3
         return ok
 
     pairs = F.flatten(F.transform(top_positions(sl, n_best), lambda s: F.transform(
-        top_positions(el, n_best), lambda e: F.struct(s.alias("s"), e.alias("e")))))
-    kept = F.filter(pairs, lambda p: valid(p["s"], p["e"]))
+        top_positions(el, n_best), lambda e: F.struct(
+            (-(F.element_at(sl, s + 1) + F.element_at(el, e + 1))).alias("ns"),
+            s.alias("s"), e.alias("e")))))
+    # only a feature's n_best best spans can reach its example's n-best list:
+    # keep them in the row (same order: score desc, start, end) before exploding
+    kept = F.slice(F.array_sort(F.filter(pairs, lambda p: valid(p["s"], p["e"]))), 1, n_best)
     ci = F.col(context_index) if context_index in features.columns else F.lit(0)
     x = features.select(F.col(example).alias("example_id"), F.col(window).alias("window_index"),
                         ci.alias("context_index"), offs.alias("_o"), sl.alias("_sl"),
