@@ -45,7 +45,8 @@ def _wrap(ctx, a, b, start):
 def highlight_eval(context, pred_start, pred_text, answer_start, answer_text) -> Column:
     """Prediction in red, answer in blue.
 
-    Exact match -> the answer in blue. Answer inside the prediction -> the
+    Prediction not in the context (negative start) or exact match -> the
+    answer in blue. Answer inside the prediction -> the
     prediction only. Overlaps are trimmed as the reference does (answer end
     moved before the prediction, or answer start moved after it); then a
     prediction entirely before or after the answer gets both spans. A
@@ -65,18 +66,22 @@ def highlight_eval(context, pred_start, pred_text, answer_start, answer_text) ->
                          _sub(ctx, as_, ae), F.lit(SPAN_END), tail(ae))
     blue_first = F.concat(_wrap(ctx, as_, ae, BLUE_START), _sub(ctx, ae, ps), F.lit(RED_START),
                           _sub(ctx, ps, pe), F.lit(SPAN_END), tail(pe))
-    return (F.when(exact, F.concat(_wrap(ctx, a0, ae0, BLUE_START), tail(ae0)))
+    answer_only = F.concat(_wrap(ctx, a0, ae0, BLUE_START), tail(ae0))
+    return (F.when(ps < 0, answer_only)          # prediction not found in the context
+             .when(exact, answer_only)
              .when(contained, F.concat(_wrap(ctx, ps, pe, RED_START), tail(pe)))
              .when(pe <= as_, red_first)
              .when(ps >= ae, blue_first)
-             .otherwise(F.concat(_wrap(ctx, a0, ae0, BLUE_START), tail(ae0))))
+             .otherwise(answer_only))
 
 
 def highlight_pred(context, pred_start, pred_text) -> Column:
-    """The prediction in blue."""
+    """The prediction in blue (the context unchanged when the prediction
+    is not in it, i.e. its start is negative)."""
     ctx, ps = _c(context), _c(pred_start)
     pe = ps + F.length(_c(pred_text))
-    return F.concat(_wrap(ctx, ps, pe, BLUE_START), _sub(ctx, pe, F.length(ctx)))
+    return F.when(ps < 0, ctx).otherwise(
+        F.concat(_wrap(ctx, ps, pe, BLUE_START), _sub(ctx, pe, F.length(ctx))))
 
 
 def _fill(template: str, values: dict) -> Column:

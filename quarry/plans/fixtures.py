@@ -138,12 +138,12 @@ def predictions(spark, sf_dir) -> DataFrame:
 
 
 def vectors(spark, sf_dir):
-    """`vectors`: embeddings with vec_id < 20 as queries, the rest passages
-    with document_id = vec_id div 5. Returns (queries, passages)."""
+    """`vectors`: every embedding is a question (qid = vec_id) and every
+    embedding is a passage of document vec_id div 5, so the work grows with
+    the table on both sides. Returns (queries, passages)."""
     e = table(spark, sf_dir, "embeddings")
-    q = e.filter(F.col("vec_id") < 20).select(F.col("vec_id").alias("qid"),
-                                              F.col("embedding").alias("vec"))
-    p = e.filter(F.col("vec_id") >= 20).select(
+    q = e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vec"))
+    p = e.select(
         F.col("vec_id").alias("pid"), F.floor(F.col("vec_id") / 5).cast("long").alias("document_id"),
         F.col("embedding").alias("vec"), "label")
     return q, p
@@ -183,20 +183,24 @@ def reader_features(spark, sf_dir, W: int = 32, S: int = 8) -> DataFrame:
 
 
 def mlm_rows(spark, sf_dir, max_tokens: int = 128, vocab_size: int = 30000) -> DataFrame:
-    """`mlm`: tok(documents.text), first max_tokens - 2 tokens, ids hashed
-    into the vocabulary, [CLS]/[SEP] at first and last position,
-    ner_map = token length >= 6."""
-    from quarry.operators import features as C
-    d = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("row_id"), F.slice(oracle_tok(F.col("text")), 1, max_tokens - 2).alias("t"))
-    ids = F.concat(F.array(F.lit(C.CLS_ID)),
-                   F.transform("t", lambda x: T.hashed_token_id(x, vocab_size - C.N_SPECIAL, C.N_SPECIAL)),
-                   F.array(F.lit(C.SEP_ID)))
+    """`mlm`: tok(documents.text) cut into consecutive windows of
+    max_tokens - 2 tokens (the whole text, no overlap), ids hashed into the
+    vocabulary, [CLS]/[SEP] around each window, ner_map = token length >= 6.
+    row_id = doc_id * 1,000,000 + window (a document has far fewer windows)."""
+    from quarry.operators import chunk as C
+    from quarry.operators import features as FT
+    W = max_tokens - 2
+    d = table(spark, sf_dir, "documents").select("doc_id", oracle_tok(F.col("text")).alias("t"))
+    w = d.select("doc_id", F.posexplode(C.token_windows(F.col("t"), W, 0)).alias("w", "t"))
+    ids = F.concat(F.array(F.lit(FT.CLS_ID)),
+                   F.transform("t", lambda x: T.hashed_token_id(x, vocab_size - FT.N_SPECIAL, FT.N_SPECIAL)),
+                   F.array(F.lit(FT.SEP_ID)))
     n = F.size("t")
     special = F.concat(F.array(F.lit(1)), F.array_repeat(F.lit(0), n), F.array(F.lit(1)))
     ner = F.concat(F.array(F.lit(False)), F.transform("t", lambda x: F.length(x) >= 6),
                    F.array(F.lit(False)))
-    return d.select("row_id", ids.alias("input_ids"), special.alias("special_tokens_mask"),
+    return w.select((F.col("doc_id") * 1000000 + F.col("w")).alias("row_id"),
+                    ids.alias("input_ids"), special.alias("special_tokens_mask"),
                     ner.alias("ner_map"))
 
 

@@ -217,9 +217,9 @@ def _p14():
 
 
 def _vec_ctes():
-    return """q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 20),
+    return """q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS v FROM embeddings),
 p AS (SELECT vec_id AS pid, vec_id // 5 AS document_id, embedding::DOUBLE[] AS v, label
-      FROM embeddings WHERE vec_id >= 20)"""
+      FROM embeddings)"""
 
 
 @sql("r6_dense_topk")
@@ -454,11 +454,14 @@ FROM a3"""
 
 
 def _mlm_cte():
-    return f"""mlm AS (
+    return f"""mw AS (
+  SELECT doc_id, t0, unnest(range(0, CAST(1 + ceil(greatest(len(t0) - 126, 0) / 126.0) AS BIGINT))) AS w
+  FROM (SELECT doc_id, {O.tok('text')} AS t0 FROM documents)),
+mlm AS (
   SELECT row_id, list_concat([2], list_transform(t, lambda x: {_tid('x')}), [3]) AS input_ids,
          list_concat([1], list_transform(t, lambda x: 0), [1]) AS special_tokens_mask,
          list_concat([false], list_transform(t, lambda x: length(x) >= 6), [false]) AS ner_map
-  FROM (SELECT doc_id AS row_id, {O.tok('text')}[1:126] AS t FROM documents))"""
+  FROM (SELECT doc_id * 1000000 + w AS row_id, t0[w * 126 + 1 : w * 126 + 126] AS t FROM mw))"""
 
 
 def _batches(multiple=None):
@@ -625,6 +628,7 @@ def _highlight_eval():
     c = "context"
     tail = lambda x: _psub(c, x, f"length({c})")
     return f"""CASE
+  WHEN ps < 0 THEN {_wrap(c, 'a0', 'ae0', BLUE_START)} || {tail('ae0')}
   WHEN ps = a0 AND prediction_text = answer_text THEN {_wrap(c, 'a0', 'ae0', BLUE_START)} || {tail('ae0')}
   WHEN ps <= a0 AND ae0 <= pe THEN {_wrap(c, 'ps', 'pe', RED_START)} || {tail('pe')}
   WHEN pe <= as_ THEN {_wrap(c, 'ps', 'pe', RED_START)} || {_psub(c, 'pe', 'as_')} || {O.lit(BLUE_START)}
@@ -640,7 +644,7 @@ r0 AS (SELECT id, question, context, prediction_text, prediction_start AS ps,
               answers.text[1] AS answer_text, answers.answer_start[1] AS a0,
               prediction_start + length(prediction_text) AS pe,
               answers.answer_start[1] + length(answers.text[1]) AS ae0
-       FROM j WHERE prediction_start >= 0),
+       FROM j),
 r1 AS (SELECT *, CASE WHEN ps < ae0 AND ae0 < pe THEN ps - 1 ELSE ae0 END AS ae,
               CASE WHEN NOT (ps < ae0 AND ae0 < pe) AND ps < a0 AND a0 < pe THEN pe + 1 ELSE a0 END AS as_ FROM r0)"""
 
@@ -654,7 +658,8 @@ def _e10():
 def _e11():
     from quarry.operators.report import BLUE_START
     return f"""WITH {_eval_rows_ctes()}
-SELECT id, {_wrap('context', 'ps', 'pe', BLUE_START)} || {_psub('context', 'pe', 'length(context)')} AS html FROM r1"""
+SELECT id, CASE WHEN ps < 0 THEN context
+           ELSE {_wrap('context', 'ps', 'pe', BLUE_START)} || {_psub('context', 'pe', 'length(context)')} END AS html FROM r1"""
 
 
 def _template(t, values):
@@ -684,7 +689,8 @@ def _e12():
 @sql("e12_pred_paragraphs")
 def _e12p():
     from quarry.operators.report import BLUE_START, PRED_PARAGRAPH_TEMPLATE
-    para = f"({_wrap('context', 'ps', 'pe', BLUE_START)} || {_psub('context', 'pe', 'length(context)')})"
+    para = (f"(CASE WHEN ps < 0 THEN context ELSE {_wrap('context', 'ps', 'pe', BLUE_START)} || "
+            f"{_psub('context', 'pe', 'length(context)')} END)")
     frag = _template(PRED_PARAGRAPH_TEMPLATE, {"id": "CAST(id AS VARCHAR)", "question": "question",
                                                "paragraph": para})
     return f"WITH {_eval_rows_ctes()}\nSELECT id, {frag} AS fragment FROM r1"
