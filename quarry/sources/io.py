@@ -80,13 +80,17 @@ def input_fingerprint(spark: SparkSession, df: DataFrame, params: dict) -> str:
     """Fingerprint of build parameters and input files (path, size, mtime).
 
     File metadata comes from the binaryFile source with its content column
-    pruned; the driver receives one row per input file."""
-    files = sorted(df.inputFiles())
-    meta = []
+    pruned and is hashed in an order-independent aggregate on the
+    executors; the driver receives three numbers, not one row per file."""
+    files = df.inputFiles()
+    meta = None
     if files:
-        st = (spark.read.format("binaryFile").load(files)
-                   .select("path", "length", "modificationTime").collect())
-        meta = sorted((r["path"], r["length"], str(r["modificationTime"])) for r in st)
+        h = F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")
+        r = (spark.read.format("binaryFile").load(files)
+                  .select("path", "length", "modificationTime")
+                  .agg(F.count(F.lit(1)).alias("n"), F.sum(h).alias("h"),
+                       F.sum("length").alias("bytes")).first())
+        meta = [r["n"], str(r["h"]), r["bytes"]]
     blob = json.dumps({"params": params, "files": meta}, sort_keys=True, default=str)
     return hashlib.sha256(blob.encode()).hexdigest()[:20]
 
