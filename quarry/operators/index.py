@@ -42,10 +42,12 @@ def spread(df: DataFrame) -> DataFrame:
     """Round-robin a scan that has fewer input splits than the cluster has
     cores (a few large files or row groups) before per-row heavy work. Large
     inputs already have many splits and pass through unchanged."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # sessions without RDD access (e.g. Spark Connect)
+        return df
+    return df.repartition(cores) if splits < cores else df
 
 
 def prepare_corpus(corpus: DataFrame, no_other_languages: bool = False,

@@ -28,8 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from quarry.functions import text as T
-from quarry.operators.index import (Bm25Index, TfidfIndex, default_tokenizer,
-                                    tfidf_terms)
+from quarry.operators.index import Bm25Index, TfidfIndex, tfidf_terms
 from quarry.plans.sizing import maybe_broadcast
 
 SCORE_DIGITS = 6
@@ -332,7 +331,7 @@ def kmeans_centroids(vectors: DataFrame, num_clusters: int = 64, seed: int = 42,
                      vec: str = "vec", max_iter: int = 20) -> DataFrame:
     """I6 with learned centroids: Spark ML KMeans (L2), centroids as a table."""
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.functions import array_to_vector
     data = vectors.select(array_to_vector(F.col(vec).cast("array<double>")).alias("features"))
     model = KMeans(k=num_clusters, seed=seed, maxIter=max_iter).fit(data)
     # the fitted centres are num_clusters x dim parameters of the model

@@ -702,7 +702,6 @@ def _p8():
 
 
 def _titles_cte():
-    from quarry.functions.text import SEP_TOKEN
     return f"""tt AS (SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS title,
                     {O.p5("regexp_replace(html, '<[^>]*>', ' ', 'g')")} AS text FROM pages)"""
 

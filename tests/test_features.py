@@ -1,6 +1,5 @@
 """C3-C14 against Python models and metamorphic checks."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import features as C

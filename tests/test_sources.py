@@ -1,7 +1,6 @@
 """S1, S4, S6, S7 round trips."""
 
 import json
-import os
 
 from pyspark.sql import functions as F
 
