@@ -118,23 +118,50 @@ def load_or_build(spark: SparkSession, name: str, fingerprint: str,
     return {t: spark.read.parquet(os.path.join(base, t)) for t in tables}
 
 
+def _bucketed_table(spark: SparkSession, name: str, path: str, df: DataFrame | None,
+                    key: str, buckets: int) -> DataFrame:
+    """A table stored at ``path`` and bucketed by ``key``: written once with
+    ``bucketBy`` (when ``df`` is given) and re-registered over the same files
+    in a later session, so scans report hash partitioning by ``key`` and
+    aggregates or joins on it need no shuffle."""
+    if df is not None:
+        (df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+           .option("path", path).saveAsTable(name))
+    elif not spark.catalog.tableExists(name):
+        schema = spark.read.parquet(path).schema
+        cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+        spark.sql(f"CREATE TABLE {name} ({cols}) USING parquet "
+                  f"CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
 def bm25_persistent(spark: SparkSession, docs_source: DataFrame, prepared: DataFrame,
-                    params: dict | None = None, root: str | None = None):
-    """S4 for BM25: postings, term statistics, corpus statistics and the
-    document table, reused across runs while inputs and parameters match."""
+                    params: dict | None = None, root: str | None = None,
+                    buckets: int | None = None):
+    """S4 for BM25: postings (bucketed by the document key), term statistics,
+    corpus statistics and the document table, reused across runs while
+    inputs and parameters match. Scoring against the bucketed postings
+    groups per (question, document) without a shuffle."""
     from quarry.operators import index as I
     params = dict(params or {}, method="bm25")
     fp = input_fingerprint(spark, docs_source, params)
-
-    def build():
+    n_buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    base = os.path.join(root or os.path.join(shared_dir(spark), "indexes"), "bm25", fp)
+    name = f"quarry_bm25_postings_{fp}"
+    done = os.path.join(base, "stats")
+    if not _exists(spark, done):
         idx = I.build_bm25(prepared)
-        stats = spark.createDataFrame([(idx.n_docs, float(idx.avgdl))], "n_docs long, avgdl double")
-        return {"docs": prepared.select("dkey", "document_id", "title", "ptext"),
-                "postings": idx.postings, "terms": idx.terms, "stats": stats}
-    t = load_or_build(spark, "bm25", fp, build, ("docs", "postings", "terms", "stats"), root)
-    st = t["stats"].first()
-    idx = I.Bm25Index(t["postings"], t["terms"], int(st["n_docs"]), float(st["avgdl"]))
-    return idx, t["docs"]
+        prepared.select("dkey", "document_id", "title", "ptext").write.mode("overwrite").parquet(
+            os.path.join(base, "docs"))
+        _bucketed_table(spark, name, os.path.join(base, "postings"), idx.postings, "dkey", n_buckets)
+        idx.terms.write.mode("overwrite").parquet(os.path.join(base, "terms"))
+        spark.createDataFrame([(idx.n_docs, float(idx.avgdl))], "n_docs long, avgdl double") \
+            .write.mode("overwrite").parquet(done)
+    postings = _bucketed_table(spark, name, os.path.join(base, "postings"), None, "dkey", n_buckets)
+    st = spark.read.parquet(done).first()
+    idx = I.Bm25Index(postings, spark.read.parquet(os.path.join(base, "terms")),
+                      int(st["n_docs"]), float(st["avgdl"]))
+    return idx, spark.read.parquet(os.path.join(base, "docs"))
 
 
 # ---------------------------------------------------------------- S5, S6 JSON

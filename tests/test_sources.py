@@ -44,3 +44,23 @@ def test_load_or_build_reuses(spark, tmp_path):
 def test_metrics_table(spark):
     m = spark.createDataFrame([(0.5, 0.25)], "em double, f1 double")
     assert sorted(tuple(r) for r in io.metrics_table(m).collect()) == [("eval_em", 0.5), ("eval_f1", 0.25)]
+
+
+def test_bm25_persistent_reloads_bucketed(spark, tmp_path):
+    from quarry.operators import index as I
+    from quarry.operators import retrieve as R
+    corpus = spark.createDataFrame([(1, "a", "red fox jumps"), (2, "b", "lazy dog sleeps"),
+                                    (3, "c", "red dog runs")], "document_id long, title string, text string")
+    path = str(tmp_path / "c.parquet")
+    corpus.write.parquet(path)
+    src = spark.read.parquet(path)
+    q = spark.createDataFrame([(1, "red dog")], "qid long, question string")
+    idx, _ = io.bm25_persistent(spark, src, I.prepare_corpus(src), root=str(tmp_path / "ix"), buckets=4)
+    first = sorted(tuple(r) for r in R.bm25_topk(idx, q, k=3).collect())
+    # a new catalog (another session) only has the files: drop the external
+    # table entry and load again
+    name = [t.name for t in spark.catalog.listTables() if t.name.startswith("quarry_bm25_postings_")][0]
+    spark.sql(f"DROP TABLE {name}")
+    idx2, _ = io.bm25_persistent(spark, src, I.prepare_corpus(src), root=str(tmp_path / "ix"), buckets=4)
+    assert sorted(tuple(r) for r in R.bm25_topk(idx2, q, k=3).collect()) == first
+    assert [r[2] for r in sorted(first, key=lambda r: r[1])][:1] == [3]   # (qid, rank, document_id, score)
