@@ -238,20 +238,26 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
 
 
 def tfidf_persistent(spark: SparkSession, docs_source: DataFrame, prepared: DataFrame,
-                     params: dict | None = None, root: str | None = None):
-    """S4 for TF-IDF: normalised weights, vocabulary (with idf) and N."""
+                     params: dict | None = None, root: str | None = None,
+                     buckets: int | None = None):
+    """S4 for TF-IDF: normalised weights (bucketed by the document key, so
+    scoring from them needs no shuffle), the vocabulary with idf, and N."""
     from quarry.operators import index as I
     params = dict(params or {}, method="tfidf")
     fp = input_fingerprint(spark, docs_source, params)
     kw = {k: v for k, v in params.items() if k in ("ngram_max", "max_features")}
-
-    def build():
+    n_buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    base = os.path.join(root or os.path.join(shared_dir(spark), "indexes"), "tfidf", fp)
+    name = f"quarry_tfidf_weights_{fp}"
+    done = os.path.join(base, "stats")
+    if not _exists(spark, done):
         idx = I.build_tfidf(prepared, **kw)
-        stats = spark.createDataFrame([(idx.n_docs,)], "n_docs long")
-        return {"weights": idx.weights, "vocab": idx.vocab, "stats": stats}
-    t = load_or_build(spark, "tfidf", fp, build, ("weights", "vocab", "stats"), root)
-    return I.TfidfIndex(t["weights"], t["vocab"], int(t["stats"].first()["n_docs"]),
-                        kw.get("ngram_max", 2))
+        _bucketed_table(spark, name, os.path.join(base, "weights"), idx.weights, "dkey", n_buckets)
+        idx.vocab.write.mode("overwrite").parquet(os.path.join(base, "vocab"))
+        spark.createDataFrame([(idx.n_docs,)], "n_docs long").write.mode("overwrite").parquet(done)
+    weights = _bucketed_table(spark, name, os.path.join(base, "weights"), None, "dkey", n_buckets)
+    return I.TfidfIndex(weights, spark.read.parquet(os.path.join(base, "vocab")),
+                        int(spark.read.parquet(done).first()["n_docs"]), kw.get("ngram_max", 2))
 
 
 def ivf_persistent(spark: SparkSession, passages: DataFrame, centroids: DataFrame,
