@@ -92,12 +92,35 @@ def bm25_scores(index: Bm25Index, questions: DataFrame, qid: str = "qid",
             .agg(F.sum(contrib).alias("score")))
 
 
-def bm25_topk(index: Bm25Index, questions: DataFrame, k: int = 10, **kw) -> DataFrame:
-    """R5 (R4 = one question): ``(qid, rank, document_id, score)``."""
+def bm25_topk(index: Bm25Index, questions: DataFrame, k: int = 10,
+              pad_zero: bool = False, **kw) -> DataFrame:
+    """R5 (R4 = one question): ``(qid, rank, document_id, score)``.
+
+    ``pad_zero`` fills questions with fewer than k scored documents up to k
+    with score-0 documents in id order (the source always returns k rows)."""
     s = bm25_scores(index, questions, **kw)
+    if pad_zero:
+        s = with_zero_padding(s, index.postings, questions, k, kw.get("qid", "qid"))
     return rank_topk(s, k).select("qid", "rank", "document_id", "score")
 
 
+def with_zero_padding(scores: DataFrame, docs: DataFrame, questions: DataFrame, k: int,
+                      qid: str = "qid") -> DataFrame:
+    """Score-0 candidates so every question can reach k rows: the k smallest
+    document ids of the corpus (k scalars) are exploded per question and the
+    already-scored (question, document) pairs are removed. Only the first
+    ``k - matched`` of them can enter the top k (ties: document id)."""
+    first_ids = [r[0] for r in docs.select("document_id").distinct()
+                 .orderBy("document_id").limit(k).collect()]
+    if not first_ids:
+        return scores
+    fill = questions.select(F.col(qid).alias("qid"), F.explode(
+        F.array(*[F.lit(int(i)) for i in first_ids])).alias("document_id"))
+    fill = fill.join(scores.select("qid", "document_id"), ["qid", "document_id"], "left_anti")
+    return scores.select("qid", "document_id", "score").unionByName(
+        fill.withColumn("score", F.lit(0.0)))
+
+
 # --------------------------------------------------------------------------
 # TF-IDF (R1-R3)
 # --------------------------------------------------------------------------

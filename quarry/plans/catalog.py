@@ -779,3 +779,8 @@ def q_s4i(spark, sf) -> DataFrame:
                                     root=io.scratch_path(spark, "ix"))
     return R.ivf_topk(vecs, q, cents, k=10, nprobe=1, rows_per_block=64).select(
         "qid", "rank", "pid", "score")
+
+
+@register("e4_scores_json")
+def q_e4j(spark, sf) -> DataFrame:
+    return E.scores_json(QUERIES["e4_dataset_scores"](spark, sf))

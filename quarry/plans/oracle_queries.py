@@ -853,3 +853,10 @@ def _p12():
 
 SQL["s4_tfidf_persistent_topk"] = SQL["r3_tfidf_topk"]
 SQL["s4_ivf_persistent_topk"] = SQL["r8_ivf_topk"]
+
+
+@sql("e4_scores_json")
+def _e4j():
+    inner = SQL["e4_dataset_scores"]
+    return f"""SELECT '{{"EM": {{"value": "' || em_str || '", "rank": true, "decs": true}}, "F1": {{"value": "'
+       || f1_str || '", "rank": false, "decs": true}}}}' AS report FROM ({inner})"""

@@ -108,3 +108,13 @@ def test_inbatch_contrastive(spark):
     S = Q @ P.T
     nll = [math.log(np.exp(S[i]).sum()) - S[i, i] for i in range(5)]
     assert got == pytest.approx(sum(nll) / 5, abs=1e-6)
+
+
+def test_scores_json_matches_python_dumps(spark):
+    import json
+    truth = spark.createDataFrame([("a", ["x"]), ("b", ["y"])], "id string, answers array<string>")
+    preds = spark.createDataFrame([("a", "x"), ("b", "q")], "id string, prediction_text string")
+    got = E.scores_json(E.dataset_scores(truth, preds)).first().report
+    exp = json.dumps({"EM": {"value": f"{0.5:.2%}", "rank": True, "decs": True},
+                      "F1": {"value": f"{0.5:.2%}", "rank": False, "decs": True}})
+    assert got == exp

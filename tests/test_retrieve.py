@@ -138,3 +138,14 @@ def test_ivf_all_probes_equals_exact(spark, stream):
     for i in range(len(Q)):
         exp = sorted(range(len(P)), key=lambda j: (D[i, j], j))[:5]
         assert [r.pid for r in sorted(got, key=lambda r: r.rank) if r.qid == i] == exp
+
+
+def test_bm25_pad_zero(spark, corpus, questions):
+    docs = I.prepare_corpus(corpus)
+    top = R.bm25_topk(I.build_bm25(docs), questions, k=4, pad_zero=True).collect()
+    by_q = {}
+    for r in top:
+        by_q.setdefault(r.qid, []).append(r)
+    assert all(len(v) == 4 for v in by_q.values()) and set(by_q) == {10, 11, 12, 13}
+    zebra = sorted(by_q[12], key=lambda r: r.rank)
+    assert [r.document_id for r in zebra] == [1, 2, 3, 5] and all(r.score == 0 for r in zebra)
