@@ -726,8 +726,7 @@ def q_s4(spark, sf) -> DataFrame:
 def q_s5(spark, sf) -> DataFrame:
     from quarry.sources import io
     out = io.scratch_path(spark, "out")
-    best = _decoded(spark, sf).select("example_id", "prediction_text", "prediction_start")
-    paths = io.write_predictions(best, out, prefix="val")
+    paths = io.write_predictions(_decoded(spark, sf), out, prefix="val")
     return spark.read.schema("example_id long, prediction_text string, prediction_start int").json(
         paths["predictions"])
 

@@ -166,16 +166,23 @@ def bm25_persistent(spark: SparkSession, docs_source: DataFrame, prepared: DataF
 
 # ---------------------------------------------------------------- S5, S6 JSON
 
-def write_predictions(df: DataFrame, output_dir: str, prefix: str | None = None,
-                      kinds=("predictions",)) -> dict[str, str]:
-    """``predictions[_prefix]``, ``nbest_predictions[_prefix]``,
-    ``null_odds[_prefix]`` as JSON-lines directories."""
+def write_predictions(decoded: DataFrame, output_dir: str, prefix: str | None = None,
+                      version_2_with_negative: bool = False) -> dict[str, str]:
+    """The decoder's outputs as JSON-lines directories
+    ``predictions[_prefix].json`` (id, text, start),
+    ``nbest_predictions[_prefix].json`` (id, label, n-best list) and, in
+    negative mode, ``null_odds[_prefix].json`` (id, score difference)."""
+    def name(k):
+        return os.path.join(output_dir, (f"{k}_{prefix}" if prefix else k) + ".json")
+    tables = {"predictions": decoded.select("example_id", "prediction_text", "prediction_start"),
+              "nbest_predictions": decoded.select(
+                  "example_id", *(["label"] if "label" in decoded.columns else []), "nbest")}
+    if version_2_with_negative:
+        tables["null_odds"] = decoded.select("example_id", "score_diff")
     out = {}
-    for k in kinds:
-        name = f"{k}_{prefix}" if prefix else k
-        p = os.path.join(output_dir, name + ".json")
-        df.write.mode("overwrite").json(p)
-        out[k] = p
+    for k, df in tables.items():
+        df.write.mode("overwrite").json(name(k))
+        out[k] = name(k)
     return out
 
 

@@ -64,3 +64,21 @@ def test_bm25_persistent_reloads_bucketed(spark, tmp_path):
     idx2, _ = io.bm25_persistent(spark, src, I.prepare_corpus(src), root=str(tmp_path / "ix"), buckets=4)
     assert sorted(tuple(r) for r in R.bm25_topk(idx2, q, k=3).collect()) == first
     assert [r[2] for r in sorted(first, key=lambda r: r[1])][:1] == [3]   # (qid, rank, document_id, score)
+
+
+def test_write_predictions_three_outputs(spark, tmp_path):
+    from quarry.operators import decode as N
+    ex = spark.createDataFrame([(1, "alpha beta")], "id long, context string")
+    ft = spark.createDataFrame([(1, 0, 0, [None, {"s": 0, "e": 5}, {"s": 6, "e": 10}], [0.0, 2.0, 1.0],
+                                 [0.0, 1.0, 3.0])],
+                               "example_id long, window_index int, context_index int, "
+                               "offsets array<struct<s:int,e:int>>, start_logits array<double>, "
+                               "end_logits array<double>")
+    dec = N.nbest(ft, ex, n_best=3, version_2_with_negative=True)
+    paths = io.write_predictions(dec, str(tmp_path), prefix="x", version_2_with_negative=True)
+    assert set(paths) == {"predictions", "nbest_predictions", "null_odds"}
+    assert paths["predictions"].endswith("predictions_x.json")
+    p = spark.read.json(paths["predictions"]).first()
+    assert p.prediction_text == "alpha beta"
+    assert spark.read.json(paths["null_odds"]).first().score_diff is not None
+    assert len(spark.read.json(paths["nbest_predictions"]).first().nbest) >= 2
