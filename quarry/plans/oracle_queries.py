@@ -417,7 +417,7 @@ SELECT example_id, window_index, input_ids, token_type_ids,
 def _c6():
     return f"""WITH {O.qa_cte()}, {_windows_ctes()}, {_labels_ctes('wins', 'offset_mapping')}
 SELECT example_id, window_index, start_positions, end_positions,
-       CASE WHEN start_positions > 0 THEN 1.0 ELSE 0.0 END AS answerable FROM labs"""
+       CAST(CASE WHEN start_positions > 0 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS answerable FROM labs"""
 
 
 @sql("c7_title_segments")
