@@ -1,16 +1,17 @@
 """Index building: BM25 and TF-IDF postings, corpus statistics.
 
 Corpus preparation (P6, P8, J1) produces rows hash-partitioned by the content
-key ``dkey``. Postings are exploded from those rows and aggregated per
-``(dkey, document_id, term)``; because the grouping keys contain ``dkey``, the
-existing partitioning satisfies the aggregate and no postings shuffle happens.
+key ``dkey``. Postings are each document's distinct terms with counts,
+computed inside the row and exploded, so they keep that partitioning: the
+per-(question, document) score sum downstream needs no shuffle of postings.
 Term statistics (document frequency, collection frequency) are one shuffle of
 the postings by ``term`` with map-side partial aggregation, so a term present
 in every document is pre-counted per task before it moves.
 
-Scalar statistics (N, average length, mean idf) are scalar subqueries: Spark
-computes each once per query and inlines the value; nothing is collected by
-the caller.
+Building an index is an action: the vocabulary-sized term statistics are
+checkpointed to the shared folder in one job, and the corpus scalars (N,
+average length, mean idf) are read from that small table; the driver receives
+numbers only.
 """
 
 from __future__ import annotations
