@@ -40,7 +40,9 @@ def passages(df: DataFrame, tokens_col: str, W: int = 150, S: int = 50,
              keep: tuple[str, ...] = ("document_id", "title")) -> DataFrame:
     """One row per window: ``keep..., window_index, text`` (tokens joined)."""
     wins = token_windows(F.col(tokens_col), W, S)
-    return df.select(*keep, F.posexplode(wins).alias("window_index", "_w")).select(
+    # always >= 1 window; _outer avoids an inferred size() filter that would
+    # inline the tokens expression into the window lambda
+    return df.select(*keep, F.posexplode_outer(wins).alias("window_index", "_w")).select(
         *keep, "window_index", F.array_join("_w", " ").alias("text"))
 
 
@@ -88,7 +90,7 @@ def numbered_passages(df: DataFrame, tokens_col: str, W: int = 150, S: int = 50,
     n = window_count(F.size(tokens_col), W, S)
     base = with_dense_offset(df, order_col, n, n_ranges, bounds_from=bounds_from)
     wins = token_windows(F.col(tokens_col), W, S)
-    return base.select(*keep, "offset", F.posexplode(wins).alias("window_index", "_w")).select(
+    return base.select(*keep, "offset", F.posexplode_outer(wins).alias("window_index", "_w")).select(
         (F.col("offset") + F.col("window_index")).alias("passage_id"), *keep,
         "window_index", F.array_join("_w", " ").alias("text"))
 

@@ -68,7 +68,8 @@ def candidates(features: DataFrame, n_best: int = 10, max_answer_length: int = 3
     ci = F.col(context_index) if context_index in features.columns else F.lit(0)
     x = features.select(F.col(example).alias("example_id"), F.col(window).alias("window_index"),
                         ci.alias("context_index"), offs.alias("_o"), sl.alias("_sl"),
-                        el.alias("_el"), F.explode(kept).alias("_p"))
+                        el.alias("_el"), F.explode_outer(kept).alias("_p")).filter(
+        F.col("_p").isNotNull())
     s, e = F.col("_p.s"), F.col("_p.e")
     return x.select(
         "example_id", "window_index", "context_index", s.alias("s"), e.alias("e"),
@@ -180,6 +181,7 @@ def nbest(features: DataFrame, examples: DataFrame, n_best: int = 10,
 
 def nbest_long(decoded: DataFrame) -> DataFrame:
     """N12 in long form: one row per (example, rank)."""
-    return decoded.select("example_id", F.explode("nbest").alias("n")).select(
+    return decoded.select("example_id", F.explode_outer("nbest").alias("n")).filter(
+        F.col("n").isNotNull()).select(
         "example_id", "n.rank", "n.text", "n.start_logit", "n.end_logit",
         "n.probability", "n.prediction_start", "n.context_index")

@@ -62,7 +62,7 @@ def reader_windows(df: DataFrame, max_seq_length: int = 384, doc_stride: int = 1
     W = F.lit(max_seq_length) - F.size("_qt") - 3
     x = x.filter(W > doc_stride).withColumn("_W", W)
     n = window_count(F.size("_co"), F.col("_W"), F.lit(doc_stride))
-    x = x.withColumn("window_index", F.explode(F.sequence(F.lit(0), n - 1)))
+    x = x.withColumn("window_index", F.explode_outer(F.sequence(F.lit(0), n - 1)))
     win = F.slice("_co", F.col("window_index") * (F.col("_W") - doc_stride) + 1, F.col("_W"))
     x = x.withColumn("_win", win)
     nq = F.size("_qt")

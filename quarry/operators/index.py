@@ -124,7 +124,9 @@ def _postings_with_marker(docs: DataFrame, toks_expr: Column, grams: int = 1) ->
     # term counts inside each row (sort + run lengths): no hash aggregate
     tc = with_term_counts(toks, "toks").drop("toks")
     marker = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(1).alias("tf")))
-    return tc.select("dkey", "document_id", "dl", F.explode(F.concat("tc", marker)).alias("p")).select(
+    # never empty (marker row); _outer avoids an inferred size() filter that
+    # would inline the term-count expressions
+    return tc.select("dkey", "document_id", "dl", F.explode_outer(F.concat("tc", marker)).alias("p")).select(
         "dkey", "document_id", "dl", F.col("p.term").alias("term"),
         F.col("p.tf").cast("long").alias("tf"))
 

@@ -61,7 +61,8 @@ def joined_length(df: DataFrame, text: str = "text") -> DataFrame:
 def special_chars(df: DataFrame, text: str = "text") -> DataFrame:
     """E16 + J11: distinct characters that are not word characters,
     whitespace or Hangul, with their corpus frequency."""
-    x = df.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(T.SPECIAL_CHAR), 0)).alias("ch"))
+    x = df.select(F.explode_outer(F.regexp_extract_all(F.col(text), F.lit(T.SPECIAL_CHAR), 0))
+                  .alias("ch")).filter(F.col("ch").isNotNull())
     return x.groupBy("ch").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -70,7 +71,8 @@ def special_chars_in_answers(chars: DataFrame, answers: DataFrame,
     """Each corpus special character and whether any answer contains
     it. Answers are exploded into characters and semi-joined on equality
     (no substring theta join)."""
-    a = answers.select(F.explode(F.split(F.col(answer), "")).alias("ch")).distinct()
+    a = (answers.select(F.explode_outer(F.split(F.col(answer), "")).alias("ch"))
+                .filter(F.col("ch").isNotNull() & (F.col("ch") != "")).distinct())
     present = chars.select("ch").join(a, "ch", "left_semi").withColumn("in_answer", F.lit(True))
     absent = chars.select("ch").join(a, "ch", "left_anti").withColumn("in_answer", F.lit(False))
     return present.unionByName(absent)

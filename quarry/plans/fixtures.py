@@ -67,9 +67,12 @@ def gold(spark, sf_dir, anchor: int = 4) -> DataFrame:
     dtok = docs.select("document_id", T.whitespace_tokens("text").alias("t"))
     cands = None
     for L in sorted(lens):
-        win = dtok.select("document_id", F.explode(F.transform(
+        # explode_outer: a plain explode makes Catalyst add size(..) > 0 below
+        # the projection and re-run the tokenizer inside the lambda
+        win = dtok.select("document_id", F.explode_outer(F.transform(
             F.sequence(F.lit(1), F.greatest(F.size("t") - L + 1, F.lit(1))),
-            lambda i: F.array_join(F.slice("t", i, L), " "))).alias("akey"))
+            lambda i: F.array_join(F.slice("t", i, L), " "))).alias("akey")).filter(
+            F.col("akey") != "")
         m = win.join(side.filter(F.col("alen") == L), "akey").select(
             "qid", "document_id", "question")
         cands = m if cands is None else cands.unionByName(m)
@@ -166,7 +169,7 @@ def reader_features(spark, sf_dir, W: int = 32, S: int = 8) -> DataFrame:
     from quarry.operators.chunk import window_count
     q = qa(spark, sf_dir)
     x = q.select("id", T.token_offsets(F.col("context")).alias("o"))
-    x = x.select("id", "o", F.explode(F.sequence(
+    x = x.select("id", "o", F.explode_outer(F.sequence(
         F.lit(0), window_count(F.size("o"), W, S) - 1)).alias("w"))
     win = F.slice("o", F.col("w") * (W - S) + 1, W)
     null_off = F.lit(None).cast("struct<s:int,e:int>")
@@ -191,7 +194,9 @@ def mlm_rows(spark, sf_dir, max_tokens: int = 128, vocab_size: int = 30000) -> D
     from quarry.operators import features as FT
     W = max_tokens - 2
     d = table(spark, sf_dir, "documents").select("doc_id", oracle_tok(F.col("text")).alias("t"))
-    w = d.select("doc_id", F.posexplode(C.token_windows(F.col("t"), W, 0)).alias("w", "t"))
+    # always >= 1 window; the _outer form avoids an inferred size() filter that
+    # would re-run the tokenizer inside the window lambda
+    w = d.select("doc_id", F.posexplode_outer(C.token_windows(F.col("t"), W, 0)).alias("w", "t"))
     ids = F.concat(F.array(F.lit(FT.CLS_ID)),
                    F.transform("t", lambda x: T.hashed_token_id(x, vocab_size - FT.N_SPECIAL, FT.N_SPECIAL)),
                    F.array(F.lit(FT.SEP_ID)))

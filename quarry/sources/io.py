@@ -38,7 +38,7 @@ def read_corpus_object(spark: SparkSession, path: str) -> DataFrame:
     from then on."""
     raw = spark.read.text(path, wholetext=True)
     m = F.from_json("value", MapType(StringType(), CORPUS_SCHEMA))
-    return raw.select(F.explode(m).alias("row_key", "r")).select(
+    return raw.select(F.explode_outer(m).alias("row_key", "r")).filter(F.col("r").isNotNull()).select(
         "row_key", "r.document_id", "r.title", "r.text")
 
 
@@ -189,8 +189,8 @@ def write_predictions(decoded: DataFrame, output_dir: str, prefix: str | None =
 def read_prediction_object(spark: SparkSession, path: str) -> DataFrame:
     """A prediction file holding one JSON object ``{id: text}``."""
     raw = spark.read.text(path, wholetext=True)
-    return raw.select(F.explode(F.from_json("value", MapType(StringType(), StringType())))
-                      .alias("id", "prediction_text"))
+    return raw.select(F.explode_outer(F.from_json("value", MapType(StringType(), StringType())))
+                      .alias("id", "prediction_text")).filter(F.col("id").isNotNull())
 
 
 def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
