@@ -63,8 +63,10 @@ def prepare_corpus(corpus: DataFrame, no_other_languages: bool = False,
     ``retrieve.attach_documents``).
     """
     base = spread(corpus.select("document_id", "title", "text"))
+    # a NULL text counts as empty (otherwise every such document would share
+    # one NULL key)
     pt = T.title_prefixed(F.col("title"), T.preprocess(
-        F.col("text"), no_other_languages, quote_normalize))
+        F.coalesce(F.col("text"), F.lit("")), no_other_languages, quote_normalize))
     keyed = base.select("document_id", "title", "text", pt.alias("ptext"))
     keyed = keyed.withColumn("dkey", content_key(F.col("ptext")))
     fields = ["document_id", "title", "ptext"] + (["text"] if keep_text else [])

@@ -118,3 +118,13 @@ def test_scores_json_matches_python_dumps(spark):
     exp = json.dumps({"EM": {"value": f"{0.5:.2%}", "rank": True, "decs": True},
                       "F1": {"value": f"{0.5:.2%}", "rank": False, "decs": True}})
     assert got == exp
+
+
+def test_length_histogram_matches_numpy(spark):
+    import numpy as np
+    from quarry.operators import profile as P
+    lens = [0, 1, 166, 167, 2500, 4999, 5000, 5001, 12000, 333]
+    df = spark.createDataFrame([("x" * n,) for n in lens], "text string")
+    got = {r.bin: r.n for r in P.length_histogram(df).collect()}
+    counts, _ = np.histogram(lens, bins=30, range=(0, 5000))
+    assert [got.get(b, 0) for b in range(30)] == counts.tolist()

@@ -70,3 +70,34 @@ def test_batch_padding(spark):
         longest = max(len(rows[i][1]) for i in ids)
         target = -(-longest // 4) * 4
         assert all(len(out[i].input_ids) == target for i in ids)
+
+
+def py_answer_centred(ntok, ts, te, L):
+    if ntok <= L:
+        return 0
+    mid = (ts + te) // 2
+    return min(max(mid - (L // 2 + L % 2), 0), ntok - L)
+
+
+def test_answer_centred_window(spark):
+    words = [f"w{i}" for i in range(30)]
+    ctx = " ".join(words)
+    starts = [len(" ".join(words[:i])) + (1 if i else 0) for i in range(30)]
+    cases = [(0, 1), (5, 2), (14, 1), (28, 2), (29, 1)]
+    rows = [(i, ctx, {"text": [" ".join(words[a:a + n])], "answer_start": [starts[a]]})
+            for i, (a, n) in enumerate(cases)]
+    df = spark.createDataFrame(rows, "id int, context string, "
+                               "answers struct<text:array<string>,answer_start:array<int>>")
+    got = {r.id: r for r in C.answer_centred(df, max_passage_length=12).collect()}
+    for i, (a, n) in enumerate(cases):
+        exp = py_answer_centred(30, a, a + n - 1, 10)
+        assert got[i].window_start == exp
+        assert len(got[i].p_input_ids) == 12 and got[i].p_input_ids[0] == C.CLS_ID
+        assert sum(got[i].p_attention_mask) == 12
+
+
+def test_left_padding(spark):
+    df = spark.createDataFrame([(1, [7, 8]), (2, [9, 9, 9])], "row_id long, input_ids array<int>")
+    out = {r.row_id: list(r.input_ids) for r in C.batch_pad(df, "row_id", batch_size=2,
+                                                             padding_side="left", n_ranges=2).collect()}
+    assert out == {1: [0, 7, 8], 2: [9, 9, 9]}

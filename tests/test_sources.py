@@ -82,3 +82,17 @@ def test_write_predictions_three_outputs(spark, tmp_path):
     assert p.prediction_text == "alpha beta"
     assert spark.read.json(paths["null_odds"]).first().score_diff is not None
     assert len(spark.read.json(paths["nbest_predictions"]).first().nbest) >= 2
+
+
+def test_split_scan_prunes_partitions(spark, tmp_path):
+    import contextlib
+    import io as _io
+    df = spark.createDataFrame([(1, "train"), (2, "validation"), (3, "validation")], "id long, split string")
+    path = str(tmp_path / "qa")
+    io.write_qa(df, path)
+    v = io.read_qa_split(spark, path, "validation")
+    buf = _io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        v.explain()
+    assert "PartitionFilters: [isnotnull(split" in buf.getvalue()
+    assert sorted(r.id for r in v.collect()) == [2, 3]
