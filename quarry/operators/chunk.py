@@ -65,9 +65,7 @@ def with_dense_offset(df: DataFrame, order_col: str, count: Column,
     # order key; range index = number of boundaries <= key
     src = (bounds_from if bounds_from is not None else df).select(order_col)
     bounds = sorted(set(src.approxQuantile(order_col, fracs, 1.0 / (4 * n_ranges)))) if fracs else []
-    arr = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<double>")
-    ranged = (df.withColumn("_cnt", count)
-                .withColumn("_rg", F.size(F.filter(arr, lambda b: b <= F.col(order_col)))))
+    ranged = _range_index(df.withColumn("_cnt", count), order_col, bounds)
     totals = ranged.groupBy("_rg").agg(F.sum("_cnt").alias("_rt"))
     # at most n_ranges rows: the ordered window over them is one small task
     before = Window.orderBy("_rg").rowsBetween(Window.unboundedPreceding, -1)
@@ -79,6 +77,18 @@ def with_dense_offset(df: DataFrame, order_col: str, count: Column,
     return out.drop("_rg", "_cnt", "_ro")
 
 
+def _range_index(df: DataFrame, col: str, bounds: list[float]) -> DataFrame:
+    """``_rg`` = number of boundaries <= value (binary search in the JVM via
+    Spark ML's Bucketizer; buckets are [b_i, b_i+1))."""
+    from pyspark.ml.feature import Bucketizer
+    if not bounds:
+        return df.withColumn("_rg", F.lit(0))
+    splits = [float("-inf")] + [float(b) for b in bounds] + [float("inf")]
+    x = df.withColumn("_rv", F.col(col).cast("double"))
+    out = Bucketizer(splits=splits, inputCol="_rv", outputCol="_rgd").transform(x)
+    return out.withColumn("_rg", F.col("_rgd").cast("int")).drop("_rv", "_rgd")
+
+
 def numbered_passages(df: DataFrame, tokens_col: str, W: int = 150, S: int = 50,
                       order_col: str = "document_id",
                       keep: tuple[str, ...] = ("document_id", "title"),
