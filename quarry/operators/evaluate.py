@@ -143,6 +143,27 @@ def topk_accuracy(ranked: DataFrame, gold: DataFrame, questions: DataFrame,
              .withColumn("accuracy", F.round(F.col("hits") / F.col("n_questions"), 6)))
 
 
+def topk_accuracy_by_context(ranked: DataFrame, corpus: DataFrame, questions: DataFrame,
+                             ks=(10, 20, 50, 100), qid: str = "qid",
+                             original_context: str = "context") -> DataFrame:
+    """E6 as the source scores it: a question is answered at rank r when the
+    r-th retrieved document's text equals the question's original context,
+    both cleaned with P6. Equality is a hash join on the cleaned texts (the
+    texts themselves are compared for the matched pairs, so a hash collision
+    cannot count)."""
+    def key(c):
+        return F.sha2(T.preprocess(c), 256)
+    q = questions.select(F.col(qid).alias("qid"),
+                         T.preprocess(F.col(original_context)).alias("_oc"))
+    q = q.withColumn("_k", F.sha2("_oc", 256))
+    r = (ranked.select("qid", "rank", "document_id")
+               .join(corpus.select("document_id", "text"), "document_id")
+               .withColumn("_rc", T.preprocess(F.col("text"))).withColumn("_k", F.sha2("_rc", 256)))
+    hits = (r.join(q, ["qid", "_k"]).filter(F.col("_rc") == F.col("_oc"))
+             .select("qid", "document_id"))
+    return topk_accuracy(ranked, hits, questions.select(F.col(qid).alias("qid")), ks)
+
+
 def strict_match(pred_text, pred_start, answer_text, answer_start) -> Column:
     """Same start and same text."""
     return (_c(pred_start) == _c(answer_start)) & (_c(pred_text) == _c(answer_text))

@@ -128,3 +128,14 @@ def test_length_histogram_matches_numpy(spark):
     got = {r.bin: r.n for r in P.length_histogram(df).collect()}
     counts, _ = np.histogram(lens, bins=30, range=(0, 5000))
     assert [got.get(b, 0) for b in range(30)] == counts.tolist()
+
+
+def test_topk_accuracy_by_context(spark):
+    corpus = spark.createDataFrame([(1, "The  cat’s mat"), (2, "a dog"), (3, "x")],
+                                   "document_id long, text string")
+    ranked = spark.createDataFrame([(7, 1, 2), (7, 2, 1), (8, 1, 3), (9, 1, 2)],
+                                   "qid long, rank int, document_id long")
+    qs = spark.createDataFrame([(7, "The cat's mat "), (8, "nothing"), (9, "a  dog")],
+                               "qid long, context string")
+    acc = {r.k: (r.hits, r.n_questions) for r in E.topk_accuracy_by_context(ranked, corpus, qs, ks=(1, 2)).collect()}
+    assert acc == {1: (1, 3), 2: (2, 3)}
