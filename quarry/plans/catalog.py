@@ -783,3 +783,18 @@ def q_s4i(spark, sf) -> DataFrame:
 @register("e4_scores_json")
 def q_e4j(spark, sf) -> DataFrame:
     return E.scores_json(QUERIES["e4_dataset_scores"](spark, sf))
+
+
+@register("e6_topk_accuracy_by_context")
+def q_e6c(spark, sf) -> DataFrame:
+    """E6 as the source scores it: original context = the text of the
+    question's smallest containing document (none -> never answered)."""
+    raw = fx.corpus(spark, sf)
+    idx = I.build_bm25(I.prepare_corpus(raw))
+    qs = fx.questions(spark, sf)
+    ranked = R.bm25_topk(idx, qs, k=100)
+    orig = (fx.gold(spark, sf).groupBy("qid").agg(F.min("document_id").alias("document_id"))
+            .join(raw.select("document_id", "text"), "document_id")
+            .select("qid", F.col("text").alias("context")))
+    with_ctx = qs.join(orig, "qid", "left")
+    return E.topk_accuracy_by_context(ranked, raw, with_ctx, ks=(10, 20, 50, 100))

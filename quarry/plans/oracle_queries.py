@@ -860,3 +860,20 @@ def _e4j():
     inner = SQL["e4_dataset_scores"]
     return f"""SELECT '{{"EM": {{"value": "' || em_str || '", "rank": true, "decs": true}}, "F1": {{"value": "'
        || f1_str || '", "rank": false, "decs": true}}}}' AS report FROM ({inner})"""
+
+
+@sql("e6_topk_accuracy_by_context")
+def _e6c():
+    return f"""WITH {O.bm25_ctes()}, {O.gold_cte()},
+ranked AS ({O.topk_select('bm25', 100)}),
+orig AS (SELECT g.qid, d.text AS ctx FROM (SELECT qid, min(document_id) AS document_id FROM gold GROUP BY qid) g
+         JOIN documents d ON d.doc_id = g.document_id),
+hits AS (SELECT r.qid, r.document_id FROM ranked r JOIN documents d ON d.doc_id = r.document_id
+         JOIN orig o ON o.qid = r.qid WHERE {O.p6('d.text')} = {O.p6('o.ctx')}),
+first AS (SELECT qid, min(rank) AS first_rank FROM ranked SEMI JOIN hits USING (qid, document_id) GROUP BY qid),
+perq AS (SELECT qs.qid, first_rank FROM qs LEFT JOIN first USING (qid)),
+ks AS (SELECT unnest([10, 20, 50, 100]) AS k)
+SELECT CAST(k AS INTEGER) AS k, CAST(sum(CASE WHEN first_rank <= k THEN 1 ELSE 0 END) AS BIGINT) AS hits,
+       count(*) AS n_questions,
+       round(sum(CASE WHEN first_rank <= k THEN 1 ELSE 0 END) / count(*), 6) AS accuracy
+FROM perq, ks GROUP BY k"""
