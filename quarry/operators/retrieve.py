@@ -9,10 +9,12 @@ question, so each task sends at most k rows per question. When the query side
 is too large to broadcast, both sides are shuffled by term and AQE splits
 skewed (frequent-term) partitions.
 
-Dense scoring never materialises question x passage rows: passages and
-questions are cut into bounded blocks, the blocks are co-grouped, and NumPy
-computes the block's score matrix and keeps the top k per question (R6, R7,
-R8). The final top-k over blocks is again a window limit.
+Dense scoring never materialises question x passage rows. A question matrix
+that measures small is broadcast and the passages stream through
+``mapInPandas`` (no shuffle); otherwise passages and questions are cut into
+bounded blocks that are co-grouped. Either way NumPy computes a block's score
+matrix and keeps the top k per question (R6, R7, R8), and the final top-k is
+again a window limit.
 
 Tie rule everywhere: score rounded to 6 places, descending, then document id
 ascending.
@@ -107,7 +109,8 @@ def bm25_topk(index: Bm25Index, questions: DataFrame, k: int = 10,
 def with_zero_padding(scores: DataFrame, docs: DataFrame, questions: DataFrame, k: int,
                       qid: str = "qid") -> DataFrame:
     """Score-0 candidates so every question can reach k rows: the k smallest
-    document ids of the corpus (k scalars) are exploded per question and the
+    document ids of ``docs`` (k scalars; pass the prepared corpus to include
+    documents without any term) are exploded per question and the
     already-scored (question, document) pairs are removed. Only the first
     ``k - matched`` of them can enter the top k (ties: document id)."""
     first_ids = [r[0] for r in docs.select("document_id").distinct()
@@ -192,13 +195,27 @@ def _score_block(P, pid, doc, Q, qids, k: int, metric: str, grouped: bool):
         S = np.maximum((Q * Q).sum(1)[:, None] + (P * P).sum(1)[None, :] - 2.0 * (Q @ P.T), 0.0)
     S = np.round(S, SCORE_DIGITS)
     sign = -1.0 if metric == "ip" else 1.0
+    n = S.shape[1]
     out_q, out_p, out_d, out_s = [], [], [], []
     for i, qid in enumerate(qids):
         row = S[i]
-        order = np.lexsort((pid, doc, sign * row))
-        if grouped:
-            _, first = np.unique(doc[order], return_index=True)
-            order = order[np.sort(first)]
+        key = sign * row                      # smaller is better
+        m = k
+        while True:
+            # candidates: everything at least as good as the m-th best key
+            # (ties kept), then the exact order on those only
+            if m < n:
+                kth = np.partition(key, m - 1)[m - 1]
+                cand = np.nonzero(key <= kth)[0]
+            else:
+                cand = np.arange(n)
+            order = cand[np.lexsort((pid[cand], doc[cand], key[cand]))]
+            if grouped:
+                _, first = np.unique(doc[order], return_index=True)
+                order = order[np.sort(first)]
+            if len(order) >= k or len(cand) == n:
+                break
+            m *= 4                            # too few distinct documents: widen
         order = order[:k]
         out_q.append(np.full(len(order), qid))
         out_p.append(pid[order])
