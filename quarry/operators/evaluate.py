@@ -134,7 +134,12 @@ def topk_accuracy(ranked: DataFrame, gold: DataFrame, questions: DataFrame,
     """
     first = (ranked.join(gold, ["qid", "document_id"], "left_semi")
                    .groupBy("qid").agg(F.min("rank").alias("first_rank")))
-    per_q = questions.select(F.col(qid).alias("qid")).join(first, "qid", "left")
+    return _accuracy_at(first, questions.select(F.col(qid).alias("qid")), ks)
+
+
+def _accuracy_at(first: DataFrame, questions: DataFrame, ks) -> DataFrame:
+    """Share of questions whose first hit (``qid, first_rank``) is <= k."""
+    per_q = questions.select("qid").join(first, "qid", "left")
     kk = F.explode(F.array(*[F.lit(int(k)) for k in sorted(ks)])).alias("k")
     x = per_q.select("first_rank", kk)
     return (x.groupBy("k").agg(
@@ -151,17 +156,20 @@ def topk_accuracy_by_context(ranked: DataFrame, corpus: DataFrame, questions: Da
     both cleaned with P6. Equality is a hash join on the cleaned texts (the
     texts themselves are compared for the matched pairs, so a hash collision
     cannot count)."""
-    def key(c):
-        return F.sha2(T.preprocess(c), 256)
     q = questions.select(F.col(qid).alias("qid"),
                          T.preprocess(F.col(original_context)).alias("_oc"))
     q = q.withColumn("_k", F.sha2("_oc", 256))
-    r = (ranked.select("qid", "rank", "document_id")
-               .join(corpus.select("document_id", "text"), "document_id")
+    # ranked has at most questions x max(ks) rows: broadcast it on that bound
+    from quarry.plans.sizing import broadcast_limit
+    bound = questions.count() * max(ks) * 64
+    side = ranked.select("qid", "rank", "document_id")
+    if bound <= broadcast_limit(ranked.sparkSession):
+        side = F.broadcast(side)
+    r = (corpus.select("document_id", "text").join(side, "document_id")
                .withColumn("_rc", T.preprocess(F.col("text"))).withColumn("_k", F.sha2("_rc", 256)))
-    hits = (r.join(q, ["qid", "_k"]).filter(F.col("_rc") == F.col("_oc"))
-             .select("qid", "document_id"))
-    return topk_accuracy(ranked, hits, questions.select(F.col(qid).alias("qid")), ks)
+    first = (r.join(q, ["qid", "_k"]).filter(F.col("_rc") == F.col("_oc"))
+              .groupBy("qid").agg(F.min("rank").alias("first_rank")))
+    return _accuracy_at(first, questions.select(F.col(qid).alias("qid")), ks)
 
 
 def strict_match(pred_text, pred_start, answer_text, answer_start) -> Column:

@@ -478,25 +478,36 @@ def ivf_topk(passages: DataFrame, queries: DataFrame, centroids: DataFrame,
 # Result tables
 # --------------------------------------------------------------------------
 
-def attach_documents(topk: DataFrame, docs: DataFrame) -> DataFrame:
+TOPK_ROW_BYTES = 64   # qid, rank, document_id, score + row overhead
+
+
+def attach_documents(topk: DataFrame, docs: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Add title and raw text of each retrieved document.
 
     ``docs`` is the raw corpus ``(document_id, title, text)`` (document ids
-    are unique there). The top-k side (questions x k rows) is measured and
-    broadcast when small, so the corpus is streamed once without a shuffle.
+    are unique there). ``max_rows`` is the proven bound of the top-k side
+    (questions x k); when it fits the broadcast limit the top-k rows are
+    broadcast and the corpus streams once without a shuffle. Without a bound
+    the join is left to Spark (AQE broadcasts at run time when small); the
+    top-k frame is never computed twice just to be measured.
     """
-    side, _ = maybe_broadcast(topk)
+    from quarry.plans.sizing import broadcast_limit
+    small = (max_rows is not None
+             and max_rows * TOPK_ROW_BYTES <= broadcast_limit(topk.sparkSession))
+    side = F.broadcast(topk) if small else topk
     return docs.select("document_id", "title", F.col("text").alias("context")).join(
         side, "document_id")
 
 
 def retrieved_table(topk: DataFrame, docs: DataFrame, questions: DataFrame,
-                    qid: str = "qid", question: str = "question") -> DataFrame:
+                    qid: str = "qid", question: str = "question",
+                    k: int | None = None) -> DataFrame:
     """One row per question with ``title[], context[], document_id[]`` in
     rank order (and the question). Ground-truth columns of the question table
     (``context``, ``answers``, ``document_id``) are carried as
     ``original_*`` when present."""
-    long = attach_documents(topk, docs)
+    bound = questions.count() * k if k else None     # top-k rows <= questions x k
+    long = attach_documents(topk, docs, bound)
     nested = (long.groupBy("qid")
                   .agg(F.array_sort(F.collect_list(F.struct(
                       "rank", "title", "context", "document_id"))).alias("_r"))
@@ -547,5 +558,5 @@ def retrieve_one(spark, question: str, docs: DataFrame, raw_corpus: DataFrame,
     document_id, title, context) through the same bulk operator."""
     q = spark.createDataFrame([(0, question)], "qid long, question string")
     top = retrieve(q, docs, method, k)
-    return attach_documents(top, raw_corpus).select("rank", "score", "document_id",
-                                                    "title", "context")
+    return attach_documents(top, raw_corpus, max_rows=k).select(
+        "rank", "score", "document_id", "title", "context")

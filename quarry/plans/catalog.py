@@ -632,14 +632,14 @@ def _bm25_top(spark, sf, k):
 @register("j7_document_lookup")
 def q_j7(spark, sf) -> DataFrame:
     docs, top = _bm25_top(spark, sf, 3)
-    j = R.attach_documents(top, docs)
+    j = R.attach_documents(top, docs, max_rows=fx.questions(spark, sf).count() * 3)
     return j.select("qid", "rank", "document_id", "title", F.length("context").alias("n_chars"))
 
 
 @register("r9_retrieved_table")
 def q_r9(spark, sf) -> DataFrame:
     docs, top = _bm25_top(spark, sf, 3)
-    t = R.retrieved_table(top, docs, fx.questions(spark, sf))
+    t = R.retrieved_table(top, docs, fx.questions(spark, sf), k=3)
     return t.select("qid", "question", "title", "document_id",
                     F.transform("context", lambda c: F.length(c)).alias("context_chars"))
 
@@ -648,7 +648,7 @@ def q_r9(spark, sf) -> DataFrame:
 def q_c4(spark, sf) -> DataFrame:
     from quarry.operators import features as C
     docs, top = _bm25_top(spark, sf, 3)
-    t = R.retrieved_table(top, docs, fx.questions(spark, sf))
+    t = R.retrieved_table(top, docs, fx.questions(spark, sf), k=3)
     # Reader input in predict mode (id, question, title[], context[])
     reader_in = t.select(F.col("qid").alias("id"), "question", "title", "context")
     f = C.multi_context(reader_in)
