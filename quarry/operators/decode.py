@@ -29,7 +29,7 @@ SCORE_DIGITS = 6
 def top_positions(logits: Column, n: int) -> Column:
     """Indexes (0-based) of the n largest values, largest first; equal
     values by index ascending."""
-    ranked = F.array_sort(F.transform(logits, lambda v, i: F.struct(
+    ranked = F.sort_array(F.transform(logits, lambda v, i: F.struct(
         (-v).alias("nv"), i.alias("i"))))
     return F.transform(F.slice(ranked, 1, n), lambda x: x["i"])
 
@@ -64,7 +64,7 @@ def candidates(features: DataFrame, n_best: int = 10, max_answer_length: int = 3
             s.alias("s"), e.alias("e")))))
     # only a feature's n_best best spans can reach its example's n-best list:
     # keep them in the row (same order: score desc, start, end) before exploding
-    kept = F.slice(F.array_sort(F.filter(pairs, lambda p: valid(p["s"], p["e"]))), 1, n_best)
+    kept = F.slice(F.sort_array(F.filter(pairs, lambda p: valid(p["s"], p["e"]))), 1, n_best)
     ci = F.col(context_index) if context_index in features.columns else F.lit(0)
     x = features.select(F.col(example).alias("example_id"), F.col(window).alias("window_index"),
                         ci.alias("context_index"), offs.alias("_o"), sl.alias("_sl"),
@@ -138,7 +138,7 @@ def nbest(features: DataFrame, examples: DataFrame, n_best: int = 10,
                     F.col("end_logit").alias("end_logit"), text.alias("text"),
                     F.col("char_s").alias("prediction_start"),
                     F.col("context_index").alias("context_index"))
-    grouped = j.groupBy("example_id").agg(F.array_sort(F.collect_list(item)).alias("_a"))
+    grouped = j.groupBy("example_id").agg(F.sort_array(F.collect_list(item)).alias("_a"))
     out = ex.join(grouped, "example_id", "left")
 
     empty_item = F.struct(F.lit(0).alias("r"), F.lit(0).alias("kind"), F.lit(0.0).alias("score"),

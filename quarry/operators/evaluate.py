@@ -209,7 +209,7 @@ def inbatch_contrastive(pairs: DataFrame, batch: str = "batch_id", qid: str = "q
     the batch. The similarity matrix lives inside the row; no pair rows are
     produced.
     """
-    rows = pairs.groupBy(batch).agg(F.array_sort(F.collect_list(F.struct(
+    rows = pairs.groupBy(batch).agg(F.sort_array(F.collect_list(F.struct(
         F.col(qid).alias("id"), F.col(qvec).cast("array<double>").alias("q"),
         F.col(pvec).cast("array<double>").alias("p")))).alias("b"))
 

@@ -87,8 +87,10 @@ def with_term_counts(df: DataFrame, toks: str, out: str = "tc") -> DataFrame:
 
     The sorted array and the run ends are materialised as columns first: an
     expression used inside a lambda would be re-evaluated per element.
+    ``sort_array`` sorts natively (``array_sort`` without a comparator is
+    planned with an interpreted comparator lambda).
     """
-    x = df.withColumn("_st", F.array_sort(F.col(toks)))
+    x = df.withColumn("_st", F.sort_array(F.col(toks)))
     st, n = F.col("_st"), F.size("_st")
     x = x.withColumn("_ends", F.when(n > 0, F.filter(
         F.sequence(F.lit(1), F.greatest(n, F.lit(1))),

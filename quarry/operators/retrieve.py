@@ -363,7 +363,7 @@ def centroids_by_label(vectors: DataFrame, label: str = "label",
                         F.posexplode(vec).alias("i", "x"))
     return (ex.groupBy("cluster_id", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
               .groupBy("cluster_id")
-              .agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("_c"))
+              .agg(F.sort_array(F.collect_list(F.struct("i", "m"))).alias("_c"))
               .select("cluster_id", F.transform("_c", lambda s: s["m"]).alias("centroid")))
 
 
@@ -509,7 +509,7 @@ def retrieved_table(topk: DataFrame, docs: DataFrame, questions: DataFrame,
     bound = questions.count() * k if k else None     # top-k rows <= questions x k
     long = attach_documents(topk, docs, bound)
     nested = (long.groupBy("qid")
-                  .agg(F.array_sort(F.collect_list(F.struct(
+                  .agg(F.sort_array(F.collect_list(F.struct(
                       "rank", "title", "context", "document_id"))).alias("_r"))
                   .select("qid",
                           F.col("_r.title").alias("title"),
