@@ -9,7 +9,7 @@ the postings by ``term`` with map-side partial aggregation, so a term present
 in every document is pre-counted per task before it moves.
 
 Building an index is an action: the vocabulary-sized term statistics are
-checkpointed to the shared folder in one job, and the corpus scalars (N,
+written to the shared folder in one job, and the corpus scalars (N,
 average length, mean idf) are read from that small table; the driver receives
 numbers only.
 """
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text as T
 from quarry.operators.dedup import content_key
 from quarry.plans.sizing import maybe_broadcast
-from quarry.session import shared_dir
+from quarry.session import materialize, shared_dir
 
 Tokenizer = Callable[[Column], Column]
 
@@ -144,18 +144,18 @@ def build_bm25(docs: DataFrame, tokenizer: Tokenizer = default_tokenizer,
     Empty documents count in N and in the average length.
 
     Building is an action: the per-term statistics (one row per distinct
-    term, plus the document-count row) are computed in one job and
-    checkpointed to the shared folder; N, the average length and the idf
-    floor are then read from that small table. The postings stay lazy and
+    term, plus the document-count row) are computed in one job and written
+    to the shared folder; N, the average length and the idf floor are then
+    read from that small table. The postings stay lazy and
     keep the ``dkey`` partitioning of ``docs``, so scoring needs no shuffle of
     postings.
     """
     shared_dir(docs.sparkSession)           # checkpoint folder (shared storage)
     grouped = _postings_with_marker(docs, tokenizer(F.col("ptext")))
     postings = grouped.filter(F.col("term").isNotNull())
-    per_term = (grouped.groupBy("term")
-                       .agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("len"))
-                       .checkpoint(eager=True))
+    per_term = materialize(grouped.groupBy("term")
+                                  .agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("len")),
+                           "bm25-terms")
     corpus = per_term.filter(F.col("term").isNull()).first()
     n_docs = int(corpus["df"]) if corpus else 0
     avgdl = (corpus["len"] / corpus["df"]) if corpus and corpus["df"] else 0.0
@@ -195,8 +195,9 @@ def build_tfidf(docs: DataFrame, tokenizer: Tokenizer = default_tokenizer,
     L2-normalised per document.
 
     Building is an action: the vocabulary (at most ``max_features`` rows)
-    and the document count are computed in one job and checkpointed; the
-    vocabulary is then measured before it is broadcast against the postings.
+    and the document count are computed in one job and written to the
+    shared folder; the vocabulary is then measured before it is broadcast
+    against the postings.
     """
     shared_dir(docs.sparkSession)
     grouped = _postings_with_marker(docs, tokenizer(F.lower(F.col("ptext"))), ngram_max)
@@ -207,7 +208,7 @@ def build_tfidf(docs: DataFrame, tokenizer: Tokenizer = default_tokenizer,
     per_term = grouped.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"),
                                            F.max(F.col("term").isNull()).alias("_doc"))
     top = per_term.filter(~F.col("_doc")).orderBy(F.desc("cf"), F.asc("term")).limit(max_features)
-    small = top.unionByName(per_term.filter(F.col("_doc"))).checkpoint(eager=True)
+    small = materialize(top.unionByName(per_term.filter(F.col("_doc"))), "tfidf-vocab")
     corpus = small.filter(F.col("_doc")).first()
     n_docs = int(corpus["df"]) if corpus else 0
     vocab = small.filter(~F.col("_doc")).select(

@@ -52,3 +52,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 def table_path(spark: SparkSession, *parts: str) -> str:
     return os.path.join(shared_dir(spark), *parts)
+
+
+def materialize(df, label: str):
+    """Write ``df`` once as parquet under the shared folder and return the
+    re-read table: the lineage is cut and the data survives executor loss
+    (one job, unlike an eager checkpoint, which recomputes the last stage to
+    write it)."""
+    import uuid
+    spark = df.sparkSession
+    path = table_path(spark, "stages", f"{label}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
