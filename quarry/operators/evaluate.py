@@ -101,13 +101,17 @@ def dataset_scores(truth: DataFrame, preds: DataFrame, id_col: str = "id",
                       "n_total", "n_unanswered")
 
 
-def scores_json(scores: DataFrame) -> DataFrame:
+def report_json(em_str, f1_str) -> Column:
     """E4 report string, as the scorer prints it (Python ``json.dumps``
     spacing): EM ranks and F1 does not; both are descending-better."""
-    return scores.select(F.concat(
-        F.lit('{"EM": {"value": "'), F.col("em_str"), F.lit('", "rank": true, "decs": true}, '),
-        F.lit('"F1": {"value": "'), F.col("f1_str"), F.lit('", "rank": false, "decs": true}}')
-    ).alias("report"))
+    return F.concat(
+        F.lit('{"EM": {"value": "'), _c(em_str), F.lit('", "rank": true, "decs": true}, '),
+        F.lit('"F1": {"value": "'), _c(f1_str), F.lit('", "rank": false, "decs": true}}'))
+
+
+def scores_json(scores: DataFrame) -> DataFrame:
+    """E4 report string of a ``dataset_scores`` row."""
+    return scores.select(report_json("em_str", "f1_str").alias("report"))
 
 
 def unanswered(truth: DataFrame, preds: DataFrame, id_col: str = "id") -> DataFrame:

@@ -69,3 +69,15 @@ def retrieval_accuracy(questions: DataFrame, corpus: DataFrame, ks=(10, 20, 50,
     docs = I.prepare_corpus(corpus)
     ranked = R.retrieve(questions.select("qid", "question"), docs, method=method, k=max(ks))
     return E.topk_accuracy_by_context(ranked, corpus, questions, ks)
+
+
+def evaluate_files(spark, gt_path: str, pred_path: str) -> DataFrame:
+    """E4 from files, as the scorer is called: a ground-truth JSON array of
+    ``{id, answers: {text: [...]}}`` and a prediction JSON object
+    ``{id: text}`` -> one row with the scores and the JSON report string.
+    Unanswered ids score 0 and are counted."""
+    from quarry.sources import io
+    truth = io.read_ground_truth(spark, gt_path)
+    preds = io.read_prediction_object(spark, pred_path)
+    scores = E.dataset_scores(truth, preds)
+    return scores.select("*", E.report_json("em_str", "f1_str").alias("report"))

@@ -37,3 +37,16 @@ def test_retrieval_accuracy_flow(spark):
     acc = flows.retrieval_accuracy(qs.join(orig, "qid", "left"), fx.corpus(spark, SF001), ks=(1, 5))
     got = {r.k: r.hits for r in acc.collect()}
     assert got[1] == got[5] == gold.select("qid").distinct().count() == 3
+
+
+def test_evaluate_files(spark, tmp_path):
+    import json
+    gt = tmp_path / "gt.json"
+    gt.write_text(json.dumps([{"id": "a", "answers": {"text": ["Seoul"]}},
+                              {"id": "b", "answers": {"text": ["x", "yy"]}},
+                              {"id": "c", "answers": {"text": ["z"]}}]))
+    pr = tmp_path / "pred.json"
+    pr.write_text(json.dumps({"a": "seoul", "b": "y"}))
+    r = flows.evaluate_files(spark, str(gt), str(pr)).first()
+    assert r.n_unanswered == 1 and r.em_str == f"{1 / 3:.2%}"
+    assert json.loads(r.report)["EM"]["value"] == r.em_str
