@@ -798,3 +798,13 @@ def q_e6c(spark, sf) -> DataFrame:
             .select("qid", F.col("text").alias("context")))
     with_ctx = qs.join(orig, "qid", "left")
     return E.topk_accuracy_by_context(ranked, raw, with_ctx, ks=(10, 20, 50, 100))
+
+
+@register("i6_kmeans_ivf_assign")
+def q_i6k(spark, sf) -> DataFrame:
+    """I6 with learned centroids (Spark ML KMeans, 10 clusters, fixed seed).
+    Iterative, so no SQL oracle: the driver checks rows only; the recall of
+    full probing against exact search is a unit test."""
+    q, p = fx.vectors(spark, sf)
+    cents = R.kmeans_centroids(p, num_clusters=10, seed=42)
+    return R.ivf_assign(p, cents).select("pid", "cluster_id")

@@ -55,3 +55,32 @@ def test_text_sink(spark, tmp_path):
     io.write_text(df, "r", path)
     text = "".join(r.value for r in spark.read.text(path, wholetext=True).collect())
     assert sorted(text.split("\n")) == sorted(["a", "b", "c", ""])[-3:] or "a\nb" in text
+
+
+def test_dispatch_dense_methods_full_probe_recall(spark):
+    import numpy as np
+    rng = np.random.default_rng(11)
+    P = rng.normal(size=(80, 6))
+    P /= np.linalg.norm(P, axis=1, keepdims=True)
+    Q = rng.normal(size=(6, 6))
+    Q /= np.linalg.norm(Q, axis=1, keepdims=True)
+    p = spark.createDataFrame([(i, i // 4, P[i].tolist()) for i in range(80)],
+                              "pid long, document_id long, vec array<double>")
+    q = spark.createDataFrame([(i, Q[i].tolist()) for i in range(6)], "qid long, vec array<double>")
+    dpr = R.retrieve(None, method="dpr", k=5, passages=p, query_vectors=q).collect()
+    S = Q @ P.T
+    for i in range(6):
+        best = {}
+        for j in range(80):
+            d = j // 4
+            best[d] = max(best.get(d, -9), round(S[i, j], 6))
+        exp = sorted(best, key=lambda d: (-best[d], d))[:5]
+        assert [r.document_id for r in sorted(dpr, key=lambda r: r.rank) if r.qid == i] == exp
+    # faiss with learned centroids; probing every cluster equals exact L2 search
+    cents = R.kmeans_centroids(p, num_clusters=4, seed=3)
+    ivf = R.retrieve(None, method="faiss", k=5, passages=p, query_vectors=q,
+                     centroids=cents, nprobe=4).collect()
+    D = np.round(((Q[:, None, :] - P[None, :, :]) ** 2).sum(-1), 6)
+    for i in range(6):
+        exp = sorted(range(80), key=lambda j: (D[i, j], j))[:5]
+        assert [r.pid for r in sorted(ivf, key=lambda r: r.rank) if r.qid == i] == exp
