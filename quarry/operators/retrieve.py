@@ -305,10 +305,12 @@ def _streamed_scorer(bc, k: int, metric: str, grouped: bool, chunk: int):
     return run
 
 
-def _fits(queries: DataFrame, vec: str = "vec") -> bool:
-    """Measured size of the question matrix (8 bytes per component)."""
+def _fits(queries: DataFrame, vec: str = "vec", copies: int = 1) -> bool:
+    """Measured size of the question matrix (8 bytes per component), times
+    the number of copies that will be broadcast (probes per question)."""
     from quarry.plans.sizing import broadcast_limit, measured_bytes
-    return measured_bytes(queries, [F.size(vec) * 8]) <= broadcast_limit(queries.sparkSession)
+    return (measured_bytes(queries, [F.size(vec) * 8]) * copies
+            <= broadcast_limit(queries.sparkSession))
 
 
 def dense_topk(passages: DataFrame, queries: DataFrame, k: int = 10,
@@ -453,7 +455,7 @@ def ivf_topk(passages: DataFrame, queries: DataFrame, centroids: DataFrame,
     probed = F.broadcast(probes.select("cluster_id").distinct())
     live = passages.join(probed, "cluster_id", "left_semi")
     if stream is None:
-        stream = _fits(queries)
+        stream = _fits(queries, copies=nprobe)
     if stream:
         bc = _query_matrix(probes, extra="cluster_id")
         p = live.select("pid", F.col("pid").alias("document_id"), "vec", "cluster_id")
