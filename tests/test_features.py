@@ -101,3 +101,45 @@ def test_left_padding(spark):
     out = {r.row_id: list(r.input_ids) for r in C.batch_pad(df, "row_id", batch_size=2,
                                                              padding_side="left", n_ranges=2).collect()}
     assert out == {1: [0, 7, 8], 2: [9, 9, 9]}
+
+
+def py_labels(offsets, sc, ec, has_answer):
+    """Loop model of C6 over the context positions only."""
+    ctx = [i for i, o in enumerate(offsets) if o is not None]
+    if not has_answer or (sc == 0 and ec == 0) or not ctx:
+        return (0, 0)
+    if not (offsets[ctx[0]][0] <= sc and offsets[ctx[-1]][1] >= ec):
+        return (0, 0)
+    k = 0
+    while k < len(ctx) and offsets[ctx[k]][0] <= sc:
+        k += 1
+    start = ctx[k - 1]
+    k = len(ctx) - 1
+    while k >= 0 and offsets[ctx[k]][1] >= ec:
+        k -= 1
+    end = ctx[k + 1]
+    return (start, end)
+
+
+def test_span_labels_random(spark):
+    import random
+    rng = random.Random(7)
+    rows, model = [], {}
+    for i in range(300):
+        n_q = rng.randint(1, 4)
+        pos, offs = 0, [None] * (n_q + 2)
+        for _ in range(rng.randint(0, 8)):
+            pos += rng.randint(0, 2)
+            w = rng.randint(1, 5)
+            offs.append((pos, pos + w))
+            pos += w
+        offs.append(None)
+        sc = rng.randint(0, pos + 2)
+        ec = sc + rng.randint(0, 6)
+        has = rng.random() > 0.1
+        rows.append((i, [None if o is None else {"s": o[0], "e": o[1]} for o in offs], sc, ec, has))
+        model[i] = py_labels(offs, sc, ec, has)
+    df = spark.createDataFrame(rows, "i int, o array<struct<s:int,e:int>>, sc int, ec int, h boolean")
+    s, e = C.span_labels(F.col("o"), F.col("sc"), F.col("ec"), F.col("h"))
+    got = {r.i: (r.s, r.e) for r in df.select("i", s.alias("s"), e.alias("e")).collect()}
+    assert got == model
