@@ -139,3 +139,19 @@ def test_topk_accuracy_by_context(spark):
                                "qid long, context string")
     acc = {r.k: (r.hits, r.n_questions) for r in E.topk_accuracy_by_context(ranked, corpus, qs, ks=(1, 2)).collect()}
     assert acc == {1: (1, 3), 2: (2, 3)}
+
+
+def test_f1_random_pairs(spark):
+    import random
+    rng = random.Random(3)
+    alphabet = list("abcde ÉéüßA.,!'\"()《》-_ ") + ["the", "an", "a "]
+    pairs = [("".join(rng.choice(alphabet) for _ in range(rng.randint(0, 12))),
+              "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 12)))) for _ in range(300)]
+    df = spark.createDataFrame([(i, p, g) for i, (p, g) in enumerate(pairs)], "i int, p string, g string")
+    rows = df.select("i", E.char_f1("p", "g").alias("c"), E.squad_f1("p", "g").alias("s"),
+                     E.exact_match("p", "g").alias("em")).collect()
+    for r in rows:
+        p, g = pairs[r.i]
+        assert r.c == pytest.approx(py_char_f1(p, g)), (p, g)
+        assert r.s == pytest.approx(py_squad_f1(p, g)), (p, g)
+        assert r.em == (py_norm_answer(p) == py_norm_answer(g))
