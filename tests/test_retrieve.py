@@ -149,3 +149,51 @@ def test_bm25_pad_zero(spark, corpus, questions):
     assert all(len(v) == 4 for v in by_q.values()) and set(by_q) == {10, 11, 12, 13}
     zebra = sorted(by_q[12], key=lambda r: r.rank)
     assert [r.document_id for r in zebra] == [1, 2, 3, 5] and all(r.score == 0 for r in zebra)
+
+
+def py_tfidf_scores(ptext, queries, max_features):
+    import math
+    from collections import Counter
+    def grams(t):
+        toks = t.lower().split()
+        return toks + [f"{a} {b}" for a, b in zip(toks, toks[1:])]
+    docs = {d: Counter(grams(t)) for d, t in ptext.items()}
+    cf = Counter()
+    df = Counter()
+    for c in docs.values():
+        cf.update(c)
+        df.update(c.keys())
+    vocab = sorted(cf, key=lambda t: (-cf[t], t))[:max_features]
+    n = len(docs)
+    idf = {t: math.log((1 + n) / (1 + df[t])) + 1 for t in vocab}
+    def vec(c):
+        w = {t: c[t] * idf[t] for t in c if t in idf}
+        z = math.sqrt(sum(v * v for v in w.values()))
+        return {t: v / z for t, v in w.items()} if z else {}
+    dv = {d: vec(c) for d, c in docs.items()}
+    out = {}
+    for qid, q in queries:
+        qv = vec(Counter(grams(q)))
+        s = {d: round(sum(qv[t] * v.get(t, 0.0) for t in qv), 6) for d, v in dv.items()}
+        out[qid] = {d: x for d, x in s.items() if any(t in v for t in qv for v in [dv[d]])}
+    return out
+
+
+def test_tfidf_random_corpus_matches_model(spark):
+    import random
+    rng = random.Random(5)
+    words = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta"]
+    rows = [(i, f"t{i % 3}", " ".join(rng.choice(words) for _ in range(rng.randint(0, 12))))
+            for i in range(30)]
+    corpus = spark.createDataFrame(rows, "document_id long, title string, text string")
+    qs = [(1, "alpha beta"), (2, "zeta zeta eta"), (3, "t1 gamma")]
+    docs = I.prepare_corpus(corpus)
+    ptext = {r.document_id: r.ptext for r in docs.collect()}
+    idx = I.build_tfidf(docs, max_features=15)
+    got = R.tfidf_topk(idx, spark.createDataFrame(qs, "qid long, question string"), k=5).collect()
+    model = py_tfidf_scores(ptext, qs, 15)
+    for qid, _ in qs:
+        exp = sorted(model[qid].items(), key=lambda x: (-x[1], x[0]))[:5]
+        g = [(r.document_id, r.score) for r in sorted(got, key=lambda r: r.rank) if r.qid == qid]
+        assert [d for d, _ in g] == [d for d, _ in exp]
+        assert all(abs(a[1] - b[1]) < 1e-6 for a, b in zip(g, exp))
