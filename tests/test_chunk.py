@@ -49,3 +49,18 @@ def test_dense_passage_ids(spark, n_ranges):
     p = C.numbered_passages(df, "toks", 5, 2, n_ranges=n_ranges).collect()
     got = sorted((r.document_id, r.window_index, r.passage_id) for r in p)
     assert [g[2] for g in got] == list(range(len(got)))
+
+
+def test_dense_offsets_random_ids(spark):
+    import random
+    rng = random.Random(13)
+    ids = rng.sample(range(10 ** 9), 200)
+    counts = {i: rng.randint(0, 5) for i in ids}
+    df = spark.createDataFrame([(i, c) for i, c in counts.items()], "k long, c int").repartition(7)
+    for n_ranges in (2, 9, 50):
+        got = {r.k: r.offset for r in C.with_dense_offset(df, "k", F.col("c"), n_ranges).collect()}
+        running, exp = 0, {}
+        for i in sorted(ids):
+            exp[i] = running
+            running += counts[i]
+        assert got == exp
