@@ -197,3 +197,27 @@ def test_tfidf_random_corpus_matches_model(spark):
         g = [(r.document_id, r.score) for r in sorted(got, key=lambda r: r.rank) if r.qid == qid]
         assert [d for d, _ in g] == [d for d, _ in exp]
         assert all(abs(a[1] - b[1]) < 1e-6 for a, b in zip(g, exp))
+
+
+def test_bm25_random_corpus_negative_idf(spark):
+    import random
+    rng = random.Random(17)
+    common = ["the", "of", "and"]                 # in most documents: negative raw idf
+    rare = ["kiwi", "fig", "lime", "plum", "pear", "date"]
+    rows = []
+    for i in range(40):
+        toks = [rng.choice(common) for _ in range(rng.randint(1, 6))]
+        toks += [rng.choice(rare) for _ in range(rng.randint(0, 3))]
+        rng.shuffle(toks)
+        rows.append((i, "t", " ".join(toks)))
+    corpus = spark.createDataFrame(rows, "document_id long, title string, text string")
+    qs = [(1, "the fig fig"), (2, "and of"), (3, "plum pear the")]
+    docs = I.prepare_corpus(corpus)
+    ptext = {r.document_id: r.ptext for r in docs.collect()}
+    top = R.bm25_topk(I.build_bm25(docs), spark.createDataFrame(qs, "qid long, question string"),
+                      k=6).collect()
+    for qid, q in qs:
+        exp = expected_topk(py_bm25(ptext, q), 6)
+        got = [(r.document_id, r.score) for r in sorted(top, key=lambda r: r.rank) if r.qid == qid]
+        assert [g[0] for g in got] == [e[0] for e in exp]
+        assert all(abs(a[1] - b[1]) < 1e-6 for a, b in zip(got, exp))
