@@ -98,13 +98,13 @@ def bm25_topk(index: Bm25Index, questions: DataFrame, k: int = 10,
               pad_zero: bool = False, **kw) -> DataFrame:
     """R5 (R4 = one question): ``(qid, rank, document_id, score)``.
 
-    Only positive scores are ranked: when the idf floor is negative (most
+    Negative scores are not ranked: when the idf floor is negative (most
     terms in more than half of the documents), matched documents can score
     below zero, and every unmatched (score-0) document would rank above
     them. ``pad_zero`` fills questions with fewer than k scored documents up
     to k with score-0 documents in id order (the source always returns k
     rows)."""
-    s = bm25_scores(index, questions, **kw).filter(F.col("score") > 0)
+    s = bm25_scores(index, questions, **kw).filter(F.col("score") >= 0)
     if pad_zero:
         s = with_zero_padding(s, index.postings, questions, k, kw.get("qid", "qid"))
     return rank_topk(s, k).select("qid", "rank", "document_id", "score")

@@ -104,7 +104,7 @@ bm25 AS (
          sum(qtf * idf * tf * {k1 + 1} / (tf + {k1} * (1 - {b} + {b} * dl / avgdl))) AS score
   FROM qt JOIN terms USING (term) JOIN post USING (term), stats
   GROUP BY qid, document_id
-  HAVING sum(qtf * idf * tf * {k1 + 1} / (tf + {k1} * (1 - {b} + {b} * dl / avgdl))) > 0)"""
+  HAVING sum(qtf * idf * tf * {k1 + 1} / (tf + {k1} * (1 - {b} + {b} * dl / avgdl))) >= 0)"""
 
 
 def topk_select(src: str, k: int, extra: str = "") -> str:

@@ -34,7 +34,8 @@ def py_bm25(docs, query, k1=1.5, b=0.75, eps=0.25):
         c = Counter(t)
         s = sum(idf.get(q, 0) * c[q] * (k1 + 1) / (c[q] + k1 * (1 - b + b * len(t) / avgdl))
                 for q in query.split())
-        if s > 0:
+        # documents sharing a query term, unless their score is negative
+        if any(q in c for q in query.split()) and s >= 0:
             out[d] = round(s, 6)
     return out
 
