@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, exact_dedup, packing, sharding, simhash, substring_dedup, suffix_dedup, urlfilter
+from quarry.llm import decontaminate, exact_dedup, language, packing, sharding, simhash, substring_dedup, suffix_dedup, urlfilter
 
 RULES = (
     urlfilter.Rule("block", "net", "/"),
@@ -55,6 +55,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_dedup(_table(spark, sf_dir, "documents"), shingle=3, distance=2)
 
@@ -73,6 +77,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_language_id": op6_language_id,
     "op7_simhash": op7_simhash,
     "op8_sharding": op8_sharding,
     "op9_url_filter": op9_url_filter,
