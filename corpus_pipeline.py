@@ -1,13 +1,24 @@
-"""The training-corpus pipeline: documents in, packed sequences out."""
+"""The training-corpus pipeline: documents in, packed sequences out.
+
+Each stage calls one operator of ``quarry.llm`` on all that the stage before
+kept. All stages but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import exact_dedup, simhash
+from quarry.llm import decontaminate, exact_dedup, language, packing, simhash
+from quarry.llm.queries import word_tokenizer
 from quarry.session import materialize, ship_package
 
 
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language (``und``: no letters) go."""
+    ship_package(spark)
+    return language.keep_identified(docs)
+
+
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
     ship_package(spark)
@@ -15,16 +26,33 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash group (3-word shingles, 2 bits) one row stays."""
+    """Of each SimHash group (3-word shingles, at most 2 bits) the row with
+    the smallest doc_id stays."""
     ship_package(spark)
     return simhash.drop_near_copies(docs, shingle=3, distance=2)
 
 
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share a window of words with ``benchmark`` go."""
+    ship_package(spark)
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences, see ``packing.pack_documents``."""
+    ship_package(spark)
+    return packing.pack_documents(docs, word_tokenizer(), sequence=2048)
+
+
 STAGES = [
+    ("language_id", language_stage),
     ("exact_dedup", exact_stage),
     ("near_dedup", near_stage),
+    ("decontamination", benchmark_stage),
+    ("packing", packing_stage),
 ]
 
+# language identification, SimHash and tokenisation are not expressible in SQL
 ORACLE_SQL = None
 
 

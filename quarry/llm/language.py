@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -297,3 +298,24 @@ def identify(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> DataFrame:
     learned from; repeated rows get equal predictions. No rows give no rows.
     """
     return predict(docs, fit(docs, sample_texts)).drop("tag")
+
+
+def _identified(net):
+    def run(batches):
+        for batch in batches:
+            found = next(_predict(net)([_with_keys(batch)]))
+            yield batch.filter(pc.not_equal(found.column("lang_pred"), UNKNOWN))
+    return run
+
+
+def _with_keys(batch: pa.RecordBatch) -> pa.RecordBatch:
+    none = pa.nulls(len(batch), pa.int64())
+    return pa.record_batch([none, none, pa.nulls(len(batch), pa.bool_()), batch.column("text")],
+                           names=["doc_id", "tag", "held_out", "text"])
+
+
+def keep_identified(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> DataFrame:
+    """``docs`` without the rows whose language is ``und``, with all columns.
+    Where no labelled text may be learned from, no row has a language."""
+    net = docs.sparkSession.sparkContext.broadcast(fit(docs, sample_texts))
+    return docs.mapInArrow(_identified(net), docs.schema)

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, exact_dedup, language, packing, sharding, simhash, substring_dedup, suffix_dedup, urlfilter
+from quarry.llm import decontaminate, exact_dedup, language, packing, sharding, simhash, substring_dedup, suffix_dedup, token_counts, urlfilter
 
 RULES = (
     urlfilter.Rule("block", "net", "/"),
@@ -71,6 +71,10 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(_table(spark, sf_dir, "pages"), RULES)
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.document_token_counts(_table(spark, sf_dir, "documents"), word_tokenizer())
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_exact_dedup": op2_exact_dedup,
@@ -81,4 +85,5 @@ QUERIES = {
     "op7_simhash": op7_simhash,
     "op8_sharding": op8_sharding,
     "op9_url_filter": op9_url_filter,
+    "op10_token_counts": op10_token_counts,
 }

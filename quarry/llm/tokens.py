@@ -28,10 +28,12 @@ class _Pieces(dict):
 
 
 class WordTokenizer:
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        # strings of special tokens that occur in a text are then ordinary text
+        self.tokenizer.encode_special_tokens = special_as_text
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self._forget()
 
@@ -73,11 +75,12 @@ class WordTokenizer:
         return out, ends + np.arange(len(ends))
 
 
-_loaded: dict[str, WordTokenizer] = {}
+_loaded: dict[tuple, WordTokenizer] = {}
 
 
-def load(path: str) -> WordTokenizer:
-    """The tokenizer of this worker, loaded once per path."""
-    if path not in _loaded:
-        _loaded[path] = WordTokenizer(path)
-    return _loaded[path]
+def load(path: str, special_as_text: bool = False) -> WordTokenizer:
+    """The tokenizer of this worker, loaded once."""
+    key = path, special_as_text
+    if key not in _loaded:
+        _loaded[key] = WordTokenizer(*key)
+    return _loaded[key]
