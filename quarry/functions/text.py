@@ -1,9 +1,8 @@
 """Text expressions: every function maps Column -> Column.
 
-All of them except T3 are built-in Spark expressions (regexp_replace,
-translate, split, higher-order functions), so they stay inside the JVM and,
-where Spark allows, inside whole-stage codegen. T3 (token offsets) needs a
-running sum over each token list and is an Arrow-batched pandas UDF.
+All of them are built-in Spark expressions (regexp_replace, translate, split,
+higher-order functions), so they stay inside the JVM and, where Spark allows,
+inside whole-stage codegen.
 
 Character classes are spelled out explicitly instead of relying on ``\\s`` or
 ``\\d``: Python (the behaviour we match), Java and RE2 disagree on what those
@@ -13,12 +12,8 @@ in Java regex and in RE2, so DuckDB oracles can reuse the very same strings.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import (ArrayType, IntegerType, StringType, StructField,
-                               StructType)
 
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference semantics; stated here together).
@@ -55,6 +50,12 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row: inside a lambda,
+    an expression would be computed again for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def unescape_newlines(c) -> Column:
     """``\\n`` written as text (one or more backslashes + n) -> space."""
     return F.regexp_replace(_c(c), ESCAPED_NEWLINE, " ")
@@ -147,30 +148,28 @@ def token_offsets(c) -> Column:
 
     Returns ``array<struct<tok:string, s:int, e:int>>`` with ``s`` inclusive
     and ``e`` exclusive, zero-based, so ``substring(text, s+1, e-s) = tok``.
-    Offsets need a running sum over the token sequence, which Spark's array
-    functions cannot do in linear time, so this one step is an Arrow-batched
-    pandas UDF (vectorised transfer, ``re.finditer`` per text).
+    A null text has no tokens.
+
+    Linear in the text: every whitespace character becomes one space (which
+    keeps the offsets), a token starts where a non-space follows a space and
+    ends where a space follows, and starts, ends and the tokens themselves
+    are three arrays in the same order.
     """
-    return _offsets_udf(_c(c))
-
-
-def _offsets_py(texts):
-    import pandas as pd
-    pat = re.compile(r"\S+")
-    out = []
-    for t in texts:
-        if t is None:
-            out.append([])
-            continue
-        out.append([{"tok": m.group(0), "s": m.start(), "e": m.end()}
-                    for m in pat.finditer(t)])
-    return pd.Series(out)
-
-
-_OFFSETS_TYPE = ArrayType(StructType([StructField("tok", StringType()),
-                                       StructField("s", IntegerType()),
-                                       StructField("e", IntegerType())]))
-_offsets_udf = F.pandas_udf(_offsets_py, _OFFSETS_TYPE)
+    plain = F.regexp_replace(F.coalesce(_c(c), F.lit("")), "[" + WS_CHARS + "]", " ")
+    chars = F.split(plain, "")
+    blank = lambda x: (x == " ") | (x == "")  # noqa: E731  (the split may end in '')
+    space = F.array(F.lit(" "))
+    after = F.concat(F.slice(chars, 2, F.size(chars)), space)
+
+    def marked(here: Column, beside: Column, shift: int) -> Column:
+        edge = F.zip_with(here, F.slice(beside, 1, F.size(here)), lambda x, y: ~blank(x) & blank(y))
+        return F.filter(F.transform(edge, lambda m, i: F.when(m, i + shift).otherwise(-1)), lambda i: i >= 0)
+
+    starts = marked(chars, F.concat(space, chars), 0)
+    ends = marked(chars, after, 1)
+    toks = F.filter(F.split(plain, " "), lambda t: t != "")
+    return F.transform(F.arrays_zip(toks.alias("tok"), starts.alias("s"), ends.alias("e")),
+                       lambda t: F.struct(t["tok"].alias("tok"), t["s"].alias("s"), t["e"].alias("e")))
 
 
 def join_tokens(arr) -> Column:

@@ -58,8 +58,12 @@ def candidates(features: DataFrame, n_best: int = 10, max_answer_length: int = 3
             ok = ok & F.coalesce(F.element_at(F.col(max_context), s.cast("string")), F.lit(False))
         return ok
 
-    pairs = F.flatten(F.transform(top_positions(sl, n_best), lambda s: F.transform(
-        top_positions(el, n_best), lambda e: F.struct(
+    # both lists are columns first: inside the lambda the second would be
+    # sorted again for every start
+    features = (features.withColumn("_ts", top_positions(sl, n_best))
+                        .withColumn("_te", top_positions(el, n_best)))
+    pairs = F.flatten(F.transform("_ts", lambda s: F.transform(
+        "_te", lambda e: F.struct(
             (-(F.element_at(sl, s + 1) + F.element_at(el, e + 1))).alias("ns"),
             s.alias("s"), e.alias("e")))))
     # only a feature's n_best best spans can reach its example's n-best list:

@@ -40,10 +40,14 @@ def _multiset_overlap(p: Column, g: Column) -> Column:
 
 
 def _f1_from(p: Column, g: Column) -> Column:
-    same = _multiset_overlap(p, g)
-    prec = same / F.size(p)
-    rec = same / F.size(g)
-    return F.when(same == 0, F.lit(0.0)).otherwise(2 * prec * rec / (prec + rec))
+    # bound first: the arrays are normalised and split texts
+    def f1(x: Column) -> Column:
+        def of(same: Column) -> Column:
+            prec = same / F.size(x["p"])
+            rec = same / F.size(x["g"])
+            return F.when(same == 0, F.lit(0.0)).otherwise(2 * prec * rec / (prec + rec))
+        return T.let(_multiset_overlap(x["p"], x["g"]), of)
+    return T.let(F.struct(p.alias("p"), g.alias("g")), f1)
 
 
 def char_f1(pred, truth) -> Column:
@@ -121,10 +125,13 @@ def unanswered(truth: DataFrame, preds: DataFrame, id_col: str = "id") -> DataFr
 
 def squad_scores(truth: DataFrame, preds: DataFrame, id_col: str = "id",
                  answers: str = "answers", pred_col: str = "prediction_text") -> DataFrame:
-    """E5: SQuAD exact_match and f1 (x100) over the predicted ids."""
-    j = preds.select(id_col, pred_col).join(truth.select(id_col, answers), id_col)
-    em = max_over_truths(squad_em, F.col(pred_col), F.col(answers))
-    f1 = max_over_truths(squad_f1, F.col(pred_col), F.col(answers))
+    """E5: SQuAD exact_match and f1 (x100) over all reference ids; an id
+    without a prediction scores 0."""
+    j = truth.select(id_col, answers).join(preds.select(id_col, pred_col), id_col, "left")
+    em = F.when(F.col(pred_col).isNull(), 0.0).otherwise(
+        max_over_truths(squad_em, F.col(pred_col), F.col(answers)))
+    f1 = F.when(F.col(pred_col).isNull(), 0.0).otherwise(
+        max_over_truths(squad_f1, F.col(pred_col), F.col(answers)))
     return j.agg(F.round(100 * F.avg(em), 6).alias("exact_match"),
                  F.round(100 * F.avg(f1), 6).alias("f1"))
 

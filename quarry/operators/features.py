@@ -45,14 +45,19 @@ def _ids(toks: Column, vocab_size: int) -> Column:
 def reader_windows(df: DataFrame, max_seq_length: int = 384, doc_stride: int = 128,
                    id_col: str = "id", question: str = "question", context: str = "context",
                    context_index: str | None = None, vocab_size: int = 30000,
-                   keep: tuple[str, ...] = ()) -> DataFrame:
+                   keep: tuple[str, ...] = (), status: str | None = None) -> DataFrame:
     """C3 (+C5): one row per window of the context that fits next to the
     question: ``[CLS] question [SEP] context-window [SEP]``.
 
     Context tokens per window = max_seq_length - |question| - 3; consecutive
-    windows overlap by ``doc_stride``. Rows whose question leaves no more
-    than ``doc_stride`` context tokens produce no window (see
-    :func:`too_long_questions`). Offsets are null outside the context (C5).
+    windows overlap by ``doc_stride``. Offsets are null outside the context
+    (C5). Special-token texts count as such in the question (P9 puts a
+    separator there), not in the context.
+
+    A question that leaves no more than ``doc_stride`` context tokens has no
+    windows. No row is lost over it: with ``status`` (a column name) it keeps
+    one row with null arrays and status ``question_too_long`` (``ok``
+    otherwise), without it the query fails.
     """
     qt = T.whitespace_tokens(F.col(question))
     co = T.token_offsets(F.col(context))
@@ -60,7 +65,14 @@ def reader_windows(df: DataFrame, max_seq_length: int = 384, doc_stride: int = 1
     x = df.select(F.col(id_col).alias("example_id"), ci.alias("context_index"),
                   *keep, qt.alias("_qt"), co.alias("_co"))
     W = F.lit(max_seq_length) - F.size("_qt") - 3
-    x = x.filter(W > doc_stride).withColumn("_W", W)
+    fits = W > doc_stride
+    if status is None:
+        x = x.withColumn("_W", F.when(fits, W).otherwise(F.raise_error(F.concat(
+            F.lit("question too long: "), F.col("example_id").cast("string"))).cast("int")))
+    else:
+        # any width over the stride: the row's arrays become null below
+        x = x.withColumn("_W", F.when(fits, W).otherwise(F.lit(doc_stride + 1))).withColumn("_fits", fits)
+        x = x.withColumn("_co", F.when(F.col("_fits"), F.col("_co")).otherwise(F.slice("_co", 1, 0)))
     n = window_count(F.size("_co"), F.col("_W"), F.lit(doc_stride))
     x = x.withColumn("window_index", F.explode_outer(F.sequence(F.lit(0), n - 1)))
     win = F.slice("_co", F.col("window_index") * (F.col("_W") - doc_stride) + 1, F.col("_W"))
@@ -68,16 +80,21 @@ def reader_windows(df: DataFrame, max_seq_length: int = 384, doc_stride: int = 1
     nq = F.size("_qt")
     null_off = F.lit(None).cast("struct<s:int,e:int>")
     ids = F.concat(F.array(F.lit(CLS_ID)), _ids(F.col("_qt"), vocab_size), F.array(F.lit(SEP_ID)),
-                   _ids(F.transform("_win", lambda t: t["tok"]), vocab_size),
+                   F.transform("_win", lambda t: T.hashed_token_id(t["tok"], vocab_size - N_SPECIAL, N_SPECIAL)),
                    F.array(F.lit(SEP_ID)))
     types = F.concat(F.array_repeat(F.lit(0), nq + 2), F.array_repeat(F.lit(1), F.size("_win") + 1))
     offs = F.concat(F.array_repeat(null_off, nq + 2),
                     F.transform("_win", lambda t: F.struct(t["s"].alias("s"), t["e"].alias("e"))),
                     F.array(null_off))
-    return x.select("example_id", "window_index", "context_index", *keep,
-                    ids.alias("input_ids"), types.alias("token_type_ids"),
-                    F.array_repeat(F.lit(1), F.size(ids)).alias("attention_mask"),
-                    offs.alias("offset_mapping"))
+    out = x.select("example_id", "window_index", "context_index", *keep,
+                   ids.alias("input_ids"), types.alias("token_type_ids"),
+                   F.array_repeat(F.lit(1), F.size(ids)).alias("attention_mask"),
+                   offs.alias("offset_mapping"), *([F.col("_fits")] if status else []))
+    if status is None:
+        return out
+    arrays = ("input_ids", "token_type_ids", "attention_mask", "offset_mapping")
+    out = out.withColumns({c: F.when(F.col("_fits"), F.col(c)) for c in arrays})
+    return out.withColumn(status, F.when(F.col("_fits"), "ok").otherwise("question_too_long")).drop("_fits")
 
 
 def too_long_questions(df: DataFrame, max_seq_length: int = 384, doc_stride: int = 128,
@@ -127,18 +144,28 @@ def span_labels_from_offsets(features: DataFrame, examples: DataFrame) -> DataFr
     return with_span_labels(features, examples, offsets="offsets")
 
 
-def merge_title_segment(df: DataFrame, labels: bool = True) -> DataFrame:
+def merge_title_segment(df: DataFrame, labels: bool = True, status: str | None = None) -> DataFrame:
     """``[CLS] q [SEP] title [SEP] ctx [SEP]`` -> ``[CLS] q [SEP] title ctx [SEP]``.
 
     Drops the second separator from every parallel array, marks the title
-    tokens as segment 1, and shifts span labels by -1 (never below 0). Rows
-    that do not have exactly three separators are left out (see
-    :func:`bad_title_segments`).
+    tokens as segment 1, and shifts span labels by -1 (never below 0).
+
+    A row without exactly three separators (see :func:`bad_title_segments`)
+    fails the query, or, with ``status`` (a column name, which C3 may have
+    filled), stays as it is with status ``no_title_segment``.
     """
-    ids = F.col("input_ids")
-    seps = F.filter(F.sequence(F.lit(0), F.size(ids) - 1),
-                    lambda i: F.element_at(ids, i + 1) == SEP_ID)
-    x = df.withColumn("_seps", seps).filter(F.size("_seps") == 3)
+    ids = F.coalesce(F.col("input_ids"), F.array().cast("array<int>"))
+    marks = F.transform(ids, lambda v, i: F.when(v == SEP_ID, i).otherwise(-1))
+    x = df.withColumn("_seps", F.filter(marks, lambda i: i >= 0))
+    good = F.size("_seps") == 3
+    if status is None:
+        x = x.withColumn("_seps", F.when(good, F.col("_seps")).otherwise(
+            F.raise_error(F.lit("a row without exactly three separators")).cast("array<int>")))
+    else:
+        before = F.col(status) if status in df.columns else F.lit("ok")
+        x = x.withColumn(status, F.when((before == "ok") & ~good, "no_title_segment").otherwise(before))
+        # positions that no element has: nothing is dropped or shifted
+        x = x.withColumn("_seps", F.when(good, F.col("_seps")).otherwise(F.array(F.lit(-1), F.lit(-1))))
     s1, s2 = F.element_at("_seps", 1), F.element_at("_seps", 2)
 
     def drop2(c):
@@ -151,8 +178,8 @@ def merge_title_segment(df: DataFrame, labels: bool = True) -> DataFrame:
     if "offset_mapping" in df.columns:
         x = x.withColumn("offset_mapping", drop2("offset_mapping"))
     if labels and "start_positions" in df.columns:
-        x = (x.withColumn("start_positions", F.greatest(F.col("start_positions") - 1, F.lit(0)))
-              .withColumn("end_positions", F.greatest(F.col("end_positions") - 1, F.lit(0))))
+        x = x.withColumns({c: F.when(s2 < 0, F.col(c)).otherwise(F.greatest(F.col(c) - 1, F.lit(0)))
+                           for c in ("start_positions", "end_positions")})
     return x.drop("_seps")
 
 
@@ -285,7 +312,9 @@ def mlm_mask(df: DataFrame, seed: int = 42, mlm_probability: float = 0.15,
     if ner and span_masking:
         nr = F.col(ner)
         # run key: number of non-entity positions before p (constant on a run)
-        key = F.transform(pos, lambda p: F.size(F.filter(F.slice(nr, 1, p), lambda v: ~v.cast("boolean"))))
+        # read off the runs between them in one pass: '110100' -> runs 11, 1, '', ''
+        bits = F.array_join(F.transform(nr, lambda v: F.when(v.cast("boolean"), "1").otherwise("0")), "")
+        key = F.flatten(F.transform(F.split(bits, "0"), lambda r, i: F.array_repeat(i, F.length(r) + 1)))
         x = x.withColumn("_k", key)
         runs = F.array_distinct(F.transform(F.filter(pos, lambda p: at(F.col("_d"), p)),
                                             lambda p: at(F.col("_k"), p)))

@@ -37,12 +37,16 @@ def token_overlap(q_tokens: Column, c_tokens: Column) -> tuple[Column, Column]:
 def length_histogram(df: DataFrame, bins: int = 30, lo: int = 0, hi: int = 5000,
                      text: str = "text") -> DataFrame:
     """Equal-width histogram of text lengths on [lo, hi] (the right edge
-    belongs to the last bin; lengths outside are not counted)."""
+    belongs to the last bin; lengths outside are not counted). Every bin has a
+    row, empty ones too."""
     n = F.length(text)
     b = F.when(n == hi, F.lit(bins - 1)).otherwise(
         F.floor((n - lo) * bins / (hi - lo))).cast("int")
     x = df.select(b.alias("bin")).filter((F.col("bin") >= 0) & (F.col("bin") < bins))
-    return x.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    found = x.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    return every.join(F.broadcast(found), "bin", "left").select(
+        "bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def length_summary(df: DataFrame, outlier: int = 20000, text: str = "text") -> DataFrame:

@@ -33,16 +33,18 @@ def reader_input(questions: DataFrame, corpus: DataFrame, k: int = 20,
 
 
 def reader_features(examples: DataFrame, max_seq_length: int = 384, doc_stride: int = 128,
-                    add_title: bool = True) -> DataFrame:
+                    add_title: bool = True, status: str | None = "status") -> DataFrame:
     """C4 + P9 + C3 (+ C7 when ``add_title``): one row per window of each
     (question, retrieved context) pair, with ``example_id`` and
-    ``context_index`` to map model outputs back."""
+    ``context_index`` to map model outputs back. ``status`` says which rows
+    have no features (question too long, no title segment); with None such a
+    row fails the query."""
     fan = C.multi_context(examples) if dict(examples.dtypes)["context"].startswith("array") \
         else examples.withColumn("context_index", F.lit(0))
     if add_title:
         fan = fan.withColumn("question", T.decorate_question(F.col("question"), F.col("title")))
-    w = C.reader_windows(fan, max_seq_length, doc_stride, context_index="context_index")
-    return C.merge_title_segment(w, labels=False) if add_title else w
+    w = C.reader_windows(fan, max_seq_length, doc_stride, context_index="context_index", status=status)
+    return C.merge_title_segment(w, labels=False, status=status) if add_title else w
 
 
 def prediction_report(features_with_logits: DataFrame, examples: DataFrame,

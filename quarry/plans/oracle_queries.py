@@ -179,8 +179,9 @@ SELECT round(em, 6) AS em, round(f1, 6) AS f1, printf('%.2f%%', em * 100) AS em_
 def _e5():
     em = f"list_max(list_transform(answers.text, lambda g: CAST({O.squad_norm('prediction_text')} = {O.squad_norm('g')} AS DOUBLE)))"
     f1 = f"list_max(list_transform(answers.text, lambda g: {O.squad_f1('prediction_text', 'g')}))"
-    return f"""WITH {_qa_pred()}
-SELECT round(100 * avg({em}), 6) AS exact_match, round(100 * avg({f1}), 6) AS f1 FROM j"""
+    return f"""WITH {O.qa_cte()}, {O.predictions_cte()}, j AS (SELECT * FROM qa LEFT JOIN preds USING (id))
+SELECT round(100 * avg(CASE WHEN prediction_text IS NULL THEN 0.0 ELSE {em} END), 6) AS exact_match,
+       round(100 * avg(CASE WHEN prediction_text IS NULL THEN 0.0 ELSE {f1} END), 6) AS f1 FROM j"""
 
 
 @sql("j10_unanswered")
@@ -573,8 +574,9 @@ SELECT conv_id, turn, CAST(conv_id AS VARCHAR) || ' ' || {lines} || 'Q: ' || que
 
 @sql("e14_length_histogram")
 def _e14():
-    return """SELECT CAST(CASE WHEN length(text) = 5000 THEN 29 ELSE floor(length(text) * 30 / 5000) END AS INTEGER) AS bin,
-       count(*) AS n FROM documents WHERE length(text) <= 5000 GROUP BY bin"""
+    return """SELECT CAST(b AS INTEGER) AS bin, count(x) AS n FROM range(30) t(b)
+LEFT JOIN (SELECT CASE WHEN length(text) = 5000 THEN 29 ELSE floor(length(text) * 30 / 5000) END AS x
+           FROM documents WHERE length(text) <= 5000) ON b = x GROUP BY b"""
 
 
 @sql("e14_length_summary")

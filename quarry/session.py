@@ -54,16 +54,18 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder for lineage cuts and index tables.
+    """The cluster's shared folder for lineage cuts and index tables, read
+    from ``spark.checkpoint.dir``.
 
-    Read from ``spark.checkpoint.dir``. Only when it is unset (tests, a local
-    session) a fresh folder is created and set, so cluster runs never fall
-    back to a machine-local path silently.
+    Only where that is unset and the session is local (one machine, as in
+    tests) a fresh folder is created and set; on a cluster it is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not is_local(spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="quarry-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
         spark.sparkContext.setCheckpointDir(d)
@@ -72,17 +74,36 @@ def shared_dir(spark: SparkSession) -> str:
     return d
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process (``local``, ``local[n]``)."""
+    return master == "local" or master.startswith("local[")
+
+
 def table_path(spark: SparkSession, *parts: str) -> str:
     return os.path.join(shared_dir(spark), *parts)
 
 
+def stage_root(spark: SparkSession) -> str:
+    """Where this application keeps its intermediate tables."""
+    return table_path(spark, "stages", spark.sparkContext.applicationId)
+
+
 def materialize(df, label: str):
     """Write ``df`` once as parquet under the shared folder and return the
     re-read table: the lineage is cut and the data survives executor loss
     (one job, unlike an eager checkpoint, which recomputes the last stage to
-    write it)."""
+    write it). :func:`clear_stages` removes the tables of an application."""
     import uuid
     spark = df.sparkSession
-    path = table_path(spark, "stages", f"{label}-{uuid.uuid4().hex}")
+    path = os.path.join(stage_root(spark), f"{label}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def clear_stages(spark: SparkSession) -> None:
+    """Remove the intermediate tables and scratch folders of this application
+    from the shared folder. Results that still read them must have been
+    written or collected before."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(stage_root(spark))
+    path.getFileSystem(conf).delete(path, True)

@@ -19,7 +19,7 @@ from pyspark.sql.types import (ArrayType, IntegerType, LongType, MapType, String
                                StructField, StructType)
 from pyspark.errors import AnalysisException
 
-from quarry.session import shared_dir
+from quarry.session import shared_dir, stage_root
 
 CORPUS_SCHEMA = StructType([
     StructField("title", StringType()), StructField("text", StringType()),
@@ -240,8 +240,9 @@ def write_text(df: DataFrame, col: str, path: str) -> None:
 
 
 def scratch_path(spark: SparkSession, *parts: str) -> str:
-    """A fresh folder in the shared directory for round trips."""
-    return os.path.join(shared_dir(spark), "scratch", uuid.uuid4().hex, *parts)
+    """A fresh folder in the shared directory for round trips; removed with
+    the application's intermediate tables."""
+    return os.path.join(stage_root(spark), "scratch", uuid.uuid4().hex, *parts)
 
 
 def tfidf_persistent(spark: SparkSession, docs_source: DataFrame, prepared: DataFrame,

@@ -22,7 +22,8 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     # the shared folder comes from the session (spark.checkpoint.dir); only
     # when that is unset does shared_dir create a local one, as tests need
-    from quarry.session import shared_dir
+    from quarry.session import clear_stages, shared_dir
     shared_dir(s)
     yield s
+    clear_stages(s)
     s.stop()

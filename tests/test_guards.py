@@ -15,8 +15,33 @@ def test_too_long_questions(spark):
     df = spark.createDataFrame([(1, "a b c"), (2, " ".join(["q"] * 20))], "id long, question string")
     assert [r.id for r in C.too_long_questions(df, max_seq_length=24, doc_stride=4).collect()] == [2]
     ctx = df.withColumn("context", F.lit("x y z"))
-    w = C.reader_windows(ctx, max_seq_length=24, doc_stride=4).select("example_id").distinct().collect()
-    assert [r.example_id for r in w] == [1]
+    # no row is lost: it has a status, or the query fails
+    w = C.reader_windows(ctx, max_seq_length=24, doc_stride=4, status="status").collect()
+    assert {(r.example_id, r.status) for r in w} == {(1, "ok"), (2, "question_too_long")}
+    assert [r.input_ids for r in w if r.example_id == 2] == [None]
+    with pytest.raises(Exception, match="question too long"):
+        C.reader_windows(ctx, max_seq_length=24, doc_stride=4).collect()
+
+
+def test_separator_text_in_a_context_is_a_word(spark):
+    df = spark.createDataFrame([(1, "t [SEP] what", "a [SEP] b [CLS] c")], "id long, question string, context string")
+    w = C.reader_windows(df, max_seq_length=24, doc_stride=4)
+    assert [sum(i == C.SEP_ID for i in r.input_ids) for r in w.collect()] == [3]
+    assert len(C.merge_title_segment(w).first().input_ids) == len(w.first().input_ids) - 1
+
+
+def test_rows_without_a_title_segment_stay(spark):
+    df = spark.createDataFrame([(1, [2, 10, 3, 11, 3, 12, 3], 4), (2, [2, 10, 3, 12, 3], 3), (3, None, 0)],
+                               "id long, input_ids array<int>, start_positions int")
+    df = df.withColumns({"token_type_ids": F.transform("input_ids", lambda v: F.lit(0)),
+                         "attention_mask": F.transform("input_ids", lambda v: F.lit(1)),
+                         "end_positions": F.col("start_positions")})
+    m = {r.id: r for r in C.merge_title_segment(df, status="status").collect()}
+    assert {k: r.status for k, r in m.items()} == {1: "ok", 2: "no_title_segment", 3: "no_title_segment"}
+    assert m[1].input_ids == [2, 10, 3, 11, 12, 3] and m[1].start_positions == 3
+    assert m[2].input_ids == [2, 10, 3, 12, 3] and m[2].start_positions == 3
+    with pytest.raises(Exception, match="three separators"):
+        C.merge_title_segment(df).collect()
 
 
 def test_bad_title_segments(spark):
