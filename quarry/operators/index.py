@@ -2,16 +2,16 @@
 
 Corpus preparation (P6, P8, J1) produces rows hash-partitioned by the content
 key ``dkey``. Postings are each document's distinct terms with counts,
-computed inside the row and exploded, so they keep that partitioning: the
-per-(question, document) score sum downstream needs no shuffle of postings.
+computed inside the row and exploded, so a document's postings stay together and
+the per-(question, document) score sum downstream combines before its shuffle.
 Term statistics (document frequency, collection frequency) are one shuffle of
 the postings by ``term`` with map-side partial aggregation, so a term present
 in every document is pre-counted per task before it moves.
 
-Building an index is an action: the vocabulary-sized term statistics are
-written to the shared folder in one job, and the corpus scalars (N,
-average length, mean idf) are read from that small table; the driver receives
-numbers only.
+Building an index is an action: the postings are written to the shared folder
+in one pass over the corpus, and the vocabulary-sized term statistics and the
+corpus scalars (N, average length, mean idf) come from that table; the driver
+receives numbers only.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text as T
 from quarry.operators.dedup import content_key
 from quarry.plans.sizing import maybe_broadcast
-from quarry.session import materialize, shared_dir
+from quarry.session import materialize
 
 Tokenizer = Callable[[Column], Column]
 
@@ -43,11 +43,8 @@ def spread(df: DataFrame) -> DataFrame:
     """Round-robin a scan that has fewer input splits than the cluster has
     cores (a few large files or row groups) before per-row heavy work. Large
     inputs already have many splits and pass through unchanged."""
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # sessions without RDD access (e.g. Spark Connect)
-        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df.rdd.getNumPartitions()
     return df.repartition(cores) if splits < cores else df
 
 
@@ -143,15 +140,18 @@ def build_bm25(docs: DataFrame, tokenizer: Tokenizer = default_tokenizer,
     ``epsilon * mean(idf)`` (mean over all corpus terms, negatives included).
     Empty documents count in N and in the average length.
 
-    Building is an action: the per-term statistics (one row per distinct
-    term, plus the document-count row) are computed in one job and written
-    to the shared folder; N, the average length and the idf floor are then
-    read from that small table. The postings stay lazy and
-    keep the ``dkey`` partitioning of ``docs``, so scoring needs no shuffle of
-    postings.
+    Building is an action that reads the corpus once: the postings are
+    written to the shared folder, and the per-term statistics (one row per
+    distinct term, plus the document-count row), N, the average length and
+    the idf floor come from that table.
     """
-    shared_dir(docs.sparkSession)           # checkpoint folder (shared storage)
-    grouped = _postings_with_marker(docs, tokenizer(F.col("ptext")))
+    grouped = materialize(_postings_with_marker(docs, tokenizer(F.col("ptext"))), "bm25-postings")
+    return bm25_from_postings(grouped, tokenizer, k1, b, epsilon)
+
+
+def bm25_from_postings(grouped: DataFrame, tokenizer: Tokenizer = default_tokenizer,
+                       k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> Bm25Index:
+    """The index over stored postings (with their marker rows)."""
     postings = grouped.filter(F.col("term").isNotNull())
     per_term = materialize(grouped.groupBy("term")
                                   .agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("len")),
@@ -194,13 +194,13 @@ def build_tfidf(docs: DataFrame, tokenizer: Tokenizer = default_tokenizer,
     frequency (ties: term ascending); weight = tf * (ln((1+N)/(1+df)) + 1),
     L2-normalised per document.
 
-    Building is an action: the vocabulary (at most ``max_features`` rows)
-    and the document count are computed in one job and written to the
-    shared folder; the vocabulary is then measured before it is broadcast
-    against the postings.
+    Building is an action that reads the corpus once: the term counts are
+    written to the shared folder, and the vocabulary (at most
+    ``max_features`` rows), the document count and the weights come from that
+    table; the vocabulary is measured before it is broadcast against it.
     """
-    shared_dir(docs.sparkSession)
-    grouped = _postings_with_marker(docs, tokenizer(F.lower(F.col("ptext"))), ngram_max)
+    grouped = materialize(_postings_with_marker(
+        docs, tokenizer(F.lower(F.col("ptext"))), ngram_max), "tfidf-counts")
     tf = grouped.filter(F.col("term").isNotNull()).select("dkey", "document_id", "term", "tf")
     # `_doc` marks the document-count row; filtering on an aggregate output
     # (not on the grouping key) keeps both union branches on one identical
@@ -213,7 +213,7 @@ def build_tfidf(docs: DataFrame, tokenizer: Tokenizer = default_tokenizer,
     n_docs = int(corpus["df"]) if corpus else 0
     vocab = small.filter(~F.col("_doc")).select(
         "term", "cf", "df", (F.log(F.lit(n_docs + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
-    side, small_enough = maybe_broadcast(vocab.select("term", "idf"), [F.length("term")])
+    side, small_enough = maybe_broadcast(vocab.select("term", "idf"), [F.octet_length("term")])
     w = tf.join(side, "term").withColumn("w", F.col("tf") * F.col("idf"))
     per_doc = Window.partitionBy("dkey", "document_id")
     w = w.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(per_doc)))

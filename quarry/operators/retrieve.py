@@ -32,6 +32,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from quarry.functions import text as T
 from quarry.operators.index import Bm25Index, TfidfIndex, tfidf_terms
 from quarry.plans.sizing import maybe_broadcast
+from quarry.session import materialize
 
 SCORE_DIGITS = 6
 
@@ -78,11 +79,11 @@ def _join_postings(postings: DataFrame, qside: DataFrame, small: bool) -> DataFr
 
 def bm25_scores(index: Bm25Index, questions: DataFrame, qid: str = "qid",
                 question: str = "question", preprocess: bool = True) -> DataFrame:
-    """All positive BM25 scores ``(qid, dkey, document_id, score)``."""
+    """BM25 scores of all matching pairs: ``(qid, dkey, document_id, score)``."""
     qt = query_terms(questions, index.tokenizer, qid, question, preprocess)
     # measure the question side only; joining the (unique-term) statistics
     # cannot add rows, so the bound carries over to the joined side
-    qt, small = maybe_broadcast(qt, [F.length("term")])
+    qt, small = maybe_broadcast(qt, [F.octet_length("term")])
     # idf per query term; terms absent from the corpus contribute 0 -> dropped
     qside = qt.join(index.terms.select("term", "idf"), "term")
     k1, b = index.k1, index.b
@@ -95,37 +96,49 @@ def bm25_scores(index: Bm25Index, questions: DataFrame, qid: str = "qid",
 
 
 def bm25_topk(index: Bm25Index, questions: DataFrame, k: int = 10,
-              pad_zero: bool = False, **kw) -> DataFrame:
+              pad_zero: bool = False, docs: DataFrame | None = None, **kw) -> DataFrame:
     """R5 (R4 = one question): ``(qid, rank, document_id, score)``.
 
-    Negative scores are not ranked: when the idf floor is negative (most
-    terms in more than half of the documents), matched documents can score
-    below zero, and every unmatched (score-0) document would rank above
-    them. ``pad_zero`` fills questions with fewer than k scored documents up
-    to k with score-0 documents in id order (the source always returns k
-    rows)."""
-    s = bm25_scores(index, questions, **kw).filter(F.col("score") >= 0)
+    Every document that shares a term with the question is ranked, also one
+    with a negative score (the idf floor is negative where most terms are in
+    more than half of the documents). A document that shares none scores 0;
+    with ``pad_zero`` such documents are ranked too, after positive and before
+    negative scores, so that every question gets k rows, as the source returns
+    them. ``docs`` is the prepared corpus they are taken from (default: the
+    documents with at least one term)."""
+    s = bm25_scores(index, questions, **kw)
     if pad_zero:
-        s = with_zero_padding(s, index.postings, questions, k, kw.get("qid", "qid"))
+        s = with_zero_padding(s, docs if docs is not None else index.postings, questions, k,
+                              kw.get("qid", "qid"))
     return rank_topk(s, k).select("qid", "rank", "document_id", "score")
 
 
 def with_zero_padding(scores: DataFrame, docs: DataFrame, questions: DataFrame, k: int,
                       qid: str = "qid") -> DataFrame:
-    """Score-0 candidates so every question can reach k rows: the k smallest
-    document ids of ``docs`` (k scalars; pass the prepared corpus to include
-    documents without any term) are exploded per question and the
-    already-scored (question, document) pairs are removed. Only the first
-    ``k - matched`` of them can enter the top k (ties: document id)."""
-    first_ids = [r[0] for r in docs.select("document_id").distinct()
-                 .orderBy("document_id").limit(k).collect()]
-    if not first_ids:
-        return scores
-    fill = questions.select(F.col(qid).alias("qid"), F.explode(
-        F.array(*[F.lit(int(i)) for i in first_ids])).alias("document_id"))
-    fill = fill.join(scores.select("qid", "document_id"), ["qid", "document_id"], "left_anti")
-    return scores.select("qid", "document_id", "score").unionByName(
-        fill.withColumn("score", F.lit(0.0)))
+    """``scores`` with the score-0 documents that can reach a top k.
+
+    A question that has p matched documents of positive score needs up to
+    k - p unmatched ones, those with the smallest ids. Among the first k + m
+    ids, m being its matched documents, at least k are unmatched, so those
+    are enough. Questions with p >= k get none. The ids are numbered (k plus
+    the largest m of a question that needs padding), exploded per question
+    and reduced by an anti join with all scored pairs.
+    """
+    pairs = materialize(scores.select("qid", "document_id", "score"), "bm25-scores")
+    counts = pairs.groupBy("qid").agg(
+        F.count(F.lit(1)).alias("m"), F.sum((F.round("score", SCORE_DIGITS) > 0).cast("int")).alias("p"))
+    need = (questions.select(F.col(qid).alias("qid")).distinct().join(counts, "qid", "left")
+            .select("qid", F.coalesce("m", F.lit(0)).alias("m"), F.coalesce("p", F.lit(0)).alias("p"))
+            .filter(F.col("p") < k))
+    most = need.agg(F.max("m")).first()[0]
+    if most is None:
+        return pairs
+    first = docs.select("document_id").distinct().orderBy("document_id").limit(int(k + most))
+    numbered = first.withColumn("i", F.row_number().over(Window.orderBy("document_id")))
+    fill = (need.select("qid", F.explode(F.sequence(F.lit(1), (F.col("m") + k).cast("int"))).alias("i"))
+            .join(numbered, "i").select("qid", "document_id")
+            .join(pairs, ["qid", "document_id"], "left_anti"))
+    return pairs.unionByName(fill.withColumn("score", F.lit(0.0)))
 
 
 # --------------------------------------------------------------------------
@@ -138,7 +151,7 @@ def tfidf_query_weights(index: TfidfIndex, questions: DataFrame, qid: str = "qid
     Returns the frame and whether its measured size allows a broadcast."""
     terms_of = lambda c: tfidf_terms(c, index.tokenizer, index.ngram_max)
     qt = query_terms(questions, terms_of, qid, question, preprocess)
-    qt, small = maybe_broadcast(qt, [F.length("term")])
+    qt, small = maybe_broadcast(qt, [F.octet_length("term")])
     w = qt.join(index.vocab.select("term", "idf"), "term").withColumn(
         "wq", F.col("qtf") * F.col("idf"))
     norm = Window.partitionBy("qid")
@@ -187,13 +200,35 @@ def assert_not_all_oov(report: DataFrame) -> None:
 # Dense (R6, R7) and IVF
 # --------------------------------------------------------------------------
 
+def _ids(column):
+    """Ids as a numpy array that sorts as Spark sorts them: integers, or
+    strings (code point order is UTF-8 byte order)."""
+    import numpy as np
+    a = np.asarray(column)
+    return a.astype(str) if a.dtype == object else a
+
+
+def _block_schema(passages: DataFrame, queries: DataFrame, doc: Column) -> str:
+    """Columns of a scored block, with the id types of the inputs."""
+    p = passages.select(F.col("pid"), doc.alias("document_id")).schema
+    q = queries.select("qid").schema
+    kinds = [q[0].dataType, p[0].dataType, p[1].dataType]
+    for t in kinds:
+        if t.simpleString() not in ("string", "bigint", "int", "smallint", "tinyint"):
+            raise TypeError(f"ids must be integers or strings, not {t.simpleString()}")
+    names = [t.simpleString() for t in kinds]
+    return f"qid {names[0]}, pid {names[1]}, document_id {names[2]}, score double"
+
+
 def _score_block(P, pid, doc, Q, qids, k: int, metric: str, grouped: bool):
     """Top k passages (or distinct documents) per question for one block of
     passages and questions, as a pandas frame. Order: best score (rounded),
     then smallest document id, then smallest passage id."""
     import numpy as np
     import pandas as pd
-    if metric == "ip":
+    if len(Q) == 0:
+        S = np.zeros((0, 0))
+    elif metric == "ip":
         S = Q @ P.T
     else:  # squared L2, as an IVF-Flat L2 index reports
         S = np.maximum((Q * Q).sum(1)[:, None] + (P * P).sum(1)[None, :] - 2.0 * (Q @ P.T), 0.0)
@@ -226,12 +261,10 @@ def _score_block(P, pid, doc, Q, qids, k: int, metric: str, grouped: bool):
         out_d.append(doc[order])
         out_s.append(row[order])
     if not out_q:
-        return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "pid": pd.Series([], dtype="int64"),
-                             "document_id": pd.Series([], dtype="int64"),
-                             "score": pd.Series([], dtype="float64")})
-    return pd.DataFrame({"qid": np.concatenate(out_q).astype("int64"),
-                         "pid": np.concatenate(out_p).astype("int64"),
-                         "document_id": np.concatenate(out_d).astype("int64"),
+        return pd.DataFrame({"qid": qids[:0], "pid": pid[:0], "document_id": doc[:0],
+                             "score": np.zeros(0)})
+    return pd.DataFrame({"qid": np.concatenate(out_q), "pid": np.concatenate(out_p),
+                         "document_id": np.concatenate(out_d),
                          "score": np.concatenate(out_s).astype("float64")})
 
 
@@ -239,27 +272,28 @@ def _block_scorer(k: int, metric: str, group_col: str | None):
     import numpy as np
 
     def score(p, q):
+        pid, doc, qids = _ids(p["pid"]), _ids(p["document_id"]), _ids(q["qid"])
         if len(p) == 0 or len(q) == 0:
-            return _score_block(np.zeros((0, 1)), np.zeros(0, np.int64), np.zeros(0, np.int64),
-                                np.zeros((0, 1)), [], k, metric, False)
+            return _score_block(None, pid, doc, np.zeros((0, 1)), qids[:0], k, metric, False)
         P = np.stack(p["vec"].to_numpy()).astype(np.float64)
         Q = np.stack(q["vec"].to_numpy()).astype(np.float64)
-        pid = p["pid"].to_numpy()
-        doc = p["document_id"].to_numpy()
-        return _score_block(P, pid, doc, Q, q["qid"].to_numpy(), k, metric, bool(group_col))
+        return _score_block(P, pid, doc, Q, qids, k, metric, bool(group_col))
     return score
 
 
-_BLOCK_SCHEMA = "qid long, pid long, document_id long, score double"
-
-
 def _blocked_topk(p: DataFrame, q: DataFrame, keys: list[str], k: int,
-                  metric: str, group_col: str | None) -> DataFrame:
+                  metric: str, group_col: str | None, schema: str) -> DataFrame:
     """Co-group passage and question blocks on ``keys``; top-k per block."""
     fn = _block_scorer(k, metric, group_col)
     part = (p.groupBy(*keys).cogroup(q.groupBy(*keys))
-             .applyInPandas(fn, _BLOCK_SCHEMA))
-    return _final_topk(part, k, metric)
+             .applyInPandas(fn, schema))
+    return _final_topk(_best_of_document(part) if group_col else part, k, metric)
+
+
+def _best_of_document(part: DataFrame) -> DataFrame:
+    """A document's passages may sit in several batches: keep its best."""
+    one = Window.partitionBy("qid", "document_id").orderBy(F.col("score").desc(), "pid")
+    return part.withColumn("_b", F.row_number().over(one)).filter(F.col("_b") == 1).drop("_b")
 
 
 def _final_topk(part: DataFrame, k: int, metric: str) -> DataFrame:
@@ -271,11 +305,11 @@ def _query_matrix(queries: DataFrame, extra: str | None = None):
     """The (measured, small) question matrix as one broadcast value."""
     import numpy as np
     cols = ["qid", "vec"] + ([extra] if extra else [])
-    rows = queries.select(*cols).collect()
-    qids = np.array([int(r["qid"]) for r in rows], dtype=np.int64)
-    dim = len(rows[0]["vec"]) if rows else 1
-    Q = np.array([list(r["vec"]) for r in rows], dtype=np.float64).reshape(len(rows), dim)
-    payload = (qids, Q, [r[extra] for r in rows] if extra else None)
+    table = queries.select(*cols).toArrow().combine_chunks()
+    qids = _ids(table.column("qid").to_pandas())
+    flat = table.column("vec").combine_chunks().flatten() if len(table) else None
+    Q = (np.asarray(flat, dtype=np.float64).reshape(len(table), -1) if len(table) else np.zeros((0, 1)))
+    payload = (qids, Q, table.column(extra).to_pylist() if extra else None)
     return queries.sparkSession.sparkContext.broadcast(payload)
 
 
@@ -293,8 +327,7 @@ def _streamed_scorer(bc, k: int, metric: str, grouped: bool, chunk: int):
             if len(pdf) == 0 or len(qids) == 0:
                 continue
             P = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
-            pid = pdf["pid"].to_numpy()
-            doc = pdf["document_id"].to_numpy()
+            pid, doc = _ids(pdf["pid"]), _ids(pdf["document_id"])
             if by_cluster is None:
                 groups = [(np.arange(len(pdf)), np.arange(len(qids)))]
             else:
@@ -336,30 +369,29 @@ def dense_topk(passages: DataFrame, queries: DataFrame, k: int = 10,
     block) pair is one co-grouped task.
     """
     doc = F.col(group_col) if group_col else F.col("pid")
+    schema = _block_schema(passages, queries, doc)
     if stream is None:
         stream = _fits(queries)
     if stream:
         bc = _query_matrix(queries)
-        p = passages.select("pid", doc.cast("long").alias("document_id"), "vec")
+        p = passages.select("pid", doc.alias("document_id"), "vec")
         part = p.mapInPandas(_streamed_scorer(bc, k, "ip", bool(group_col), queries_per_block),
-                             _BLOCK_SCHEMA)
+                             schema)
         if group_col:
-            # a document's passages may sit in several batches: keep its best
-            one = Window.partitionBy("qid", "document_id").orderBy(F.col("score").desc(), "pid")
-            part = part.withColumn("_b", F.row_number().over(one)).filter(F.col("_b") == 1).drop("_b")
+            part = _best_of_document(part)
         return _final_topk(part, k, "ip")
     n_p = passages.count()
     n_q = queries.count()
     pb = max(1, math.ceil(n_p / rows_per_block))
     qb = max(1, math.ceil(n_q / queries_per_block))
-    hash_col = group_col or "pid"
-    p = passages.select("pid", doc.cast("long").alias("document_id"), "vec",
-                        F.pmod(F.xxhash64(hash_col), F.lit(pb)).alias("pb"),
+    # by passage, so that a document of very many passages fills no block alone
+    p = passages.select("pid", doc.alias("document_id"), "vec",
+                        F.pmod(F.xxhash64("pid"), F.lit(pb)).alias("pb"),
                         F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("qb"))
     q = queries.select("qid", "vec",
                        F.pmod(F.xxhash64("qid"), F.lit(qb)).alias("qb"),
                        F.explode(F.sequence(F.lit(0), F.lit(pb - 1))).alias("pb"))
-    return _blocked_topk(p, q, ["pb", "qb"], k, "ip", group_col)
+    return _blocked_topk(p, q, ["pb", "qb"], k, "ip", group_col, schema)
 
 
 def centroids_by_label(vectors: DataFrame, label: str = "label",
@@ -388,10 +420,15 @@ def kmeans_centroids(vectors: DataFrame, num_clusters: int = 64, seed: int = 42,
 
 
 def _centroid_model(centroids: DataFrame):
-    """The centroid matrix on the driver, sorted by id: ``num_clusters`` rows
-    (a parameter), i.e. model parameters of bounded size, shipped to tasks
-    as one broadcast value (as Spark ML's KMeansModel does)."""
+    """The centroid matrix on the driver, sorted by id, shipped to tasks as
+    one broadcast value (as Spark ML's KMeansModel does). It is a model of
+    ``num_clusters`` rows; its size is measured first, and a table over the
+    broadcast limit (say, one centroid per label of very many) is refused."""
     import numpy as np
+    from quarry.plans.sizing import broadcast_limit, measured_bytes
+    limit = broadcast_limit(centroids.sparkSession)
+    if measured_bytes(centroids, [F.size("centroid") * 8]) > limit:
+        raise ValueError(f"the centroids take more than {limit} bytes; use fewer clusters")
     rows = centroids.select("cluster_id", "centroid").orderBy("cluster_id").collect()
     ids = np.array([int(r["cluster_id"]) for r in rows], dtype=np.int64)
     C = np.array([list(r["centroid"]) for r in rows], dtype=np.float64)
@@ -458,13 +495,13 @@ def ivf_topk(passages: DataFrame, queries: DataFrame, centroids: DataFrame,
     probes = ivf_probes(queries, centroids, nprobe)
     probed = F.broadcast(probes.select("cluster_id").distinct())
     live = passages.join(probed, "cluster_id", "left_semi")
+    schema = _block_schema(passages, queries, F.col("pid"))
     if stream is None:
         stream = _fits(queries, copies=nprobe)
     if stream:
         bc = _query_matrix(probes, extra="cluster_id")
         p = live.select("pid", F.col("pid").alias("document_id"), "vec", "cluster_id")
-        part = p.mapInPandas(_streamed_scorer(bc, k, "l2", False, queries_per_block),
-                             _BLOCK_SCHEMA)
+        part = p.mapInPandas(_streamed_scorer(bc, k, "l2", False, queries_per_block), schema)
         return _final_topk(part, k, "l2")
     sizes = (live.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
                  .select("cluster_id", F.greatest(F.lit(1), F.ceil(
@@ -477,7 +514,7 @@ def ivf_topk(passages: DataFrame, queries: DataFrame, centroids: DataFrame,
     q = (probes.join(sizes, "cluster_id")
          .select("qid", "vec", "cluster_id",
                  F.explode(F.sequence(F.lit(0), F.col("nsub") - 1)).alias("sb")))
-    return _blocked_topk(p, q, ["cluster_id", "sb"], k, "l2", None)
+    return _blocked_topk(p, q, ["cluster_id", "sb"], k, "l2", None, schema)
 
 
 # --------------------------------------------------------------------------

@@ -14,6 +14,7 @@ from quarry.functions import text as T
 from quarry.plans.sizing import maybe_broadcast
 
 
+SHORT_KEY = 8  # characters
 TEXT_TABLES = ("documents", "pages", "conversations")
 
 
@@ -59,8 +60,8 @@ def gold(spark, sf_dir, anchor: int = 4) -> DataFrame:
     whitespace tokens of the document, in sequence. So the join key is the
     run of up to ``anchor`` interior tokens starting at t2, matched against
     every token window of the documents; ``contains`` then verifies each
-    candidate. Questions of fewer than 3 tokens have no interior token and are
-    verified against all documents through a measured broadcast.
+    candidate. Questions of fewer than 3 tokens have no interior token: their
+    key is a run of characters. An empty question is contained in none.
     """
     from quarry.operators.index import spread
     docs = spread(table(spark, sf_dir, "documents").select(
@@ -73,7 +74,7 @@ def gold(spark, sf_dir, anchor: int = 4) -> DataFrame:
         "qid", "question", alen.alias("alen"),
         F.array_join(F.slice("t", 2, alen), " ").alias("akey"))
     lens = [r["alen"] for r in long_q.select("alen").distinct().collect()]  # <= anchor values
-    side, _ = maybe_broadcast(long_q, [F.length("question"), F.length("akey")])
+    side, _ = maybe_broadcast(long_q, [F.octet_length("question"), F.octet_length("akey")])
     dtok = docs.select("document_id", T.whitespace_tokens("text").alias("t"))
     cands = None
     for L in sorted(lens):
@@ -86,28 +87,27 @@ def gold(spark, sf_dir, anchor: int = 4) -> DataFrame:
         m = win.join(side.filter(F.col("alen") == L), "akey").select(
             "qid", "document_id", "question")
         cands = m if cands is None else cands.unionByName(m)
-    # questions of < 3 tokens have no anchor; they are checked against every
-    # document through a measured broadcast (a nested-loop join), which is
-    # only planned when such questions exist
-    short_q = qtok.filter(n < 3).select("qid", "question")
-    short = None
-    if short_q.limit(1).count() > 0:
-        short_side, ok = maybe_broadcast(short_q, [F.length("question")])
-        if not ok:
-            raise ValueError("too many questions of < 3 tokens to verify by broadcast")
-        short = docs.join(short_side, F.col("text").contains(F.col("question"))).select(
-            "qid", "document_id")
+    # questions of < 3 tokens have no anchor of whole tokens; their key is
+    # their first characters, matched against the distinct runs of as many
+    # characters of each document (only planned when such questions exist)
+    short_q = qtok.filter((n < 3) & (F.length("question") > 0)).select(
+        "qid", "question", F.least(F.length("question"), F.lit(SHORT_KEY)).alias("klen"))
+    for L in sorted(r["klen"] for r in short_q.select("klen").distinct().collect()):  # <= SHORT_KEY values
+        keyed = short_q.filter(F.col("klen") == L).select("qid", "question", F.left("question", F.lit(L)).alias("key"))
+        runs = docs.select("document_id", F.explode_outer(F.array_distinct(F.transform(
+            F.sequence(F.lit(1), F.greatest(F.length("text") - L + 1, F.lit(1))),
+            lambda i: F.substring("text", i, F.lit(L))))).alias("key"))
+        m = runs.join(keyed, "key").select("qid", "document_id", "question")
+        cands = m if cands is None else cands.unionByName(m)
     if cands is None:
-        return short.distinct() if short is not None else spark.createDataFrame(
-            [], "qid long, document_id long")
+        return spark.createDataFrame([], "qid long, document_id long")
     # verify candidates (anchor hits, not all windows) against the full text;
     # the candidate set depends on the corpus, so it is not measured up front:
     # Spark plans the lookup join and AQE broadcasts it at run time when small
     cands = cands.distinct()
     verified = docs.join(cands, "document_id").filter(
         F.col("text").contains(F.col("question"))).select("qid", "document_id")
-    out = verified if short is None else verified.unionByName(short)
-    return out.distinct()
+    return verified.distinct()
 
 
 def qa(spark, sf_dir) -> DataFrame:

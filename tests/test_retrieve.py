@@ -1,6 +1,7 @@
 """Sparse and dense top-k against brute-force Python models."""
 
 import math
+import random
 from collections import Counter
 
 import numpy as np
@@ -34,8 +35,8 @@ def py_bm25(docs, query, k1=1.5, b=0.75, eps=0.25):
         c = Counter(t)
         s = sum(idf.get(q, 0) * c[q] * (k1 + 1) / (c[q] + k1 * (1 - b + b * len(t) / avgdl))
                 for q in query.split())
-        # documents sharing a query term, unless their score is negative
-        if any(q in c for q in query.split()) and s >= 0:
+        # documents sharing a query term
+        if any(q in c for q in query.split()):
             out[d] = round(s, 6)
     return out
 
@@ -152,6 +153,81 @@ def test_bm25_pad_zero(spark, corpus, questions):
     assert [r.document_id for r in zebra] == [1, 2, 3, 5] and all(r.score == 0 for r in zebra)
 
 
+def test_bm25_ranks_negative_scores(spark):
+    """Terms in more than half of the documents: three matches below zero, one
+    document that shares nothing."""
+    rows = [(1, "c c c", "x"), (2, "c c", "y x"), (3, "z", "w"), (4, "c", "v u x y")]
+    docs = spark.createDataFrame([(f"k{d}", d, "t", a + " " + b) for d, a, b in rows],
+                                 "dkey string, document_id long, title string, ptext string")
+    q = spark.createDataFrame([(1, "c x"), (2, "nothing")], "qid long, question string")
+    index = I.build_bm25(docs)
+    scores = {r.document_id: r.score for r in R.bm25_scores(index, q).collect()}
+    assert set(scores) == {1, 2, 4}
+    # make the floor negative whatever the small corpus gives
+    index.terms = index.terms.withColumn("idf", F.lit(-0.1))
+    scores = py = {r.document_id: round(r.score, 6) for r in R.bm25_scores(index, q).collect()}
+    assert max(py.values()) < 0
+    got = [r.document_id for r in R.bm25_topk(index, q, k=4).orderBy("rank").collect() if r.qid == 1]
+    assert got == sorted(scores, key=lambda d: (-scores[d], d))
+    padded = R.bm25_topk(index, q, k=4, pad_zero=True, docs=docs).orderBy("qid", "rank").collect()
+    assert [r.document_id for r in padded if r.qid == 1] == [3, *got]
+    assert [(r.document_id, r.score) for r in padded if r.qid == 2] == [(d, 0.0) for d in (1, 2, 3, 4)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_bm25_padding_matches_model(spark, seed):
+    rng = random.Random(seed)
+    docs = {i * 3: " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 5))) for i in range(25)}
+    queries = {1: "a b", 2: "h", 3: "zz", 4: "a b c d e f g h"}
+    frame = spark.createDataFrame([(f"k{d}", d, "t", t) for d, t in docs.items()],
+                                  "dkey string, document_id long, title string, ptext string")
+    qs = spark.createDataFrame(list(queries.items()), "qid long, question string")
+    got = R.bm25_topk(I.build_bm25(frame), qs, k=8, pad_zero=True, docs=frame).collect()
+    for q, text in queries.items():
+        scores = {**dict.fromkeys(docs, 0.0), **py_bm25(docs, text)}
+        assert [r.document_id for r in sorted(got, key=lambda r: r.rank) if r.qid == q] == [
+            d for d, _ in expected_topk(scores, 8)]
+
+
+@pytest.mark.parametrize("stream", [True, False])
+@pytest.mark.parametrize("grouped", [None, "document_id"])
+def test_dense_takes_string_ids(spark, stream, grouped):
+    rng = random.Random(8)
+    vec = lambda: [rng.choice([-1.0, 0.0, 1.0]) for _ in range(4)]
+    # one document holds half of all passages
+    p = [(f"p{i}", "hot" if i % 2 else f"d{i % 7}é", vec()) for i in range(60)]
+    q = [(f"q{i}", vec()) for i in range(5)]
+    passages = spark.createDataFrame(p, "pid string, document_id string, vec array<double>")
+    queries = spark.createDataFrame(q, "qid string, vec array<double>")
+    got = R.dense_topk(passages, queries, k=3, group_col=grouped, rows_per_block=7, queries_per_block=2,
+                       stream=stream).collect()
+    for qid, v in q:
+        rows = sorted((-sum(a * b for a, b in zip(v, w)), doc if grouped else pid, pid) for pid, doc, w in p)
+        seen, want = set(), []
+        for _, group, pid in rows:
+            if group not in seen:
+                seen.add(group)
+                want.append(pid)
+        assert [r.pid for r in sorted(got, key=lambda r: r.rank) if r.qid == qid] == want[:3]
+
+
+def test_ivf_takes_string_ids_and_bounds_centroids(spark):
+    vecs = [(f"p{i}", [float(i % 3), float(i % 5)]) for i in range(30)]
+    passages = spark.createDataFrame(vecs, "pid string, vec array<double>")
+    cents = spark.createDataFrame([(0, [0.0, 0.0]), (1, [2.0, 4.0])], "cluster_id int, centroid array<double>")
+    queries = passages.limit(4).withColumnRenamed("pid", "qid")
+    a, b = (sorted(map(tuple, R.ivf_topk(R.ivf_assign(passages, cents), queries, cents, k=3, nprobe=2,
+                                         rows_per_block=5, stream=s).select("qid", "rank", "pid").collect()))
+            for s in (True, False))
+    assert a == b and len(a) == 12
+    spark.conf.set("quarry.broadcast.maxBytes", "10")
+    try:
+        with pytest.raises(ValueError, match="centroids"):
+            R.ivf_assign(passages, cents)
+    finally:
+        spark.conf.unset("quarry.broadcast.maxBytes")
+
+
 def py_tfidf_scores(ptext, queries, max_features):
     import math
     from collections import Counter
