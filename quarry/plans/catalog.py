@@ -718,7 +718,7 @@ def q_s4(spark, sf) -> DataFrame:
     from quarry.sources import io
     src = fx.corpus(spark, sf)
     root = io.scratch_path(spark, "indexes")
-    idx, _ = io.bm25_persistent(spark, src, I.prepare_corpus(src), root=root)
+    idx, _ = io.bm25_persistent(spark, src, root=root)
     return R.bm25_topk(idx, fx.questions(spark, sf), k=10)
 
 
@@ -766,7 +766,7 @@ def q_p12(spark, sf) -> DataFrame:
 def q_s4t(spark, sf) -> DataFrame:
     from quarry.sources import io
     src = fx.corpus(spark, sf)
-    idx = io.tfidf_persistent(spark, src, I.prepare_corpus(src), root=io.scratch_path(spark, "ix"))
+    idx = io.tfidf_persistent(spark, src, root=io.scratch_path(spark, "ix"))
     return R.tfidf_topk(idx, fx.questions(spark, sf), k=10)
 
 

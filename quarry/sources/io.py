@@ -76,22 +76,29 @@ def read_passages(spark: SparkSession, path: str) -> DataFrame:
 
 # ---------------------------------------------------------------- S4 index tables
 
-def input_fingerprint(spark: SparkSession, df: DataFrame, params: dict) -> str:
-    """Fingerprint of build parameters and input files (path, size, mtime).
-
-    File metadata comes from the binaryFile source with its content column
-    pruned and is hashed in an order-independent aggregate on the
-    executors; the driver receives three numbers, not one row per file."""
+def source_version(spark: SparkSession, df: DataFrame, version: str | None = None) -> str:
+    """What identifies the content of ``df``: ``version`` if given, else the
+    paths, sizes and times of its input files.
+
+    The paths are listed on the driver, as Spark's own scan lists them; sizes
+    and times are hashed on the executors. A frame without input files (made
+    in memory) has no identity of its own and needs a ``version``.
+    """
+    if version is not None:
+        return f"version:{version}"
     files = df.inputFiles()
-    meta = None
-    if files:
-        h = F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")
-        r = (spark.read.format("binaryFile").load(files)
-                  .select("path", "length", "modificationTime")
-                  .agg(F.count(F.lit(1)).alias("n"), F.sum(h).alias("h"),
-                       F.sum("length").alias("bytes")).first())
-        meta = [r["n"], str(r["h"]), r["bytes"]]
-    blob = json.dumps({"params": params, "files": meta}, sort_keys=True, default=str)
+    if not files:
+        raise ValueError("a source without files needs an explicit version")
+    h = F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")
+    r = (spark.read.format("binaryFile").load(files)
+              .select("path", "length", "modificationTime")
+              .agg(F.count(F.lit(1)).alias("n"), F.sum(h).alias("h"),
+                   F.sum("length").alias("bytes")).first())
+    return f"files:{r['n']}:{r['h']}:{r['bytes']}"
+
+
+def fingerprint(parameters: dict) -> str:
+    blob = json.dumps(parameters, sort_keys=True)
     return hashlib.sha256(blob.encode()).hexdigest()[:20]
 
 
@@ -118,50 +125,149 @@ def load_or_build(spark: SparkSession, name: str, fingerprint: str,
     return {t: spark.read.parquet(os.path.join(base, t)) for t in tables}
 
 
-def _bucketed_table(spark: SparkSession, name: str, path: str, df: DataFrame | None,
-                    key: str, buckets: int) -> DataFrame:
-    """A table stored at ``path`` and bucketed by ``key``: written once with
-    ``bucketBy`` (when ``df`` is given) and re-registered over the same files
-    in a later session, so scans report hash partitioning by ``key`` and
-    aggregates or joins on it need no shuffle."""
-    if df is not None:
-        (df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
-           .option("path", path).saveAsTable(name))
-    elif not spark.catalog.tableExists(name):
-        schema = spark.read.parquet(path).schema
-        cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-        spark.sql(f"CREATE TABLE {name} ({cols}) USING parquet "
-                  f"CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{path}'")
-    return spark.table(name)
-
-
-def bm25_persistent(spark: SparkSession, docs_source: DataFrame, prepared: DataFrame,
-                    params: dict | None = None, root: str | None = None,
-                    buckets: int | None = None):
-    """S4 for BM25: postings (bucketed by the document key), term statistics,
-    corpus statistics and the document table, reused across runs while
-    inputs and parameters match. Scoring against the bucketed postings
-    groups per (question, document) without a shuffle."""
+class IndexHome:
+    """Where one stored index lives: ``root/method/fingerprint``.
+
+    The fingerprint covers the source's content and every parameter of
+    preparation and scoring. A manifest table, written last, marks the index
+    complete and keeps what a later session must not guess: the number of
+    buckets and the corpus scalars.
+    """
+
+    def __init__(self, spark: SparkSession, method: str, parameters: dict, root: str | None):
+        self.spark = spark
+        self.base = os.path.join(root or os.path.join(shared_dir(spark), "indexes"), method,
+                                 fingerprint({**parameters, "method": method}))
+        # one catalog name per place, so that equal indexes under two roots differ
+        self.name = f"quarry_{method}_{hashlib.sha256(self.base.encode()).hexdigest()[:20]}"
+
+    def path(self, table: str) -> str:
+        return os.path.join(self.base, table)
+
+    def read(self, table: str) -> DataFrame:
+        return self.spark.read.parquet(self.path(table))
+
+    def write(self, table: str, df: DataFrame) -> DataFrame:
+        df.write.mode("overwrite").parquet(self.path(table))
+        return self.read(table)
+
+    def manifest(self) -> dict | None:
+        if not _exists(self.spark, self.path("manifest")):
+            return None
+        return json.loads(self.read("manifest").first()["value"])
+
+    def finish(self, **values) -> dict:
+        self.spark.createDataFrame([(json.dumps(values),)], "value string") \
+            .write.mode("overwrite").parquet(self.path("manifest"))
+        return values
+
+    def write_bucketed(self, table: str, df: DataFrame, key: str, buckets: int) -> None:
+        """One file per bucket, hashed and sorted by ``key``."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{table}")
+        (df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+           .option("path", self.path(table)).saveAsTable(f"{self.name}_{table}"))
+
+    def read_bucketed(self, table: str, key: str, buckets: int) -> DataFrame:
+        """The table with its bucketing known to the planner, so scans report
+        hash partitioning by ``key``; registered again in a new session."""
+        name = f"{self.name}_{table}"
+        if not self.spark.catalog.tableExists(name):
+            schema = self.read(table).schema
+            cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+            self.spark.sql(f"CREATE TABLE {name} ({cols}) USING parquet CLUSTERED BY ({key}) "
+                           f"SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{self.path(table)}'")
+        return self.spark.table(name)
+
+
+def _tokenizer_name(tokenizer, name: str | None) -> str:
+    from quarry.operators.index import default_tokenizer
+    if tokenizer is default_tokenizer:
+        return "whitespace"
+    if not name:
+        raise ValueError("a tokenizer of your own needs a tokenizer_name, which identifies it")
+    return f"own:{name}"
+
+
+def _prepared(home: IndexHome, source: DataFrame, preparation: dict) -> DataFrame:
+    """The prepared documents, written once; everything else reads them."""
     from quarry.operators import index as I
-    params = dict(params or {}, method="bm25")
-    fp = input_fingerprint(spark, docs_source, params)
-    n_buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = os.path.join(root or os.path.join(shared_dir(spark), "indexes"), "bm25", fp)
-    name = f"quarry_bm25_postings_{fp}"
-    done = os.path.join(base, "stats")
-    if not _exists(spark, done):
-        idx = I.build_bm25(prepared)
-        prepared.select("dkey", "document_id", "title", "ptext").write.mode("overwrite").parquet(
-            os.path.join(base, "docs"))
-        _bucketed_table(spark, name, os.path.join(base, "postings"), idx.postings, "dkey", n_buckets)
-        idx.terms.write.mode("overwrite").parquet(os.path.join(base, "terms"))
-        spark.createDataFrame([(idx.n_docs, float(idx.avgdl))], "n_docs long, avgdl double") \
-            .write.mode("overwrite").parquet(done)
-    postings = _bucketed_table(spark, name, os.path.join(base, "postings"), None, "dkey", n_buckets)
-    st = spark.read.parquet(done).first()
-    idx = I.Bm25Index(postings, spark.read.parquet(os.path.join(base, "terms")),
-                      int(st["n_docs"]), float(st["avgdl"]))
-    return idx, spark.read.parquet(os.path.join(base, "docs"))
+    return home.write("docs", I.prepare_corpus(source, **preparation).select(
+        "dkey", "document_id", "title", "ptext"))
+
+
+def bm25_persistent(spark: SparkSession, source: DataFrame, root: str | None = None,
+                    preparation: dict | None = None, k1: float = 1.5, b: float = 0.75,
+                    epsilon: float = 0.25, tokenizer=None, tokenizer_name: str | None = None,
+                    buckets: int | None = None, version: str | None = None):
+    """S4 for BM25: ``(index, prepared documents)`` over the corpus ``source``
+    (``document_id, title, text``), reused while the source's content and all
+    parameters are the same.
+
+    ``preparation`` holds the keyword arguments of ``prepare_corpus``. The
+    corpus is read once per build: documents, postings (bucketed by the
+    document key, so scoring needs no shuffle of them), term statistics.
+    ``buckets`` counts for a new build only; a stored index keeps its own.
+    """
+    from quarry.operators import index as I
+    tokenizer = tokenizer or I.default_tokenizer
+    preparation = preparation or {}
+    home = IndexHome(spark, "bm25", {
+        "source": source_version(spark, source, version), "preparation": preparation, "k1": k1, "b": b,
+        "epsilon": epsilon, "tokenizer": _tokenizer_name(tokenizer, tokenizer_name)}, root)
+    kept = home.manifest()
+    if kept is None:
+        n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        docs = _prepared(home, source, preparation)
+        home.write_bucketed("postings", I._postings_with_marker(docs, tokenizer(F.col("ptext"))), "dkey", n)
+        idx = I.bm25_from_postings(home.read_bucketed("postings", "dkey", n), tokenizer, k1, b, epsilon)
+        home.write("terms", idx.terms)
+        kept = home.finish(buckets=n, n_docs=idx.n_docs, avgdl=float(idx.avgdl))
+    postings = home.read_bucketed("postings", "dkey", kept["buckets"]).filter(F.col("term").isNotNull())
+    return (I.Bm25Index(postings, home.read("terms"), kept["n_docs"], kept["avgdl"], k1, b, tokenizer),
+            home.read("docs"))
+
+
+def tfidf_persistent(spark: SparkSession, source: DataFrame, root: str | None = None,
+                     preparation: dict | None = None, ngram_max: int = 2, max_features: int = 50000,
+                     tokenizer=None, tokenizer_name: str | None = None,
+                     buckets: int | None = None, version: str | None = None):
+    """S4 for TF-IDF: normalised weights (bucketed by the document key), the
+    vocabulary with idf, and N; reused as :func:`bm25_persistent`."""
+    from quarry.operators import index as I
+    tokenizer = tokenizer or I.default_tokenizer
+    preparation = preparation or {}
+    home = IndexHome(spark, "tfidf", {
+        "source": source_version(spark, source, version), "preparation": preparation,
+        "ngram_max": ngram_max, "max_features": max_features,
+        "tokenizer": _tokenizer_name(tokenizer, tokenizer_name)}, root)
+    kept = home.manifest()
+    if kept is None:
+        n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        idx = I.build_tfidf(_prepared(home, source, preparation), tokenizer, ngram_max, max_features)
+        home.write_bucketed("weights", idx.weights, "dkey", n)
+        home.write("vocab", idx.vocab)
+        kept = home.finish(buckets=n, n_docs=idx.n_docs)
+    return I.TfidfIndex(home.read_bucketed("weights", "dkey", kept["buckets"]), home.read("vocab"),
+                        kept["n_docs"], ngram_max, tokenizer)
+
+
+def ivf_persistent(spark: SparkSession, passages: DataFrame, centroids: DataFrame,
+                   root: str | None = None, version: str | None = None):
+    """S4 for IVF: the centroid table and the passage vectors with their
+    cluster, written partitioned by ``cluster_id`` (one file per cluster) so
+    that probing a few clusters reads only their files. The centroids' values
+    are part of the fingerprint."""
+    from quarry.operators import retrieve as R
+    h = F.xxhash64("cluster_id", "centroid").cast("decimal(38,0)")
+    c = centroids.agg(F.count(F.lit(1)).alias("n"), F.sum(h).alias("h")).first()
+    home = IndexHome(spark, "ivf", {"source": source_version(spark, passages, version),
+                                    "centroids": [c["n"], str(c["h"])]}, root)
+    if home.manifest() is None:
+        R.ivf_assign(passages, centroids).repartition("cluster_id").write.mode("overwrite").partitionBy(
+            "cluster_id").parquet(home.path("vectors"))
+        home.write("centroids", centroids)
+        home.finish(clusters=c["n"])
+    return home.read("vectors"), home.read("centroids")
 
 
 # ---------------------------------------------------------------- S5, S6 JSON
@@ -243,44 +349,3 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
     """A fresh folder in the shared directory for round trips; removed with
     the application's intermediate tables."""
     return os.path.join(stage_root(spark), "scratch", uuid.uuid4().hex, *parts)
-
-
-def tfidf_persistent(spark: SparkSession, docs_source: DataFrame, prepared: DataFrame,
-                     params: dict | None = None, root: str | None = None,
-                     buckets: int | None = None):
-    """S4 for TF-IDF: normalised weights (bucketed by the document key, so
-    scoring from them needs no shuffle), the vocabulary with idf, and N."""
-    from quarry.operators import index as I
-    params = dict(params or {}, method="tfidf")
-    fp = input_fingerprint(spark, docs_source, params)
-    kw = {k: v for k, v in params.items() if k in ("ngram_max", "max_features")}
-    n_buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = os.path.join(root or os.path.join(shared_dir(spark), "indexes"), "tfidf", fp)
-    name = f"quarry_tfidf_weights_{fp}"
-    done = os.path.join(base, "stats")
-    if not _exists(spark, done):
-        idx = I.build_tfidf(prepared, **kw)
-        _bucketed_table(spark, name, os.path.join(base, "weights"), idx.weights, "dkey", n_buckets)
-        idx.vocab.write.mode("overwrite").parquet(os.path.join(base, "vocab"))
-        spark.createDataFrame([(idx.n_docs,)], "n_docs long").write.mode("overwrite").parquet(done)
-    weights = _bucketed_table(spark, name, os.path.join(base, "weights"), None, "dkey", n_buckets)
-    return I.TfidfIndex(weights, spark.read.parquet(os.path.join(base, "vocab")),
-                        int(spark.read.parquet(done).first()["n_docs"]), kw.get("ngram_max", 2))
-
-
-def ivf_persistent(spark: SparkSession, passages: DataFrame, centroids: DataFrame,
-                   params: dict | None = None, root: str | None = None):
-    """S4 for IVF: the centroid table and the passage vectors with their
-    cluster, written partitioned by ``cluster_id`` so that probing a few
-    clusters reads only their files (partition pruning on the probe join)."""
-    from quarry.operators import retrieve as R
-    params = dict(params or {}, method="ivf")
-    fp = input_fingerprint(spark, passages, params)
-    base = os.path.join(root or os.path.join(shared_dir(spark), "indexes"), "ivf", fp)
-    done = os.path.join(base, "centroids")
-    if not _exists(spark, done):
-        R.ivf_assign(passages, centroids).write.mode("overwrite").partitionBy(
-            "cluster_id").parquet(os.path.join(base, "vectors"))
-        centroids.write.mode("overwrite").parquet(done)
-    return (spark.read.parquet(os.path.join(base, "vectors")),
-            spark.read.parquet(done))

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.sources import io
@@ -46,24 +47,95 @@ def test_metrics_table(spark):
     assert sorted(tuple(r) for r in io.metrics_table(m).collect()) == [("eval_em", 0.5), ("eval_f1", 0.25)]
 
 
-def test_bm25_persistent_reloads_bucketed(spark, tmp_path):
-    from quarry.operators import index as I
-    from quarry.operators import retrieve as R
-    corpus = spark.createDataFrame([(1, "a", "red fox jumps"), (2, "b", "lazy dog sleeps"),
-                                    (3, "c", "red dog runs")], "document_id long, title string, text string")
+CORPUS = [(1, "a", "red fox jumps #1 ábc"), (2, "b", "lazy dog sleeps"), (3, "c", "red dog runs dog")]
+CORPUS += [(10 + i, "t", f"word{i % 7} red text number {i}") for i in range(60)]
+SCHEMA = "document_id long, title string, text string"
+
+
+@pytest.fixture
+def stored(spark, tmp_path):
+    """A corpus in files, a question, and a forgetful catalog."""
     path = str(tmp_path / "c.parquet")
-    corpus.write.parquet(path)
-    src = spark.read.parquet(path)
-    q = spark.createDataFrame([(1, "red dog")], "qid long, question string")
-    idx, _ = io.bm25_persistent(spark, src, I.prepare_corpus(src), root=str(tmp_path / "ix"), buckets=4)
-    first = sorted(tuple(r) for r in R.bm25_topk(idx, q, k=3).collect())
-    # a new catalog (another session) only has the files: drop the external
-    # table entry and load again
-    name = [t.name for t in spark.catalog.listTables() if t.name.startswith("quarry_bm25_postings_")][0]
-    spark.sql(f"DROP TABLE {name}")
-    idx2, _ = io.bm25_persistent(spark, src, I.prepare_corpus(src), root=str(tmp_path / "ix"), buckets=4)
-    assert sorted(tuple(r) for r in R.bm25_topk(idx2, q, k=3).collect()) == first
-    assert [r[2] for r in sorted(first, key=lambda r: r[1])][:1] == [3]   # (qid, rank, document_id, score)
+    spark.createDataFrame(CORPUS, SCHEMA).write.parquet(path)
+    q = spark.createDataFrame([(1, "red dog"), (2, "word3 text")], "qid long, question string")
+
+    def forget():
+        for t in spark.catalog.listTables():
+            if t.name.startswith("quarry_"):
+                spark.sql(f"DROP TABLE {t.name}")
+    forget()
+    return spark.read.parquet(path), q, str(tmp_path / "ix"), forget
+
+
+def top(idx, q, k=50):
+    from quarry.operators import retrieve as R
+    from quarry.operators.index import Bm25Index
+    f = R.bm25_topk if isinstance(idx, Bm25Index) else R.tfidf_topk
+    return sorted(map(tuple, f(idx, q, k=k).collect()))
+
+
+@pytest.mark.parametrize("method", ["bm25", "tfidf"])
+def test_reopened_with_fewer_buckets_keeps_all_documents(spark, stored, method):
+    src, q, root, forget = stored
+    open_ = {"bm25": lambda **kw: io.bm25_persistent(spark, src, root, **kw)[0],
+             "tfidf": lambda **kw: io.tfidf_persistent(spark, src, root, **kw)}[method]
+    first = top(open_(buckets=7), q)
+    forget()  # a new session has the files only
+    again = open_(buckets=3)
+    table = again.postings if method == "bm25" else again.weights
+    assert table.select("dkey").distinct().count() == table.groupBy("dkey").count().count() == len(CORPUS)
+    assert top(again, q) == first and len(first) > 50
+
+
+def test_other_parameters_get_another_index(spark, stored):
+    src, q, root, _ = stored
+    base, _ = io.bm25_persistent(spark, src, root)
+    other, docs = io.bm25_persistent(spark, src, root, preparation={"no_other_languages": True})
+    assert base.terms.filter("term = 'ábc'").count() == 1 and other.terms.filter("term = 'ábc'").count() == 0
+    assert docs.count() == len(CORPUS)
+    tuned, _ = io.bm25_persistent(spark, src, root, k1=0.9, b=0.1)
+    assert (tuned.k1, tuned.b) == (0.9, 0.1) and top(tuned, q) != top(base, q)
+    again, _ = io.bm25_persistent(spark, src, root, k1=0.9, b=0.1)
+    assert (again.k1, again.b) == (0.9, 0.1) and top(again, q) == top(tuned, q)
+
+
+def test_own_tokenizer_is_named_and_kept(spark, stored):
+    src, q, root, _ = stored
+    chars = lambda c: F.filter(F.split(c, ""), lambda x: x.rlike("[a-z]"))
+    with pytest.raises(ValueError, match="tokenizer_name"):
+        io.bm25_persistent(spark, src, root, tokenizer=chars)
+    for _ in range(2):
+        idx, _ = io.bm25_persistent(spark, src, root, tokenizer=chars, tokenizer_name="letters")
+        assert idx.tokenizer is chars and idx.terms.filter("length(term) > 1").count() == 0
+        assert len(top(idx, q)) > 50
+
+
+def test_other_corpora_and_roots(spark, stored, tmp_path):
+    src, q, root, _ = stored
+    memory = spark.createDataFrame([(1, "t", "only here")], SCHEMA)
+    with pytest.raises(ValueError, match="version"):
+        io.bm25_persistent(spark, memory, root)
+    a, _ = io.bm25_persistent(spark, memory, root, version="1")
+    b, _ = io.bm25_persistent(spark, spark.createDataFrame([(1, "t", "and there")], SCHEMA), root, version="2")
+    assert a.terms.filter("term = 'here'").count() == 1 and b.terms.filter("term = 'there'").count() == 1
+    c, _ = io.bm25_persistent(spark, src, root)
+    d, _ = io.bm25_persistent(spark, src, str(tmp_path / "elsewhere"))
+    assert top(c, q) == top(d, q)
+    assert c.postings.inputFiles() and not set(c.postings.inputFiles()) & set(d.postings.inputFiles())
+
+
+def test_ivf_index_follows_its_centroids(spark, tmp_path):
+    path = str(tmp_path / "v.parquet")
+    spark.createDataFrame([(i, [float(i), 0.0]) for i in range(10)], "pid long, vec array<double>").write.parquet(path)
+    p = spark.read.parquet(path)
+    root = str(tmp_path / "ix")
+    counts = []
+    for cut in (2.0, 8.0):
+        cents = spark.createDataFrame([(0, [0.0, 0.0]), (1, [2 * cut, 0.0])], "cluster_id int, centroid array<double>")
+        vectors, back = io.ivf_persistent(spark, p, cents, root)
+        assert back.count() == 2
+        counts.append(vectors.filter("cluster_id = 0").count())
+    assert counts == [3, 9]
 
 
 def test_write_predictions_three_outputs(spark, tmp_path):
