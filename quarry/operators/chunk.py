@@ -5,9 +5,10 @@ Window arithmetic is closed-form, so one input row becomes its windows through
 
 Dense passage ids (C2) need a global running count in document order. A
 single ordered window would pull every row into one task; instead the order
-key is cut into ranges by approximate quantiles (n_ranges scalars), each
-range counts its rows (one tiny table), the range totals are prefix-summed,
-and the running count inside a range is a window partitioned by range.
+key is cut into ranges by approximate quantiles (as many as the row count
+asks for), each range counts its rows (one tiny table), the range totals are
+prefix-summed, and the running count inside a range is a window partitioned by
+range. Only keys and counts take part; texts are joined to the result.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.session import materialize
+
 
 def window_count(n: Column, W, S) -> Column:
     """Number of windows of ``W`` tokens with overlap ``S`` over ``n`` tokens:
@@ -46,35 +49,45 @@ def passages(df: DataFrame, tokens_col: str, W: int = 150, S: int = 50,
         *keep, "window_index", F.array_join("_w", " ").alias("text"))
 
 
-def with_dense_offset(df: DataFrame, order_col: str, count: Column,
-                      n_ranges: int | None = None, offset: str = "offset",
-                      bounds_from: DataFrame | None = None) -> DataFrame:
-    """Adds ``offset`` = sum of ``count`` over rows with a smaller
-    ``order_col`` (unique per row). Distributed two-level prefix sum.
+ROWS_PER_RANGE = 1_000_000
+
+
+def dense_offsets(narrow: DataFrame, order_col: str, count: str, offset: str = "offset",
+                  n_ranges: int | None = None) -> DataFrame:
+    """``narrow`` (``order_col``, unique, ``count`` and whatever else) with
+    ``offset`` = sum of ``count`` over rows with a smaller ``order_col``.
 
-    ``n_ranges`` defaults to ``spark.sql.shuffle.partitions`` (at least 64),
-    so each range window is one task of about N / n_ranges rows. The range
-    boundaries only balance work (any boundaries give the same offsets), so
-    they may come from a cheaper frame holding the same key, e.g. the
-    source table before cleaning (``bounds_from``; one column is read).
+    Distributed two-level prefix sum: rows are cut into ranges of about
+    ``ROWS_PER_RANGE`` rows (``n_ranges`` overrides that), each range is
+    summed, and the running sum inside a range is a window over it. The
+    boundaries are approximate quantiles of the key; any would give the same
+    offsets. Give it a stored table of few columns: it is read four times and
+    all its columns go through the range exchange.
     """
     if n_ranges is None:
-        n_ranges = max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        n_ranges = max(1, -(-narrow.count() // ROWS_PER_RANGE))
     fracs = [i / n_ranges for i in range(1, n_ranges)]
-    # range boundaries: n_ranges - 1 approximate quantiles (scalars) of the
-    # order key; range index = number of boundaries <= key
-    src = (bounds_from if bounds_from is not None else df).select(order_col)
-    bounds = sorted(set(src.approxQuantile(order_col, fracs, 1.0 / (4 * n_ranges)))) if fracs else []
-    ranged = _range_index(df.withColumn("_cnt", count), order_col, bounds)
-    totals = ranged.groupBy("_rg").agg(F.sum("_cnt").alias("_rt"))
+    bounds = sorted(set(narrow.approxQuantile(order_col, fracs, 1.0 / (4 * n_ranges)))) if fracs else []
+    ranged = _range_index(narrow, order_col, bounds)
+    totals = ranged.groupBy("_rg").agg(F.sum(count).alias("_rt"))
     # at most n_ranges rows: the ordered window over them is one small task
     before = Window.orderBy("_rg").rowsBetween(Window.unboundedPreceding, -1)
     roff = totals.select("_rg", F.coalesce(F.sum("_rt").over(before), F.lit(0)).alias("_ro"))
     inside = Window.partitionBy("_rg").orderBy(order_col).rowsBetween(
         Window.unboundedPreceding, -1)
-    out = ranged.join(F.broadcast(roff), "_rg").withColumn(
-        offset, (F.col("_ro") + F.coalesce(F.sum("_cnt").over(inside), F.lit(0))).cast("long"))
-    return out.drop("_rg", "_cnt", "_ro")
+    return ranged.join(F.broadcast(roff), "_rg").withColumn(
+        offset, (F.col("_ro") + F.coalesce(F.sum(count).over(inside), F.lit(0))).cast("long")
+    ).drop("_rg", "_ro")
+
+
+def with_dense_offset(df: DataFrame, order_col: str, count: Column,
+                      n_ranges: int | None = None, offset: str = "offset") -> DataFrame:
+    """Adds ``offset`` = sum of ``count`` over rows with a smaller
+    ``order_col`` (unique per row). The rows are stored once; keys and counts
+    alone are ranged and summed, and the offsets are joined back."""
+    stored = materialize(df.withColumn("_cnt", count), "numbered-rows")
+    offsets = dense_offsets(stored.select(order_col, "_cnt"), order_col, "_cnt", offset, n_ranges)
+    return stored.drop("_cnt").join(offsets.drop("_cnt"), order_col)
 
 
 def _range_index(df: DataFrame, col: str, bounds: list[float]) -> DataFrame:
@@ -92,13 +105,12 @@ def _range_index(df: DataFrame, col: str, bounds: list[float]) -> DataFrame:
 def numbered_passages(df: DataFrame, tokens_col: str, W: int = 150, S: int = 50,
                       order_col: str = "document_id",
                       keep: tuple[str, ...] = ("document_id", "title"),
-                      n_ranges: int | None = None,
-                      bounds_from: DataFrame | None = None) -> DataFrame:
+                      n_ranges: int | None = None) -> DataFrame:
     """Passages with a dense global ``passage_id`` in (order_col, window)
     order, starting at 0."""
     _check(W, S)
     n = window_count(F.size(tokens_col), W, S)
-    base = with_dense_offset(df, order_col, n, n_ranges, bounds_from=bounds_from)
+    base = with_dense_offset(df, order_col, n, n_ranges)
     wins = token_windows(F.col(tokens_col), W, S)
     return base.select(*keep, "offset", F.posexplode_outer(wins).alias("window_index", "_w")).select(
         (F.col("offset") + F.col("window_index")).alias("passage_id"), *keep,

@@ -167,8 +167,7 @@ def q_c1(spark, sf) -> DataFrame:
 @register("c2_passage_ids")
 def q_c2(spark, sf) -> DataFrame:
     from quarry.operators import chunk as C
-    p = C.numbered_passages(_clean_docs(spark, sf), "toks", 150, 50, n_ranges=16,
-                            bounds_from=fx.corpus(spark, sf))
+    p = C.numbered_passages(_clean_docs(spark, sf), "toks", 150, 50)
     return p.select("passage_id", "document_id", "title", "window_index",
                     F.sha2("text", 256).alias("h"))
 
@@ -395,8 +394,7 @@ def q_c8(spark, sf) -> DataFrame:
 @register("c10_batch_padding")
 def q_c10(spark, sf) -> DataFrame:
     from quarry.operators import features as C
-    b = C.batch_pad(fx.mlm_rows(spark, sf), "row_id", batch_size=8, pad_to_multiple_of=8,
-                    n_ranges=8)
+    b = C.batch_pad(fx.mlm_rows(spark, sf), "row_id", batch_size=8, pad_to_multiple_of=8)
     return b.select("row_id", "row_index", "batch_id", F.size("input_ids").alias("padded_len"),
                     F.element_at("input_ids", -1).alias("last_id"))
 
@@ -417,7 +415,7 @@ def q_c13(spark, sf) -> DataFrame:
 @register("c14_causal_labels")
 def q_c14(spark, sf) -> DataFrame:
     from quarry.operators import features as C
-    b = C.batch_pad(fx.mlm_rows(spark, sf), "row_id", batch_size=8, n_ranges=8)
+    b = C.batch_pad(fx.mlm_rows(spark, sf), "row_id", batch_size=8)
     return b.select("row_id", C.causal_labels(F.col("input_ids")).alias("labels"))
 
 
@@ -707,8 +705,7 @@ def q_s3(spark, sf) -> DataFrame:
     from quarry.operators import chunk as C
     from quarry.sources import io
     path = io.scratch_path(spark, "passages")
-    io.write_passages(C.numbered_passages(_clean_docs(spark, sf), "toks", 150, 50, n_ranges=16,
-                                          bounds_from=fx.corpus(spark, sf)), path)
+    io.write_passages(C.numbered_passages(_clean_docs(spark, sf), "toks", 150, 50), path)
     p = io.read_passages(spark, path)
     return p.select("passage_id", "document_id", "title", "window_index", F.sha2("text", 256).alias("h"))
 
