@@ -805,3 +805,140 @@ def q_i6k(spark, sf) -> DataFrame:
     q, p = fx.vectors(spark, sf)
     cents = R.kmeans_centroids(p, num_clusters=10, seed=42)
     return R.ivf_assign(p, cents).select("pid", "cluster_id")
+
+
+# ------------------------------------------- rows that had no query of their own
+
+@register("t2_letter_tokenizer_terms")
+def q_t2(spark, sf) -> DataFrame:
+    """The BM25 statistics under another tokenizer (runs of letters)."""
+    letters = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0))
+    idx = I.build_bm25(I.prepare_corpus(fx.corpus(spark, sf)), tokenizer=letters)
+    return idx.terms.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+def _first_question(spark, sf) -> str:
+    """The text of the smallest benchmark item: one question for R2, R4, R10."""
+    return fx.questions(spark, sf).orderBy("qid").limit(1).first()["question"]
+
+
+def _one(spark, sf, method: str) -> DataFrame:
+    raw = fx.corpus(spark, sf)
+    top = R.retrieve_one(spark, _first_question(spark, sf), I.prepare_corpus(raw), raw, method, k=10)
+    return top.select("rank", "document_id", "score", "title", "context")
+
+
+@register("r4_r10_bm25_one_question")
+def q_r4(spark, sf) -> DataFrame:
+    return _one(spark, sf, "bm25")
+
+
+@register("r2_r10_tfidf_one_question")
+def q_r2(spark, sf) -> DataFrame:
+    return _one(spark, sf, "tfidf")
+
+
+@register("r11_method_dispatch")
+def q_r11(spark, sf) -> DataFrame:
+    """The four methods through one function, as one table."""
+    q, p = fx.vectors(spark, sf)
+    docs = I.prepare_corpus(fx.corpus(spark, sf))
+    qs = fx.questions(spark, sf)
+    out = None
+    for method in R.METHODS:
+        top = R.retrieve(qs, docs, method, k=10, passages=p, query_vectors=q,
+                         centroids=R.centroids_by_label(p))
+        top = top.select(F.lit(method).alias("method"), "qid", "rank", "document_id", "score")
+        out = top if out is None else out.unionByName(top)
+    return out
+
+
+@register("r5_bm25_padded_negative")
+def q_r5n(spark, sf) -> DataFrame:
+    """R5 on a corpus whose terms are in more than half of the documents, so
+    that scores are negative, padded to k with score-0 documents."""
+    docs, qs = fx.common_terms(spark, sf)
+    return R.bm25_topk(I.build_bm25(docs), qs, k=10, pad_zero=True, docs=docs)
+
+
+@register("r9_retrieved_with_truth")
+def q_r9t(spark, sf) -> DataFrame:
+    raw, top = _bm25_top(spark, sf, 3)
+    qs = fx.qa(spark, sf).withColumnRenamed("id", "qid")
+    t = R.retrieved_table(top, raw, qs, k=3)
+    return t.select("qid", "question", "title", "document_id", F.transform("context", lambda c: F.sha2(c, 256)).alias("context_sha"),
+                    "original_context", "original_document_id", F.element_at("answers.text", 1).alias("answer"),
+                    F.element_at("answers.answer_start", 1).alias("answer_start"))
+
+
+@register("e3_max_over_truths")
+def q_e3(spark, sf) -> DataFrame:
+    """E3 with three truths an id: the answer, its first token, the question."""
+    j = _qa_pred(spark, sf)
+    a = F.col("answers.text")[0]
+    truths = F.array(a, F.element_at(F.split(a, " "), 1), F.col("question"))
+    return j.select("id", E.max_over_truths(E.exact_match, F.col("prediction_text"), truths).alias("em"),
+                    F.round(E.max_over_truths(E.char_f1, F.col("prediction_text"), truths), 6).alias("f1"))
+
+
+@register("n4_max_context_nbest")
+def q_n4(spark, sf) -> DataFrame:
+    """Start positions whose max-context flag is absent or false go."""
+    from quarry.operators import decode as N
+    f = fx.reader_features(spark, sf)
+    kept = F.filter(F.sequence(F.lit(0), F.size("offsets") - 1), lambda p: p % 3 != 0)
+    f = f.withColumn("flags", F.map_from_arrays(F.transform(kept, lambda p: p.cast("string")),
+                                                F.transform(kept, lambda p: p % 3 == 1)))
+    return N.nbest_long(N.nbest(f, fx.qa(spark, sf), n_best=10, max_answer_length=30, max_context="flags"))
+
+
+@register("s5_nbest_json")
+def q_s5n(spark, sf) -> DataFrame:
+    """The n-best file, read back."""
+    from quarry.sources import io
+    paths = io.write_predictions(_decoded(spark, sf, v2=True), io.scratch_path(spark, "out"),
+                                 version_2_with_negative=True)
+    lists = spark.read.schema("example_id long, nbest array<struct<rank:int, text:string, probability:double>>").json(
+        paths["nbest_predictions"])
+    return lists.select("example_id", F.explode("nbest").alias("b")).select(
+        "example_id", F.col("b.rank").alias("rank"), F.col("b.text").alias("text"),
+        F.round("b.probability", 6).alias("probability"))
+
+
+@register("s5_null_odds_json")
+def q_s5o(spark, sf) -> DataFrame:
+    """The null-odds file, read back."""
+    from quarry.sources import io
+    paths = io.write_predictions(_decoded(spark, sf, v2=True), io.scratch_path(spark, "out"),
+                                 version_2_with_negative=True)
+    return spark.read.schema("example_id long, score_diff double").json(paths["null_odds"]).select(
+        "example_id", F.round("score_diff", 6).alias("score_diff"))
+
+
+@register("s9_report_file")
+def q_s9f(spark, sf) -> DataFrame:
+    """Reports with the answer (the context's first ten characters) written
+    as text and read back: every line with its count."""
+    from quarry.operators import report as RP
+    from quarry.sources import io
+    o = _overlap(spark, sf)
+    path = io.scratch_path(spark, "report.txt")
+    io.write_text(o.select(RP.overlap_report(
+        F.col("conv_id"), F.col("context"), F.col("question"), F.left("context", F.lit(10)),
+        F.col("shared"), F.col("ratio")).alias("report")), "report", path)
+    return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("i6_kmeans_assignment")
+def q_i6a(spark, sf) -> DataFrame:
+    """I6 with learned centroids: whether each vector's cluster is a nearest
+    one (to 6 places), by distances computed again from the stored centroids."""
+    q, p = fx.vectors(spark, sf)
+    cents = R.kmeans_centroids(p, num_clusters=10, seed=42)
+    own = R.ivf_assign(p, cents).select("pid", "cluster_id", F.col("vec").cast("array<double>").alias("vec"))
+    models = cents.agg(F.collect_list(F.struct("cluster_id", "centroid")).alias("m")).first()["m"]  # 10 rows
+    far = lambda c: F.aggregate(F.zip_with("vec", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    by_id = {r["cluster_id"]: F.array(*[F.lit(float(x)) for x in r["centroid"]]) for r in models}
+    nearest = F.least(*[far(c) for c in by_id.values()])
+    chosen = F.coalesce(*[F.when(F.col("cluster_id") == i, far(c)) for i, c in by_id.items()])
+    return own.select("pid", (F.abs(chosen - nearest) < 1e-6).alias("is_nearest"))

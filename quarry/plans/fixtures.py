@@ -235,3 +235,17 @@ def titles(spark, sf_dir) -> DataFrame:
     return p.select("page_id",
                     F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("title"),
                     T.collapse_ws(F.regexp_replace("html", "<[^>]*>", " ")).alias("text"))
+
+
+def common_terms(spark, sf_dir):
+    """`common_terms`: prepared documents of four words, each of which is in
+    most documents (word w in those whose id is no multiple of 2 + w), and one
+    question per benchmark item asking for two of them or for none."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"))
+    words = [F.when(F.col("document_id") % (3 + i) != 0, F.lit(w)) for i, w in enumerate(("aa", "bb", "cc", "dd"))]
+    docs = d.select(F.sha2(F.col("document_id").cast("string"), 256).alias("dkey"), "document_id",
+                    F.lit("").alias("title"), F.concat_ws(" ", *words).alias("ptext"))
+    q = table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("qid"),
+        F.when(F.col("item_id") % 3 == 0, "aa bb").when(F.col("item_id") % 3 == 1, "cc dd dd").otherwise("zz").alias("question"))
+    return docs, q

@@ -879,3 +879,104 @@ SELECT CAST(k AS INTEGER) AS k, CAST(sum(CASE WHEN first_rank <= k THEN 1 ELSE 0
        count(*) AS n_questions,
        round(sum(CASE WHEN first_rank <= k THEN 1 ELSE 0 END) / count(*), 6) AS accuracy
 FROM perq, ks GROUP BY k"""
+
+
+# ------------------------------------------- rows that had no query of their own
+
+@sql("t2_letter_tokenizer_terms")
+def _t2():
+    letters = "regexp_extract_all(lower(ptext), '[a-z]+')"
+    ctes = O.bm25_ctes().replace(f"{O.toks('ptext')} AS t FROM docs", f"{letters} AS t FROM docs")
+    assert letters in ctes
+    return f"WITH {ctes}\nSELECT term, df, round(idf, 6) AS idf FROM terms"
+
+
+def _one_question(ctes: str, scores: str) -> str:
+    return f"""WITH {ctes},
+top AS ({O.topk_select(scores, 10)})
+SELECT rank, document_id, score, d.title, d.text AS context FROM top JOIN docs d USING (document_id)
+WHERE qid = (SELECT min(item_id) FROM benchmark)"""
+
+
+SQL["r4_r10_bm25_one_question"] = _one_question(O.bm25_ctes(), "bm25")
+SQL["r2_r10_tfidf_one_question"] = _one_question(O.tfidf_ctes(), "cosine")
+
+SQL["r11_method_dispatch"] = f"""
+SELECT 'bm25' AS method, qid, rank, document_id, score FROM ({SQL['r5_bm25_topk']})
+UNION ALL SELECT 'tfidf', qid, rank, document_id, score FROM ({SQL['r3_tfidf_topk']})
+UNION ALL SELECT 'dpr', qid, rank, document_id, score FROM ({SQL['r7_dense_doc_topk']})
+UNION ALL SELECT 'faiss', qid, rank, pid, score FROM ({SQL['r8_ivf_topk']})"""
+
+
+@sql("r5_bm25_padded_negative")
+def _r5n():
+    # Okapi BM25 over every document, k1 = 1.5, b = 0.75, floor 0.25 * mean idf
+    return """WITH t AS (
+  SELECT doc_id AS document_id, list_filter(['aa', 'bb', 'cc', 'dd'], lambda w:
+           (w = 'aa' AND doc_id % 3 <> 0) OR (w = 'bb' AND doc_id % 4 <> 0) OR (w = 'cc' AND doc_id % 5 <> 0) OR (w = 'dd' AND doc_id % 6 <> 0)) AS ws
+  FROM documents),
+s AS (SELECT count(*) AS n, avg(len(ws)) AS a FROM t),
+p AS (SELECT document_id, len(ws) AS dl, unnest(ws) AS w FROM t),
+f AS (SELECT w, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT w, count(*) AS df FROM p GROUP BY w), s),
+i AS (SELECT w, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM f) ELSE raw END AS idf FROM f),
+q AS (SELECT item_id AS qid, CASE item_id % 3 WHEN 0 THEN ['aa', 'bb'] WHEN 1 THEN ['cc', 'dd', 'dd'] ELSE ['zz'] END AS ws FROM benchmark),
+qw AS (SELECT qid, unnest(ws) AS w FROM q),
+m AS (SELECT qid, document_id, sum(idf * 2.5 / (1 + 1.5 * (0.25 + 0.75 * dl / a))) AS score
+      FROM qw JOIN i USING (w) JOIN p USING (w), s GROUP BY qid, document_id),
+e AS (SELECT q.qid, t.document_id, round(coalesce(m.score, 0.0), 6) AS score
+      FROM q CROSS JOIN t LEFT JOIN m ON m.qid = q.qid AND m.document_id = t.document_id)
+SELECT qid, rank, document_id, score FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, document_id) AS INTEGER) AS rank FROM e)
+WHERE rank <= 10"""
+
+
+@sql("r9_retrieved_with_truth")
+def _r9t():
+    return f"""WITH {_bm25_top3()}, {O.qa_cte()},
+l AS (SELECT qid, list(title ORDER BY rank) AS title, list(document_id ORDER BY rank) AS document_id,
+             list(sha256(text) ORDER BY rank) AS context_sha
+      FROM top JOIN docs USING (document_id) GROUP BY qid)
+SELECT qa.id AS qid, qa.question, l.title, l.document_id, l.context_sha, qa.context AS original_context,
+       qa.document_id AS original_document_id, qa.answers.text[1] AS answer, qa.answers.answer_start[1] AS answer_start
+FROM qa LEFT JOIN l ON l.qid = qa.id"""
+
+
+@sql("e3_max_over_truths")
+def _e3():
+    truths = "[answers.text[1], string_split(answers.text[1], ' ')[1], question]"
+    return f"""WITH {_qa_pred()}
+SELECT id, list_max(list_transform({truths}, lambda g: CAST({O.p11('prediction_text')} = {O.p11('g')} AS DOUBLE))) AS em,
+       round(list_max(list_transform({truths}, lambda g: {O.char_f1('prediction_text', 'g')})), 6) AS f1 FROM j"""
+
+
+@sql("n4_max_context_nbest")
+def _n4():
+    ctes = O.nbest_ctes()
+    where = "AND e >= s AND e - s + 1 <= 30"
+    assert where in ctes
+    return f"WITH {O.qa_cte()}, {ctes.replace(where, where + ' AND s % 3 = 1')}\n{_long_select()}"
+
+
+@sql("s5_nbest_json")
+def _s5n():
+    return f"""WITH {O.qa_cte()}, {O.nbest_ctes(v2=True)}
+SELECT example_id, rank, text, probability FROM prob"""
+
+
+@sql("s5_null_odds_json")
+def _s5o():
+    return f"SELECT example_id, round(score_diff, 6) AS score_diff FROM ({SQL['n11_best_answer_negative']})"
+
+
+@sql("s9_report_file")
+def _s9f():
+    body = SQL["s9_overlap_report"].replace("' -> A: ' || chr(10)", "' -> A: ' || substring(context, 1, 10) || chr(10)")
+    assert body != SQL["s9_overlap_report"]
+    # a text file ends each report with a line feed of its own
+    return f"""SELECT line, count(*) AS n FROM (
+  SELECT unnest(string_split(report, chr(10))) AS line FROM ({body})) GROUP BY line"""
+
+
+@sql("i6_kmeans_assignment")
+def _i6a():
+    return "SELECT vec_id AS pid, TRUE AS is_nearest FROM embeddings"
