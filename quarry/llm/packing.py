@@ -67,28 +67,35 @@ def pack(sizes: list[int], sequence: int, least_cut: int = LEAST_CUT) -> list[li
     bins = [b for b in bins if b]
     bins.sort(key=lambda b: -sum(p[2] for p in b))
     free = [sequence - sum(p[2] for p in b) for b in bins]
-    wide = sum(f for f in free if f >= least_cut)
     while len(bins) > 1:
-        rest = sequence - free[-1]
-        gaps = wide - (free[-1] if free[-1] >= least_cut else 0)
-        if rest > gaps:
+        moves = _fill(bins[-1], free[:-1], least_cut)
+        if moves is None:
             break
-        moved, wide = bins.pop(), gaps - rest
+        bins.pop()
         free.pop()
-        at = 0
-        for item, start, length in moved:
-            while length:
-                while free[at] < least_cut:
-                    at += 1
-                take = min(length, free[at])
-                bins[at].append((item, start, take))
-                free[at] -= take
-                start, length = start + take, length - take
-        # a gap that became too small for a cut is room no longer
-        wide = sum(f for f in free if f >= least_cut)
+        for at, piece in moves:
+            bins[at].append(piece)
+            free[at] -= piece[2]
     return bins
 
 
+def _fill(pieces: list[tuple[int, int, int]], free: list[int], least_cut: int):
+    """Cuts of ``pieces`` for the gaps of at least ``least_cut``, as (gap,
+    piece); None if they have no room."""
+    moves, gaps, at, room = [], [g for g, f in enumerate(free) if f >= least_cut], -1, 0
+    for item, start, length in pieces:
+        while length:
+            if room < least_cut:
+                at += 1
+                if at == len(gaps):
+                    return None
+                room = free[gaps[at]]
+            take = min(length, room)
+            moves.append((gaps[at], (item, start, take)))
+            start, length, room = start + take, length - take, room - take
+    return moves
+
+
 def _deal(path: str, sequence: int, groups: int, seed: int):
     def deal(batches):
         tokenizer = tokens.load(path)

@@ -1,31 +1,70 @@
-"""Token ids of texts, for tokenizers whose pre-tokenizer drops white space.
-
-Such a tokenizer never joins what a space or line feed separates, so a text's
-ids are those of its pieces between them, one after the other. Each distinct
-piece is encoded once and its ids are kept; texts are then put together with
-numpy. The kept pieces are bounded: past ``MOST`` they are dropped.
+"""Token ids of texts, for the public tokenizer ``word_bpe_49k.json``.
+
+Its pre-tokenizer drops white space, so it never joins what a space or line
+feed separates: a text's ids are those of its pieces between them, one after
+the other. Each distinct piece is encoded once and its ids are kept; texts are
+put together with numpy. A new piece of plain Latin characters is cut further,
+as the tokenizer does after lower-casing, into words, digits and punctuation,
+which are kept too; any other piece goes to the library as it is. What is kept
+is bounded: past ``MOST`` entries it is dropped.
 """
 
 from __future__ import annotations
 
 import os
+import re
+from itertools import chain
 
 import numpy as np
 
-MOST = 300_000
+MOST = 600_000
+JOINED = 256
 END = 1  # closes every document
 
+# Characters that normalisation changes by lower-casing only, none of them
+# white space. The tokenizer's pattern, with the letters and
+# numbers that Latin-1 has.
+PLAIN = re.compile("[!-~\u00a1-\u00ff]+")
+LETTERS = "a-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+NUMBERS = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{LETTERS}{NUMBERS}]+")
+
+
+class _Numbers(dict):
+    """Numbers strings in the order in which they are first looked up."""
 
-class _Pieces(dict):
     def __init__(self):
         super().__init__()
         self.new: list[str] = []
 
-    def __missing__(self, piece: str) -> int:
-        n = self[piece] = len(self)
-        self.new.append(piece)
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        self.new.append(key)
         return n
 
+    def take_new(self) -> list[str]:
+        new, self.new = self.new, []
+        return new
+
+
+class _Rows:
+    """Rows of ids of any length."""
+
+    def __init__(self, dtype):
+        self.lengths, self.starts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, dtype)
+
+    def append(self, lengths: np.ndarray, ids: np.ndarray) -> None:
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(lengths, ids) of the given rows, one after the other."""
+        n = self.lengths[rows]
+        at = np.cumsum(n) - n
+        return n, self.ids[np.repeat(self.starts[rows] - at, n) + np.arange(int(n.sum()))]
+
 
 class WordTokenizer:
     def __init__(self, path: str, special_as_text: bool = False):
@@ -38,41 +77,59 @@ class WordTokenizer:
         self._forget()
 
     def _forget(self) -> None:
-        self.pieces = _Pieces()
-        self.lengths = np.zeros(0, np.int64)
-        self.starts = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, self.dtype)
+        self.pieces, self.parts = _Numbers(), _Numbers()
+        self.piece_ids, self.part_ids = _Rows(self.dtype), _Rows(self.dtype)
+
+    def _encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids per part, ids of all parts). Plain parts are words to the
+        library and go to it many at a time."""
+        single = np.array([not PLAIN.fullmatch(p) or "<|" in p for p in parts], bool)
+        words = np.flatnonzero(~single)
+        lengths = np.zeros(len(parts), np.int64)
+        joined = [" ".join([parts[i] for i in words[a:a + JOINED].tolist()]) for a in range(0, len(words), JOINED)]
+        found = self.tokenizer.encode_batch(joined, add_special_tokens=False)
+        for k, e in enumerate(found):
+            own = words[k * JOINED:(k + 1) * JOINED]
+            lengths[own] = np.bincount(np.array(e.word_ids, np.int64), minlength=len(own))
+        ids = np.fromiter(chain.from_iterable([e.ids for e in found]), self.dtype)
+        others = np.flatnonzero(single).tolist()
+        if not others:
+            return lengths, ids
+        rows = np.split(ids, np.cumsum(lengths)[:-1])
+        for i in others:
+            rows[i] = np.array(self.tokenizer.encode(parts[i], add_special_tokens=False).ids, self.dtype)
+            lengths[i] = len(rows[i])
+        return lengths, np.concatenate(rows)
 
     def _learn(self) -> None:
-        new, self.pieces.new = self.pieces.new, []
+        new = self.pieces.take_new()
         if not new:
             return
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), self.dtype, int(lengths.sum()))
-        starts = len(self.ids) + np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.starts = np.concatenate([self.starts, starts])
-        self.ids = np.concatenate([self.ids, flat])
+        look, plain, cut = self.parts.__getitem__, PLAIN.fullmatch, PARTS.findall
+        cuts = [[look(x) for x in cut(p.lower())] if plain(p) and "<|" not in p else [look(p)] if p else []
+                for p in new]
+        parts = self.parts.take_new()
+        if parts:
+            self.part_ids.append(*self._encode(parts))
+        counts = np.fromiter(map(len, cuts), np.int64, len(cuts))
+        lengths, ids = self.part_ids.take(np.fromiter(chain.from_iterable(cuts), np.int64))
+        ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
+        self.piece_ids.append(np.diff(ends), ids)
 
     def encode(self, texts: list[str], end: int | None = END) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, offsets); each text is
         followed by ``end`` unless that is None."""
-        if len(self.pieces) > MOST:
+        if len(self.pieces) + len(self.parts) > MOST:
             self._forget()
         look = self.pieces.__getitem__
         rows = [np.fromiter(map(look, t.replace("\n", " ").split(" ")), np.int64) for t in texts]
         self._learn()
         counts = np.array([len(r) for r in rows], np.int64)
-        pieces = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-        n = self.lengths[pieces]
-        at = np.cumsum(n) - n
-        flat = self.ids[np.repeat(self.starts[pieces] - at, n) + np.arange(int(n.sum()))]
+        n, flat = self.piece_ids.take(np.concatenate(rows) if rows else np.zeros(0, np.int64))
         ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(counts)])]
         if end is None:
             return flat, ends
-        out = np.insert(flat, ends[1:], end)
-        return out, ends + np.arange(len(ends))
+        return np.insert(flat, ends[1:], end), ends + np.arange(len(ends))
 
 
 _loaded: dict[tuple, WordTokenizer] = {}
