@@ -1,25 +1,37 @@
 """DuckDB SQL fragments that state the same derivations as the Spark
 operators, for the oracle comparison (``__spark_entry__.oracle_sql``).
 
-The regular expressions are the very strings used by the Spark expressions
-(``quarry.functions.text``); they are written so that Java regex and RE2
-read them the same way.
+Nothing here is taken from the operators: character classes and constants are
+stated again, in RE2's form, so that a wrong one in the engine shows.
 """
 
 from __future__ import annotations
 
-from quarry.functions import text as T
+# Fixed values of SURVEY §2.2.
+# White space: what Python's str.split() splits at.
+SPACE = (r"\t\n\x0B\f\r\x1C\x1D\x1E\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+         r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
+SPACE_RUN = "[" + SPACE + "]+"
+ESCAPED_NEWLINE = r"\\+n"
+EMPTY_BRACKETS = r"\(\)|\[\]"
+# Hangul letters and syllables, ASCII letters, decimal digits, white space, symbols.
+NOT_ALLOWED = (r"[^ㄱ-ㅎㅏ-ㅣ가-힣a-zA-Z\p{Nd}" + SPACE
+               + r""".,'"<>!@#$%^&*()\[\]_+\-’‘“”《》〈〉~]""")
+CURLY_QUOTES = "’‘“”"
+ANSWER_SYMBOLS = "'\"《》<>〈〉()‘’"
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+SPECIAL_CHAR = r"[^\p{L}\p{N}_" + SPACE + "ㄱ-ㅎㅏ-ㅣ가-힣]"
 
 
 def lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def p1(x): return f"regexp_replace({x}, {lit(T.ESCAPED_NEWLINE)}, ' ', 'g')"
-def p2(x): return f"regexp_replace({x}, {lit(T.DISALLOWED_CHAR)}, '', 'g')"
-def p3(x): return f"translate({x}, {lit(T.CURLY_QUOTES)}, {lit(chr(39) * len(T.CURLY_QUOTES))})"
-def p4(x): return f"regexp_replace({x}, {lit(T.EMPTY_BRACKETS)}, '', 'g')"
-def p5(x): return f"trim(regexp_replace({x}, {lit(T.WS_RUN)}, ' ', 'g'))"
+def p1(x): return f"regexp_replace({x}, {lit(ESCAPED_NEWLINE)}, ' ', 'g')"
+def p2(x): return f"regexp_replace({x}, {lit(NOT_ALLOWED)}, '', 'g')"
+def p3(x): return f"translate({x}, {lit(CURLY_QUOTES)}, {lit(chr(39) * len(CURLY_QUOTES))})"
+def p4(x): return f"regexp_replace({x}, {lit(EMPTY_BRACKETS)}, '', 'g')"
+def p5(x): return f"trim(regexp_replace({x}, {lit(SPACE_RUN)}, ' ', 'g'))"
 
 
 def p6(x, no_other_languages=False, quote_normalize=True):
@@ -36,8 +48,8 @@ def p7(x):
 
 
 def p11(x):
-    y = f"translate({x}, {lit(T.ANSWER_SYMBOLS)}, {lit(' ' * len(T.ANSWER_SYMBOLS))})"
-    y = f"translate(lower({y}), {lit(T.ASCII_PUNCTUATION)}, '')"
+    y = f"translate({x}, {lit(ANSWER_SYMBOLS)}, {lit(' ' * len(ANSWER_SYMBOLS))})"
+    y = f"translate(lower({y}), {lit(PUNCTUATION)}, '')"
     return p5(y)
 
 
@@ -196,7 +208,7 @@ def char_f1(p, g):
 
 
 def squad_norm(x):
-    y = f"translate(lower({x}), {lit(T.ASCII_PUNCTUATION)}, '')"
+    y = f"translate(lower({x}), {lit(PUNCTUATION)}, '')"
     return (f"array_to_string(list_filter({toks(p5(y))}, "
             f"lambda w: w NOT IN ('a', 'an', 'the')), ' ')")
 

@@ -592,7 +592,7 @@ def _e15():
 
 
 def _special_cte():
-    from quarry.functions.text import SPECIAL_CHAR
+    SPECIAL_CHAR = O.SPECIAL_CHAR
     return f"""sc AS (SELECT ch, count(*) AS n FROM (
   SELECT unnest(regexp_extract_all(text, {O.lit(SPECIAL_CHAR)}, 0)) AS ch FROM documents) GROUP BY ch)"""
 
@@ -726,7 +726,7 @@ SELECT example_id, window_index, input_ids, list_transform(input_ids, lambda x:
 
 @sql("t3_token_offsets")
 def _t3():
-    from quarry.functions.text import WS_CHARS
+    WS_CHARS = O.SPACE
     tokp = O.lit("[^" + WS_CHARS + "]+")
     gapp = O.lit("([" + WS_CHARS + "]*)[^" + WS_CHARS + "]+")
     return f"""WITH d AS (SELECT doc_id, regexp_extract_all(text, {tokp}) AS toks,
