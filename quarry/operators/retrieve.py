@@ -313,10 +313,35 @@ def _query_matrix(queries: DataFrame, extra: str | None = None):
     return queries.sparkSession.sparkContext.broadcast(payload)
 
 
+def _keep_top(frames: list, k: int, metric: str, grouped: bool):
+    """The top k per question of several scored blocks, as one frame."""
+    import pandas as pd
+    x = pd.concat(frames, ignore_index=True)
+    x = x.assign(_key=-x["score"] if metric == "ip" else x["score"])
+    x = x.sort_values(["qid", "_key", "document_id", "pid"], kind="stable")
+    if grouped:
+        x = x.drop_duplicates(["qid", "document_id"])
+    return x.groupby("qid", sort=False).head(k).drop(columns="_key")
+
+
 def _streamed_scorer(bc, k: int, metric: str, grouped: bool, chunk: int):
+    """Scores a task's passages batch by batch and emits k rows per question
+    once, at the end; at most a few times that many are held."""
+    def run(batches):
+        held, rows = [], 0
+        most = 4 * k * max(1, len(bc.value[0]))
+        for block in blocks(batches):
+            held.append(block)
+            rows += len(block)
+            if rows > most:
+                held = [_keep_top(held, k, metric, grouped)]
+                rows = len(held[0])
+        if held:
+            yield _keep_top(held, k, metric, grouped)
+
     import numpy as np
 
-    def run(batches):
+    def blocks(batches):
         qids, Q, probes = bc.value
         by_cluster = None
         if probes is not None:
