@@ -28,7 +28,7 @@ from quarry.session import materialize
 WINDOW_WORDS = 10
 GRAM_WORDS = 5
 FILTER_BITS = 1 << 22
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 # Word bytes are 0-9, a-z (A-Z lower-cased) and all above 127.
 LOWERED = np.zeros(256, np.uint8)
@@ -132,7 +132,7 @@ def _scan(id_names: list[str], window: int, gram: int, shorts: list[int], bits,
                     [batch.column(c).slice(i, j - i) for c in id_names]
                     + [pa.array(words.count.astype(np.int64)), pa.array(found, anchors_type)],
                     names=[*id_names, "n_words", "anchors"])
-    return scan
+    return frames.lean(scan)
 
 
 def _bloom(anchors: DataFrame, bits: int) -> np.ndarray:
@@ -188,7 +188,7 @@ def _extend(window: int, gram: int):
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (
                     pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))],
                     names=["doc_id", "tag", "item_id", "start", "end"])
-    return extend
+    return frames.lean(extend)
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW_WORDS,

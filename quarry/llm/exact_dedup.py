@@ -27,7 +27,7 @@ from quarry.llm import frames
 from quarry.session import materialize
 
 BLOCK_BYTES = 4096
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 _BLOCKS = "block binary, doc_id array<long>, tag array<long>, pos array<int>, n array<int>, sha array<binary>"
 _NAMED = "doc_id long, tag long, pos int, n int, sha binary, name long"
@@ -38,7 +38,7 @@ def _cut(block_bytes: int):
         for batch in batches:
             raw, offsets = frames.utf8(pc.ascii_lower(batch.column("text")))
             ids, tags = batch.column("doc_id").to_numpy(), batch.column("tag").to_numpy()
-            data = memoryview(raw.tobytes())
+            data = memoryview(raw)
             for i, j in frames.chunks(offsets, BATCH_BYTES):
                 found: dict[bytes, list] = {}
                 for row in range(i, j):
@@ -56,7 +56,7 @@ def _cut(block_bytes: int):
                         + [pa.array([c[k] for c in cols], pa.list_(t)) for k, t in enumerate(
                             (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))],
                         names=["block", "doc_id", "tag", "pos", "n", "sha"])
-    return cut
+    return frames.lean(cut)
 
 
 def _name(batches):

@@ -62,6 +62,25 @@ def partitions(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def lean(batches_of):
+    """For functions given to ``mapInArrow``: when a task ends, freed memory
+    goes back to the system. Workers live on between tasks, and an executor
+    holds the leftovers of all of them."""
+    def run(batches):
+        try:
+            yield from batches_of(batches)
+        finally:
+            trim()
+    return run
+
+
+def trim() -> None:
+    import ctypes
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if give_back is not None:
+        give_back(0)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary Arrow column, without a copy
     per row; text i is ``bytes[offsets[i]:offsets[i + 1]]``."""

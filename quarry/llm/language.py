@@ -25,6 +25,7 @@ from quarry.llm import frames
 WINDOW = 64
 HIDDEN = 8
 ROWS = 2048
+CHUNK_BYTES = 1 << 20
 SAMPLE_TEXTS = 4000
 SAMPLE_WINDOWS = 4
 MOST_LANGUAGES = 256
@@ -264,12 +265,13 @@ def _predict(net):
         letter = re.compile(r"[^\W\d_]")
         for batch in batches:
             raw, offsets = frames.utf8(batch.column("text"))
-            texts = batch.column("text").to_pylist()
-            known = np.array([t is not None and letter.search(t) is not None for t in texts], bool)
-            names = np.full(len(texts), UNKNOWN, object)
-            score = np.zeros(len(texts))
+            known = np.zeros(len(batch), bool)
+            names = np.full(len(batch), UNKNOWN, object)
+            score = np.zeros(len(batch))
             if model is not None:
-                for i, j in frames.chunks(offsets, 4 << 20):
+                for i, j in frames.chunks(offsets, CHUNK_BYTES):
+                    known[i:j] = [t is not None and letter.search(t) is not None
+                                  for t in batch.column("text").slice(i, j - i).to_pylist()]
                     p = document_probabilities(model, raw[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
                     best = p.argmax(axis=1)
                     names[i:j] = np.array(model.languages, object)[best]
@@ -278,7 +280,7 @@ def _predict(net):
             yield pa.record_batch([batch.column("doc_id"), batch.column("tag"), batch.column("held_out"),
                                    pa.array(names, pa.string()), pa.array(score)],
                                   names=["doc_id", "tag", "held_out", "lang_pred", "score"])
-    return run
+    return frames.lean(run)
 
 
 def predict(docs: DataFrame, net: Network | None) -> DataFrame:
@@ -305,7 +307,7 @@ def _identified(net):
         for batch in batches:
             found = next(_predict(net)([_with_keys(batch)]))
             yield batch.filter(pc.not_equal(found.column("lang_pred"), UNKNOWN))
-    return run
+    return frames.lean(run)
 
 
 def _with_keys(batch: pa.RecordBatch) -> pa.RecordBatch:

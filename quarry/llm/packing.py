@@ -26,7 +26,7 @@ from quarry.llm import frames, rolling, tokens
 SEQUENCE = 2048
 GROUP_DOCS = 1024
 LEAST_CUT = 32
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 class Tournament:
@@ -121,7 +121,8 @@ def _deal(path: str, sequence: int, groups: int, seed: int):
                      pa.array(n[row]), pa.array(start),
                      pa.array([data[a:b] for a, b in zip(begin.tolist(), (begin + length * w).tolist())], pa.binary())],
                     names=["grp", "doc_id", "doc_tokens", "start", "ids"])
-    return deal
+        tokenizer.rest()
+    return frames.lean(deal)
 
 
 def _pack_group(sequence: int, least_cut: int, width: int):

@@ -33,7 +33,7 @@ from quarry.session import materialize
 
 SEGMENTS = 5
 BUCKET_LIMIT = 64
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -91,7 +91,7 @@ def _fingerprint(shingle: int):
                 out[i:j] = fingerprints_of(raw[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], shingle)
             yield pa.record_batch([batch.column("doc_id"), batch.column("tag"),
                                    pa.array(out.view(np.int64))], names=["doc_id", "tag", "fp"])
-    return run
+    return frames.lean(run)
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:

@@ -25,7 +25,7 @@ from quarry.session import materialize
 
 BLOCK_IDS = 1 << 16
 RUN_BLOCKS = 1024
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _FLAT = "file long, block long, ids binary, doc_ids array<long>"
 _SUMMARY = "file long, block long, n long, ends long, head long, last long, inner array<long>"
@@ -60,7 +60,8 @@ def _flatten(path: str, block_ids: int, end: int):
                 held = held[whole * width:]
         if held:
             yield batch([held], None)
-    return run
+        tokenizer.rest()
+    return frames.lean(run)
 
 
 def write_flat(docs: DataFrame, tokenizer: str, block_ids: int = BLOCK_IDS) -> tuple[DataFrame, DataFrame, int, int]:

@@ -101,6 +101,12 @@ class WordTokenizer:
             lengths[i] = len(rows[i])
         return lengths, np.concatenate(rows)
 
+    def rest(self) -> None:
+        """To call when a task ends: a large store of pieces is dropped, as
+        the worker may do other work next."""
+        if len(self.pieces) + len(self.parts) > MOST // 8:
+            self._forget()
+
     def _learn(self) -> None:
         new = self.pieces.take_new()
         if not new:
