@@ -16,6 +16,8 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # numpy inside tasks does many small products; threads only slow them down
+    "spark.executorEnv.OMP_NUM_THREADS": "1",
 }
 
 

@@ -18,6 +18,7 @@ def spark():
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.session.timeZone", "UTC")
+         .config("spark.executorEnv.OMP_NUM_THREADS", "1")
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     # the shared folder comes from the session (spark.checkpoint.dir); only
