@@ -31,10 +31,20 @@ from quarry.llm import frames, rolling
 
 ROW = "p int, kind int, blob binary"
 TEXT = 9
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
+PARTITION_BYTES = 16 << 20
 U = np.uint64
 
 
+def partitions_for(docs: DataFrame) -> int:
+    """How many partitions the texts of ``docs`` are dealt out over: one for
+    ``PARTITION_BYTES`` of text, at most the session's shuffle width. Every
+    task sends a row to every partition, so there should not be more of them
+    than the texts need. Costs a scan of the text column."""
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return max(1, min(frames.partitions(docs), -(-size // PARTITION_BYTES)))
+
+
 def planes(a: np.ndarray) -> bytes:
     """Unsigned 32-bit numbers as four byte planes."""
     return np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
@@ -149,7 +159,8 @@ class Batch:
         return before
 
     def add(self, doc, pos, key, spread, *more) -> None:
-        self.columns.append((doc, pos, key, spread, *more))
+        self.columns.append((doc.astype(np.int32), pos.astype(np.int32), key,
+                             (spread >> U(32)).astype(np.uint32), *more))
 
     def rows(self, buckets: int, parts: int, settled: int):
         """Entries for the buckets, and reports of kind ``settled``. Entries
@@ -161,7 +172,7 @@ class Batch:
         same = key
         for c in more:
             same = rolling.mix(same + c.astype(U))
-        rank = np.unique(ids, return_inverse=True)[1][doc]
+        rank = np.unique(ids, return_inverse=True)[1].astype(np.int32)[doc]
         order = np.argsort(same, kind="stable")
         new = np.r_[True, same[order][1:] != same[order][:-1]]
         least = np.minimum.reduceat(rank[order], np.flatnonzero(new))
@@ -170,7 +181,7 @@ class Batch:
         known = np.flatnonzero(later)
         yield from flags(ids, tags, doc[known], pos[known], parts, settled)
         send = np.flatnonzero(~later)
-        to = (spread[send] % U(buckets)).astype(np.int64)
+        to = spread[send] % np.uint32(buckets)
         order = np.argsort(to, kind="stable")
         cuts = np.flatnonzero(np.r_[True, np.diff(to[order]) > 0])
         for a, b in zip(cuts, np.r_[cuts[1:], len(order)]):
@@ -211,7 +222,7 @@ def buckets(rows: DataFrame, parts: int, judge: Callable, homes: int) -> DataFra
 
         yield from to_batches(passed())
 
-    return deal(rows, parts).mapInArrow(run, ROW)
+    return deal(rows, parts).mapInArrow(frames.lean(run), ROW)
 
 
 def deal(rows: DataFrame, parts: int) -> DataFrame:
@@ -282,9 +293,9 @@ def with_texts(docs: DataFrame, reports: DataFrame, parts: int, work: Callable,
                     yield ids, tags, raw, np.concatenate([[0], np.cumsum(sizes)]), found
         yield from work(groups())
 
-    texts = docs.mapInArrow(_texts(parts), ROW)
+    texts = docs.mapInArrow(frames.lean(_texts(parts)), ROW)
     return (deal(texts.unionByName(reports), parts).sortWithinPartitions("kind")
-            .mapInArrow(run, schema))
+            .mapInArrow(frames.lean(run), schema))
 
 
 def covered(n: int, starts: np.ndarray, width: int) -> np.ndarray:

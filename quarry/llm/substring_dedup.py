@@ -21,7 +21,7 @@ from quarry.llm import firsts, frames, rolling
 from quarry.session import materialize
 
 WINDOW_WORDS = 13
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 SETTLED, REPEATED = 0, 1
@@ -109,10 +109,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
     as null; rows that repeat an id do not remove from each other. No rows
     give no rows.
     """
-    parts = frames.partitions(docs)
+    parts = firsts.partitions_for(docs)
     buckets = 2 * parts
     keyed = frames.keyed(docs, frames.HIGHEST)
-    scanned = keyed.mapInArrow(_scan(window, buckets, parts), firsts.ROW)
+    scanned = keyed.mapInArrow(frames.lean(_scan(window, buckets, parts)), firsts.ROW)
     reports = materialize(firsts.buckets(scanned, parts, firsts.seen_before(REPEATED), parts), "repeats")
     out = firsts.with_texts(keyed, reports, parts, _apply(window), _REMOVED)
     return out.select(frames.restore_null(frames.HIGHEST), "n_words", "n_removed",

@@ -27,7 +27,7 @@ from quarry.llm import firsts, frames, rolling
 from quarry.session import materialize
 
 LENGTH = 50
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 COPIED, UNSURE, REPEATED = 0, 1, 2
 U = np.uint64
 
@@ -167,7 +167,7 @@ def _apply(length: int):
 
     def work(groups):
         for ids, tags, raw, offsets, found in groups:
-            for i, j in frames.chunks(offsets, 4 * CHUNK_BYTES):
+            for i, j in frames.chunks(offsets, 8 * CHUNK_BYTES):
                 out = []
                 for k in range(i, j):
                     part = raw[offsets[k]:offsets[k + 1]]
@@ -198,10 +198,10 @@ def remove_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     if length < 4:
         raise ValueError("length must be at least 4")
-    parts = frames.partitions(docs)
+    parts = firsts.partitions_for(docs)
     buckets = 2 * parts
     keyed = frames.keyed(docs, frames.HIGHEST)
-    sample = keyed.mapInArrow(_sample(length, buckets, parts), firsts.ROW)
+    sample = keyed.mapInArrow(frames.lean(_sample(length, buckets, parts)), firsts.ROW)
     first = materialize(firsts.buckets(sample, parts, _rank_sample, parts), "suffix-ranks")
     unsure = first.filter(F.col("kind") == UNSURE)
     pairs = firsts.with_texts(keyed, unsure, parts, _double(length, buckets, parts), firsts.ROW)
