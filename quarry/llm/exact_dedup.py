@@ -117,8 +117,9 @@ def exact_groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     tag): the id that stays in its group of equal texts (the largest; a null
     id is the smallest) and the rows of the group."""
     named = materialize(name_texts(docs, block_bytes), "text-names")
-    groups = named.groupBy("level", "name").agg(
-        F.max("doc_id").alias("keep_id"), F.sum("rows").alias("group_size"))
+    # a table of its own, so that the join can split the rows of a large group
+    groups = materialize(named.groupBy("level", "name").agg(
+        F.max("doc_id").alias("keep_id"), F.sum("rows").alias("group_size")), "text-groups")
     return named.join(groups, ["level", "name"]).drop("level", "name")
 
 
