@@ -68,7 +68,8 @@ def fresh(languages: list[str], hidden: int, rng: np.random.Generator) -> Networ
 
 def states(net: Network, steps: np.ndarray, kept: list | None = None) -> np.ndarray:
     """States of both directions, (window, rows, 2 * hidden), for bytes
-    ``steps`` (window, rows). A padding byte leaves the state as it is.
+    ``steps`` (window, rows). Padding (256, after a text's last byte) has learned
+    inputs like any byte, but is neither trained on nor counted as a position.
     ``kept`` receives what backpropagation needs."""
     window, rows = steps.shape
     hidden = net.own[0].shape[0]
