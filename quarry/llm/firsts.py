@@ -171,10 +171,13 @@ class Batch:
         doc, pos, key, spread, *more = (np.concatenate(c) for c in zip(*self.columns))
         same = key
         for c in more:
-            same = rolling.mix(same + c.astype(U))
+            same = rolling.mix(same + c)
         rank = np.unique(ids, return_inverse=True)[1].astype(np.int32)[doc]
         order = np.argsort(same, kind="stable")
-        new = np.r_[True, same[order][1:] != same[order][:-1]]
+        new = np.r_[True, np.zeros(len(order) - 1, bool)]
+        for c in (key, *more):
+            c = c[order]
+            new[1:] |= c[1:] != c[:-1]
         least = np.minimum.reduceat(rank[order], np.flatnonzero(new))
         later = np.empty(len(same), bool)
         later[order] = rank[order] > least[np.cumsum(new) - 1]
@@ -187,7 +190,7 @@ class Batch:
         for a, b in zip(cuts, np.r_[cuts[1:], len(order)]):
             part = send[order[a:b]]
             yield row(to[order[a]], ENTRIES, write_blob(
-                ids, tags, doc[part], pos[part], key[part].astype("<u8"), *[c[part].astype("<u4") for c in more]))
+                ids, tags, doc[part], pos[part], key[part].astype("<u8"), *[c[part].astype("<u8") for c in more]))
 
 
 ENTRIES = 8
@@ -196,7 +199,7 @@ ENTRIES = 8
 def buckets(rows: DataFrame, parts: int, judge: Callable, homes: int) -> DataFrame:
     """Deal ``rows`` out by bucket and judge each bucket; reports pass
     through. ``judge(key, ids, more)`` gives pairs (kind, mask) of entries to
-    report; more holds the further 32-bit column, if any."""
+    report; more holds the further 64-bit column, if any."""
     def run(batches):
         found = defaultdict(list)
 
@@ -215,7 +218,7 @@ def buckets(rows: DataFrame, parts: int, judge: Callable, homes: int) -> DataFra
                 doc = np.repeat(np.arange(len(ids)), counts)
                 pos = np.concatenate([b.pos for b in blobs])
                 key = np.concatenate([b.rest[:8 * b.n].view("<u8") for b in blobs])
-                more = np.concatenate([b.rest[8 * b.n:].view("<u4") for b in blobs])
+                more = np.concatenate([b.rest[8 * b.n:].view("<u8") for b in blobs])
                 for kind, mask in judge(key, ids[doc], more if len(more) else None):
                     at = np.flatnonzero(mask)
                     yield from flags(ids, tags, doc[at], pos[at], homes, kind)

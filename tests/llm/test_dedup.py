@@ -226,6 +226,34 @@ def test_repeats_on_few_letters(llm_spark, seed, monkeypatch):
     assert as_set(got) == as_set(words_model(rows, 4))
 
 
+def edge_twins(number=1 << 18):
+    """Two texts with the same 25 bytes in the middle, whose surroundings
+    differ but agree in the upper 32 bits of their hash."""
+    import numpy as np
+    rng = np.random.default_rng(3)
+    letters = rng.integers(97, 123, (1 << 18, 25), np.uint8)
+    names = suffix_dedup.Suffixes(letters.reshape(-1), np.arange(0, letters.size + 1, 25), 50).names
+    start = np.arange(0, letters.size, 25)
+    texts = rng.integers(97, 123, (number, 75), np.uint8)
+    texts[:, 25:50] = letters[np.argmin(names.of(start, start + 25))]
+    s = suffix_dedup.Suffixes(texts.reshape(-1), np.arange(0, texts.size + 1, 75), 50)
+    upper = s.surroundings(np.arange(25, texts.size, 75)) >> np.uint64(32)
+    order = np.argsort(upper, kind="stable")
+    twins = np.flatnonzero(upper[order][1:] == upper[order][:-1])
+    return [texts[order[twins[0] + k]].tobytes().decode() for k in (0, 1)]
+
+
+@pytest.mark.parametrize("tasks", [1, 2])
+def test_suffix_judges_by_whole_surroundings(llm_spark, tasks):
+    """In one batch, and over the buckets."""
+    rows = list(enumerate(edge_twins()))
+    assert rows[0][1] != rows[1][1] and rows[0][1][25:50] == rows[1][1][25:50]
+    docs = llm_spark.createDataFrame(llm_spark.sparkContext.parallelize(rows, tasks), "doc_id long, text string")
+    got = [(r.doc_id, r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept))
+           for r in suffix_dedup.remove_strings(docs).collect()]
+    assert as_set(got) == as_set(bytes_model(rows, 50))
+
+
 def test_repeats_empty(nothing):
     assert substring_dedup.remove_repeats(nothing).collect() == []
     assert suffix_dedup.remove_strings(nothing).collect() == []
