@@ -13,8 +13,9 @@ kinds of tasks exchange packed rows ``(p, kind, blob)``:
 * ``with_texts`` brings each document's text together with its positions.
 
 Blobs hold numpy columns; positions are differences, split into byte planes,
-which the shuffle's compression shrinks. A document is (doc_id, low 32 bits of
-its text's hash).
+which the shuffle's compression shrinks. A document is (doc_id, 64-bit hash of
+its text): of n different texts under one id, or without one, about n * n / 2**65
+pairs share their reports.
 """
 
 from __future__ import annotations
@@ -74,7 +75,7 @@ def write_blob(ids, tags, doc, pos, *columns: np.ndarray) -> bytes:
     counts = np.diff(np.r_[first, len(doc)])
     own = doc[first]
     head = np.array([len(own), len(doc)], "<u4").tobytes()
-    return b"".join([head, ids[own].astype("<i8").tobytes(), tags[own].astype("<u4").tobytes(), planes(counts),
+    return b"".join([head, ids[own].astype("<i8").tobytes(), tags[own].astype("<u8").tobytes(), planes(counts),
                      planes(differences(pos, first)), *[c.tobytes() for c in columns]])
 
 
@@ -87,8 +88,8 @@ class Blob:
         at = 8
         self.ids = raw[at:at + 8 * docs].view("<i8")
         at += 8 * docs
-        self.tags = raw[at:at + 4 * docs].view("<u4")
-        at += 4 * docs
+        self.tags = raw[at:at + 8 * docs].view("<u8")
+        at += 8 * docs
         self.counts = unplanes(raw[at:at + 4 * docs]).astype(np.int64)
         at += 4 * docs
         first = np.cumsum(self.counts) - self.counts
@@ -121,9 +122,10 @@ def to_batches(rows: Iterator[tuple[int, int, bytes]], most: int = 8 << 20):
         yield batch()
 
 
-def home(ids: np.ndarray, parts: int) -> np.ndarray:
+def home(ids: np.ndarray, tags: np.ndarray, parts: int) -> np.ndarray:
     """The partition of each document."""
-    return (rolling.mix(ids.astype(np.int64).view(U) + U(0x51ED270B)) % U(parts)).astype(np.int64)
+    known = rolling.mix(ids.astype(np.int64).view(U) + U(0x51ED270B))
+    return (rolling.mix(known + tags.astype(U)) % U(parts)).astype(np.int64)
 
 
 def flags(ids, tags, doc, pos, parts: int, kind: int):
@@ -131,7 +133,7 @@ def flags(ids, tags, doc, pos, parts: int, kind: int):
     partitions."""
     if not len(doc):
         return
-    to = home(ids, parts)[doc]
+    to = home(ids, tags, parts)[doc]
     order = np.argsort(to, kind="stable")
     cuts = np.flatnonzero(np.r_[True, np.diff(to[order]) > 0])
     for a, b in zip(cuts, np.r_[cuts[1:], len(order)]):
@@ -251,16 +253,16 @@ def _texts(parts: int):
             for batch in batches:
                 raw, offsets = frames.utf8(batch.column("text"))
                 ids = batch.column("doc_id").to_numpy()
-                tags = batch.column("tag").to_numpy().view(U).astype(np.uint32)
+                tags = batch.column("tag").to_numpy().view(U)
                 for i, j in frames.chunks(offsets, BATCH_BYTES):
-                    to = home(ids[i:j], parts)
+                    to = home(ids[i:j], tags[i:j], parts)
                     order = np.argsort(to, kind="stable")
                     cuts = np.flatnonzero(np.r_[True, np.diff(to[order]) > 0])
                     for a, b in zip(cuts, np.r_[cuts[1:], len(order)]):
                         part = order[a:b] + i
                         size = offsets[part + 1] - offsets[part]
                         head = np.array([len(part)], "<u4").tobytes()
-                        data = b"".join([head, ids[part].astype("<i8").tobytes(), tags[part].astype("<u4").tobytes(),
+                        data = b"".join([head, ids[part].astype("<i8").tobytes(), tags[part].astype("<u8").tobytes(),
                                          size.astype("<i8").tobytes(),
                                          *[raw[offsets[k]:offsets[k + 1]].tobytes() for k in part]])
                         yield row(to[order[a]], TEXT,
@@ -290,9 +292,9 @@ def with_texts(docs: DataFrame, reports: DataFrame, parts: int, work: Callable,
                     data = pa.decompress(blob[8:], size, "zstd", asbytes=True)
                     n = int(np.frombuffer(data, "<u4", 1)[0])
                     ids = np.frombuffer(data, "<i8", n, 4)
-                    tags = np.frombuffer(data, "<u4", n, 4 + 8 * n)
-                    sizes = np.frombuffer(data, "<i8", n, 4 + 12 * n)
-                    raw = np.frombuffer(data, np.uint8, offset=4 + 20 * n)
+                    tags = np.frombuffer(data, "<u8", n, 4 + 8 * n)
+                    sizes = np.frombuffer(data, "<i8", n, 4 + 16 * n)
+                    raw = np.frombuffer(data, np.uint8, offset=4 + 24 * n)
                     yield ids, tags, raw, np.concatenate([[0], np.cumsum(sizes)]), found
         yield from work(groups())
 

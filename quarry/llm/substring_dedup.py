@@ -46,7 +46,7 @@ def _scan(window: int, buckets: int, parts: int):
             for batch in batches:
                 raw, offsets = frames.utf8(batch.column("text"))
                 ids = batch.column("doc_id").to_numpy()
-                tags = batch.column("tag").to_numpy().view(np.uint64).astype(np.uint32)
+                tags = batch.column("tag").to_numpy().view(np.uint64)
                 for i, j in frames.chunks(offsets, CHUNK_BYTES):
                     part, at = raw[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]
                     base = held.add_docs(ids[i:j], tags[i:j], len(part))

@@ -83,7 +83,7 @@ class Suffixes:
 
 def _columns(batch):
     raw, offsets = frames.utf8(batch.column("text"))
-    return raw, offsets, batch.column("doc_id").to_numpy(), batch.column("tag").to_numpy().view(U).astype(np.uint32)
+    return raw, offsets, batch.column("doc_id").to_numpy(), batch.column("tag").to_numpy().view(U)
 
 
 def _sample(length: int, buckets: int, parts: int):

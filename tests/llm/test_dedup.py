@@ -254,6 +254,44 @@ def test_suffix_judges_by_whole_surroundings(llm_spark, tasks):
     assert as_set(got) == as_set(bytes_model(rows, 50))
 
 
+def tag_twins(passage, number=200_000):
+    """A text that begins with ``passage`` and a short one without it, whose
+    64-bit hashes agree in the lower 32 bits."""
+    import numpy as np
+
+    from quarry.llm.xxh import xxh64
+    lower, texts = [], []
+    for prefix in (passage + " ", "n"):
+        some = [f"{prefix}{i:07d}" for i in range(number)]
+        size = np.full(number, len(some[0]))
+        raw = np.frombuffer("".join(some).encode() + bytes(8), np.uint8)
+        lower.append(xxh64(raw, np.cumsum(size) - size, size, 42) & np.uint64(0xFFFFFFFF))
+        texts.append(some)
+    _, a, b = np.intersect1d(*lower, return_indices=True)
+    return texts[0][a[0]], texts[1][b[0]]
+
+
+def test_rows_without_id_have_reports_of_their_own(llm_spark):
+    passage = words(random.Random(8), 30, 400)
+    long, short = tag_twins(passage)
+    rows = [(1, passage), (None, long), (None, short)]
+    docs = make_docs(llm_spark, rows)
+    got = [(r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring_dedup.remove_repeats(docs).collect()]
+    assert as_set(got) == as_set(words_model(rows, 13))
+    got = [(r.doc_id, r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept))
+           for r in suffix_dedup.remove_strings(docs).collect()]
+    assert as_set(got) == as_set(bytes_model(rows, 50))
+
+
+def test_rows_without_id_are_dealt_over_all_partitions():
+    import numpy as np
+    ids = np.full(4000, (1 << 63) - 1)
+    tags = np.random.default_rng(1).integers(0, 1 << 63, 4000).astype(np.uint64)
+    rows = np.bincount(firsts.home(ids, tags, 8), minlength=8)
+    assert rows.min() > 400 and rows.max() < 600
+    assert (firsts.home(ids, tags[:1].repeat(4000), 8) == firsts.home(ids, tags, 8)[0]).all()
+
+
 def test_repeats_empty(nothing):
     assert substring_dedup.remove_repeats(nothing).collect() == []
     assert suffix_dedup.remove_strings(nothing).collect() == []
