@@ -113,37 +113,44 @@ def name_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
 
 def exact_groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``doc_id, tag, rows, sha, keep_id, group_size`` per distinct (doc_id,
-    tag): the id that stays in its group of equal texts (the largest; a null
-    id is the smallest) and the rows of the group."""
+    """``doc_id, tag, rows, sha, keep_id, keep_tag, group_size`` per distinct
+    (doc_id, tag): the row that stays in its group of equal texts (of the
+    largest id, a null id being the smallest, and among texts that differ in
+    case under that id of the largest tag) and the rows of the group."""
     named = materialize(name_texts(docs, block_bytes), "text-names")
     # a table of its own, so that the join can split the rows of a large group
     groups = materialize(named.groupBy("level", "name").agg(
-        F.max("doc_id").alias("keep_id"), F.sum("rows").alias("group_size")), "text-groups")
+        F.max(F.struct("doc_id", "tag")).alias("keep"), F.sum("rows").alias("group_size")).select(
+            "level", "name", F.col("keep.doc_id").alias("keep_id"), F.col("keep.tag").alias("keep_tag"),
+            "group_size"), "text-groups")
     return named.join(groups, ["level", "name"]).drop("level", "name")
 
 
+def _stays():
+    return (F.col("doc_id") == F.col("keep_id")) & (F.col("tag") == F.col("keep_tag"))
+
+
 def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The decision for every row of ``docs`` (doc_id, text, ...).
 
     Returns ``doc_id, keep_id, group_size, kept, text_sha256``, one row per
     input row. Null text counts as empty. Of rows that repeat both id and
-    text one is kept. Null ids group like others; one is kept only where the
+    text, whatever its case, one is kept. Null ids group like others; one is kept only where the
     whole group has none. An empty table gives no rows; other columns of
     ``docs`` are not used.
     """
     g = exact_groups(docs, block_bytes)
     copy = F.posexplode(F.array_repeat(F.lit(0), F.col("rows").cast("int"))).alias("copy", "_")
-    return g.select("doc_id", "keep_id", "group_size", "sha", copy).select(
+    return g.select("doc_id", _stays().alias("stays"), "keep_id", "group_size", "sha", copy).select(
         frames.restore_null(frames.LOWEST),
         frames.restore_null(frames.LOWEST, "keep_id"),
         F.col("group_size").cast("long").alias("group_size"),
-        ((F.col("doc_id") == F.col("keep_id")) & (F.col("copy") == 0)).alias("kept"),
+        (F.col("stays") & (F.col("copy") == 0)).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def drop_exact_copies(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without the rows that ``exact_dedup`` does not keep, with all
     columns."""
-    kept = exact_groups(docs, block_bytes).filter("doc_id = keep_id")
+    kept = exact_groups(docs, block_bytes).filter(_stays())
     return frames.keep_rows(docs, kept, frames.LOWEST)

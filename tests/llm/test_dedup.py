@@ -65,6 +65,16 @@ def test_exact_filter_keeps_one_row_of_each_text(edge):
     assert sorted(map(repr, (d for d, _ in got))) == sorted(repr(r[0]) for r in exact_model(rows) if r[3])
 
 
+def test_exact_keeps_one_of_texts_that_differ_in_case_under_one_id(llm_spark):
+    rows = [(7, "Same Text"), (7, "same text"), (7, "same text"), (3, "SAME TEXT"),
+            (None, "Alone"), (None, "alone"), (None, "ALONE"), (None, None), (None, "")]
+    docs = make_docs(llm_spark, rows)
+    got = [(r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.exact_dedup(docs).collect()]
+    assert as_set(got) == as_set(exact_model(rows))
+    kept = exact_dedup.drop_exact_copies(docs).collect()
+    assert sorted((repr(r.doc_id), low(r.text)) for r in kept) == [("7", b"same text"), ("None", b""), ("None", b"alone")]
+
+
 # ------------------------------------------------------------------ simhash
 
 def fingerprint_model(text, n=3):
