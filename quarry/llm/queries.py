@@ -7,7 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, exact_dedup, language, packing, sharding, simhash, substring_dedup, suffix_dedup, token_counts, urlfilter
+from quarry.llm import (decontaminate, exact_dedup, language, packing, periodic_runs, sharding, simhash, spelling,
+                        substring_dedup, suffix_dedup, token_counts, toxicity, urlfilter)
 
 RULES = (
     urlfilter.Rule("block", "net", "/"),
@@ -75,6 +76,26 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.document_token_counts(_table(spark, sf_dir, "documents"), word_tokenizer())
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic_runs.find_runs(_table(spark, sf_dir, "documents"), least=6, power=4, prepare=periodic_runs.repeat_tail)
+    line = F.transform(F.arrays_zip("starts", "lengths", "periods"), lambda r: F.concat_ws(
+        ",", r["starts"].cast("string"), r["lengths"].cast("string"), r["periods"].cast("string")))
+    return out.select("doc_id", F.size("starts").cast("long").alias("n_runs"), "start", "length", "period",
+                      F.expr("(1000 * length) div period").alias("exponent_milli"),
+                      F.sha2(F.array_join(F.transform(line, lambda x: F.concat(x, F.lit("\n"))), "").cast("binary"), 256).alias("runs_sha256"),
+                      F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3)
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(_table(spark, sf_dir, "documents"), least_points=6, least_count=5, ratio=5,
+                                   alter=spelling.drop_point)
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_exact_dedup": op2_exact_dedup,
@@ -86,4 +107,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_url_filter": op9_url_filter,
     "op10_token_counts": op10_token_counts,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_toxicity": op12_toxicity,
+    "op13_spelling_variants": op13_spelling_variants,
 }
