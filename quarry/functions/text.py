@@ -1,8 +1,8 @@
 """Text expressions: every function maps Column -> Column.
 
-All of them are built-in Spark expressions (regexp_replace, translate, split,
+All but one are built-in Spark expressions (regexp_replace, translate, split,
 higher-order functions), so they stay inside the JVM and, where Spark allows,
-inside whole-stage codegen.
+inside whole-stage codegen. Token offsets (T3) are an Arrow function over batches.
 
 Character classes are spelled out explicitly instead of relying on ``\\s`` or
 ``\\d``: Python (the behaviour we match), Java and RE2 disagree on what those
@@ -12,6 +12,7 @@ in Java regex and in RE2, so DuckDB oracles can reuse the very same strings.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -143,6 +144,71 @@ def whitespace_tokens(c, normalized: bool = False) -> Column:
     return F.filter(F.split(x, " "), lambda t: t != "")
 
 
+def _offsets_of(texts):
+    """Tokens and code-point offsets of an Arrow string array, see
+    :func:`token_offsets`; numpy over the UTF-8 bytes of all its texts."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    if texts.null_count:
+        texts = pc.fill_null(texts, "")
+    wide = pa.types.is_large_string(texts.type)
+    at = np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32)[texts.offset:texts.offset + len(texts) + 1]
+    rows = (at - at[0]).astype(np.int64)                       # byte bounds of the texts
+    data = texts.buffers()[2]
+    raw = np.frombuffer(data, np.uint8)[at[0]:at[-1]] if data is not None else np.zeros(0, np.uint8)
+    lead = np.flatnonzero((raw & 0xC0) != 0x80)                # first byte of each code point
+    points = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+    blank = SPACE_POINTS[np.minimum(points, len(SPACE_POINTS) - 1)]
+    bounds = np.searchsorted(lead, rows)                       # code-point bounds of the texts
+    first = np.zeros(len(points) + 1, bool)
+    first[bounds] = True                                       # a text begins here
+    word = ~blank
+    before = np.concatenate([[False], word[:-1]]) & ~first[:-1] if len(points) else word
+    after = np.concatenate([word[1:], [False]]) & ~first[1:] if len(points) else word
+    start, end = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
+    count = np.searchsorted(start, bounds)                     # tokens before each text
+    origin = np.repeat(bounds[:-1], np.diff(count))
+    byte = np.append(lead, len(raw))
+    kept = np.repeat(word, np.diff(byte))
+    sizes = byte[end] - byte[start]
+    tokens = pa.Array.from_buffers(pa.large_string(), len(start), [
+        None, pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)), pa.py_buffer(raw[kept].tobytes())])
+    parts = pa.StructArray.from_arrays(
+        [tokens.cast(pa.string()), pa.array((start - origin).astype(np.int32)), pa.array((end - origin).astype(np.int32))],
+        names=["tok", "s", "e"])
+    return pa.ListArray.from_arrays(pa.array(count.astype(np.int32)), parts)
+
+
+OFFSET_BYTES = 4 << 20  # texts taken together; a longer text is taken alone
+
+
+def _space_points():
+    """Which code points are whitespace (WS_CHARS); beyond the last one none is."""
+    import re
+
+    import numpy as np
+    space = re.compile("[" + re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), WS_CHARS) + "]")
+    return np.array([space.match(chr(i)) is not None for i in range(0x3002)])
+
+
+SPACE_POINTS = _space_points()
+
+
+def _token_offsets(texts: pa.Array) -> pa.Array:
+    import numpy as np
+    at = np.frombuffer(texts.buffers()[1], np.int32 if not str(texts.type).startswith("large") else np.int64)
+    at = at[texts.offset:texts.offset + len(texts) + 1]
+    parts, i = [], 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(at, at[i] + OFFSET_BYTES, side="right")) - 1)
+        j = min(j, len(texts))
+        parts.append(_offsets_of(texts.slice(i, j - i)))
+        i = j
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.struct(
+        [("tok", pa.string()), ("s", pa.int32()), ("e", pa.int32())])))
+
+
 def token_offsets(c) -> Column:
     """Whitespace tokens of the *raw* text with code-point offsets.
 
@@ -150,26 +216,11 @@ def token_offsets(c) -> Column:
     and ``e`` exclusive, zero-based, so ``substring(text, s+1, e-s) = tok``.
     A null text has no tokens.
 
-    Linear in the text: every whitespace character becomes one space (which
-    keeps the offsets), a token starts where a non-space follows a space and
-    ends where a space follows, and starts, ends and the tokens themselves
-    are three arrays in the same order.
+    One Arrow function over whole batches: word bounds come from the code
+    points of a few megabytes of texts at a time in numpy, without a step per
+    token. A task holds about 30 bytes for each byte taken together.
     """
-    plain = F.regexp_replace(F.coalesce(_c(c), F.lit("")), "[" + WS_CHARS + "]", " ")
-    chars = F.split(plain, "")
-    blank = lambda x: (x == " ") | (x == "")  # noqa: E731  (the split may end in '')
-    space = F.array(F.lit(" "))
-    after = F.concat(F.slice(chars, 2, F.size(chars)), space)
-
-    def marked(here: Column, beside: Column, shift: int) -> Column:
-        edge = F.zip_with(here, F.slice(beside, 1, F.size(here)), lambda x, y: ~blank(x) & blank(y))
-        return F.filter(F.transform(edge, lambda m, i: F.when(m, i + shift).otherwise(-1)), lambda i: i >= 0)
-
-    starts = marked(chars, F.concat(space, chars), 0)
-    ends = marked(chars, after, 1)
-    toks = F.filter(F.split(plain, " "), lambda t: t != "")
-    return F.transform(F.arrays_zip(toks.alias("tok"), starts.alias("s"), ends.alias("e")),
-                       lambda t: F.struct(t["tok"].alias("tok"), t["s"].alias("s"), t["e"].alias("e")))
+    return F.arrow_udf(_token_offsets, "array<struct<tok:string,s:int,e:int>>")(_c(c).cast("string"))
 
 
 def join_tokens(arr) -> Column:

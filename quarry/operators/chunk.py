@@ -4,11 +4,10 @@ Window arithmetic is closed-form, so one input row becomes its windows through
 ``sequence`` + ``transform`` + ``posexplode``; no Python and no per-row loop.
 
 Dense passage ids (C2) need a global running count in document order. A
-single ordered window would pull every row into one task; instead the order
-key is cut into ranges by approximate quantiles (as many as the row count
-asks for), each range counts its rows (one tiny table), the range totals are
-prefix-summed, and the running count inside a range is a window partitioned by
-range. Only keys and counts take part; texts are joined to the result.
+single ordered window would pull every row into one task; instead rows are
+range-partitioned and sorted by the order key (of any orderable type), numbered
+within their partition as they are written, and the partitions' sizes (one tiny
+table) are summed up and added on reading. Texts are exchanged once.
 """
 
 from __future__ import annotations
@@ -49,72 +48,51 @@ def passages(df: DataFrame, tokens_col: str, W: int = 150, S: int = 50,
         *keep, "window_index", F.array_join("_w", " ").alias("text"))
 
 
-ROWS_PER_RANGE = 1_000_000
-
-
-def dense_offsets(narrow: DataFrame, order_col: str, count: str, offset: str = "offset",
-                  n_ranges: int | None = None) -> DataFrame:
-    """``narrow`` (``order_col``, unique, ``count`` and whatever else) with
-    ``offset`` = sum of ``count`` over rows with a smaller ``order_col``.
-
-    Distributed two-level prefix sum: rows are cut into ranges of about
-    ``ROWS_PER_RANGE`` rows (``n_ranges`` overrides that), each range is
-    summed, and the running sum inside a range is a window over it. The
-    boundaries are approximate quantiles of the key; any would give the same
-    offsets. Give it a stored table of few columns: it is read four times and
-    all its columns go through the range exchange.
-    """
-    if n_ranges is None:
-        n_ranges = max(1, -(-narrow.count() // ROWS_PER_RANGE))
-    fracs = [i / n_ranges for i in range(1, n_ranges)]
-    bounds = sorted(set(narrow.approxQuantile(order_col, fracs, 1.0 / (4 * n_ranges)))) if fracs else []
-    ranged = _range_index(narrow, order_col, bounds)
-    totals = ranged.groupBy("_rg").agg(F.sum(count).alias("_rt"))
-    # at most n_ranges rows: the ordered window over them is one small task
-    before = Window.orderBy("_rg").rowsBetween(Window.unboundedPreceding, -1)
-    roff = totals.select("_rg", F.coalesce(F.sum("_rt").over(before), F.lit(0)).alias("_ro"))
-    inside = Window.partitionBy("_rg").orderBy(order_col).rowsBetween(
-        Window.unboundedPreceding, -1)
-    return ranged.join(F.broadcast(roff), "_rg").withColumn(
-        offset, (F.col("_ro") + F.coalesce(F.sum(count).over(inside), F.lit(0))).cast("long")
-    ).drop("_rg", "_ro")
-
-
-def with_dense_offset(df: DataFrame, order_col: str, count: Column,
-                      n_ranges: int | None = None, offset: str = "offset") -> DataFrame:
-    """Adds ``offset`` = sum of ``count`` over rows with a smaller
-    ``order_col`` (unique per row). The rows are stored once; keys and counts
-    alone are ranged and summed, and the offsets are joined back."""
-    stored = materialize(df.withColumn("_cnt", count), "numbered-rows")
-    offsets = dense_offsets(stored.select(order_col, "_cnt"), order_col, "_cnt", offset, n_ranges)
-    return stored.drop("_cnt").join(offsets.drop("_cnt"), order_col)
-
-
-def _range_index(df: DataFrame, col: str, bounds: list[float]) -> DataFrame:
-    """``_rg`` = number of boundaries <= value (binary search in the JVM via
-    Spark ML's Bucketizer; buckets are [b_i, b_i+1))."""
-    from pyspark.ml.feature import Bucketizer
-    if not bounds:
-        return df.withColumn("_rg", F.lit(0))
-    splits = [float("-inf")] + [float(b) for b in bounds] + [float("inf")]
-    x = df.withColumn("_rv", F.col(col).cast("double"))
-    out = Bucketizer(splits=splits, inputCol="_rv", outputCol="_rgd").transform(x)
-    return out.withColumn("_rg", F.col("_rgd").cast("int")).drop("_rv", "_rgd")
-
-
-def numbered_passages(df: DataFrame, tokens_col: str, W: int = 150, S: int = 50,
+_ROW_BITS = 33  # of monotonically_increasing_id: the row within its partition
+
+
+def _sorted_by(df: DataFrame, order_col: str, n_ranges: int | None) -> DataFrame:
+    n = n_ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(n, order_col).sortWithinPartitions(order_col)
+
+
+def _with_numbers(ordered: DataFrame, name: str, label: str) -> DataFrame:
+    """``ordered`` (rows in order within and across partitions) with their
+    dense number from 0. The rows are written once with their place in the
+    partition; the number of rows of each partition is counted from that table."""
+    stored = materialize(ordered.withColumn("_at", F.monotonically_increasing_id()), label)
+    part = F.shiftright("_at", _ROW_BITS)
+    sizes = stored.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    # one row a partition: the ordered window over them is one small task
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    start = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.col("_at").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    return (stored.withColumn("_part", part).join(F.broadcast(start), "_part")
+            .withColumn(name, F.col("_start") + place).drop("_part", "_start", "_at"))
+
+
+def number_rows(df: DataFrame, order_col: str, name: str = "row_index", n_ranges: int | None = None) -> DataFrame:
+    """``df`` with the dense number (from 0) of each row in ``order_col`` order
+    (any orderable type, unique). One range exchange of the rows, one write."""
+    return _with_numbers(_sorted_by(df, order_col, n_ranges), name, "numbered-rows")
+
+
+def numbered_passages(df: DataFrame, tokens: str | Column, W: int = 150, S: int = 50,
                       order_col: str = "document_id",
                       keep: tuple[str, ...] = ("document_id", "title"),
                       n_ranges: int | None = None) -> DataFrame:
     """Passages with a dense global ``passage_id`` in (order_col, window)
-    order, starting at 0."""
+    order, starting at 0. The documents are exchanged by ranges of
+    ``order_col`` (any orderable type, unique), cut into windows in their
+    sorted partitions and written once, with the windows' places. ``tokens``
+    is a column of ``df`` or an expression over its columns, which is computed
+    after the exchange, so that texts move instead of token arrays."""
     _check(W, S)
-    n = window_count(F.size(tokens_col), W, S)
-    base = with_dense_offset(df, order_col, n, n_ranges)
-    wins = token_windows(F.col(tokens_col), W, S)
-    return base.select(*keep, "offset", F.posexplode_outer(wins).alias("window_index", "_w")).select(
-        (F.col("offset") + F.col("window_index")).alias("passage_id"), *keep,
-        "window_index", F.array_join("_w", " ").alias("text"))
+    toks = F.col(tokens) if isinstance(tokens, str) else tokens
+    docs = _sorted_by(df, order_col, n_ranges).select(*keep, toks.alias("_t"))
+    wins = docs.select(*keep, F.posexplode_outer(token_windows(F.col("_t"), W, S)).alias("window_index", "_w"))
+    made = wins.select(*keep, "window_index", F.array_join("_w", " ").alias("text"))
+    return _with_numbers(made, "passage_id", "passages").select("passage_id", *keep, "window_index", "text")
 
 
 def reader_window_count(n_ctx: Column, max_len: int, q_len: Column, stride: int,

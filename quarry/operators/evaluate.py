@@ -31,12 +31,23 @@ def _chars(c: Column) -> Column:
     return F.filter(F.split(F.replace(c, F.lit(" "), F.lit("")), ""), lambda x: x != "")
 
 
+def _counted(x: Column) -> Column:
+    """Each element with its number among its equals (a, a, b -> a 1, a 2,
+    b 1), as strings: sorted, cut at the ends of runs, numbered within them."""
+    def numbered(st: Column) -> Column:
+        n = F.size(st)
+        ends = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (F.element_at(st, i) != F.try_element_at(st, i + 1)))
+        sizes = lambda e: F.zip_with(e, F.slice(F.concat(F.array(F.lit(0)), e), 1, F.size(e)), lambda a, b: a - b)
+        spelled = lambda e: F.flatten(F.zip_with(e, sizes(e), lambda at, size: F.transform(
+            F.sequence(F.lit(1), size), lambda j: F.concat(F.element_at(st, at), F.lit("\x00"), j.cast("string")))))
+        return F.when(n > 0, T.let(ends, spelled)).otherwise(F.array().cast("array<string>"))
+    return T.let(F.sort_array(x), numbered)
+
+
 def _multiset_overlap(p: Column, g: Column) -> Column:
-    """sum over distinct x of min(count_p(x), count_g(x))."""
-    return F.aggregate(
-        F.array_distinct(p), F.lit(0),
-        lambda acc, x: acc + F.least(F.size(F.filter(p, lambda y: y == x)),
-                                     F.size(F.filter(g, lambda y: y == x))))
+    """sum over distinct x of min(count_p(x), count_g(x)): the numbered
+    elements that both have, a hash intersection (linear but for the sorts)."""
+    return F.size(F.array_intersect(_counted(p), _counted(g)))
 
 
 def _f1_from(p: Column, g: Column) -> Column:
@@ -188,11 +199,6 @@ def strict_match(pred_text, pred_start, answer_text, answer_start) -> Column:
     return (_c(pred_start) == _c(answer_start)) & (_c(pred_text) == _c(answer_text))
 
 
-def micro_f1(pred, label) -> Column:
-    """E17 aggregate: micro-averaged F1 with one label per row = accuracy."""
-    return F.avg((_c(pred) == _c(label)).cast("double"))
-
-
 def _logsumexp(arr: Column) -> Column:
     m = F.array_max(arr)
     return m + F.log(F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + F.exp(x - m)))
@@ -209,27 +215,91 @@ def span_loss(start_logits, end_logits, start_pos, end_pos) -> Column:
     return (ce(_c(start_logits), start_pos), ce(_c(end_logits), end_pos))
 
 
+CONTRASTIVE_BLOCK = 1024  # questions and passages of one tile
+
+
+def _tile_sums(batches):
+    """Rows sorted by (batch, qb, pb), each a question, a passage or both:
+    per question of a tile the largest logit, the sum of exp(logit - largest)
+    and, where its own passage is in the tile, its logit."""
+    import numpy as np
+    import pyarrow as pa
+
+    names = ["batch", "qb", "pb"]
+
+    def matrix(rows, name):
+        column = rows.column(name).combine_chunks()
+        at = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+        x = column.drop_null()
+        return at, x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1) if len(x) else np.zeros((0, 1))
+
+    def tile(rows):
+        ids = rows.column("id").combine_chunks()
+        q_at, Q = matrix(rows, "q")
+        p_at, P = matrix(rows, "p")
+        if not len(q_at) or not len(p_at):
+            return
+        S = Q @ P.T
+        high = S.max(axis=1)
+        total = np.exp(S - high[:, None]).sum(axis=1)
+        place = {i: j for j, i in enumerate(ids.take(pa.array(p_at)).to_pylist())}
+        mine = [place.get(i, -1) for i in ids.take(pa.array(q_at)).to_pylist()]
+        own = [float(S[i, j]) if j >= 0 else None for i, j in enumerate(mine)]
+        yield pa.record_batch([rows.column("batch").combine_chunks().take(pa.array(q_at)), ids.take(pa.array(q_at)),
+                               pa.array(high), pa.array(total), pa.array(own, pa.float64())],
+                              names=["batch", "id", "high", "total", "own"])
+
+    waiting = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        waiting = table if waiting is None else pa.concat_tables([waiting, table]).combine_chunks()
+        if not len(waiting):
+            continue
+        edge = np.zeros(len(waiting) - 1, bool)
+        for name in names:
+            x = waiting.column(name).combine_chunks()
+            edge |= np.asarray([a != b for a, b in zip(x[1:].to_pylist(), x[:-1].to_pylist())], bool)
+        cuts = [0, *(np.flatnonzero(edge) + 1).tolist()]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            yield from tile(waiting.slice(a, b - a))
+        waiting = waiting.slice(cuts[-1])
+    if waiting is not None and len(waiting):
+        yield from tile(waiting)
+
+
 def inbatch_contrastive(pairs: DataFrame, batch: str = "batch_id", qid: str = "qid",
-                        qvec: str = "qvec", pvec: str = "pvec") -> DataFrame:
+                        qvec: str = "qvec", pvec: str = "pvec", block: int = CONTRASTIVE_BLOCK) -> DataFrame:
     """In-batch softmax NLL of the matching passage, per batch.
 
-    ``pairs``: one (question vector, passage vector) per row with a batch id.
-    A batch (bounded by the batch size, a parameter) is gathered into one row;
-    for question i the logits are its dot products with every passage of the
-    batch, and the loss is ``logsumexp(logits) - logits[i]``, averaged over
-    the batch. The similarity matrix lives inside the row; no pair rows are
-    produced.
+    ``pairs``: one (question vector, passage vector) per row with a batch id
+    (``qid`` unique). For question i the logits are its dot products with every
+    passage of the batch, and the loss is ``logsumexp(logits) - logits[i]``,
+    averaged over the batch.
+
+    A batch of up to ``block`` rows is one tile; a larger one is dealt into
+    parts, and every (part of questions, part of passages) is a tile with a
+    partition key of its own. A tile gives, per question, the largest logit
+    and the sum of the others relative to it; these pairs are merged, so no
+    task holds more than a tile, and no pair rows are made.
     """
-    rows = pairs.groupBy(batch).agg(F.sort_array(F.collect_list(F.struct(
-        F.col(qid).alias("id"), F.col(qvec).cast("array<double>").alias("q"),
-        F.col(pvec).cast("array<double>").alias("p")))).alias("b"))
-
-    def dot(a, b):
-        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0),
-                           lambda acc, v: acc + v)
-
-    per_q = F.transform("b", lambda r, i: _logsumexp(
-        F.transform("b", lambda o: dot(r["q"], o["p"]))) - dot(r["q"], r["p"]))
-    n = F.size("b")
-    return rows.select(batch, F.round(F.aggregate(per_q, F.lit(0.0), lambda a, x: a + x) / n, 6)
-                       .alias("loss"), n.cast("long").alias("n"))
+    sizes = pairs.groupBy(batch).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("nb"))
+    rows = pairs.select(F.col(batch).alias("batch"), F.col(qid).alias("id"), F.col(qvec).cast("array<double>").alias("q"),
+                        F.col(pvec).cast("array<double>").alias("p"))
+    rows = rows.join(sizes.withColumnRenamed(batch, "batch"), "batch").withColumn(
+        "own", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
+    nothing = F.lit(None).cast("array<double>")
+    one = rows.filter("nb = 1").select("batch", F.lit(0).alias("qb"), F.lit(0).alias("pb"), "id", "q", "p")
+    more = rows.filter("nb > 1")
+    tiles = (one.unionByName(more.select("batch", F.col("own").alias("qb"), other.alias("pb"), "id", "q", nothing.alias("p")))
+             .unionByName(more.select("batch", other.alias("qb"), F.col("own").alias("pb"), "id", nothing.alias("q"), "p")))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    keys = ["batch", "qb", "pb"]
+    sums = tiles.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(
+        _tile_sums, f"batch {kinds['batch']}, id {kinds['id']}, high double, total double, own double")
+    parts = sums.groupBy("batch", "id").agg(F.max("high").alias("high"), F.max("own").alias("own"),
+                                            F.collect_list(F.struct("high", "total")).alias("parts"))  # one a tile
+    whole = F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["total"] * F.exp(x["high"] - F.col("high")))
+    nll = F.col("high") + F.log(whole) - F.col("own")
+    return (parts.withColumn("nll", nll).groupBy(F.col("batch").alias(batch))
+            .agg(F.round(F.avg("nll"), 6).alias("loss"), F.count(F.lit(1)).alias("n")))

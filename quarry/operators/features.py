@@ -7,7 +7,7 @@ offsets (T3), and a token id is a hash of the token text into the vocabulary
 first ids. Every operator is an array expression over one row, so a row's
 windows, labels and masks never leave its task; the only cross-row operators
 are batch padding (C10, a window over a bounded batch) and dense row numbers
-(the distributed prefix sum of ``chunk.dense_offsets``).
+(``chunk.number_rows``).
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators.chunk import dense_offsets, window_count
+from quarry.operators.chunk import number_rows, window_count
 from quarry.session import materialize
 
 # Special token ids and ignore label (BERT-style layout).
@@ -256,15 +256,15 @@ def batch_pad(df: DataFrame, order_col: str, batch_size: int, col: str = "input_
               pad_value: int = PAD_ID, n_ranges: int | None = None) -> DataFrame:
     """Rows in ``order_col`` order form batches of ``batch_size``; each
     array is padded to the longest in its batch, rounded up to a multiple.
-    Row numbers come from the distributed prefix sum and the padding length
-    from a window over one batch (a bounded group), both over keys and sizes
-    only; the arrays are joined to them once."""
+    Row numbers come from ``chunk.number_rows`` (any orderable key) and the
+    padding length from a window over one batch (a bounded group), both over
+    keys and sizes only; the arrays are joined to them once."""
     stored = materialize(df, "batch-rows")
-    sizes = stored.select(order_col, F.lit(1).alias("_one"), F.size(col).alias("_len"))
-    rows = dense_offsets(sizes, order_col, "_one", "row_index", n_ranges).withColumn(
+    sizes = stored.select(order_col, F.size(col).alias("_len"))
+    rows = number_rows(sizes, order_col, "row_index", n_ranges).withColumn(
         "batch_id", F.floor(F.col("row_index") / batch_size).cast("long"))
     rows = rows.withColumn("_mx", F.max("_len").over(Window.partitionBy("batch_id")))
-    x = stored.join(rows.drop("_one", "_len"), order_col)
+    x = stored.join(rows.drop("_len"), order_col)
     mx = F.col("_mx")
     if pad_to_multiple_of:
         mx = F.ceil(mx / pad_to_multiple_of) * pad_to_multiple_of

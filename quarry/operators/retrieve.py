@@ -113,32 +113,56 @@ def bm25_topk(index: Bm25Index, questions: DataFrame, k: int = 10,
     return rank_topk(s, k).select("qid", "rank", "document_id", "score")
 
 
+PAD_BLOCK = 1024
+
+
 def with_zero_padding(scores: DataFrame, docs: DataFrame, questions: DataFrame, k: int,
                       qid: str = "qid") -> DataFrame:
     """``scores`` with the score-0 documents that can reach a top k.
 
-    A question that has p matched documents of positive score needs up to
-    k - p unmatched ones, those with the smallest ids. Among the first k + m
-    ids, m being its matched documents, at least k are unmatched, so those
-    are enough. Questions with p >= k get none. The ids are numbered (k plus
-    the largest m of a question that needs padding), exploded per question
-    and reduced by an anti join with all scored pairs.
+    A question that has p matched documents of positive score needs the
+    k - p unmatched ones of smallest id; questions with p >= k need none.
+
+    All ids are numbered in their order (``chunk.number_rows``, distributed).
+    Per question the matched numbers are counted by blocks of numbers; the
+    running count shows how many unmatched ids there are up to each block, and
+    so the block in which the last one needed lies. Only the blocks up to it that
+    are not full of matched ids (at most k + 1 a question) are spelled out
+    and reduced by an anti join. Windows run over one question's block counts.
     """
+    from quarry.operators.chunk import number_rows
     pairs = materialize(scores.select("qid", "document_id", "score"), "bm25-scores")
-    counts = pairs.groupBy("qid").agg(
-        F.count(F.lit(1)).alias("m"), F.sum((F.round("score", SCORE_DIGITS) > 0).cast("int")).alias("p"))
-    need = (questions.select(F.col(qid).alias("qid")).distinct().join(counts, "qid", "left")
-            .select("qid", F.coalesce("m", F.lit(0)).alias("m"), F.coalesce("p", F.lit(0)).alias("p"))
-            .filter(F.col("p") < k))
-    most = need.agg(F.max("m")).first()[0]
-    if most is None:
+    positive = pairs.groupBy("qid").agg(F.sum((F.round("score", SCORE_DIGITS) > 0).cast("int")).alias("p"))
+    need = materialize(questions.select(F.col(qid).alias("qid")).distinct().join(positive, "qid", "left")
+                       .select("qid", (F.lit(k) - F.coalesce("p", F.lit(0))).alias("need")).filter("need > 0"), "padding")
+    if need.isEmpty():
         return pairs
-    first = docs.select("document_id").distinct().orderBy("document_id").limit(int(k + most))
-    numbered = first.withColumn("i", F.row_number().over(Window.orderBy("document_id")))
-    fill = (need.select("qid", F.explode(F.sequence(F.lit(1), (F.col("m") + k).cast("int"))).alias("i"))
-            .join(numbered, "i").select("qid", "document_id")
-            .join(pairs, ["qid", "document_id"], "left_anti"))
-    return pairs.unionByName(fill.withColumn("score", F.lit(0.0)))
+    numbered = materialize(number_rows(docs.select("document_id").distinct(), "document_id", "i"), "document-numbers")
+    total = numbered.count()
+    size = max(PAD_BLOCK, k)
+    matched = materialize(pairs.join(need, "qid", "left_semi").join(numbered, "document_id").select("qid", "i"),
+                          "matched-numbers")
+    block = F.floor(F.col("i") / size)
+    counts = matched.groupBy("qid", block.alias("b")).agg(F.count(F.lit(1)).alias("m"))
+    up_to = Window.partitionBy("qid").orderBy("b")
+    seen = (counts.withColumn("free", (F.col("b") + 1) * size - F.sum("m").over(up_to))
+            .withColumn("next", F.lead("b").over(up_to)).join(need, "qid"))
+    # a whole block is unmatched before the first counted one, or after one
+    # whose successor is not counted; a block holds at least k ids
+    ends = F.when(F.col("free") >= F.col("need"), F.col("b")).when(
+        F.col("next").isNull() | (F.col("next") > F.col("b") + 1), F.col("b") + 1)
+    last = (seen.groupBy("qid").agg(F.min(ends).alias("end"), F.min("b").alias("first"))
+            .select("qid", F.when(F.col("first") > 0, F.lit(0)).otherwise(F.col("end")).alias("end")))
+    last = need.select("qid").join(last, "qid", "left").select("qid", F.coalesce("end", F.lit(0)).alias("end"))
+    open_blocks = (seen.filter(F.col("m") < size).select("qid", "b").join(last, "qid").filter("b <= end").select("qid", "b")
+                   .unionByName(last.select("qid", F.col("end").alias("b"))).distinct())
+    first = F.col("b") * size
+    spelled = open_blocks.select("qid", F.explode(F.sequence(first, first + size - 1)).alias("i")).filter(F.col("i") < total)
+    free = spelled.join(matched, ["qid", "i"], "left_anti").join(need, "qid")
+    nth = Window.partitionBy("qid").orderBy("i")
+    fill = (free.withColumn("n", F.row_number().over(nth)).filter("n <= need").join(numbered, "i")
+            .select("qid", "document_id", F.lit(0.0).alias("score")))
+    return pairs.unionByName(fill)
 
 
 # --------------------------------------------------------------------------
@@ -220,64 +244,101 @@ def _block_schema(passages: DataFrame, queries: DataFrame, doc: Column) -> str:
     return f"qid {names[0]}, pid {names[1]}, document_id {names[2]}, score double"
 
 
-def _score_block(P, pid, doc, Q, qids, k: int, metric: str, grouped: bool):
-    """Top k passages (or distinct documents) per question for one block of
-    passages and questions, as a pandas frame. Order: best score (rounded),
-    then smallest document id, then smallest passage id."""
+TILE_BYTES = 8 << 20   # scores of one tile (rows x questions x 8)
+
+
+class _Running:
+    """The best k passages (or distinct documents) so far of each question of
+    a task: best score (rounded), then smallest document id, then smallest
+    passage id. Holds at most k rows a question; ``kth`` is the key that a
+    passage must reach (smaller is better, inf while there are fewer than k)."""
+
+    def __init__(self, n: int, k: int, grouped: bool):
+        import numpy as np
+        self.k, self.grouped = k, grouped
+        self.kth = np.full(n, np.inf)
+        self.rows: list = [None] * n
+
+    def offer(self, i: int, key, doc, pid) -> None:
+        import numpy as np
+        if self.rows[i] is not None:
+            key, doc, pid = (np.concatenate(x) for x in zip(self.rows[i], (key, doc, pid)))
+        order = np.lexsort((pid, doc, key))
+        if self.grouped:
+            _, first = np.unique(doc[order], return_index=True)
+            order = order[np.sort(first)]
+        order = order[:self.k]
+        self.rows[i] = (key[order], doc[order], pid[order])
+        if len(order) == self.k:
+            self.kth[i] = key[order[-1]]
+
+    def frame(self, qids, sign: float):
+        import numpy as np
+        import pandas as pd
+        full = [i for i, r in enumerate(self.rows) if r is not None]
+        if not full:
+            return None
+        key, doc, pid = (np.concatenate([self.rows[i][c] for i in full]) for c in range(3))
+        return pd.DataFrame({"qid": np.repeat(qids[full], [len(self.rows[i][0]) for i in full]),
+                             "pid": pid, "document_id": doc, "score": (sign * key + 0.0).astype("float64")})
+
+
+def _scan(top: _Running, which, P, pid, doc, Q, metric: str, queries_per_tile: int) -> None:
+    """Offer the passages ``P`` to the questions ``Q`` (``which``: their
+    places in ``top``), tile by tile. A tile holds at most ``TILE_BYTES`` of
+    scores. Before a tile is scored, questions that no passage of it can
+    serve are left out by the norms: q.p <= |q| max|p|, and the distance of q and
+    p is at least the distance of their norms."""
     import numpy as np
-    import pandas as pd
-    if len(Q) == 0:
-        S = np.zeros((0, 0))
-    elif metric == "ip":
-        S = Q @ P.T
-    else:  # squared L2, as an IVF-Flat L2 index reports
-        S = np.maximum((Q * Q).sum(1)[:, None] + (P * P).sum(1)[None, :] - 2.0 * (Q @ P.T), 0.0)
-    S = np.round(S, SCORE_DIGITS)
     sign = -1.0 if metric == "ip" else 1.0
-    n = S.shape[1]
-    out_q, out_p, out_d, out_s = [], [], [], []
-    for i, qid in enumerate(qids):
-        row = S[i]
-        key = sign * row                      # smaller is better
-        m = k
-        while True:
-            # candidates: everything at least as good as the m-th best key
-            # (ties kept), then the exact order on those only
-            if m < n:
-                kth = np.partition(key, m - 1)[m - 1]
-                cand = np.nonzero(key <= kth)[0]
-            else:
-                cand = np.arange(n)
-            order = cand[np.lexsort((pid[cand], doc[cand], key[cand]))]
-            if grouped:
-                _, first = np.unique(doc[order], return_index=True)
-                order = order[np.sort(first)]
-            if len(order) >= k or len(cand) == n:
-                break
-            m *= 4                            # too few distinct documents: widen
-        order = order[:k]
-        out_q.append(np.full(len(order), qid))
-        out_p.append(pid[order])
-        out_d.append(doc[order])
-        out_s.append(row[order])
-    if not out_q:
-        return pd.DataFrame({"qid": qids[:0], "pid": pid[:0], "document_id": doc[:0],
-                             "score": np.zeros(0)})
-    return pd.DataFrame({"qid": np.concatenate(out_q), "pid": np.concatenate(out_p),
-                         "document_id": np.concatenate(out_d),
-                         "score": np.concatenate(out_s).astype("float64")})
-
-
-def _block_scorer(k: int, metric: str, group_col: str | None):
+    pn, qn = np.sqrt((P * P).sum(1)), np.sqrt((Q * Q).sum(1))
+    slack = 10.0 ** -SCORE_DIGITS     # covers rounding to equal scores
+    step = max(1, TILE_BYTES // (8 * max(1, min(len(Q), queries_per_tile))))
+    for a in range(0, len(P), step):
+        rows = slice(a, min(a + step, len(P)))
+        low, high = pn[rows].min(), pn[rows].max()
+        if metric == "ip":
+            best = -qn * high
+        else:
+            best = np.maximum(0.0, np.maximum(low - qn, qn - high)) ** 2
+        live = np.flatnonzero(best - slack * (1 + np.abs(best)) <= top.kth[which])
+        for b in range(0, len(live), queries_per_tile):
+            sel = live[b:b + queries_per_tile]
+            S = Q[sel] @ P[rows].T
+            if metric != "ip":  # squared L2, as an IVF-Flat L2 index reports
+                S *= -2.0
+                S += (qn[sel] ** 2)[:, None] + (pn[rows] ** 2)[None, :]
+                np.maximum(S, 0.0, out=S)
+            np.round(S, SCORE_DIGITS, out=S)
+            S *= sign                                  # smaller is better
+            wanted = S <= top.kth[which[sel]][:, None]
+            for i in np.flatnonzero(wanted.any(axis=1)):
+                cand = np.flatnonzero(wanted[i])
+                key = S[i, cand]
+                if not top.grouped and len(cand) > 4 * top.k:
+                    keep = key <= np.partition(key, top.k - 1)[top.k - 1]  # ties kept
+                    cand, key = cand[keep], key[keep]
+                top.offer(int(which[sel[i]]), key, doc[rows][cand], pid[rows][cand])
+
+
+def _matrix(column):
+    import numpy as np
+    return np.stack(column.to_numpy()).astype(np.float64)
+
+
+def _block_scorer(k: int, metric: str, group_col: str | None, queries_per_tile: int = 4096):
     import numpy as np
+    import pandas as pd
 
     def score(p, q):
         pid, doc, qids = _ids(p["pid"]), _ids(p["document_id"]), _ids(q["qid"])
-        if len(p) == 0 or len(q) == 0:
-            return _score_block(None, pid, doc, np.zeros((0, 1)), qids[:0], k, metric, False)
-        P = np.stack(p["vec"].to_numpy()).astype(np.float64)
-        Q = np.stack(q["vec"].to_numpy()).astype(np.float64)
-        return _score_block(P, pid, doc, Q, qids, k, metric, bool(group_col))
+        out = None
+        if len(p) and len(q):
+            top = _Running(len(q), k, bool(group_col))
+            _scan(top, np.arange(len(q)), _matrix(p["vec"]), pid, doc, _matrix(q["vec"]), metric, queries_per_tile)
+            out = top.frame(qids, -1.0 if metric == "ip" else 1.0)
+        return out if out is not None else pd.DataFrame(
+            {"qid": qids[:0], "pid": pid[:0], "document_id": doc[:0], "score": np.zeros(0)})
     return score
 
 
@@ -313,57 +374,38 @@ def _query_matrix(queries: DataFrame, extra: str | None = None):
     return queries.sparkSession.sparkContext.broadcast(payload)
 
 
-def _keep_top(frames: list, k: int, metric: str, grouped: bool):
-    """The top k per question of several scored blocks, as one frame."""
-    import pandas as pd
-    x = pd.concat(frames, ignore_index=True)
-    x = x.assign(_key=-x["score"] if metric == "ip" else x["score"])
-    x = x.sort_values(["qid", "_key", "document_id", "pid"], kind="stable")
-    if grouped:
-        x = x.drop_duplicates(["qid", "document_id"])
-    return x.groupby("qid", sort=False).head(k).drop(columns="_key")
-
-
 def _streamed_scorer(bc, k: int, metric: str, grouped: bool, chunk: int):
-    """Scores a task's passages batch by batch and emits k rows per question
-    once, at the end; at most a few times that many are held."""
-    def run(batches):
-        held, rows = [], 0
-        most = 4 * k * max(1, len(bc.value[0]))
-        for block in blocks(batches):
-            held.append(block)
-            rows += len(block)
-            if rows > most:
-                held = [_keep_top(held, k, metric, grouped)]
-                rows = len(held[0])
-        if held:
-            yield _keep_top(held, k, metric, grouped)
-
+    """Scores a task's passages batch by batch against the broadcast
+    questions and emits the best k of each question once, at the end. A task
+    holds a batch of vectors, one tile of scores and k rows a question."""
     import numpy as np
 
-    def blocks(batches):
+    def run(batches):
         qids, Q, probes = bc.value
         by_cluster = None
         if probes is not None:
             by_cluster = {}
             for i, c in enumerate(probes):
                 by_cluster.setdefault(int(c), []).append(i)
+        # a question that probes several clusters stands once for each; its
+        # lists are merged by the final ranking
+        top = _Running(len(qids), k, grouped)
         for pdf in batches:
             if len(pdf) == 0 or len(qids) == 0:
                 continue
-            P = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
+            P = _matrix(pdf["vec"])
             pid, doc = _ids(pdf["pid"]), _ids(pdf["document_id"])
             if by_cluster is None:
-                groups = [(np.arange(len(pdf)), np.arange(len(qids)))]
+                groups = [(slice(None), np.arange(len(qids)))]
             else:
                 cl = pdf["cluster_id"].to_numpy()
-                groups = [(np.nonzero(cl == c)[0], np.array(by_cluster[int(c)]))
+                groups = [(np.flatnonzero(cl == c), np.array(by_cluster[int(c)]))
                           for c in np.unique(cl) if int(c) in by_cluster]
-            for rows, qs in groups:
-                for j in range(0, len(qs), chunk):
-                    sel = qs[j:j + chunk]
-                    yield _score_block(P[rows], pid[rows], doc[rows], Q[sel], qids[sel],
-                                       k, metric, grouped)
+            for rows, which in groups:
+                _scan(top, which, P[rows], pid[rows], doc[rows], Q[which], metric, chunk)
+        out = top.frame(qids, -1.0 if metric == "ip" else 1.0)
+        if out is not None:
+            yield out
     return run
 
 
@@ -386,9 +428,11 @@ def dense_topk(passages: DataFrame, queries: DataFrame, k: int = 10,
     When the question matrix measures under the broadcast limit (the usual
     case: thousands of questions against a huge corpus) it is broadcast and
     the passages stream through ``mapInPandas`` without any shuffle; every
-    Arrow batch emits at most k rows per question (per-batch top k, or
-    per-batch top k documents by their best passage, both exact after the
-    final top-k). Otherwise passages and questions are hashed into bounded
+    task keeps a running top k per question (of passages, or of documents by
+    their best passage, both exact after the final top-k) and emits it once.
+    Scores are computed in tiles of ``TILE_BYTES``; a tile whose norms cannot
+    reach a question's k-th score is not scored for it. Otherwise passages and
+    questions are hashed into bounded
     blocks (``ceil(N / rows_per_block)``, ``ceil(Q / queries_per_block)``;
     by the group column when grouping) and every (passage block, question
     block) pair is one co-grouped task.

@@ -167,7 +167,7 @@ def q_c1(spark, sf) -> DataFrame:
 @register("c2_passage_ids")
 def q_c2(spark, sf) -> DataFrame:
     from quarry.operators import chunk as C
-    p = C.numbered_passages(_clean_docs(spark, sf), "toks", 150, 50)
+    p = C.numbered_passages(_clean_docs(spark, sf), T.whitespace_tokens("clean", normalized=True), 150, 50)
     return p.select("passage_id", "document_id", "title", "window_index",
                     F.sha2("text", 256).alias("h"))
 
@@ -942,3 +942,68 @@ def q_i6a(spark, sf) -> DataFrame:
     nearest = F.least(*[far(c) for c in by_id.values()])
     chosen = F.coalesce(*[F.when(F.col("cluster_id") == i, far(c)) for i, c in by_id.items()])
     return own.select("pid", (F.abs(chosen - nearest) < 1e-6).alias("is_nearest"))
+
+
+# ------------------------------------------- IVF over TF-IDF vectors
+
+def _source_labels(spark, sf, idx):
+    """One cluster a title (``source``), numbered in their order."""
+    from pyspark.sql import Window
+    docs = I.prepare_corpus(fx.corpus(spark, sf)).select("dkey", "document_id", "title")
+    names = docs.select("title").distinct()  # a handful of sources
+    numbers = names.withColumn("cluster_id", F.row_number().over(Window.orderBy("title")) - 1)
+    return docs.join(F.broadcast(numbers), docs["title"].eqNullSafe(numbers["title"])).select("dkey", "document_id", "cluster_id")
+
+
+def _source_ivf(spark, sf):
+    from quarry.operators import sparse_ivf as V
+    idx = _tfidf(spark, sf)
+    return V.build_lists(idx, V.centroids_by_label(idx, _source_labels(spark, sf, idx), top_terms=500))
+
+
+@register("i6_tfidf_ivf_assign")
+def q_i6t(spark, sf) -> DataFrame:
+    """I6 over TF-IDF vectors: the nearest of the sources' mean vectors."""
+    lists = _source_ivf(spark, sf).lists
+    return lists.select("document_id", "cluster_id").distinct()
+
+
+@register("r8_tfidf_ivf_topk")
+def q_r8t(spark, sf) -> DataFrame:
+    """R8 over TF-IDF vectors: three nearest lists of each question."""
+    from quarry.operators import sparse_ivf as V
+    return V.topk(_source_ivf(spark, sf), fx.questions(spark, sf), k=10, nprobe=3)
+
+
+@register("r8_tfidf_kmeans_full_probe")
+def q_r8f(spark, sf) -> DataFrame:
+    """R8 with learned centroids, all lists probed: exact search."""
+    from quarry.operators import sparse_ivf as V
+    idx = _tfidf(spark, sf)
+    ivf = V.build_lists(idx, V.kmeans(idx, num_clusters=16, iterations=4, top_terms=500))
+    return V.topk(ivf, fx.questions(spark, sf), k=10, nprobe=16)
+
+
+@register("r8_tfidf_kmeans_recall")
+def q_r8k(spark, sf) -> DataFrame:
+    """Learned centroids, a quarter of the lists probed: of the ten nearest
+    documents of each question, how many are found."""
+    from quarry.operators import sparse_ivf as V
+    idx = _tfidf(spark, sf)
+    ivf = V.build_lists(idx, V.kmeans(idx, num_clusters=16, iterations=4, top_terms=500))
+    qs = fx.questions(spark, sf)
+    exact = R.tfidf_topk(idx, qs, k=10).select("qid", "document_id")
+    found = V.topk(ivf, qs, k=10, nprobe=4).select("qid", "document_id", F.lit(1).alias("hit"))
+    return exact.join(found, ["qid", "document_id"], "left").groupBy("qid").agg(
+        F.count(F.lit(1)).alias("n"), F.count("hit").alias("n_found"))
+
+
+@register("r8_sq8_ivf_topk")
+def q_r8q(spark, sf) -> DataFrame:
+    """R8 over 8-bit codes: the scan reads codes, the candidates that the
+    bounds leave are ranked by their full vectors."""
+    from quarry.operators import quantize as Z
+    q, p = fx.vectors(spark, sf)
+    cents = R.centroids_by_label(p)
+    index = Z.build(R.ivf_assign(p, cents), cents)
+    return Z.coded_topk(index, q, k=10, nprobe=1)

@@ -980,3 +980,58 @@ def _s9f():
 @sql("i6_kmeans_assignment")
 def _i6a():
     return "SELECT vec_id AS pid, TRUE AS is_nearest FROM embeddings"
+
+
+# ------------------------------------------- IVF over TF-IDF vectors
+
+def _tfidf_ivf_ctes():
+    # one list per title, centroids = mean vectors cut to their 500 heaviest terms
+    return O.tfidf_ctes() + """,
+labels AS (SELECT title, CAST(row_number() OVER (ORDER BY title NULLS FIRST) - 1 AS INTEGER) AS cluster_id
+           FROM (SELECT DISTINCT title FROM docs)),
+member AS (SELECT DISTINCT w.document_id, cluster_id FROM w JOIN docs USING (document_id) JOIN labels ON docs.title IS NOT DISTINCT FROM labels.title),
+every AS (SELECT docs.document_id, cluster_id FROM docs JOIN labels ON docs.title IS NOT DISTINCT FROM labels.title),
+size AS (SELECT cluster_id, count(*) AS n FROM every GROUP BY cluster_id),
+mean AS (SELECT cluster_id, term, sum(w) / any_value(n) AS c FROM w JOIN every USING (document_id) JOIN size USING (cluster_id) GROUP BY cluster_id, term),
+cent AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY c DESC, term) AS r FROM mean) WHERE r <= 500),
+norm AS (SELECT cluster_id, sum(c * c) / 2 AS half FROM cent GROUP BY cluster_id),
+near AS (SELECT document_id, cluster_id FROM (
+  SELECT m.document_id, norm.cluster_id, row_number() OVER (PARTITION BY m.document_id ORDER BY
+         round(coalesce(d.dot, 0) - half, 9) DESC, norm.cluster_id) AS r
+  FROM (SELECT DISTINCT document_id FROM w) m CROSS JOIN norm
+  LEFT JOIN (SELECT document_id, cluster_id, sum(w * c) AS dot FROM w JOIN cent USING (term) GROUP BY ALL) d
+    ON d.document_id = m.document_id AND d.cluster_id = norm.cluster_id) WHERE r = 1),
+qnear AS (SELECT qid, cluster_id FROM (
+  SELECT m.qid, norm.cluster_id, row_number() OVER (PARTITION BY m.qid ORDER BY
+         round(coalesce(d.dot, 0) - half, 9) DESC, norm.cluster_id) AS r
+  FROM (SELECT DISTINCT qid FROM qw) m CROSS JOIN norm
+  LEFT JOIN (SELECT qid, cluster_id, sum(wq * c) AS dot FROM qw JOIN cent USING (term) GROUP BY ALL) d
+    ON d.qid = m.qid AND d.cluster_id = norm.cluster_id) WHERE r <= 3)"""
+
+
+def _by_distance(src):
+    return f"""SELECT qid, rank, document_id, score FROM (
+  SELECT qid, document_id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score, document_id) AS INTEGER) AS rank
+  FROM (SELECT qid, document_id, round(2 - 2 * score, 6) AS score FROM {src})) WHERE rank <= 10"""
+
+
+@sql("i6_tfidf_ivf_assign")
+def _i6t():
+    return f"WITH {_tfidf_ivf_ctes()}\nSELECT document_id, cluster_id FROM near"
+
+
+@sql("r8_tfidf_ivf_topk")
+def _r8t():
+    return f"""WITH {_tfidf_ivf_ctes()},
+probed AS (SELECT c.* FROM cosine c JOIN near USING (document_id) JOIN qnear ON qnear.qid = c.qid AND qnear.cluster_id = near.cluster_id)
+{_by_distance('probed')}"""
+
+
+@sql("r8_tfidf_kmeans_full_probe")
+def _r8f():
+    return f"WITH {O.tfidf_ctes()}\n{_by_distance('cosine')}"
+
+
+@sql("r8_sq8_ivf_topk")
+def _r8q():
+    return _r8()

@@ -51,16 +51,41 @@ def test_dense_passage_ids(spark, n_ranges):
     assert [g[2] for g in got] == list(range(len(got)))
 
 
-def test_dense_offsets_random_ids(spark):
+@pytest.mark.parametrize("kind", ["long", "string", "date"])
+def test_row_numbers_of_any_key(spark, kind):
     import random
     rng = random.Random(13)
-    ids = rng.sample(range(10 ** 9), 200)
-    counts = {i: rng.randint(0, 5) for i in ids}
-    df = spark.createDataFrame([(i, c) for i, c in counts.items()], "k long, c int").repartition(7)
-    for n_ranges in (2, 9, 50):
-        got = {r.k: r.offset for r in C.with_dense_offset(df, "k", F.col("c"), n_ranges).collect()}
-        running, exp = 0, {}
-        for i in sorted(ids):
-            exp[i] = running
-            running += counts[i]
-        assert got == exp
+    df = spark.createDataFrame([(i,) for i in rng.sample(range(10 ** 6), 300)], "x long").select(
+        F.expr({"long": "x - 500000", "string": "concat('d', x % 7, '-', x)", "date": "date_add(date'1970-01-01', cast(x as int))"}[kind])
+        .alias("k")).repartition(7)
+    expected = {k: i for i, k in enumerate(sorted(r.k for r in df.collect()))}
+    for n_ranges in (1, 3, 40):
+        got = {r.k: r.row_index for r in C.number_rows(df, "k", n_ranges=n_ranges).collect()}
+        assert got == expected
+
+
+def test_passage_ids_of_string_documents(spark):
+    rows = [(f"doc-{d % 13}-{d}", f"t{d}", " ".join(f"x{j}" for j in range((d * 7) % 23))) for d in range(200)]
+    df = spark.createDataFrame(rows, "document_id string, title string, text string")
+    p = C.numbered_passages(df, F.filter(F.split("text", " "), lambda t: t != ""), 5, 2, n_ranges=9).collect()
+    got = sorted((r.document_id, r.window_index, r.passage_id) for r in p)
+    assert [g[2] for g in got] == list(range(len(got))) and len({g[0] for g in got}) == 200
+
+
+def test_batch_padding_of_string_keys(spark):
+    from quarry.operators import features as FT
+    df = spark.createDataFrame([(f"k{(i * 37) % 101:03d}", [1] * ((i * 5) % 9)) for i in range(101)], "k string, input_ids array<int>")
+    out = sorted((r.k, r.row_index, r.batch_id, len(r.input_ids)) for r in FT.batch_pad(df, "k", 8, n_ranges=6).collect())
+    sizes = {r.k: len(r.input_ids) for r in df.collect()}
+    order = sorted(sizes)
+    longest = [max(sizes[k] for k in order[b:b + 8]) for b in range(0, 101, 8)]
+    assert out == [(k, i, i // 8, longest[i // 8]) for i, k in enumerate(order)]
+
+
+def test_texts_are_exchanged_once(spark):
+    """Of the exchanges of the stored passages' plan only one, by ranges, holds texts."""
+    df = spark.range(50).select(F.col("id").alias("document_id"), F.lit("t").alias("title"), F.lit("a b c").alias("text"))
+    made = C._sorted_by(df, "document_id", 4).select("document_id", F.posexplode_outer(
+        C.token_windows(F.split("text", " "), 2, 1)).alias("i", "w"))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "rangepartitioning" in plan
