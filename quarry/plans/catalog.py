@@ -855,8 +855,8 @@ def q_r11(spark, sf) -> DataFrame:
 
 @register("r5_bm25_padded_negative")
 def q_r5n(spark, sf) -> DataFrame:
-    """R5 on a corpus whose terms are in more than half of the documents, so
-    that scores are negative, padded to k with score-0 documents."""
+    """R5 over the vowels of the texts: terms that are in more than half of the
+    documents, so that scores are negative, padded to k with score-0 documents."""
     docs, qs = fx.common_terms(spark, sf)
     return R.bm25_topk(I.build_bm25(docs), qs, k=10, pad_zero=True, docs=docs)
 
@@ -1007,3 +1007,12 @@ def q_r8q(spark, sf) -> DataFrame:
     cents = R.centroids_by_label(p)
     index = Z.build(R.ivf_assign(p, cents), cents)
     return Z.coded_topk(index, q, k=10, nprobe=1)
+
+
+@register("r5_bm25_impact_topk")
+def q_r5i(spark, sf) -> DataFrame:
+    """R5 with impact bounds: frequent terms are scored only for documents that
+    can still reach a question's threshold."""
+    from quarry.operators import impacts as M
+    idx = I.build_bm25(I.prepare_corpus(fx.corpus(spark, sf)))
+    return M.topk(M.build(idx, block_docs=16), fx.questions(spark, sf), k=10)

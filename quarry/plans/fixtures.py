@@ -238,14 +238,13 @@ def titles(spark, sf_dir) -> DataFrame:
 
 
 def common_terms(spark, sf_dir):
-    """`common_terms`: prepared documents of four words, each of which is in
-    most documents (word w in those whose id is no multiple of 2 + w), and one
-    question per benchmark item asking for two of them or for none."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"))
-    words = [F.when(F.col("document_id") % (3 + i) != 0, F.lit(w)) for i, w in enumerate(("aa", "bb", "cc", "dd"))]
+    """`common_terms`: the documents' texts with the letters a, e, i, o, t as
+    their only words (each is in most documents), and one question per
+    benchmark item: the first two of these letters in its text."""
+    letters = lambda c: F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[aeiot]"), F.lit(0))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text")
     docs = d.select(F.sha2(F.col("document_id").cast("string"), 256).alias("dkey"), "document_id",
-                    F.lit("").alias("title"), F.concat_ws(" ", *words).alias("ptext"))
+                    F.lit("").alias("title"), F.array_join(letters(F.col("text")), " ").alias("ptext"))
     q = table(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("qid"),
-        F.when(F.col("item_id") % 3 == 0, "aa bb").when(F.col("item_id") % 3 == 1, "cc dd dd").otherwise("zz").alias("question"))
+        F.col("item_id").alias("qid"), F.array_join(F.slice(letters(F.col("text")), 1, 2), " ").alias("question"))
     return docs, q

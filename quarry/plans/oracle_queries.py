@@ -911,17 +911,14 @@ UNION ALL SELECT 'faiss', qid, rank, pid, score FROM ({SQL['r8_ivf_topk']})"""
 @sql("r5_bm25_padded_negative")
 def _r5n():
     # Okapi BM25 over every document, k1 = 1.5, b = 0.75, floor 0.25 * mean idf
-    return """WITH t AS (
-  SELECT doc_id AS document_id, list_filter(['aa', 'bb', 'cc', 'dd'], lambda w:
-           (w = 'aa' AND doc_id % 3 <> 0) OR (w = 'bb' AND doc_id % 4 <> 0) OR (w = 'cc' AND doc_id % 5 <> 0) OR (w = 'dd' AND doc_id % 6 <> 0)) AS ws
-  FROM documents),
+    return """WITH t AS (SELECT doc_id AS document_id, regexp_extract_all(lower(coalesce(text, '')), '[aeiot]') AS ws FROM documents),
 s AS (SELECT count(*) AS n, avg(len(ws)) AS a FROM t),
-p AS (SELECT document_id, len(ws) AS dl, unnest(ws) AS w FROM t),
+p AS (SELECT document_id, dl, w, count(*) AS tf FROM (SELECT document_id, len(ws) AS dl, unnest(ws) AS w FROM t) GROUP BY ALL),
 f AS (SELECT w, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT w, count(*) AS df FROM p GROUP BY w), s),
 i AS (SELECT w, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM f) ELSE raw END AS idf FROM f),
-q AS (SELECT item_id AS qid, CASE item_id % 3 WHEN 0 THEN ['aa', 'bb'] WHEN 1 THEN ['cc', 'dd', 'dd'] ELSE ['zz'] END AS ws FROM benchmark),
+q AS (SELECT item_id AS qid, regexp_extract_all(lower(coalesce(text, '')), '[aeiot]')[1:2] AS ws FROM benchmark),
 qw AS (SELECT qid, unnest(ws) AS w FROM q),
-m AS (SELECT qid, document_id, sum(idf * 2.5 / (1 + 1.5 * (0.25 + 0.75 * dl / a))) AS score
+m AS (SELECT qid, document_id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / a))) AS score
       FROM qw JOIN i USING (w) JOIN p USING (w), s GROUP BY qid, document_id),
 e AS (SELECT q.qid, t.document_id, round(coalesce(m.score, 0.0), 6) AS score
       FROM q CROSS JOIN t LEFT JOIN m ON m.qid = q.qid AND m.document_id = t.document_id)
@@ -1035,3 +1032,8 @@ def _r8f():
 @sql("r8_sq8_ivf_topk")
 def _r8q():
     return _r8()
+
+
+@sql("r5_bm25_impact_topk")
+def _r5i():
+    return _r5()
