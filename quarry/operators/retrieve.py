@@ -642,23 +642,40 @@ METHODS = ("bm25", "tfidf", "dpr", "faiss")
 def retrieve(questions: DataFrame, docs: DataFrame | None = None, method: str = "bm25",
              k: int = 10, passages: DataFrame | None = None,
              query_vectors: DataFrame | None = None, centroids: DataFrame | None = None,
-             nprobe: int = 1, **kw) -> DataFrame:
+             nprobe: int = 1, index=None, **kw) -> DataFrame:
     """One interface over the four methods; returns the long top-k.
 
-    Sparse methods take ``questions (qid, question)`` and prepared ``docs``
-    (``prepare_corpus``). Dense methods take vectors computed outside
-    (encoders are not part of this library): ``passages (pid, vec,
-    document_id)`` and ``query_vectors (qid, vec)``; ``dpr`` returns the top
-    k distinct documents (R7), ``faiss`` probes ``nprobe`` clusters (R8).
+    All but ``dpr`` take ``questions (qid, question)`` and either prepared
+    ``docs`` (``prepare_corpus``) or a built ``index``, such as the stored ones of
+    S4, and then build nothing: ``bm25`` a ``Bm25Index`` or an
+    ``impacts.ImpactIndex``, ``tfidf`` a ``TfidfIndex``, ``faiss`` a
+    ``sparse_ivf.SparseIvf`` (TF-IDF vectors, as the source has them; learned
+    centroids, ``nprobe`` lists).
+
+    Vectors computed outside (encoders are not part of this library) come as
+    ``passages (pid, vec, document_id)`` and ``query_vectors (qid, vec)``:
+    ``dpr`` returns the top k distinct documents (R7), ``faiss`` probes
+    ``nprobe`` clusters of them (R8; ``index`` may be a
+    ``quantize.CodedIndex``). ``kw`` goes to what builds the index.
     """
+    from quarry.operators import impacts, quantize, sparse_ivf
     from quarry.operators.index import build_bm25, build_tfidf
     if method == "bm25":
-        return bm25_topk(build_bm25(docs, **kw), questions, k)
+        if isinstance(index, impacts.ImpactIndex):
+            return impacts.topk(index, questions, k)
+        return bm25_topk(index or build_bm25(docs, **kw), questions, k)
     if method == "tfidf":
-        return tfidf_topk(build_tfidf(docs, **kw), questions, k)
+        return tfidf_topk(index or build_tfidf(docs, **kw), questions, k)
     if method == "dpr":
         return dense_topk(passages, query_vectors, k, group_col="document_id", **kw)
     if method == "faiss":
+        if isinstance(index, quantize.CodedIndex):
+            return quantize.coded_topk(index, query_vectors, k, nprobe)
+        if passages is None:
+            if index is None:
+                tfidf = build_tfidf(docs)
+                index = sparse_ivf.build_lists(tfidf, sparse_ivf.kmeans(tfidf, **kw))
+            return sparse_ivf.topk(index, questions, k, nprobe)
         cents = centroids if centroids is not None else kmeans_centroids(passages, **kw)
         return ivf_topk(ivf_assign(passages, cents), query_vectors, cents, k, nprobe)
     raise ValueError(f"unknown method {method!r}; expected one of {METHODS}")

@@ -1016,3 +1016,35 @@ def q_r5i(spark, sf) -> DataFrame:
     from quarry.operators import impacts as M
     idx = I.build_bm25(I.prepare_corpus(fx.corpus(spark, sf)))
     return M.topk(M.build(idx, block_docs=16), fx.questions(spark, sf), k=10)
+
+
+@register("s4_tfidf_ivf_persistent_topk")
+def q_s4v(spark, sf) -> DataFrame:
+    """The stored IVF over TF-IDF vectors, all lists probed."""
+    from quarry.sources import io
+    index = io.tfidf_ivf_persistent(spark, fx.corpus(spark, sf), root=io.scratch_path(spark, "ix"), num_clusters=16,
+                                    iterations=3, top_terms=500, rows_per_file=20_000)
+    return R.retrieve(fx.questions(spark, sf), method="faiss", k=10, nprobe=16, index=index)
+
+
+@register("s4_sq8_persistent_topk")
+def q_s4q(spark, sf) -> DataFrame:
+    """The stored 8-bit index, lists in several files."""
+    from quarry.sources import io
+    q, p = fx.vectors(spark, sf)
+    index = io.coded_persistent(spark, p, R.centroids_by_label(p), root=io.scratch_path(spark, "ix"), rows_per_file=50)
+    return R.retrieve(None, method="faiss", k=10, query_vectors=q, index=index).select("qid", "rank", "pid", "score")
+
+
+@register("r11_method_dispatch_stored")
+def q_r11s(spark, sf) -> DataFrame:
+    """R11 over stored indexes: BM25, TF-IDF and IVF over TF-IDF vectors (all
+    lists probed) answer the same questions."""
+    from quarry.sources import io
+    src, qs, root = fx.corpus(spark, sf), fx.questions(spark, sf), io.scratch_path(spark, "ix")
+    bm25, _ = io.bm25_persistent(spark, src, root=root)
+    tfidf = io.tfidf_persistent(spark, src, root=root)
+    ivf = io.tfidf_ivf_persistent(spark, src, root=root, num_clusters=8, iterations=2, top_terms=300)
+    parts = [R.retrieve(qs, method=m, k=5, index=i, nprobe=8).withColumn("method", F.lit(m))
+             for m, i in (("bm25", bm25), ("tfidf", tfidf), ("faiss", ivf))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -1037,3 +1037,21 @@ def _r8q():
 @sql("r5_bm25_impact_topk")
 def _r5i():
     return _r5()
+
+
+@sql("s4_tfidf_ivf_persistent_topk")
+def _s4v():
+    return _r8f()
+
+
+@sql("s4_sq8_persistent_topk")
+def _s4q():
+    return _r8()
+
+
+@sql("r11_method_dispatch_stored")
+def _r11s():
+    far = _by_distance("cosine").replace("<= 10", "<= 5")
+    return f"""SELECT 'bm25' AS method, * FROM (WITH {O.bm25_ctes()} {O.topk_select('bm25', 5)})
+UNION ALL SELECT 'tfidf' AS method, * FROM (WITH {O.tfidf_ctes()} {O.topk_select('cosine', 5)})
+UNION ALL SELECT 'faiss' AS method, * FROM (WITH {O.tfidf_ctes()} {far})"""

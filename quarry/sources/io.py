@@ -251,23 +251,86 @@ def tfidf_persistent(spark: SparkSession, source: DataFrame, root: str | None =
                         kept["n_docs"], ngram_max, tokenizer)
 
 
+ROWS_PER_LIST_FILE = 500_000
+
+
+def write_lists(home: IndexHome, table: str, rows: DataFrame, key: str,
+                rows_per_file: int = ROWS_PER_LIST_FILE) -> None:
+    """``rows`` (with ``cluster_id``) written partitioned by cluster, a cluster
+    in as many files as its measured size asks for: rows are dealt to numbered
+    sub-lists by a hash of ``key``, and every (cluster, sub-list) is a partition
+    key of its own. ``<table>_files`` lists the sub-lists with their sizes."""
+    clusters = rows.groupBy("cluster_id").agg(F.ceil(F.count(F.lit(1)) / rows_per_file).cast("int").alias("parts"))
+    # a row a cluster: bounded by the number of clusters
+    dealt = rows.join(F.broadcast(clusters), "cluster_id").withColumn(
+        "sublist", F.pmod(F.xxhash64(key), F.col("parts")).cast("int")).drop("parts")
+    (dealt.repartition("cluster_id", "sublist").write.mode("overwrite").partitionBy("cluster_id", "sublist")
+     .parquet(home.path(table)))
+    home.write(f"{table}_files", home.read(table).groupBy("cluster_id", "sublist").agg(F.count(F.lit(1)).alias("n_rows")))
+
+
 def ivf_persistent(spark: SparkSession, passages: DataFrame, centroids: DataFrame,
-                   root: str | None = None, version: str | None = None):
+                   root: str | None = None, version: str | None = None,
+                   rows_per_file: int = ROWS_PER_LIST_FILE):
     """S4 for IVF: the centroid table and the passage vectors with their
-    cluster, written partitioned by ``cluster_id`` (one file per cluster) so
-    that probing a few clusters reads only their files. The centroids' values
-    are part of the fingerprint."""
+    cluster, written by :func:`write_lists`: probing a few clusters reads only
+    their files, and a large cluster is written and probed by several tasks.
+    The centroids' values are part of the fingerprint."""
     from quarry.operators import retrieve as R
-    h = F.xxhash64("cluster_id", "centroid").cast("decimal(38,0)")
-    c = centroids.agg(F.count(F.lit(1)).alias("n"), F.sum(h).alias("h")).first()
+    from quarry.session import materialize
     home = IndexHome(spark, "ivf", {"source": source_version(spark, passages, version),
-                                    "centroids": [c["n"], str(c["h"])]}, root)
+                                    "centroids": _table_hash(centroids, "cluster_id", "centroid"),
+                                    "rows_per_file": rows_per_file}, root)
     if home.manifest() is None:
-        R.ivf_assign(passages, centroids).repartition("cluster_id").write.mode("overwrite").partitionBy(
-            "cluster_id").parquet(home.path("vectors"))
+        write_lists(home, "vectors", materialize(R.ivf_assign(passages, centroids), "ivf-assigned"), "pid", rows_per_file)
         home.write("centroids", centroids)
-        home.finish(clusters=c["n"])
-    return home.read("vectors"), home.read("centroids")
+        home.finish()
+    return home.read("vectors").drop("sublist"), home.read("centroids")
+
+
+def _table_hash(df: DataFrame, *cols: str) -> list:
+    h = F.xxhash64(*cols).cast("decimal(38,0)")
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.sum(h).alias("h")).first()
+    return [r["n"], str(r["h"])]
+
+
+def coded_persistent(spark: SparkSession, passages: DataFrame, centroids: DataFrame, root: str | None = None,
+                     version: str | None = None, rows_per_file: int = ROWS_PER_LIST_FILE):
+    """S4 for the 8-bit index (``quantize.CodedIndex``): codes and full vectors
+    by cluster as :func:`ivf_persistent`; the levels are in the manifest."""
+    import numpy as np
+    from quarry.operators import quantize as Z
+    vectors, cents = ivf_persistent(spark, passages, centroids, root, version, rows_per_file)
+    home = IndexHome(spark, "ivf-sq8", {"source": source_version(spark, passages, version),
+                                        "centroids": _table_hash(centroids, "cluster_id", "centroid"),
+                                        "rows_per_file": rows_per_file}, root)
+    kept = home.manifest()
+    if kept is None:
+        index = Z.build(vectors, cents)
+        write_lists(home, "codes", index.codes, "pid", rows_per_file)
+        kept = home.finish(low=index.low.tolist(), step=index.step.tolist())
+    return Z.CodedIndex(home.read("codes").drop("sublist"), vectors.select("pid", "cluster_id", "vec"), cents,
+                        np.array(kept["low"]), np.array(kept["step"]))
+
+
+def tfidf_ivf_persistent(spark: SparkSession, source: DataFrame, root: str | None = None, num_clusters: int = 64,
+                         iterations: int = 10, top_terms: int = 2000, rows_per_file: int = ROWS_PER_LIST_FILE,
+                         version: str | None = None, **kw):
+    """S4 for IVF over TF-IDF vectors (``sparse_ivf.SparseIvf``): the TF-IDF
+    index of :func:`tfidf_persistent` (which takes ``kw``), learned centroids
+    and the postings by cluster."""
+    from quarry.operators import sparse_ivf as V
+    index = tfidf_persistent(spark, source, root, version=version, **kw)
+    home = IndexHome(spark, "tfidf-ivf", {
+        "source": source_version(spark, source, version), "clusters": num_clusters, "iterations": iterations,
+        "top_terms": top_terms, "rows_per_file": rows_per_file,
+        "tfidf": {k: v for k, v in kw.items() if k not in ("tokenizer", "buckets")}}, root)
+    if home.manifest() is None:
+        ivf = V.build_lists(index, V.kmeans(index, num_clusters, iterations, top_terms))
+        write_lists(home, "lists", ivf.lists, "dkey", rows_per_file)
+        home.write("centroids", ivf.centroids)
+        home.finish()
+    return V.SparseIvf(home.read("centroids"), home.read("lists").drop("sublist"), index)
 
 
 # ---------------------------------------------------------------- S5, S6 JSON

@@ -168,3 +168,43 @@ def test_split_scan_prunes_partitions(spark, tmp_path):
         v.explain()
     assert "PartitionFilters: [isnotnull(split" in buf.getvalue()
     assert sorted(r.id for r in v.collect()) == [2, 3]
+
+
+def test_large_lists_are_split(spark, tmp_path):
+    """A cluster of half the vectors is written as several sub-lists, and
+    searches over the stored lists give the uncoded result."""
+    import numpy as np
+    from pyspark.sql import functions as F
+    from quarry.operators import retrieve as R
+    from quarry.sources import io
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=(120, 4)), rng.normal(size=(120, 4)) * 0.1 + 9])
+    p = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "pid long, vec array<double>")
+    q = spark.createDataFrame([(i, (v + 0.01).tolist()) for i, v in enumerate(x[::30])], "qid long, vec array<double>")
+    cents = spark.createDataFrame([(0, [9.0] * 4), (1, [1.0] * 4), (2, [-1.0] * 4)], "cluster_id int, centroid array<double>")
+    vectors, c = io.ivf_persistent(spark, p, cents, root=str(tmp_path), version="1", rows_per_file=25)
+    files = io.IndexHome(spark, "ivf", {"source": "version:1", "centroids": io._table_hash(cents, "cluster_id", "centroid"),
+                                        "rows_per_file": 25}, str(tmp_path)).read("vectors_files")
+    sizes = {r.cluster_id: r.n for r in files.groupBy("cluster_id").agg(F.count("*").alias("n")).collect()}
+    assert sizes[0] >= 4 and files.agg(F.sum("n_rows")).first()[0] == 240
+    expected = sorted(map(tuple, R.ivf_topk(R.ivf_assign(p, cents), q, cents, k=7, nprobe=2).collect()))
+    assert sorted(map(tuple, R.ivf_topk(vectors, q, c, k=7, nprobe=2).collect())) == expected
+    coded = io.coded_persistent(spark, p, cents, root=str(tmp_path), version="1", rows_per_file=25)
+    again = io.coded_persistent(spark, p, cents, root=str(tmp_path), version="1", rows_per_file=25)
+    assert (coded.low == again.low).all()
+    got = R.retrieve(None, method="faiss", k=7, query_vectors=q, nprobe=2, index=again)
+    assert sorted((r.qid, r.rank, r.pid) for r in got.collect()) == [(a, b, c) for a, b, c, *_ in expected]
+
+
+def test_retrieve_takes_built_indexes(spark):
+    from quarry.operators import impacts as M, index as I, retrieve as R
+    rows = [(i, "t", f"w{i % 7} w{i % 5} x{i}") for i in range(60)]
+    docs = I.prepare_corpus(spark.createDataFrame(rows, "document_id long, title string, text string"))
+    qs = spark.createDataFrame([(1, "w1 w2"), (2, "x9 w4")], "qid long, question string")
+    bm25 = I.build_bm25(docs)
+    rank = lambda df: sorted((r.qid, r.rank, r.document_id) for r in df.collect())
+    plain = rank(R.retrieve(qs, docs, "bm25", 5))
+    assert rank(R.retrieve(qs, method="bm25", k=5, index=bm25)) == plain
+    assert rank(R.retrieve(qs, method="bm25", k=5, index=M.build(bm25, 4))) == plain
+    exact = rank(R.retrieve(qs, docs, "tfidf", 5))
+    assert rank(R.retrieve(qs, docs, "faiss", 5, nprobe=4, num_clusters=4, iterations=1)) == exact
