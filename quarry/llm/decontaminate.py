@@ -255,11 +255,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW_WORDS,
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the rows that share a window with ``items``, with all
-    columns."""
+    columns, whatever their names. Null texts and rows without words stay."""
     _, spans = contamination(docs, items)
     hit = materialize(spans.select("doc_id", "tag").distinct(), "contaminated")
-    kid, ktag = "__hit_id", "__hit_tag"
-    left = (docs.withColumn(kid, F.coalesce(F.col("doc_id").cast("long"), F.lit(frames.HIGHEST)))
-                .withColumn(ktag, frames.text_tag()))
-    out = left.join(hit.toDF(kid, ktag), [kid, ktag], "left_anti")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    left = frames.rows_by_key(docs, frames.HIGHEST)
+    return frames.whole_rows(left.join(hit, ["doc_id", "tag"], "left_anti"), docs)

@@ -41,6 +41,19 @@ def restore_null(null_id: int, name: str = "doc_id") -> Column:
     return F.when(F.col(name) != F.lit(null_id), F.col(name)).alias(name)
 
 
+def rows_by_key(docs: DataFrame, null_id: int) -> DataFrame:
+    """``doc_id, tag, row``: the key of every row of ``docs`` and the whole row
+    as one struct, so that none of its names can clash with others."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(null_id)).alias("doc_id"),
+                       text_tag().alias("tag"), whole.alias("row"))
+
+
+def whole_rows(keyed_rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` from the structs of :func:`rows_by_key`."""
+    return keyed_rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
 def keep_rows(docs: DataFrame, keys: DataFrame, null_id: int) -> DataFrame:
     """The rows of ``docs`` (all columns, in their order) whose (doc_id, tag)
     is in ``keys``; a key that several rows share keeps one of them.
@@ -48,12 +61,8 @@ def keep_rows(docs: DataFrame, keys: DataFrame, null_id: int) -> DataFrame:
     The join and the deduplication use the same two columns, so the texts are
     shuffled once.
     """
-    kid, ktag = "__kept_id", "__kept_tag"
-    left = (docs.withColumn(kid, F.coalesce(F.col("doc_id").cast("long"), F.lit(null_id)))
-                .withColumn(ktag, text_tag()))
-    right = keys.select(F.col("doc_id").alias(kid), F.col("tag").alias(ktag))
-    out = left.join(right, [kid, ktag], "left_semi").dropDuplicates([kid, ktag])
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = rows_by_key(docs, null_id).join(keys.select("doc_id", "tag"), ["doc_id", "tag"], "left_semi")
+    return whole_rows(out.dropDuplicates(["doc_id", "tag"]), docs)
 
 
 def partitions(df: DataFrame) -> int:

@@ -31,6 +31,7 @@ SAMPLE_WINDOWS = 4
 MOST_LANGUAGES = 256
 EPOCHS = 10
 UNKNOWN = "und"
+LEAST_SCORE = 0.4
 F32 = np.float32
 
 
@@ -259,20 +260,22 @@ def fit(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS, hidden: int = HIDDEN,
     return train(windows.astype(np.intp), labels, languages, hidden, epochs)
 
 
+def has_letter() -> Column:
+    """Whether the text has a character of Unicode category L (a fraction, a
+    circled digit or a combining mark alone is none); false for null."""
+    return F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False))
+
+
 def _predict(net):
     def run(batches):
-        import re
         model = net.value
-        letter = re.compile(r"[^\W\d_]")
         for batch in batches:
             raw, offsets = frames.utf8(batch.column("text"))
-            known = np.zeros(len(batch), bool)
+            known = batch.column("letter").to_numpy(zero_copy_only=False) & (model is not None)
             names = np.full(len(batch), UNKNOWN, object)
             score = np.zeros(len(batch))
             if model is not None:
                 for i, j in frames.chunks(offsets, CHUNK_BYTES):
-                    known[i:j] = [t is not None and letter.search(t) is not None
-                                  for t in batch.column("text").slice(i, j - i).to_pylist()]
                     p = document_probabilities(model, raw[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
                     best = p.argmax(axis=1)
                     names[i:j] = np.array(model.languages, object)[best]
@@ -288,7 +291,7 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
     """``doc_id, tag, held_out, lang_pred, score`` for every row of ``docs``."""
     model = docs.sparkSession.sparkContext.broadcast(net)  # a few thousand weights a language
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), frames.text_tag().alias("tag"),
-                       held_out().alias("held_out"), "text")
+                       held_out().alias("held_out"), has_letter().alias("letter"), "text")
     return rows.mapInArrow(_predict(model), "doc_id long, tag long, held_out boolean, lang_pred string, score double")
 
 
@@ -298,27 +301,36 @@ def identify(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> DataFrame:
 
     ``und`` with score 0 where the text is null or has no letter, and
     everywhere if no labelled text may be learned from. A null label is not
-    learned from; repeated rows get equal predictions. No rows give no rows.
+    learned from; repeated rows get equal predictions. No rows give no rows;
+    other columns are not read. A text is held whole by its task, with about
+    eight bytes for each of its bytes beside windows of a fixed size.
     """
     return predict(docs, fit(docs, sample_texts)).drop("tag")
 
 
-def _identified(net):
+def _identified(net, least: float):
     def run(batches):
         for batch in batches:
-            found = next(_predict(net)([_with_keys(batch)]))
-            yield batch.filter(pc.not_equal(found.column("lang_pred"), UNKNOWN))
+            row = batch.column("row")
+            none = pa.nulls(len(batch), pa.int64())
+            text = row.field(row.type.get_field_index("text"))
+            given = pa.record_batch([none, none, pa.nulls(len(batch), pa.bool_()), batch.column("letter"), text],
+                                    names=["doc_id", "tag", "held_out", "letter", "text"])
+            found = next(_predict(net)([given]))
+            keep = pc.and_(pc.not_equal(found.column("lang_pred"), UNKNOWN), pc.greater_equal(found.column("score"), least))
+            yield pa.record_batch([row.filter(keep)], names=["row"])
     return frames.lean(run)
 
 
-def _with_keys(batch: pa.RecordBatch) -> pa.RecordBatch:
-    none = pa.nulls(len(batch), pa.int64())
-    return pa.record_batch([none, none, pa.nulls(len(batch), pa.bool_()), batch.column("text")],
-                           names=["doc_id", "tag", "held_out", "text"])
-
-
-def keep_identified(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> DataFrame:
-    """``docs`` without the rows whose language is ``und``, with all columns.
-    Where no labelled text may be learned from, no row has a language."""
+def keep_identified(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS, least_score: float = LEAST_SCORE) -> DataFrame:
+    """``docs`` without the rows that have no language: those without a letter
+    (``und``) and those whose best language gets less than ``least_score`` of
+    the probability, averaged over their bytes. All columns stay, whatever
+    their names. Null and empty texts go; repeated rows are judged alike;
+    where no labelled text may be learned from, no row has a language; an
+    empty table gives no rows. A text is held whole by its task."""
     net = docs.sparkSession.sparkContext.broadcast(fit(docs, sample_texts))
-    return docs.mapInArrow(_identified(net), docs.schema)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(whole, has_letter().alias("letter"))
+    kept = rows.mapInArrow(_identified(net, least_score), rows.select("row").schema)
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -96,9 +97,19 @@ def _fill(pieces: list[tuple[int, int, int]], free: list[int], least_cut: int):
     return moves
 
 
+def _numbers(keys: np.ndarray, seen: dict[int, int]) -> np.ndarray:
+    """The number of each key among its equals so far; ``seen`` counts them."""
+    out = np.empty(len(keys), np.uint64)
+    for i, key in enumerate(keys.tolist()):
+        out[i] = n = seen.get(key, 0)
+        seen[key] = n + 1
+    return out
+
+
 def _deal(path: str, sequence: int, groups: int, seed: int):
     def deal(batches):
         tokenizer = tokens.load(path)
+        seen: dict[int, int] = {}
         for batch in batches:
             _, offsets = frames.utf8(batch.column("text"))
             for i, j in frames.chunks(offsets, CHUNK_BYTES):
@@ -111,7 +122,8 @@ def _deal(path: str, sequence: int, groups: int, seed: int):
                 length = np.minimum(sequence, n[row] - start)
                 doc = batch.column("doc_id").slice(i, j - i)
                 tag = batch.column("tag").slice(i, j - i).to_numpy().view(np.uint64)
-                h = rolling.mix(tag[row] + np.uint64(seed) + (row + i).astype(np.uint64)
+                own = rolling.mix(tag + rolling.mix(pc.fill_null(doc, frames.HIGHEST).to_numpy().view(np.uint64)))
+                h = rolling.mix(own[row] + np.uint64(seed) + _numbers(own, seen)[row] * np.uint64(0xBF58476D1CE4E5B9)
                                 + k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                 data = memoryview(ids.tobytes())
                 w = ids.dtype.itemsize
@@ -157,7 +169,12 @@ def pack_documents(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE,
     ids are little-endian unsigned 32-bit numbers, start counts the document's
     ids before the piece, offset those before it in its sequence. A null or
     empty text is a document of the end id alone. Rows that repeat a doc_id
-    are separate documents; null ids stay null. No rows give no pieces.
+    are separate documents; null ids stay null. No rows give no pieces; other
+    columns are not read. A piece's group follows from its document's id and
+    text, its place and the row's number among equal rows of its task, not from
+    the order of the rows, so a task that is run again deals as before. A task
+    holds a number for each of its documents and about a megabyte of texts (or one
+    longer text) with its ids.
     """
     groups = max(1, -(-docs.count() // group_docs))
     if groups >= 1 << 31:

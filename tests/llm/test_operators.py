@@ -409,3 +409,54 @@ def test_urls_empty(llm_spark):
 
 def test_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+# ------------------------------------------------------------------ names, letters, order of rows
+
+def test_clashing_key_columns_survive(llm_spark):
+    from quarry.llm import exact_dedup, simhash
+    rows = [(1, "One two three", 88, 99), (2, "one two three", 77, 66), (3, "w1x w2x w3x w4x", 5, 4), (4, "1 2", 3, 2)]
+    docs = llm_spark.createDataFrame(rows, "doc_id long, text string, __kept_id long, __hit_tag long").withColumnRenamed(
+        "__hit_tag", "row").selectExpr("*", "'en' as lang", "7L as __kept_tag", "8L as __hit_id", "9L as tag", "'x' as letter")
+    whole = {r.doc_id: tuple(r) for r in docs.collect()}
+    items = llm_spark.createDataFrame([(1, "w1x w2x w3x w4x")], "item_id long, text string")
+    kept = {"exact": exact_dedup.drop_exact_copies(docs), "near": simhash.drop_near_copies(docs, shingle=3, distance=2),
+            "clean": decontaminate.drop_contaminated(docs, items)}
+    for out in kept.values():
+        assert out.columns == docs.columns
+        assert all(whole[r.doc_id] == tuple(r) for r in out.collect())
+    assert {r.doc_id for r in kept["exact"].collect()} == {2, 3, 4}
+    assert {r.doc_id for r in kept["clean"].collect()} == {1, 2, 4}
+
+
+@pytest.mark.parametrize("text,letter", [("½ ² ①", False), ("Ⅷ", False), ("́̈", False), ("१२", False), ("12 _", False),
+                                         ("a", True), ("½é", True), ("漢", True), ("ʰ", True), ("", False), (None, False)])
+def test_letters_are_category_l(llm_spark, text, letter):
+    df = llm_spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert df.select(language.has_letter().alias("x")).first().x == letter
+
+
+def test_language_stage_decides_by_score(llm_spark):
+    rng = random.Random(1)
+    rows = [(i, " ".join(rng.choice(("the", "of", "and", "thing") if i % 2 else ("der", "und", "schön", "nicht")) for _ in range(30)),
+             "en" if i % 2 else "de", i) for i in range(200)]
+    rows += [(900, "½ ²", "en", 1), (901, None, "en", 2), (902, "", "de", 3)]
+    docs = llm_spark.createDataFrame(rows, "doc_id long, text string, lang string, row long")
+    kept = language.keep_identified(docs)
+    assert kept.columns == docs.columns
+    assert {tuple(r) for r in kept.collect()} == set(rows[:200])
+    assert language.keep_identified(docs, least_score=1.01).count() == 0
+    scores = {r.doc_id: r.score for r in language.identify(docs).collect()}
+    least = sorted(scores[i] for i in range(200))[100]
+    assert {r.doc_id for r in language.keep_identified(docs, least_score=least).collect()} == {i for i in range(200) if scores[i] >= least}
+
+
+def test_packing_groups_do_not_follow_row_order(llm_spark):
+    rng = random.Random(6)
+    rows = [(i % 40, words(rng, rng.randrange(0, 60))) for i in range(120)]
+    rows += rows[:10] + [(None, "same text")] * 5 + [(7, words(rng, 5000))]
+    def pieces(order):
+        docs = llm_spark.createDataFrame(order, "doc_id long, text string").coalesce(1)
+        out = packing.pack_documents(docs, word_tokenizer(), sequence=64, group_docs=16)
+        return sorted((str(r.doc_id), r.start, r.length, bytes(r.ids), r.sequence_id >> 32) for r in out.collect())
+    assert pieces(rows) == pieces(rows[::-1])
