@@ -83,16 +83,36 @@ def write_flat(docs: DataFrame, tokenizer: str, block_ids: int = BLOCK_IDS) -> t
             flat.filter("doc_ids is not null").select("file", "row", "doc_ids"), end, loaded.dtype.itemsize)
 
 
+def _read_ranges(size: int):
+    def run(batches):
+        from pyarrow import fs
+        for batch in batches:
+            for path, name, block in zip(*(batch.column(c).to_pylist() for c in ("path", "file", "block"))):
+                system, place = fs.FileSystem.from_uri(path)
+                with system.open_input_file(place) as f:
+                    ids = f.read_at(size, block * size)  # the last range of a file is shorter
+                yield pa.record_batch([pa.array([name], pa.int64()), pa.array([block], pa.int64()), pa.array([ids], pa.binary())],
+                                      names=["file", "block", "ids"])
+    return run
+
+
 def read_flat(spark: SparkSession, path: str, width: int, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """``file, block, ids`` of the token files under ``path`` (Spark's
-    binaryFile source: a file is one row, up to 2 GB), cut into blocks."""
+    """``file, block, ids`` of the raw token files under ``path``, of any size.
+
+    The files are listed with their lengths only and cut into byte ranges of
+    ``block_ids`` ids; each range is opened and read at its place by the task
+    that needs it, so a large file is read by many tasks and none holds more
+    than a range. The store must be one that Arrow opens (file, hdfs, s3, gs).
+    Empty files give no blocks, no files no rows; a length that is no multiple
+    of ``width`` is an error.
+    """
     size = width * block_ids
-    files = spark.read.format("binaryFile").load(path)
-    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length("content") - 1) / size).cast("int")),
-                         lambda k: F.struct(k.cast("long").alias("block"),
-                                            F.substring(F.col("content"), k * size + 1, F.lit(size)).alias("ids")))
-    return (files.filter("length > 0").select(F.xxhash64("path").alias("file"), F.explode(pieces).alias("b"))
-            .select("file", "b.block", "b.ids"))
+    files = spark.read.format("binaryFile").load(path).select("path", "length").filter("length > 0")
+    odd = F.when(F.col("length") % width != 0, F.raise_error(F.concat(F.lit("not a token file: "), "path")).cast("long"))
+    last = F.coalesce(odd, F.floor((F.col("length") - 1) / size))
+    ranges = files.select("path", F.xxhash64("path").alias("file"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block"))
+    return ranges.repartition(frames.partitions(files), "path", "block").mapInArrow(
+        _read_ranges(size), "file long, block long, ids binary")
 
 
 def _search(end: int, width: int):
@@ -158,7 +178,8 @@ def document_token_counts(docs: DataFrame, tokenizer: str, block_ids: int = BLOC
     in flat token files that are written first.
 
     A null or empty text has no tokens. Rows that repeat a doc_id count one by
-    one, null ids stay null.
+    one, null ids stay null. An empty table gives no rows; other columns of
+    ``docs`` are not read.
     """
     blocks, order, end, width = write_flat(docs, tokenizer, block_ids)
     counts = count_tokens(blocks, end, width)

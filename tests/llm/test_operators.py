@@ -212,6 +212,22 @@ def test_token_files_are_read_in_blocks(llm_spark, tmp_path):
     assert [r.n_tokens for r in out.orderBy("document").collect()] == [2, 0, 3, 1]
 
 
+def test_flat_file_beyond_two_gigabytes(llm_spark, tmp_path):
+    """A sparse file above the size of one row: many ranges, one long document
+    across them, then a short one."""
+    n = (1 << 30) + 5
+    with open(tmp_path / "large.bin", "wb") as f:
+        f.truncate(2 * n)
+        f.seek(2 * (n - 4))
+        f.write(np.array([9, 3, 3, 9], "<u2").tobytes())
+    blocks = token_counts.read_flat(llm_spark, str(tmp_path), 2, block_ids=1 << 24)
+    out = token_counts.count_tokens(blocks, 9, 2)
+    assert [r.n_tokens for r in out.orderBy("document").collect()] == [n - 4, 2]
+    (tmp_path / "odd.bin").write_bytes(b"abc")
+    with pytest.raises(Exception, match="not a token file"):
+        token_counts.read_flat(llm_spark, str(tmp_path), 2).count()
+
+
 def test_token_counts_empty(nothing):
     assert token_counts.document_token_counts(nothing, word_tokenizer()).collect() == []
 
