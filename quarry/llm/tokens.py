@@ -3,10 +3,11 @@
 Its pre-tokenizer drops white space, so it never joins what a space or line
 feed separates: a text's ids are those of its pieces between them, one after
 the other. Each distinct piece is encoded once and its ids are kept; texts are
-put together with numpy. A new piece of plain Latin characters is cut further,
-as the tokenizer does after lower-casing, into words, digits and punctuation,
-which are kept too; any other piece goes to the library as it is. What is kept
-is bounded: past ``MOST`` entries it is dropped.
+put together with numpy. Plain Latin characters are cut, as the tokenizer does
+after lower-casing, into words, digits and punctuation, and these parts are kept:
+of a text of nothing else right away, of other texts a piece at a time; a piece
+that is not plain goes to the library as it is. What is kept is bounded: past
+``MOST`` entries it is dropped.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ END = 1  # closes every document
 PLAIN = re.compile("[!-~\u00a1-\u00ff]+")
 LETTERS = "a-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 NUMBERS = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
-PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{LETTERS}{NUMBERS}]+")
+PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{LETTERS}{NUMBERS} \n]+")
+PLAIN_TEXT = re.compile("[ \n!-~\u00a1-\u00ff]*")
 
 
 class _Numbers(dict):
@@ -109,30 +111,54 @@ class WordTokenizer:
 
     def _learn(self) -> None:
         new = self.pieces.take_new()
-        if not new:
-            return
         look, plain, cut = self.parts.__getitem__, PLAIN.fullmatch, PARTS.findall
         cuts = [[look(x) for x in cut(p.lower())] if plain(p) and "<|" not in p else [look(p)] if p else []
                 for p in new]
         parts = self.parts.take_new()
         if parts:
             self.part_ids.append(*self._encode(parts))
-        counts = np.fromiter(map(len, cuts), np.int64, len(cuts))
-        lengths, ids = self.part_ids.take(np.fromiter(chain.from_iterable(cuts), np.int64))
-        ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
-        self.piece_ids.append(np.diff(ends), ids)
+        if new:
+            counts = np.fromiter(map(len, cuts), np.int64, len(cuts))
+            lengths, ids = self.part_ids.take(np.fromiter(chain.from_iterable(cuts), np.int64))
+            ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
+            self.piece_ids.append(np.diff(ends), ids)
+
+    def _rows(self, texts: list[str]) -> list[tuple[bool, np.ndarray]]:
+        """Per text whether it is cut into parts right away, and the numbers
+        of its parts or else of its pieces."""
+        piece, part, plain, cut = self.pieces.__getitem__, self.parts.__getitem__, PLAIN_TEXT.fullmatch, PARTS.findall
+        out = []
+        for t in texts:
+            whole = plain(t) is not None and "<|" not in t
+            found = cut(t.lower()) if whole else t.replace("\n", " ").split(" ")
+            out.append((whole, np.fromiter(map(part if whole else piece, found), np.int64, len(found))))
+        return out
 
     def encode(self, texts: list[str], end: int | None = END) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, offsets); each text is
         followed by ``end`` unless that is None."""
         if len(self.pieces) + len(self.parts) > MOST:
             self._forget()
-        look = self.pieces.__getitem__
-        rows = [np.fromiter(map(look, t.replace("\n", " ").split(" ")), np.int64) for t in texts]
+        rows = self._rows(texts)
         self._learn()
-        counts = np.array([len(r) for r in rows], np.int64)
-        n, flat = self.piece_ids.take(np.concatenate(rows) if rows else np.zeros(0, np.int64))
-        ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(counts)])]
+        sizes, order, found = [], [], []
+        for whole, table in ((True, self.part_ids), (False, self.piece_ids)):
+            own = [i for i, r in enumerate(rows) if r[0] is whole]
+            if own:
+                n, ids = table.take(np.concatenate([rows[i][1] for i in own]))
+                ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum([len(rows[i][1]) for i in own])])]
+                order += own
+                sizes.append(np.diff(ends))
+                found.append(ids)
+        flat = np.concatenate(found) if found else np.zeros(0, self.dtype)
+        size = np.zeros(len(texts), np.int64)
+        size[order] = np.concatenate(sizes) if sizes else 0
+        if len(found) > 1:  # back into the order of the texts
+            begin = np.zeros(len(texts), np.int64)
+            begin[order] = np.concatenate([[0], np.cumsum(size[order])[:-1]])
+            at = np.cumsum(size) - size
+            flat = flat[np.repeat(begin - at, size) + np.arange(int(size.sum()))]
+        ends = np.concatenate([[0], np.cumsum(size)])
         if end is None:
             return flat, ends
         return np.insert(flat, ends[1:], end), ends + np.arange(len(ends))
