@@ -80,7 +80,7 @@ def write_blob(ids, tags, doc, pos, *columns: np.ndarray) -> bytes:
 
 
 class Blob:
-    """The columns of a blob; ``rest`` is what follows the positions."""
+    """The columns of a blob; ``key`` and ``more`` follow the positions of entries."""
 
     def __init__(self, data: bytes):
         raw = np.frombuffer(data, np.uint8)
@@ -94,8 +94,11 @@ class Blob:
         at += 4 * docs
         first = np.cumsum(self.counts) - self.counts
         self.pos = positions(unplanes(raw[at:at + 4 * n]), first, self.counts)
-        self.rest = raw[at + 4 * n:]
         self.n = n
+        rest = raw[at + 4 * n:]
+        half = len(rest) == 12 * n  # 32 bits of the key before a further column
+        self.key = rest[:4 * n].view("<u4") if half else rest[:8 * n].view("<u8")
+        self.more = rest[4 * n:].copy().view("<u8") if half else rest[:0].view("<u8")
 
 
 def row(p: int, kind: int, blob: bytes) -> tuple[int, int, bytes]:
@@ -191,8 +194,11 @@ class Batch:
         cuts = np.flatnonzero(np.r_[True, np.diff(to[order]) > 0])
         for a, b in zip(cuts, np.r_[cuts[1:], len(order)]):
             part = send[order[a:b]]
+            # beside a further column the key only groups: half of it will do,
+            # as a chance meeting there costs work, not correctness
             yield row(to[order[a]], ENTRIES, write_blob(
-                ids, tags, doc[part], pos[part], key[part].astype("<u8"), *[c[part].astype("<u8") for c in more]))
+                ids, tags, doc[part], pos[part], key[part].astype("<u4" if more else "<u8"),
+                *[c[part].astype("<u8") for c in more]))
 
 
 ENTRIES = 8
@@ -219,8 +225,8 @@ def buckets(rows: DataFrame, parts: int, judge: Callable, homes: int) -> DataFra
                 counts = np.concatenate([b.counts for b in blobs])
                 doc = np.repeat(np.arange(len(ids)), counts)
                 pos = np.concatenate([b.pos for b in blobs])
-                key = np.concatenate([b.rest[:8 * b.n].view("<u8") for b in blobs])
-                more = np.concatenate([b.rest[8 * b.n:].view("<u8") for b in blobs])
+                key = np.concatenate([b.key for b in blobs])
+                more = np.concatenate([b.more for b in blobs])
                 for kind, mask in judge(key, ids[doc], more if len(more) else None):
                     at = np.flatnonzero(mask)
                     yield from flags(ids, tags, doc[at], pos[at], homes, kind)

@@ -71,6 +71,15 @@ def partitions(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def release(spark) -> None:
+    """To call when a written table replaces what its job has shuffled: the
+    driver collects its garbage, so that Spark's cleaner removes the shuffle
+    files that nothing refers to any more, instead of at some later time."""
+    import gc
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def lean(batches_of):
     """For functions given to ``mapInArrow``: when a task ends, freed memory
     goes back to the system. Workers live on between tasks, and an executor

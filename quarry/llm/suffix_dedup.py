@@ -1,26 +1,33 @@
-"""Repeated byte strings by prefix doubling over sampled suffixes.
+"""Repeated byte strings by winnowed names, doubled once.
 
 A byte goes if a string of ``length`` bytes that covers it also starts in a
-document with a smaller id. Suffixes are ranked by the names of their prefixes
-(hashes, dealt into buckets and sorted there), first by ``half`` bytes, then
-by pairs of names at offset length - half, which are names of ``length`` bytes;
-a suffix leaves as soon as its rank is unique or settled.
+document with a smaller id. Strings are known by names (hashes, dealt into
+buckets and compared there), first of ``half`` bytes, then by pairs of names at
+offset length - half, which are names of ``length`` bytes; a place leaves as
+soon as its name is unique or settled.
 
-The first round ranks a sample of the suffixes only: of every ``length``
+This is not prefix doubling in full: no (position, rank) pairs of all suffixes
+are sorted, offsets do not grow and nothing is reranked. A row for every
+position takes at least a rank and a position, 16 bytes for a byte of text, in
+each round, where the disk limit is four bytes a byte of compressed input.
+
+The first round takes a sample of the places only: of every ``length``
 consecutive bytes the ``half``-byte string with the least hash. Equal strings
 sample the same place, so a string whose sampled place is unique is unique.
 With its name a place carries that of its surroundings (all bytes that strings
 around it can reach): where a smaller document has equal surroundings, all
 those strings are settled at once. Only the places left, whose name also
-occurs with other surroundings, have all their suffixes ranked in round two.
-Ranking every byte in every round would shuffle over thirty times the input.
-
-Round one takes two places for copies if the 64-bit hashes of the name and of
-the surroundings are equal. Places of equal names and m different surroundings
-give about m * m / 2**65 false copies, 4e-6 where one string lies in 12 million
-documents; of different names both hashes would have to agree. Round two knows
-a string by 64 bits: r ranked suffixes in b buckets give about
-r * r / (b * 2**65) false matches.
+occurs with other surroundings, have all their strings compared in round two.
+
+Round one takes two places for copies if 32 bits of the name and the 64-bit
+hash of the surroundings (which hold the named bytes) are equal. Places of equal
+names and m different surroundings give about m * m / 2**65 false copies, 4e-6
+where one string lies in 12 million documents. Names that meet in their 32 bits
+only add work. Round two knows a string by 64 bits: r compared strings in b
+buckets give about r * r / (b * 2**65) false matches.
+
+Very long texts: a text is taken whole; a task needs about 65 bytes of memory
+for each byte of the longest text.
 """
 
 from __future__ import annotations
@@ -127,7 +134,7 @@ def _rank_sample(key, ids, around):
 
 
 def _double(length: int, buckets: int, parts: int):
-    """Round two: rank pairs of the suffixes whose place is unsure."""
+    """Round two: pairs of names of the strings whose place is unsure."""
     def work(groups):
         def rows():
             held = firsts.Batch()
@@ -210,9 +217,11 @@ def remove_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     keyed = frames.keyed(docs, frames.HIGHEST)
     sample = keyed.mapInArrow(frames.lean(_sample(length, buckets, parts)), firsts.ROW)
     first = materialize(firsts.buckets(sample, parts, _rank_sample, parts), "suffix-ranks")
+    frames.release(docs.sparkSession)
     unsure = first.filter(F.col("kind") == UNSURE)
     pairs = firsts.with_texts(keyed, unsure, parts, _double(length, buckets, parts), firsts.ROW)
     second = materialize(firsts.buckets(pairs, parts, firsts.seen_before(REPEATED), parts), "suffix-pairs")
+    frames.release(docs.sparkSession)
     reports = first.filter(F.col("kind") == COPIED).unionByName(second)
     out = firsts.with_texts(keyed, reports, parts, _apply(length), _REMOVED)
     return out.select(frames.restore_null(frames.HIGHEST), "n_bytes", "n_removed", "kept", "spans")
