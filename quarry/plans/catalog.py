@@ -1048,3 +1048,14 @@ def q_r11s(spark, sf) -> DataFrame:
     parts = [R.retrieve(qs, method=m, k=5, index=i, nprobe=8).withColumn("method", F.lit(m))
              for m, i in (("bm25", bm25), ("tfidf", tfidf), ("faiss", ivf))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@register("s6_scores_from_files")
+def q_s6(spark, sf) -> DataFrame:
+    """Truth and prediction files, a record a line, scored as E4."""
+    from quarry.sources import io
+    root = io.scratch_path(spark, "s6")
+    io.write_ground_truth_lines(fx.qa(spark, sf).select("id", F.col("answers.text").alias("answers")), f"{root}/truth")
+    io.write_prediction_lines(fx.predictions(spark, sf), f"{root}/predictions")
+    return E.dataset_scores(io.read_ground_truth(spark, f"{root}/truth", lines=True),
+                            io.read_prediction_object(spark, f"{root}/predictions", lines=True))

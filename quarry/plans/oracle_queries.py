@@ -1055,3 +1055,8 @@ def _r11s():
     return f"""SELECT 'bm25' AS method, * FROM (WITH {O.bm25_ctes()} {O.topk_select('bm25', 5)})
 UNION ALL SELECT 'tfidf' AS method, * FROM (WITH {O.tfidf_ctes()} {O.topk_select('cosine', 5)})
 UNION ALL SELECT 'faiss' AS method, * FROM (WITH {O.tfidf_ctes()} {far})"""
+
+
+@sql("s6_scores_from_files")
+def _s6():
+    return SQL["e4_dataset_scores"]

@@ -355,22 +355,36 @@ def write_predictions(decoded: DataFrame, output_dir: str, prefix: str | None =
     return out
 
 
-def read_prediction_object(spark: SparkSession, path: str) -> DataFrame:
-    """A prediction file holding one JSON object ``{id: text}``."""
-    raw = spark.read.text(path, wholetext=True)
+def read_prediction_object(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Prediction files ``{id: text}``: one JSON object a file, which one
+    task parses, or with ``lines`` one object a line (any number of ids in
+    each), which Spark splits. :func:`write_prediction_lines` converts."""
+    raw = spark.read.text(path, wholetext=not lines)
     return raw.select(F.explode_outer(F.from_json("value", MapType(StringType(), StringType())))
                       .alias("id", "prediction_text")).filter(F.col("id").isNotNull())
 
 
-def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of ``{id, answers: {text: [...]}}``."""
+def write_prediction_lines(preds: DataFrame, path: str, id_col: str = "id", text: str = "prediction_text") -> None:
+    """``{id: text}`` objects, a line each."""
+    write_text(preds.select(F.to_json(F.create_map(F.col(id_col).cast("string"), F.col(text))).alias("value")), "value", path)
+
+
+def read_ground_truth(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """``{id, answers: {text: [...]}}`` records, in one JSON array a file
+    (parsed by one task) or, with ``lines``, one a line."""
     schema = StructType([StructField("id", StringType()),
                          StructField("answers", StructType([
                              StructField("text", ArrayType(StringType()))]))])
-    return spark.read.schema(schema).option("multiLine", True).json(path).select(
+    return spark.read.schema(schema).option("multiLine", not lines).json(path).select(
         "id", F.col("answers.text").alias("answers"))
 
 
+def write_ground_truth_lines(truth: DataFrame, path: str, id_col: str = "id", answers: str = "answers") -> None:
+    """Truth records, a line each; ``answers`` is an array of texts."""
+    truth.select(F.col(id_col).cast("string").alias("id"), F.struct(F.col(answers).alias("text")).alias("answers")) \
+        .write.mode("overwrite").json(path)
+
+
 # ---------------------------------------------------------------- S7 CSV
 
 CSV_OPTS = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true"}
