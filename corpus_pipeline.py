@@ -1,7 +1,10 @@
 """The training-corpus pipeline: documents in, packed sequences out.
 
 Each stage calls one operator of ``quarry.llm`` on all that the stage before
-kept. All stages but the last return the columns of ``documents``.
+kept. All stages but the last return the columns of ``documents``, whatever
+their names and however many. An empty table gives an empty result at every
+stage. Null texts count as empty ones but in the first stage, which drops them;
+null ids are allowed everywhere.
 """
 
 from __future__ import annotations
@@ -14,32 +17,38 @@ from quarry.session import materialize, ship_package
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (``und``: no letters) go."""
+    """Documents without a language go: texts without letters (null and empty
+    ones among them) and texts of which no language gets 0.4 of the
+    probability over their bytes. Repeated rows are judged alike."""
     ship_package(spark)
     return language.keep_identified(docs)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
+    """Of equal texts (A-Z lower-cased) the row with the largest doc_id stays;
+    a null id is the smallest, of repeated rows one stays."""
     ship_package(spark)
     return exact_dedup.drop_exact_copies(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each SimHash group (3-word shingles, at most 2 bits) the row with
-    the smallest doc_id stays."""
+    the smallest doc_id stays; a null id is the largest, texts without words
+    are one group."""
     ship_package(spark)
     return simhash.drop_near_copies(docs, shingle=3, distance=2)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share a window of words with ``benchmark`` go."""
+    """Documents that share a window of words with ``benchmark`` go; texts
+    without words stay, an empty benchmark drops nothing."""
     ship_package(spark)
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences, see ``packing.pack_documents``."""
+    """Pieces of token sequences, see ``packing.pack_documents``; an empty text
+    is a document of the end id alone."""
     ship_package(spark)
     return packing.pack_documents(docs, word_tokenizer(), sequence=2048)
 
