@@ -114,6 +114,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
     keyed = frames.keyed(docs, frames.HIGHEST)
     scanned = keyed.mapInArrow(frames.lean(_scan(window, buckets, parts)), firsts.ROW)
     reports = materialize(firsts.buckets(scanned, parts, firsts.seen_before(REPEATED), parts), "repeats")
+    frames.release(docs.sparkSession)  # the shuffled windows are not needed any more
     out = firsts.with_texts(keyed, reports, parts, _apply(window), _REMOVED)
     return out.select(frames.restore_null(frames.HIGHEST), "n_words", "n_removed",
                       F.decode("kept", "UTF-8").alias("kept"), "spans")
