@@ -151,6 +151,6 @@ def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
 def drop_exact_copies(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without the rows that ``exact_dedup`` does not keep, with all
-    columns."""
+    columns, whatever their names. Nulls and empty tables as there."""
     kept = exact_groups(docs, block_bytes).filter(_stays())
     return frames.keep_rows(docs, kept, frames.LOWEST)

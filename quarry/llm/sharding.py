@@ -80,6 +80,12 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16) -> None:
-    """Write ``docs`` (all columns) as Parquet, one folder per shard."""
-    docs.withColumn("shard", jump_shard(F.col("doc_id").cast("long"), shards)) \
-        .write.partitionBy("shard").parquet(path)
+    """Write ``docs`` (all columns) as Parquet, one folder per shard, named
+    ``shard=N``; with as many underscores before it as it takes where ``docs``
+    has a column of that name. Null ids share a shard, repeated rows are all
+    written, an empty table writes no folder."""
+    name = "shard"
+    while name in docs.columns:
+        name = "_" + name
+    (docs.withColumn(name, jump_shard(F.col("doc_id").cast("long"), shards))
+     .write.partitionBy(name).parquet(path))

@@ -216,7 +216,7 @@ def simhash_dedup(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataF
     words than a shingle is one shingle, a text without words (null too) has
     fingerprint zero and links like any other. Repeated rows give repeated
     results. A null id counts as the largest and comes back as null. An empty
-    table gives no rows.
+    table gives no rows; other columns of ``docs`` are not read.
     """
     return near_groups(docs, shingle, distance).select(
         frames.restore_null(frames.HIGHEST),
@@ -226,7 +226,8 @@ def simhash_dedup(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataF
 
 def drop_near_copies(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
     """``docs`` with one row of each group, the one with the smallest id, and
-    all columns."""
+    all columns, whatever their names. Nulls, repeated rows and empty tables as
+    in ``simhash_dedup``; of repeated rows one stays."""
     firsts = near_groups(docs, shingle, distance).filter(
         "doc_id = component_id and tag = first_tag")
     return frames.keep_rows(docs, firsts, frames.HIGHEST)

@@ -19,7 +19,8 @@ ending counts only if its beginnings differ, so that each pair is found once.
 Hot keys. The rows of a key above ``GROUP_ROWS`` are dealt to numbered parts by
 a hash, and every pair of parts is a tile of its own with a partition key of
 its own; the rows are sent to the tiles of their part. No tile holds more than
-about two parts, however many words share a key.
+about two parts, however many words share a key; the number of a key's tiles
+grows with the square of its parts.
 
 Scale. Occurrences are counted per task before they are shuffled, so a hot word
 moves once a flush. Only words that pass ``least_count`` meet in tiles.

@@ -107,7 +107,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
     Words are runs without ASCII white space. Windows are judged on the input.
     A null text has no words. A null id counts as the largest and comes back
     as null; rows that repeat an id do not remove from each other. No rows
-    give no rows.
+    give no rows; other columns of ``docs`` are not read. A text is taken whole: a
+    task needs some tens of bytes for each byte of the longest text.
     """
     parts = firsts.partitions_for(docs)
     buckets = 2 * parts

@@ -208,7 +208,8 @@ def remove_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     Strings are judged on the input and lie within one text. ``kept`` is
     binary, as a removal may cut a character. A null text is empty. A null id
     counts as the largest and comes back as null; rows that repeat an id do
-    not remove from each other. No rows give no rows.
+    not remove from each other. No rows give no rows; other columns of
+    ``docs`` are not read.
     """
     if length < 4:
         raise ValueError("length must be at least 4")

@@ -360,6 +360,10 @@ def test_write_shards(llm_spark, tmp_path):
     sharding.write_shards(docs, str(tmp_path / "s"), 4)
     back = llm_spark.read.parquet(str(tmp_path / "s"))
     assert back.count() == 40 and {r[0] for r in back.select("shard").distinct().collect()} <= {0, 1, 2, 3}
+    own = llm_spark.createDataFrame([(1, "a", 77), (None, "b", 78), (None, None, 79)], "doc_id long, text string, shard long")
+    sharding.write_shards(own, str(tmp_path / "own"), 4)
+    back = llm_spark.read.parquet(str(tmp_path / "own"))
+    assert sorted(r.shard for r in back.collect()) == [77, 78, 79] and back.filter("_shard IS NULL").count() == 0
 
 
 # ------------------------------------------------------------------ url rules
