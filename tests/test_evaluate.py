@@ -107,6 +107,35 @@ def test_inbatch_contrastive(spark):
     assert got == pytest.approx(sum(nll) / 5, abs=1e-6)
 
 
+@pytest.mark.parametrize("block", [1, 3, 7, 100])
+def test_inbatch_contrastive_in_blocks(spark, block):
+    """Batches of 1, 5 and 23 rows, larger than a block or not; large logits."""
+    import numpy as np
+    rng = np.random.default_rng(2)
+    rows, expected, n = [], {}, 0
+    for b, size in (("a", 1), ("b", 5), ("c", 23)):
+        Q, P = rng.normal(size=(size, 3)) * 30, rng.normal(size=(size, 3)) * 30
+        S = Q @ P.T
+        high = S.max(axis=1)
+        expected[b] = float(np.mean(high + np.log(np.exp(S - high[:, None]).sum(axis=1)) - np.diag(S)))
+        rows += [(n + i, b, Q[i].tolist(), P[i].tolist()) for i in range(size)]
+        n += size
+    df = spark.createDataFrame(rows, "qid long, batch_id string, qvec array<double>, pvec array<double>").repartition(5)
+    got = {r.batch_id: (r.loss, r.n) for r in E.inbatch_contrastive(df, block=block).collect()}
+    assert {b: x[1] for b, x in got.items()} == {"a": 1, "b": 5, "c": 23}
+    assert all(got[b][0] == pytest.approx(expected[b], abs=2e-6) for b in expected)
+
+
+@pytest.mark.parametrize("size", [3, 200, 1600])
+def test_f1_counts_repeats_of_long_texts(spark, size):
+    import random
+    rng = random.Random(size)
+    p, g = ([rng.choice(["x", "y", "zz", "w w"[:1]]) + str(rng.randrange(size // 2 + 1)) for _ in range(size)] for _ in range(2))
+    df = spark.createDataFrame([(" ".join(p), " ".join(g)), ("", ""), (" ".join(p), "")], "p string, g string")
+    got = [r.s for r in df.select(E.squad_f1("p", "g").alias("s")).collect()]
+    assert got[0] == pytest.approx(py_squad_f1(" ".join(p), " ".join(g))) and got[1:] == [0.0, 0.0]
+
+
 def test_scores_json_matches_python_dumps(spark):
     import json
     truth = spark.createDataFrame([("a", ["x"]), ("b", ["y"])], "id string, answers array<string>")

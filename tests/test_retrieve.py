@@ -298,3 +298,27 @@ def test_bm25_random_corpus_negative_idf(spark):
         got = [(r.document_id, r.score) for r in sorted(top, key=lambda r: r.rank) if r.qid == qid]
         assert [g[0] for g in got] == [e[0] for e in exp]
         assert all(abs(a[1] - b[1]) < 1e-6 for a, b in zip(got, exp))
+
+
+@pytest.mark.parametrize("string_ids", [False, True])
+@pytest.mark.parametrize("block,k", [(2, 2), (5, 4), (1024, 6)])
+def test_padding_by_blocks_matches_sorting(spark, monkeypatch, string_ids, block, k):
+    """Score-0 documents are the unmatched ones of smallest id, whatever the
+    matched ones are: none, all, the first, every other."""
+    import random
+    monkeypatch.setattr(R, "PAD_BLOCK", block)
+    rng = random.Random(block)
+    ids = [f"d{i:03d}" if string_ids else i * 3 - 20 for i in range(40)]
+    matched = {0: [], 1: ids, 2: ids[:17], 3: ids[::2], 4: ids[1:30], 5: rng.sample(ids, 33), 6: ids[20:]}
+    scores = [(q, d, -0.5 if (i + q) % 9 else 1.5) for q, own in matched.items() for i, d in enumerate(own)]
+    kind = "string" if string_ids else "long"
+    pairs = spark.createDataFrame(scores, f"qid long, document_id {kind}, score double")
+    docs = spark.createDataFrame([(d,) for d in ids + ids[:3]], f"document_id {kind}")
+    qs = spark.createDataFrame([(q,) for q in matched], "qid long")
+    got = {}
+    for r in R.rank_topk(R.with_zero_padding(pairs, docs, qs, k), k).collect():
+        got.setdefault(r.qid, []).append((r["rank"], r.document_id, r.score))
+    for q, own in matched.items():
+        rows = [(s, d) for qq, d, s in scores if qq == q] + [(0.0, d) for d in ids if d not in set(own)]
+        best = sorted(rows, key=lambda x: (-x[0], x[1]))[:k]
+        assert sorted(got[q]) == [(i + 1, d, s) for i, (s, d) in enumerate(best)]
