@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.operators.dedup import content_key
+from quarry.operators.heavy import top_terms
 from quarry.plans.sizing import maybe_broadcast
 from quarry.session import materialize
 
@@ -188,31 +189,30 @@ def tfidf_terms(c: Column, tokenizer: Tokenizer = default_tokenizer,
     return T.word_ngrams(tokenizer(F.lower(c)), ngram_max)
 
 
+def term_rows(docs: DataFrame, tokenizer: Tokenizer = default_tokenizer, ngram_max: int = 2) -> DataFrame:
+    """Lower-cased 1..n-grams of each prepared document with their counts,
+    written to the shared folder, and a row with a NULL term per document."""
+    return materialize(_postings_with_marker(
+        docs, tokenizer(F.lower(F.col("ptext"))), ngram_max), "tfidf-counts")
+
+
 def build_tfidf(docs: DataFrame, tokenizer: Tokenizer = default_tokenizer,
                 ngram_max: int = 2, max_features: int = 50000) -> TfidfIndex:
     """I2 + I3: vocabulary = the ``max_features`` terms of highest corpus
-    frequency (ties: term ascending); weight = tf * (ln((1+N)/(1+df)) + 1),
-    L2-normalised per document.
+    frequency (ties: term ascending; ``heavy.top_terms``); weight =
+    tf * (ln((1+N)/(1+df)) + 1), L2-normalised per document.
 
     Building is an action that reads the corpus once: the term counts are
     written to the shared folder, and the vocabulary (at most
     ``max_features`` rows), the document count and the weights come from that
     table; the vocabulary is measured before it is broadcast against it.
     """
-    grouped = materialize(_postings_with_marker(
-        docs, tokenizer(F.lower(F.col("ptext"))), ngram_max), "tfidf-counts")
+    grouped = term_rows(docs, tokenizer, ngram_max)
     tf = grouped.filter(F.col("term").isNotNull()).select("dkey", "document_id", "term", "tf")
-    # `_doc` marks the document-count row; filtering on an aggregate output
-    # (not on the grouping key) keeps both union branches on one identical
-    # aggregate, so its exchange is computed once
-    per_term = grouped.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"),
-                                           F.max(F.col("term").isNull()).alias("_doc"))
-    top = per_term.filter(~F.col("_doc")).orderBy(F.desc("cf"), F.asc("term")).limit(max_features)
-    small = materialize(top.unionByName(per_term.filter(F.col("_doc"))), "tfidf-vocab")
-    corpus = small.filter(F.col("_doc")).first()
-    n_docs = int(corpus["df"]) if corpus else 0
-    vocab = small.filter(~F.col("_doc")).select(
-        "term", "cf", "df", (F.log(F.lit(n_docs + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
+    top = top_terms(tf, max_features)
+    n_docs = grouped.filter(F.col("term").isNull()).count()  # the marker rows
+    vocab = top.select("term", "cf", "df",
+                       (F.log(F.lit(n_docs + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
     side, small_enough = maybe_broadcast(vocab.select("term", "idf"), [F.octet_length("term")])
     w = tf.join(side, "term").withColumn("w", F.col("tf") * F.col("idf"))
     per_doc = Window.partitionBy("dkey", "document_id")

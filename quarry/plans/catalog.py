@@ -123,6 +123,15 @@ def q_i2(spark, sf) -> DataFrame:
     return v.select("term", "cf", "df", F.round("idf", 6).alias("idf"))
 
 
+@register("i2_heaviest_terms")
+def q_i2h(spark, sf) -> DataFrame:
+    """I2 for a vocabulary of 300 terms: heaviest 1-2-grams by mergeable
+    summaries of each task and an exact recount of what they leave."""
+    from quarry.operators import heavy as H
+    counts = I.term_rows(I.prepare_corpus(fx.corpus(spark, sf)))
+    return H.top_terms(counts, 300)
+
+
 @register("i3_tfidf_doc_norms")
 def q_i3(spark, sf) -> DataFrame:
     w = _tfidf(spark, sf).weights

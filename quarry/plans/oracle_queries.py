@@ -89,6 +89,11 @@ def _i2():
     return f"WITH {O.tfidf_ctes()}\nSELECT term, cf, df, round(idf, 6) AS idf FROM vocab"
 
 
+@sql("i2_heaviest_terms")
+def _i2h():
+    return f"WITH {O.tfidf_ctes(max_features=300)}\nSELECT term, cf, df FROM vocab"
+
+
 @sql("i3_tfidf_doc_norms")
 def _i3():
     return f"""WITH {O.tfidf_ctes()}
