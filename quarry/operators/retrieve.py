@@ -488,62 +488,180 @@ def kmeans_centroids(vectors: DataFrame, num_clusters: int = 64, seed: int = 42,
                                  "cluster_id int, centroid array<double>")
 
 
+def _model_fits(centroids: DataFrame) -> bool:
+    """Whether the centroid table measures under the broadcast limit."""
+    from quarry.plans.sizing import broadcast_limit, measured_bytes
+    return measured_bytes(centroids, [F.size("centroid") * 8]) <= broadcast_limit(centroids.sparkSession)
+
+
 def _centroid_model(centroids: DataFrame):
-    """The centroid matrix on the driver, sorted by id, shipped to tasks as
-    one broadcast value (as Spark ML's KMeansModel does). It is a model of
-    ``num_clusters`` rows; its size is measured first, and a table over the
-    broadcast limit (say, one centroid per label of very many) is refused."""
+    """The (measured, small) centroid matrix, sorted by id, shipped to tasks
+    as one broadcast value (as Spark ML's KMeansModel does)."""
     import numpy as np
-    from quarry.plans.sizing import broadcast_limit, measured_bytes
-    limit = broadcast_limit(centroids.sparkSession)
-    if measured_bytes(centroids, [F.size("centroid") * 8]) > limit:
-        raise ValueError(f"the centroids take more than {limit} bytes; use fewer clusters")
     rows = centroids.select("cluster_id", "centroid").orderBy("cluster_id").collect()
     ids = np.array([int(r["cluster_id"]) for r in rows], dtype=np.int64)
     C = np.array([list(r["centroid"]) for r in rows], dtype=np.float64)
     return centroids.sparkSession.sparkContext.broadcast((ids, C))
 
 
-def _nearest_fn(bc, vec: str, nprobe: int, explode_out: bool):
+class _Nearest:
+    """The nearest ``nprobe`` of the centroids offered so far to each vector:
+    smallest squared L2 (rounded to 9 places), then smallest id. Centroids
+    are offered in order of their ids; distances exist for one tile at a time."""
+
+    def __init__(self, V, nprobe: int):
+        import numpy as np
+        self.V, self.norms = V, (V * V).sum(1)
+        self.far = np.full((len(V), nprobe), np.inf)
+        self.ids = np.zeros((len(V), nprobe), np.int64)
+        self.seen = 0                    # columns in use: min(nprobe, seen)
+
+    def offer(self, ids, C) -> None:
+        import numpy as np
+        cn = (C * C).sum(1)
+        nprobe = self.far.shape[1]
+        wide = max(nprobe, 4096)
+        for c in range(0, len(ids), wide):
+            own, part = ids[c:c + wide], C[c:c + wide]
+            step = max(1, TILE_BYTES // (8 * len(own)))
+            for a in range(0, len(self.V), step):
+                r = slice(a, a + step)
+                D = np.round(self.norms[r, None] + cn[None, c:c + wide] - 2.0 * (self.V[r] @ part.T), 9)
+                np.copyto(D, np.inf, where=np.isnan(D))
+                if nprobe == 1:                 # the first least one has the least id
+                    j = D.argmin(axis=1)
+                    d = D[np.arange(len(j)), j]
+                    nearer = (d < self.far[r, 0]) | (self.seen == 0)
+                    self.far[r, 0] = np.where(nearer, d, self.far[r, 0])
+                    self.ids[r, 0] = np.where(nearer, own[j], self.ids[r, 0])
+                    continue
+                used = min(nprobe, self.seen)
+                D = np.concatenate([self.far[r, :used], D], axis=1)
+                who = np.concatenate([self.ids[r, :used], np.broadcast_to(own, (len(D), len(own)))], axis=1)
+                # stable: earlier columns have the smaller ids
+                order = np.argsort(D, axis=1, kind="stable")[:, :nprobe]
+                self.far[r, :order.shape[1]] = np.take_along_axis(D, order, axis=1)
+                self.ids[r, :order.shape[1]] = np.take_along_axis(who, order, axis=1)
+            self.seen += len(own)
+
+    def pairs(self):
+        """(vector number, cluster id) of what was found, nearest first."""
+        import numpy as np
+        if len(self.V) and not self.seen:
+            raise ValueError("there are no centroids")
+        used = min(self.far.shape[1], self.seen)
+        return np.repeat(np.arange(len(self.V)), used), self.ids[:, :used].reshape(-1)
+
+
+def _nearest_fn(bc, vec: str, nprobe: int):
     import numpy as np
 
     def run(batches):
         ids, C = bc.value
-        cn = (C * C).sum(1)
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            V = np.stack(pdf[vec].to_numpy()).astype(np.float64)
-            # squared L2 to every centroid, rounded so ties resolve by id
-            D = np.round((V * V).sum(1)[:, None] + cn[None, :] - 2.0 * (V @ C.T), 9)
-            order = np.lexsort((np.broadcast_to(ids, D.shape), D), axis=1)[:, :nprobe]
-            best = ids[order]
-            if explode_out:
-                out = pdf.loc[pdf.index.repeat(best.shape[1])].reset_index(drop=True)
-                out["cluster_id"] = best.reshape(-1).astype("int32")
-            else:
-                out = pdf.copy()
-                out["cluster_id"] = best[:, 0].astype("int32")
+            near = _Nearest(np.stack(pdf[vec].to_numpy()).astype(np.float64), nprobe)
+            if len(ids):
+                near.offer(ids, C)
+            row, cluster = near.pairs()
+            out = pdf.iloc[row].reset_index(drop=True)
+            out["cluster_id"] = cluster.astype("int32")
             yield out
     return run
 
 
-def ivf_assign(vectors: DataFrame, centroids: DataFrame, vec: str = "vec") -> DataFrame:
+def _nearest_in_blocks(nprobe: int):
+    """Over a partition sorted by (block, kind, id): a block's vectors are
+    held, then its centroids pass by a batch at a time."""
+    import numpy as np
+    import pyarrow as pa
+
+    def matrix(column):
+        return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
+
+    def run(batches):
+        block, rows, vectors, near = None, [], [], None
+
+        def finished():
+            if not rows:
+                return
+            held = pa.concat_arrays(rows)
+            row, cluster = (near or _Nearest(np.concatenate(vectors), nprobe)).pairs()
+            for a in range(0, len(row), 4096):
+                yield pa.record_batch([held.take(pa.array(row[a:a + 4096])),
+                                       pa.array(cluster[a:a + 4096], pa.int32())], names=["row", "cluster_id"])
+
+        for batch in batches:
+            number = batch.column("block").to_numpy()
+            kind = batch.column("kind").to_numpy()
+            cuts = np.flatnonzero((np.diff(number) != 0) | (np.diff(kind) != 0)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(number)]):
+                if a == b:
+                    continue
+                part = batch.slice(a, b - a)
+                if number[a] != block:
+                    yield from finished()
+                    block, rows, vectors, near = number[a], [], [], None
+                if kind[a] == 0:
+                    rows.append(part.column("row"))
+                    vectors.append(matrix(part.column("v")))
+                elif vectors:
+                    near = near or _Nearest(np.concatenate(vectors), nprobe)
+                    near.offer(part.column("cluster_id").to_numpy().astype(np.int64), matrix(part.column("v")))
+        yield from finished()
+    return run
+
+
+def _nearest(vectors: DataFrame, centroids: DataFrame, nprobe: int, vec: str,
+             stream: bool | None, rows_per_block: int) -> DataFrame:
+    """``vectors`` with ``cluster_id``, a row for each of the ``nprobe``
+    nearest centroids."""
+    if stream is None:
+        stream = _model_fits(centroids)
+    if stream:
+        bc = _centroid_model(centroids)
+        schema = StructType(vectors.schema.fields + [StructField("cluster_id", IntegerType())])
+        return vectors.mapInPandas(_nearest_fn(bc, vec, nprobe), schema)
+    blocks = max(1, math.ceil(vectors.count() / rows_per_block))
+    # dealt at random, so that equal vectors fill no block alone, and written,
+    # so that a task that is run again finds the same rows in its blocks
+    dealt = materialize(vectors.select(
+        F.floor(F.rand(7) * blocks).cast("int").alias("block"), F.lit(0).alias("kind"),
+        F.lit(None).cast("int").alias("cluster_id"), F.col(vec).cast("array<double>").alias("v"),
+        F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in vectors.columns]).alias("row")), "ivf-blocks")
+    row = dealt.schema["row"].dataType
+    model = centroids.select(
+        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"),
+        F.col("cluster_id").cast("int"), F.col("centroid").cast("array<double>").alias("v"),
+        F.lit(None).cast(row).alias("row"))
+    out = (dealt.unionByName(model).repartition(blocks, "block")
+           .sortWithinPartitions("block", "kind", "cluster_id")
+           .mapInArrow(_nearest_in_blocks(nprobe),
+                       StructType([StructField("row", row), StructField("cluster_id", IntegerType())])))
+    return out.select("row.*", "cluster_id")
+
+
+def ivf_assign(vectors: DataFrame, centroids: DataFrame, vec: str = "vec",
+               stream: bool | None = None, rows_per_block: int = 50000) -> DataFrame:
     """Every vector gets its nearest centroid (squared L2 rounded to 9
-    places; ties: lower id). Vectorised per Arrow batch."""
-    bc = _centroid_model(centroids)
-    schema = StructType(vectors.schema.fields + [StructField("cluster_id", IntegerType())])
-    return vectors.mapInPandas(_nearest_fn(bc, vec, 1, False), schema)
+    places; ties: lower id).
+
+    A centroid table under the broadcast limit is broadcast and the vectors
+    stream past it without a shuffle. A larger one (say, a centroid per label
+    of very many) is sent to blocks of ``rows_per_block`` vectors and streams
+    past each: a task holds a block's rows, a batch of centroids and
+    ``TILE_BYTES`` of distances; nothing passes through the driver. ``stream``
+    chooses between the two, which give the same rows.
+    """
+    return _nearest(vectors, centroids, 1, vec, stream, rows_per_block)
 
 
-def ivf_probes(queries: DataFrame, centroids: DataFrame, nprobe: int = 1,
-               vec: str = "vec") -> DataFrame:
+def ivf_probes(queries: DataFrame, centroids: DataFrame, nprobe: int = 1, vec: str = "vec",
+               stream: bool | None = None, rows_per_block: int = 50000) -> DataFrame:
     """Nearest ``nprobe`` clusters of each query: ``(qid, vec, cluster_id)``,
-    one row per probed cluster."""
-    bc = _centroid_model(centroids)
-    q = queries.select("qid", vec)
-    schema = StructType(q.schema.fields + [StructField("cluster_id", IntegerType())])
-    return q.mapInPandas(_nearest_fn(bc, vec, nprobe, True), schema)
+    one row per probed cluster. ``stream`` as in :func:`ivf_assign`."""
+    return _nearest(queries.select("qid", vec), centroids, nprobe, vec, stream, rows_per_block)
 
 
 def ivf_topk(passages: DataFrame, queries: DataFrame, centroids: DataFrame,
@@ -561,9 +679,13 @@ def ivf_topk(passages: DataFrame, queries: DataFrame, centroids: DataFrame,
     sub-blocks (a hot cluster becomes many tasks) and each question is
     replicated only to the sub-blocks of the clusters it probes.
     """
-    probes = ivf_probes(queries, centroids, nprobe)
-    probed = F.broadcast(probes.select("cluster_id").distinct())
-    live = passages.join(probed, "cluster_id", "left_semi")
+    small_model = _model_fits(centroids)
+    probes = ivf_probes(queries, centroids, nprobe, stream=small_model)
+    # ids and sizes of clusters are bounded by the model
+    bounded = F.broadcast if small_model else lambda df: df
+    if not small_model:
+        probes = materialize(probes, "ivf-probes")   # read several times below
+    live = passages.join(bounded(probes.select("cluster_id").distinct()), "cluster_id", "left_semi")
     schema = _block_schema(passages, queries, F.col("pid"))
     if stream is None:
         stream = _fits(queries, copies=nprobe)
@@ -575,8 +697,7 @@ def ivf_topk(passages: DataFrame, queries: DataFrame, centroids: DataFrame,
     sizes = (live.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
                  .select("cluster_id", F.greatest(F.lit(1), F.ceil(
                      F.col("n") / F.lit(rows_per_block))).cast("int").alias("nsub")))
-    # one row per cluster: bounded by num_clusters
-    sizes = F.broadcast(sizes)
+    sizes = bounded(sizes)
     p = (live.join(sizes, "cluster_id")
              .select("pid", F.col("pid").alias("document_id"), "vec", "cluster_id",
                      F.pmod(F.xxhash64("pid"), F.col("nsub")).cast("int").alias("sb")))

@@ -278,6 +278,14 @@ def q_i6(spark, sf) -> DataFrame:
     return R.ivf_assign(p, cents).select("pid", "cluster_id")
 
 
+@register("i6_ivf_assign_blocks")
+def q_i6b(spark, sf) -> DataFrame:
+    """I6 as for a centroid table too large to broadcast: centroids stream
+    past blocks of vectors."""
+    _, p = fx.vectors(spark, sf)
+    return R.ivf_assign(p, R.centroids_by_label(p), stream=False, rows_per_block=200).select("pid", "cluster_id")
+
+
 @register("r8_ivf_topk")
 def q_r8(spark, sf) -> DataFrame:
     q, p = fx.vectors(spark, sf)

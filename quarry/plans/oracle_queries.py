@@ -266,6 +266,11 @@ def _i6():
     return f"WITH {_centroid_ctes()}\nSELECT pid, cluster_id FROM asg"
 
 
+@sql("i6_ivf_assign_blocks")
+def _i6b():
+    return f"WITH {_centroid_ctes()}\nSELECT pid, cluster_id FROM asg"
+
+
 @sql("r8_ivf_topk")
 def _r8():
     return f"""WITH {_centroid_ctes()},

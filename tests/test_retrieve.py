@@ -211,7 +211,7 @@ def test_dense_takes_string_ids(spark, stream, grouped):
         assert [r.pid for r in sorted(got, key=lambda r: r.rank) if r.qid == qid] == want[:3]
 
 
-def test_ivf_takes_string_ids_and_bounds_centroids(spark):
+def test_ivf_takes_string_ids_and_centroids_over_the_limit(spark):
     vecs = [(f"p{i}", [float(i % 3), float(i % 5)]) for i in range(30)]
     passages = spark.createDataFrame(vecs, "pid string, vec array<double>")
     cents = spark.createDataFrame([(0, [0.0, 0.0]), (1, [2.0, 4.0])], "cluster_id int, centroid array<double>")
@@ -222,8 +222,9 @@ def test_ivf_takes_string_ids_and_bounds_centroids(spark):
     assert a == b and len(a) == 12
     spark.conf.set("quarry.broadcast.maxBytes", "10")
     try:
-        with pytest.raises(ValueError, match="centroids"):
-            R.ivf_assign(passages, cents)
+        c = sorted(map(tuple, R.ivf_topk(R.ivf_assign(passages, cents, rows_per_block=7), queries, cents, k=3, nprobe=2,
+                                         rows_per_block=5).select("qid", "rank", "pid").collect()))
+        assert c == a
     finally:
         spark.conf.unset("quarry.broadcast.maxBytes")
 
@@ -322,3 +323,54 @@ def test_padding_by_blocks_matches_sorting(spark, monkeypatch, string_ids, block
         rows = [(s, d) for qq, d, s in scores if qq == q] + [(0.0, d) for d in ids if d not in set(own)]
         best = sorted(rows, key=lambda x: (-x[0], x[1]))[:k]
         assert sorted(got[q]) == [(i + 1, d, s) for i, (s, d) in enumerate(best)]
+
+
+def _near(v, cents, nprobe):
+    far = sorted((round(sum((x - y) ** 2 for x, y in zip(v, c)), 9), i) for i, c in cents)
+    return [i for _, i in far[:nprobe]]
+
+
+@pytest.mark.parametrize("nprobe", [1, 3, 9])
+def test_nearest_centroids_both_ways_equal_brute_force(spark, nprobe):
+    import random
+    rng = random.Random(nprobe)
+    cents = [(i, [float(rng.randrange(4)) for _ in range(3)]) for i in rng.sample(range(-5, 60), 7)]   # ties
+    vecs = [(i, [float(rng.randrange(4)) for _ in range(3)]) for i in range(120)] + [(500, [1.0, 1.0, 1.0])] * 60
+    c = spark.createDataFrame(cents, "cluster_id int, centroid array<double>")
+    q = spark.createDataFrame(vecs, "qid long, vec array<double>").repartition(3)
+    want = sorted((i, n) for i, v in vecs for n in _near(v, cents, nprobe))
+    for how in (dict(stream=True), dict(stream=False, rows_per_block=40), dict(stream=False, rows_per_block=10_000)):
+        got = R.ivf_probes(q, c, nprobe, **how).select("qid", "cluster_id").collect()
+        assert sorted(map(tuple, got)) == want
+
+
+def test_blocks_of_vectors_keep_rows_whole(spark):
+    rows = [(i, None if i % 3 else "x", [float(i), 0.0], 7 * i) for i in range(50)]
+    v = spark.createDataFrame(rows, "pid long, `a b` string, vec array<float>, block long")
+    c = spark.createDataFrame([(2, [0.0, 0.0]), (4, [40.0, 0.0])], "cluster_id int, centroid array<double>")
+    got = R.ivf_assign(v, c, stream=False, rows_per_block=9)
+    assert got.columns == v.columns + ["cluster_id"]
+    assert sorted(tuple(r)[:4] for r in got.collect()) == rows
+    assert {r.pid: r.cluster_id for r in got.collect()} == {i: 2 if i <= 20 else 4 for i in range(50)}
+    assert R.ivf_assign(v.filter("pid < 0"), c, stream=False).count() == 0
+    for stream in (True, False):
+        with pytest.raises(Exception, match="no centroids"):
+            R.ivf_assign(v, c.filter("cluster_id > 9"), stream=stream).count()
+
+
+def test_nearest_in_tiles(monkeypatch):
+    import numpy as np
+    rng = np.random.default_rng(1)
+    V, C, ids = rng.integers(0, 5, (70, 4)).astype(float), rng.integers(0, 5, (31, 4)).astype(float), np.arange(3, 34)
+    V[5] = np.nan
+    D = np.round(((V[:, None] - C[None]) ** 2).sum(2), 9)
+    D[np.isnan(D)] = np.inf
+    for nprobe in (1, 4, 40):
+        want = ids[np.lexsort((np.broadcast_to(ids, D.shape), D), axis=1)[:, :nprobe]]
+        for tile in (8, 1_000, 8 << 20):
+            monkeypatch.setattr(R, "TILE_BYTES", tile)
+            near = R._Nearest(V, nprobe)
+            for a in range(0, 31, 6):
+                near.offer(ids[a:a + 6], C[a:a + 6])
+            row, got = near.pairs()
+            assert (got.reshape(70, -1) == want).all() and (row == np.repeat(np.arange(70), want.shape[1])).all()
