@@ -189,11 +189,10 @@ def tfidf_terms(c: Column, tokenizer: Tokenizer = default_tokenizer,
     return T.word_ngrams(tokenizer(F.lower(c)), ngram_max)
 
 
-def term_rows(docs: DataFrame, tokenizer: Tokenizer = default_tokenizer, ngram_max: int = 2) -> DataFrame:
+def term_counts(docs: DataFrame, tokenizer: Tokenizer = default_tokenizer, ngram_max: int = 2) -> DataFrame:
     """Lower-cased 1..n-grams of each prepared document with their counts,
-    written to the shared folder, and a row with a NULL term per document."""
-    return materialize(_postings_with_marker(
-        docs, tokenizer(F.lower(F.col("ptext"))), ngram_max), "tfidf-counts")
+    and a row with a NULL term per document."""
+    return _postings_with_marker(docs, tokenizer(F.lower(F.col("ptext"))), ngram_max)
 
 
 def build_tfidf(docs: DataFrame, tokenizer: Tokenizer = default_tokenizer,
@@ -207,7 +206,7 @@ def build_tfidf(docs: DataFrame, tokenizer: Tokenizer = default_tokenizer,
     ``max_features`` rows), the document count and the weights come from that
     table; the vocabulary is measured before it is broadcast against it.
     """
-    grouped = term_rows(docs, tokenizer, ngram_max)
+    grouped = materialize(term_counts(docs, tokenizer, ngram_max), "tfidf-counts")
     tf = grouped.filter(F.col("term").isNotNull()).select("dkey", "document_id", "term", "tf")
     top = top_terms(tf, max_features)
     n_docs = grouped.filter(F.col("term").isNull()).count()  # the marker rows

@@ -128,8 +128,9 @@ def q_i2h(spark, sf) -> DataFrame:
     """I2 for a vocabulary of 300 terms: heaviest 1-2-grams by mergeable
     summaries of each task and an exact recount of what they leave."""
     from quarry.operators import heavy as H
-    counts = I.term_rows(I.prepare_corpus(fx.corpus(spark, sf)))
-    return H.top_terms(counts, 300)
+    from quarry.session import materialize
+    counts = I.term_counts(I.prepare_corpus(fx.corpus(spark, sf))).filter(F.col("term").isNotNull())
+    return H.top_terms(materialize(counts.select("term", "tf"), "term-counts"), 300)
 
 
 @register("i3_tfidf_doc_norms")
