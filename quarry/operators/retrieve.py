@@ -11,9 +11,9 @@ skewed (frequent-term) partitions.
 
 Dense scoring never materialises question x passage rows. A question matrix
 that measures small is broadcast and the passages stream through
-``mapInPandas`` (no shuffle); otherwise passages and questions are cut into
-bounded blocks that are co-grouped. Either way NumPy computes a block's score
-matrix and keeps the top k per question (R6, R7, R8), and the final top-k is
+``mapInPandas`` (no shuffle); otherwise tasks hold lists of questions past which
+the passages move. Either way NumPy computes tiles of scores
+and keeps the top k per question (R6, R7, R8), and the final top-k is
 again a window limit.
 
 Tie rule everywhere: score rounded to 6 places, descending, then document id
@@ -304,21 +304,25 @@ def _scan(top: _Running, which, P, pid, doc, Q, metric: str, queries_per_tile: i
         live = np.flatnonzero(best - slack * (1 + np.abs(best)) <= top.kth[which])
         for b in range(0, len(live), queries_per_tile):
             sel = live[b:b + queries_per_tile]
-            S = Q[sel] @ P[rows].T
+            S = (sign * Q[sel]) @ P[rows].T if metric == "ip" else Q[sel] @ P[rows].T
             if metric != "ip":  # squared L2, as an IVF-Flat L2 index reports
                 S *= -2.0
-                S += (qn[sel] ** 2)[:, None] + (pn[rows] ** 2)[None, :]
-                np.maximum(S, 0.0, out=S)
-            np.round(S, SCORE_DIGITS, out=S)
-            S *= sign                                  # smaller is better
-            wanted = S <= top.kth[which[sel]][:, None]
+                S += (qn[sel] ** 2)[:, None]
+                S += (pn[rows] ** 2)[None, :]
+            # smaller is better; only what can reach the k-th key is rounded
+            kth = top.kth[which[sel]]
+            wanted = S <= (kth + slack * (1 + np.abs(kth)))[:, None]
             for i in np.flatnonzero(wanted.any(axis=1)):
                 cand = np.flatnonzero(wanted[i])
                 key = S[i, cand]
+                key = sign * np.round(sign * key if metric == "ip" else np.maximum(key, 0.0), SCORE_DIGITS)
+                near = key <= kth[i]
+                cand, key = cand[near], key[near]
                 if not top.grouped and len(cand) > 4 * top.k:
                     keep = key <= np.partition(key, top.k - 1)[top.k - 1]  # ties kept
                     cand, key = cand[keep], key[keep]
-                top.offer(int(which[sel[i]]), key, doc[rows][cand], pid[rows][cand])
+                if len(cand):
+                    top.offer(int(which[sel[i]]), key, doc[rows][cand], pid[rows][cand])
 
 
 def _matrix(column):
@@ -326,31 +330,6 @@ def _matrix(column):
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
-def _block_scorer(k: int, metric: str, group_col: str | None, queries_per_tile: int = 4096):
-    import numpy as np
-    import pandas as pd
-
-    def score(p, q):
-        pid, doc, qids = _ids(p["pid"]), _ids(p["document_id"]), _ids(q["qid"])
-        out = None
-        if len(p) and len(q):
-            top = _Running(len(q), k, bool(group_col))
-            _scan(top, np.arange(len(q)), _matrix(p["vec"]), pid, doc, _matrix(q["vec"]), metric, queries_per_tile)
-            out = top.frame(qids, -1.0 if metric == "ip" else 1.0)
-        return out if out is not None else pd.DataFrame(
-            {"qid": qids[:0], "pid": pid[:0], "document_id": doc[:0], "score": np.zeros(0)})
-    return score
-
-
-def _blocked_topk(p: DataFrame, q: DataFrame, keys: list[str], k: int,
-                  metric: str, group_col: str | None, schema: str) -> DataFrame:
-    """Co-group passage and question blocks on ``keys``; top-k per block."""
-    fn = _block_scorer(k, metric, group_col)
-    part = (p.groupBy(*keys).cogroup(q.groupBy(*keys))
-             .applyInPandas(fn, schema))
-    return _final_topk(_best_of_document(part) if group_col else part, k, metric)
-
-
 def _best_of_document(part: DataFrame) -> DataFrame:
     """A document's passages may sit in several batches: keep its best."""
     one = Window.partitionBy("qid", "document_id").orderBy(F.col("score").desc(), "pid")
@@ -409,6 +388,119 @@ def _streamed_scorer(bc, k: int, metric: str, grouped: bool, chunk: int):
     return run
 
 
+HELD_QUESTIONS = 16384   # questions whose best k a task holds while passages pass by
+HELD_TILE = 512          # questions of one tile of scores
+
+
+def _lists(batches):
+    """Of a partition sorted by (cluster_id, sub, kind): each list's questions
+    (one record batch or none), then its passages, a batch at a time."""
+    import numpy as np
+    import pyarrow as pa
+
+    here, held, ready = None, [], None
+    for batch in batches:
+        keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("cluster_id", "sub", "kind")])
+        cuts = np.flatnonzero((np.diff(keys, axis=1) != 0).any(axis=0)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+            if a == b:
+                continue
+            if (at := tuple(keys[:2, a])) != here:
+                here, held, ready = at, [], None
+            if keys[2, a] == 0:
+                held.append(batch.slice(a, b - a))
+            elif held:
+                if ready is None:
+                    ready = pa.Table.from_batches(held)
+                yield at, ready, batch.slice(a, b - a)
+
+
+def _arrow_matrix(column):
+    import numpy as np
+    column = column.combine_chunks() if hasattr(column, "combine_chunks") else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _held_scorer(k: int, metric: str, grouped: bool):
+    """Scores the passages of each list against its questions, which are held;
+    a question's best k leave once, when its list ends."""
+    import numpy as np
+
+    def run(batches):
+        import pyarrow as pa
+        here = top = None
+
+        def best():
+            out = top.frame(qids, -1.0 if metric == "ip" else 1.0) if top is not None else None
+            if out is not None:
+                for a in range(0, len(out), 65536):
+                    yield pa.RecordBatch.from_pandas(out.iloc[a:a + 65536], preserve_index=False)
+
+        for at, questions, passages in _lists(batches):
+            if at != here:
+                yield from best()
+                here, qids = at, _ids(questions.column("qid").to_pandas())
+                Q, top = _arrow_matrix(questions.column("vec")), _Running(len(qids), k, grouped)
+            _scan(top, np.arange(len(qids)), _arrow_matrix(passages.column("vec")), _ids(passages.column("pid").to_pandas()),
+                  _ids(passages.column("document_id").to_pandas()), Q, metric, HELD_TILE)
+        yield from best()
+    return run
+
+
+def held_lists(passages: DataFrame, probes: DataFrame, bounded: bool) -> DataFrame:
+    """Rows ``cluster_id, sub, kind, qid, ...`` for ``mapInArrow``: the
+    questions ``probes (qid, vec, cluster_id)`` of each cluster dealt to
+    lists of at most ``HELD_QUESTIONS`` (fewer where that leaves cores without a
+    list), ``kind`` 0, each followed by all ``passages`` of its cluster, ``kind``
+    1. A list lies in one partition. A passage moves once for each list of its
+    cluster, so a question meets all passages in one task, and nothing
+    but its best k moves on. ``bounded``: the clusters are few enough for the driver."""
+    cores = probes.sparkSession.sparkContext.defaultParallelism
+    size = max(1, min(HELD_QUESTIONS, math.ceil(probes.count() / cores)))
+    sizes = probes.groupBy("cluster_id").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("subs"))
+    if bounded:     # numbered, so that every list gets a partition of its own
+        rows, first = [], 0
+        for r in sizes.orderBy("cluster_id").collect():
+            rows.append((int(r["cluster_id"]), int(r["subs"]), first))
+            first += int(r["subs"])
+        lists, total = F.broadcast(probes.sparkSession.createDataFrame(rows, "cluster_id int, subs int, first int")), first
+        part = F.col("first") + F.col("sub")
+    else:
+        lists, total = sizes, 4 * cores
+        part = F.pmod(F.xxhash64("cluster_id", "sub"), F.lit(total)).cast("int")
+    extra = [F.col(c) for c in passages.columns if c not in ("cluster_id", "vec")]
+    none = [F.lit(None).cast(passages.schema[c].dataType).alias(c) for c in passages.columns if c not in ("cluster_id", "vec")]
+    # a passage table may hold something else than vectors (codes)
+    own = "vec" in passages.columns
+    vec = probes.schema["vec"].dataType
+    pv = F.col("vec").cast(vec) if own else F.lit(None).cast(vec)
+    q = probes.join(lists, "cluster_id").withColumn("sub", F.pmod(F.xxhash64("qid"), F.col("subs")).cast("int")).select(
+        part.alias("part"), F.col("cluster_id").cast("int").alias("cluster_id"), "sub", F.lit(0).alias("kind"), "qid", "vec", *none)
+    p = passages.join(lists, "cluster_id").withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).select(
+        part.alias("part"), F.col("cluster_id").cast("int").alias("cluster_id"), "sub", F.lit(1).alias("kind"),
+        F.lit(None).cast(probes.schema["qid"].dataType).alias("qid"), pv.alias("vec"), *extra)
+    return (q.unionByName(p).repartitionById(max(1, total), F.col("part"))
+            .sortWithinPartitions("cluster_id", "sub", "kind").drop("part"))
+
+
+def _held_topk(passages: DataFrame, probes: DataFrame, k: int, metric: str, grouped: bool,
+               schema: str, bounded: bool = True) -> DataFrame:
+    return held_lists(passages, probes, bounded).mapInArrow(_held_scorer(k, metric, grouped), schema)
+
+
+def _streams(passages: DataFrame, queries: DataFrame, k: int, copies: int = 1) -> bool:
+    """Whether the questions are broadcast past which the passages stream: they
+    have to fit, and the best k of every question from every task must be
+    less than the passages that would move to held questions."""
+    from quarry.plans.sizing import measured_bytes
+    if not _fits(queries, copies=copies):
+        return False
+    n_q = queries.count() * copies
+    lists = max(queries.sparkSession.sparkContext.defaultParallelism, math.ceil(n_q / HELD_QUESTIONS))
+    tasks = passages.rdd.getNumPartitions()
+    return tasks * n_q * k * TOPK_ROW_BYTES <= lists * measured_bytes(passages, [F.size("vec") * 4])
+
+
 def _fits(queries: DataFrame, vec: str = "vec", copies: int = 1) -> bool:
     """Measured size of the question matrix (8 bytes per component), times
     the number of copies that will be broadcast (probes per question)."""
@@ -425,42 +517,33 @@ def dense_topk(passages: DataFrame, queries: DataFrame, k: int = 10,
 
     ``passages``: ``pid, vec [, document_id]``; ``queries``: ``qid, vec``.
 
-    When the question matrix measures under the broadcast limit (the usual
-    case: thousands of questions against a huge corpus) it is broadcast and
-    the passages stream through ``mapInPandas`` without any shuffle; every
-    task keeps a running top k per question (of passages, or of documents by
-    their best passage, both exact after the final top-k) and emits it once.
-    Scores are computed in tiles of ``TILE_BYTES``; a tile whose norms cannot
-    reach a question's k-th score is not scored for it. Otherwise passages and
-    questions are hashed into bounded
-    blocks (``ceil(N / rows_per_block)``, ``ceil(Q / queries_per_block)``;
-    by the group column when grouping) and every (passage block, question
-    block) pair is one co-grouped task.
+    When the question matrix measures under the broadcast limit and is small
+    beside the passages (thousands of questions against a huge corpus) it is
+    broadcast and the passages stream through ``mapInPandas`` without any
+    shuffle; every task keeps a running top k per question (of passages, or of
+    documents by their best passage, both exact after the final top-k) and emits
+    it once. Otherwise the questions are dealt to lists that tasks hold while
+    all passages pass by (``held_lists``): the best k of a question come from one
+    task. Scores are computed in tiles of ``TILE_BYTES``; a tile whose norms
+    cannot reach a question's k-th score is not scored for it.
+    ``queries_per_block`` bounds a tile of the streamed form. The block sizes no
+    longer set how often vectors are copied; results do not depend on them.
     """
     doc = F.col(group_col) if group_col else F.col("pid")
     schema = _block_schema(passages, queries, doc)
     if stream is None:
-        stream = _fits(queries)
+        stream = _streams(passages, queries, k)
+    p = passages.select("pid", doc.alias("document_id"), "vec")
     if stream:
         bc = _query_matrix(queries)
-        p = passages.select("pid", doc.alias("document_id"), "vec")
         part = p.mapInPandas(_streamed_scorer(bc, k, "ip", bool(group_col), queries_per_block),
                              schema)
         if group_col:
             part = _best_of_document(part)
         return _final_topk(part, k, "ip")
-    n_p = passages.count()
-    n_q = queries.count()
-    pb = max(1, math.ceil(n_p / rows_per_block))
-    qb = max(1, math.ceil(n_q / queries_per_block))
-    # by passage, so that a document of very many passages fills no block alone
-    p = passages.select("pid", doc.alias("document_id"), "vec",
-                        F.pmod(F.xxhash64("pid"), F.lit(pb)).alias("pb"),
-                        F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("qb"))
-    q = queries.select("qid", "vec",
-                       F.pmod(F.xxhash64("qid"), F.lit(qb)).alias("qb"),
-                       F.explode(F.sequence(F.lit(0), F.lit(pb - 1))).alias("pb"))
-    return _blocked_topk(p, q, ["pb", "qb"], k, "ip", group_col, schema)
+    one = F.lit(0).alias("cluster_id")
+    part = _held_topk(p.select("*", one), queries.select("qid", "vec", one), k, "ip", bool(group_col), schema)
+    return _final_topk(part, k, "ip")
 
 
 def centroids_by_label(vectors: DataFrame, label: str = "label",
@@ -674,37 +757,26 @@ def ivf_topk(passages: DataFrame, queries: DataFrame, centroids: DataFrame,
     dropped first (a semi-join on at most num_clusters ids; on a partitioned
     table a dynamic partition filter). Then, as in :func:`dense_topk`, a
     small question set is broadcast with its probe lists and the passages
-    stream through ``mapInPandas``; a large one is co-grouped by (cluster,
-    sub-block), where a cluster larger than ``rows_per_block`` is split into
-    sub-blocks (a hot cluster becomes many tasks) and each question is
-    replicated only to the sub-blocks of the clusters it probes.
+    stream through ``mapInPandas``; a large one is held in lists of questions
+    of a cluster, past which only that cluster's passages move.
     """
     small_model = _model_fits(centroids)
+    if stream is None:
+        stream = _streams(passages, queries, k, copies=nprobe)
     probes = ivf_probes(queries, centroids, nprobe, stream=small_model)
     # ids and sizes of clusters are bounded by the model
     bounded = F.broadcast if small_model else lambda df: df
-    if not small_model:
+    if not (small_model and stream):
         probes = materialize(probes, "ivf-probes")   # read several times below
     live = passages.join(bounded(probes.select("cluster_id").distinct()), "cluster_id", "left_semi")
     schema = _block_schema(passages, queries, F.col("pid"))
-    if stream is None:
-        stream = _fits(queries, copies=nprobe)
+    p = live.select("pid", F.col("pid").alias("document_id"), "vec", "cluster_id")
     if stream:
         bc = _query_matrix(probes, extra="cluster_id")
-        p = live.select("pid", F.col("pid").alias("document_id"), "vec", "cluster_id")
         part = p.mapInPandas(_streamed_scorer(bc, k, "l2", False, queries_per_block), schema)
         return _final_topk(part, k, "l2")
-    sizes = (live.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
-                 .select("cluster_id", F.greatest(F.lit(1), F.ceil(
-                     F.col("n") / F.lit(rows_per_block))).cast("int").alias("nsub")))
-    sizes = bounded(sizes)
-    p = (live.join(sizes, "cluster_id")
-             .select("pid", F.col("pid").alias("document_id"), "vec", "cluster_id",
-                     F.pmod(F.xxhash64("pid"), F.col("nsub")).cast("int").alias("sb")))
-    q = (probes.join(sizes, "cluster_id")
-         .select("qid", "vec", "cluster_id",
-                 F.explode(F.sequence(F.lit(0), F.col("nsub") - 1)).alias("sb")))
-    return _blocked_topk(p, q, ["cluster_id", "sb"], k, "l2", None, schema)
+    part = _held_topk(p, probes, k, "l2", False, schema, bounded=small_model)
+    return _final_topk(part, k, "l2")
 
 
 # --------------------------------------------------------------------------

@@ -73,3 +73,19 @@ def test_decode_partition_independent(spark):
     b = sorted(tuple(r) for r in N.nbest_long(N.nbest(feats.repartition(5), examples.repartition(3),
                                                       n_best=3)).collect())
     assert a == b
+
+
+def test_vectors_move_once_a_list_of_questions(spark):
+    """Many questions in small blocks: a passage goes to a few lists, not to
+    every block of eight questions, and every question stands in one list."""
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(900)]
+    q = spark.createDataFrame(rows, "qid long, vec array<float>").withColumn("cluster_id", F.col("qid").cast("int") % 3)
+    p = q.withColumnRenamed("qid", "pid").withColumn("document_id", F.col("pid"))
+    cores = spark.sparkContext.defaultParallelism
+    moved = R.held_lists(p, q, bounded=True).cache()
+    assert moved.filter("kind = 0").count() == 900
+    assert moved.filter("kind = 1").count() <= 900 * cores
+    assert moved.filter("kind = 0").select("cluster_id", "sub").distinct().count() <= cores + 3
+    spread = moved.select("cluster_id", "sub", F.spark_partition_id().alias("n")).distinct()
+    assert spread.count() == spread.select("cluster_id", "sub").distinct().count()
