@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators import retrieve as R
-from quarry.plans.sizing import maybe_broadcast
+from quarry.session import materialize
 
 LEVELS = 255
 
@@ -97,67 +97,71 @@ class _Bounds:
         self.rows[i] = (pid, low, high)
 
 
-def _coded_scan(bc, low, step, k: int):
-    """Candidates (qid, pid, low, high: bounds of the squared distance)."""
+def _scan_codes(found: _Bounds, Q, pid, codes, lost, low, step) -> None:
+    """Offer coded passages to all questions ``Q``, a tile of bounds at a time."""
+    slack = 2 * 10.0 ** -R.SCORE_DIGITS   # equal after rounding counts as equal
+    qn = (Q ** 2).sum(1)
+    tile = max(1, R.TILE_BYTES // (8 * max(len(low), R.HELD_TILE)))
+    for a in range(0, len(codes), tile):
+        rows = slice(a, a + tile)
+        x = low + codes[rows] * step
+        xn, off = (x * x).sum(1), lost[rows] + 1e-9
+        for b in range(0, len(Q), R.HELD_TILE):
+            near = Q[b:b + R.HELD_TILE] @ x.T
+            near *= -2
+            near += qn[b:b + R.HELD_TILE, None]
+            near += xn[None, :]
+            np.sqrt(np.maximum(near, 0.0, out=near), out=near)
+            # low <= kth, without squares: near - off <= sqrt(kth + slack)
+            reach = np.sqrt(found.kth[b:b + R.HELD_TILE] + slack) * (1 + 1e-12) + 1e-12
+            wanted = near <= reach[:, None] + off[None, :]
+            for i in np.flatnonzero(wanted.any(axis=1)):
+                w = wanted[i]
+                least = np.maximum(near[i, w] - off[w], 0.0) ** 2 - slack
+                found.offer(b + int(i), pid[rows][w], least, (near[i, w] + off[w]) ** 2)
+
+
+def _coded_scan(low, step, k: int):
+    """Candidates (qid, pid, low, high: bounds of the squared distance) of lists
+    of held questions and the codes of their clusters."""
     def run(batches):
-        import pandas as pd
-        qids, Q, probes = bc.value
-        by_cluster: dict[int, list[int]] = {}
-        for i, c in enumerate(probes):
-            by_cluster.setdefault(int(c), []).append(i)
-        found = _Bounds(len(qids), k)
-        dim = len(low)
-        slack = 2 * 10.0 ** -R.SCORE_DIGITS   # equal after rounding counts as equal
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            codes = np.frombuffer(b"".join(pdf["code"]), np.uint8).reshape(len(pdf), dim)
-            pid, lost, cl = R._ids(pdf["pid"]), pdf["lost"].to_numpy(), pdf["cluster_id"].to_numpy()
-            for c in np.unique(cl):
-                which = np.array(by_cluster.get(int(c), []), int)
-                rows = np.flatnonzero(cl == c)
-                tile = max(1, R.TILE_BYTES // (8 * max(dim, len(which), 1)))
-                for a in range(0, len(rows) if len(which) else 0, tile):
-                    some = rows[a:a + tile]
-                    x = low + codes[some] * step
-                    near = np.sqrt(np.maximum((Q[which] ** 2).sum(1)[:, None] + (x * x).sum(1)[None, :]
-                                              - 2 * (Q[which] @ x.T), 0.0))
-                    bound_low = np.maximum(near - lost[some] - 1e-9, 0.0) ** 2 - slack
-                    bound_high = (near + lost[some] + 1e-9) ** 2
-                    wanted = bound_low <= found.kth[which][:, None]
-                    for i in np.flatnonzero(wanted.any(axis=1)):
-                        w = wanted[i]
-                        found.offer(int(which[i]), pid[some][w], bound_low[i, w], bound_high[i, w])
-        full = [i for i, r in enumerate(found.rows) if r is not None]
-        if full:
-            p, lo, hi = (np.concatenate([found.rows[i][c] for i in full]) for c in range(3))
-            yield pd.DataFrame({"qid": np.repeat(qids[full], [len(found.rows[i][0]) for i in full]),
-                                "pid": p, "low": lo, "high": hi})
+        here = found = None
+
+        def left():
+            full = [i for i, r in enumerate(found.rows) if r is not None] if found is not None else []
+            for a in range(0, len(full), 4096):
+                some = full[a:a + 4096]
+                p, lo, hi = (np.concatenate([found.rows[i][c] for i in some]) for c in range(3))
+                yield pa.record_batch({"qid": pa.array(np.repeat(qids[some], [len(found.rows[i][0]) for i in some])),
+                                       "pid": pa.array(p), "low": pa.array(lo), "high": pa.array(hi)})
+
+        for at, questions, batch in R._lists(batches):
+            if at != here:
+                yield from left()
+                here, qids = at, R._ids(questions.column("qid").to_pandas())
+                Q, found = R._arrow_matrix(questions.column("vec")), _Bounds(len(qids), k)
+            codes = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(batch.num_rows, len(low))
+            _scan_codes(found, Q, R._ids(batch.column("pid").to_pandas()), codes,
+                        batch.column("lost").to_numpy(), low, step)
+        yield from left()
     return run
 
 
 def candidates(index: CodedIndex, queries: DataFrame, k: int, nprobe: int = 1) -> DataFrame:
-    """``qid, pid`` of the passages that the bounds leave. The questions with
-    their probes are broadcast, in as many parts as the broadcast limit asks for."""
-    from quarry.plans.sizing import broadcast_limit, measured_bytes
-    size = measured_bytes(queries, [F.size("vec") * 8]) * nprobe
-    parts = max(1, -(-size // broadcast_limit(queries.sparkSession)))
-    out = None
-    for i in range(parts):
-        some = queries if parts == 1 else queries.filter(F.pmod(F.xxhash64("qid"), F.lit(parts)) == i)
-        found = _candidates(index, some, k, nprobe)
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-def _candidates(index: CodedIndex, queries: DataFrame, k: int, nprobe: int) -> DataFrame:
-    probes = R.ivf_probes(queries, index.centroids, nprobe)
-    live = index.codes.join(F.broadcast(probes.select("cluster_id").distinct()), "cluster_id", "left_semi")
+    """``qid, pid`` of the passages that the bounds leave. Tasks hold lists of
+    questions past which the codes of the probed clusters move
+    (``retrieve.held_lists``); the bounds of a question and probe come from one task."""
+    small = R._model_fits(index.centroids)
+    probes = materialize(R.ivf_probes(queries, index.centroids, nprobe, stream=small), "coded-probes")
+    probed = probes.select("cluster_id").distinct()
+    live = index.codes.join(F.broadcast(probed) if small else probed, "cluster_id", "left_semi")
     kinds = {"qid": queries.schema["qid"].dataType.simpleString(), "pid": index.codes.schema["pid"].dataType.simpleString()}
-    part = live.select("pid", "cluster_id", "code", "lost").mapInPandas(
-        _coded_scan(R._query_matrix(probes, extra="cluster_id"), index.low, index.step, k),
-        f"qid {kinds['qid']}, pid {kinds['pid']}, low double, high double")
-    # a question stands once per probe and task, each with its own k smallest
+    part = R.held_lists(live.select("pid", "cluster_id", "code", "lost"), probes, small).mapInArrow(
+        _coded_scan(index.low, index.step, k), f"qid {kinds['qid']}, pid {kinds['pid']}, low double, high double")
+    if nprobe == 1:
+        return part.select("qid", "pid")
+    # a question stands once per probe, each with its own k smallest
+    part = materialize(part, "coded-bounds")
     kth = (R.rank_topk(part, k, score="high", tie="pid", ascending=True)
            .groupBy("qid").agg(F.max("high").alias("kth"), F.count(F.lit(1)).alias("n")))
     slack = 2 * 10.0 ** -R.SCORE_DIGITS
@@ -167,10 +171,10 @@ def _candidates(index: CodedIndex, queries: DataFrame, k: int, nprobe: int) -> D
 
 def coded_topk(index: CodedIndex, queries: DataFrame, k: int = 10, nprobe: int = 1) -> DataFrame:
     """``qid, rank, pid, score`` (squared L2), equal to ``ivf_topk``."""
-    from quarry.session import materialize
+    # a few rows a question: joined without a hint, since a broadcast is built in
+    # the driver and these rows grow with the questions
     left = materialize(candidates(index, queries, k, nprobe), "coded-candidates")
-    side, _ = maybe_broadcast(left)
-    pairs = (index.vectors.select("pid", "vec").join(side, "pid")
+    pairs = (index.vectors.select("pid", "vec").join(left, "pid")
              .join(queries.select("qid", F.col("vec").alias("qvec")), "qid"))
     far = F.aggregate(F.zip_with(F.col("vec").cast("array<double>"), F.col("qvec").cast("array<double>"),
                                  lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.operators import quantize as Z
 from quarry.operators import retrieve as R
@@ -83,3 +84,15 @@ def test_scan_in_tiles_equals_sorting(monkeypatch, metric, grouped, tile):
             rows = best
         key, d, p = top.rows[i]
         assert list(zip(key.round(5), d, p)) == [(pytest.approx(round(a, 5), abs=2e-5), b, c) for a, b, c in rows[:5]]
+
+
+def test_candidates_are_few_whatever_the_files(spark):
+    """Codes in many small files: a question's bounds still come from one task,
+    so that about k candidates are left, and none are broadcast."""
+    rng = np.random.default_rng(3)
+    rows = [(i, i % 2, rng.normal(size=8).tolist()) for i in range(400)]
+    v = spark.createDataFrame(rows, "pid long, cluster_id int, vec array<float>").repartition(40)
+    cents = v.groupBy("cluster_id").agg(F.array(*[F.avg(F.col("vec")[j].cast("double")) for j in range(8)]).alias("centroid"))
+    queries = v.select(F.col("pid").alias("qid"), "vec")
+    found = Z.candidates(Z.build(v, cents), queries, 5).count()
+    assert 400 * 5 <= found < 400 * 9
