@@ -12,6 +12,11 @@ are batch padding (C10, a window over a bounded batch) and dense row numbers
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -294,44 +299,52 @@ def mlm_mask(df: DataFrame, seed: int = 42, mlm_probability: float = 0.15,
     Drawn positions: 80 % -> [MASK], 10 % -> random id, 10 % unchanged.
     Labels are the original ids at drawn positions, -100 elsewhere.
     """
-    rid = F.col(id_col)
-    idsc, sp = F.col(ids), F.col(special)
-    pos = F.sequence(F.lit(0), F.size(idsc) - 1)
-
-    def at(a, p):
-        return F.element_at(a, p + 1)
-
-    # one hash per position, materialised before the lambdas that read it
-    x = df.withColumn("_h", F.transform(pos, lambda p: F.md5(
-        F.concat_ws(":", F.lit(str(seed)), rid.cast("string"), p.cast("string")))))
-
-    def u(p, k):
-        return (F.conv(F.substring(at(F.col("_h"), p), 8 * k + 1, 8), 16, 10).cast("bigint")
-                / F.lit(4294967296.0))
-
-    def eligible(p):
-        e = at(sp, p) == 0
-        if ner:
-            e = e & at(F.col(ner), p).cast("boolean")
-        return e
-    x = x.withColumn("_d", F.transform(pos, lambda p: eligible(p) & (u(p, 0) < mlm_probability)))
-    if ner and span_masking:
-        nr = F.col(ner)
-        # run key: number of non-entity positions before p (constant on a run)
-        # read off the runs between them in one pass: '110100' -> runs 11, 1, '', ''
-        bits = F.array_join(F.transform(nr, lambda v: F.when(v.cast("boolean"), "1").otherwise("0")), "")
-        key = F.flatten(F.transform(F.split(bits, "0"), lambda r, i: F.array_repeat(i, F.length(r) + 1)))
-        x = x.withColumn("_k", key)
-        runs = F.array_distinct(F.transform(F.filter(pos, lambda p: at(F.col("_d"), p)),
-                                            lambda p: at(F.col("_k"), p)))
-        x = x.withColumn("_d", F.transform(pos, lambda p: at(F.col("_d"), p) | (
-            at(nr, p).cast("boolean") & F.array_contains(runs, at(F.col("_k"), p))))).drop("_k")
-    d = F.col("_d")
-    labels = F.transform(idsc, lambda v, p: F.when(at(d, p), v).otherwise(F.lit(IGNORE)))
-    new_ids = F.transform(idsc, lambda v, p: F.when(
-        at(d, p) & (u(p, 1) < 0.8), F.lit(MASK_ID)).when(
-        at(d, p) & (u(p, 2) < 0.5), F.floor(u(p, 3) * vocab_size).cast("int")).otherwise(v))
-    return x.withColumn("labels", labels).withColumn(ids, new_ids).drop("_d", "_h")
+    mask = F.arrow_udf(_masked(seed, mlm_probability, bool(ner), span_masking, vocab_size),
+                       "struct<ids:array<int>,labels:array<int>>")
+    own = F.col(ner).cast("array<boolean>") if ner else F.lit(None).cast("array<boolean>")
+    x = df.withColumn("_m", mask(F.col(id_col).cast("string"), F.col(ids).cast("array<int>"),
+                                 F.col(special).cast("array<int>"), own))
+    return x.withColumn("labels", F.col("_m.labels")).withColumn(ids, F.col("_m.ids")).drop("_m")
+
+
+def _masked(seed: int, probability: float, ner: bool, spans: bool, vocab_size: int):
+    """:func:`mlm_mask` of Arrow columns: row ids, token ids, special and entity
+    flags. Only positions that can be drawn are hashed."""
+    def flat(lists, missing):
+        return pc.fill_null(lists.flatten(), missing).to_numpy(zero_copy_only=False)
+
+    def run(rows: pa.Array, ids: pa.Array, special: pa.Array, entity: pa.Array) -> pa.Array:
+        size = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        start = np.concatenate([[0], np.cumsum(size)])
+        row = np.repeat(np.arange(len(size)), size)
+        place = np.arange(start[-1]) - start[row]
+        value = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+        named = flat(entity, False).astype(bool) if ner else np.ones(len(value), bool)
+        if len(named) != len(value):
+            raise ValueError("every token id needs an entity flag")
+        eligible = (flat(special, 1) == 0) & named
+        whole = named if ner and spans else eligible
+        # four uniforms a position, of md5(seed:row:position)
+        at = np.flatnonzero(whole | eligible)
+        heads = [f"{seed}:{r}:" if r is not None else f"{seed}:" for r in rows.to_pylist()]
+        digests = b"".join([hashlib.md5(f"{heads[r]}{p}".encode(), usedforsecurity=False).digest()
+                            for r, p in zip(row[at].tolist(), place[at].tolist())])
+        u = np.frombuffer(digests, ">u4").reshape(-1, 4) / 4294967296.0
+        drawn = eligible[at] & (u[:, 0] < probability)
+        if ner and spans:
+            # a run of entities: its row and the number of other positions before it
+            key = np.cumsum(~named)[at] + row[at]
+            drawn |= named[at] & np.isin(key, key[drawn])
+        at, u = at[drawn], u[drawn]
+        labels = np.full(len(value), IGNORE, np.int32)
+        labels[at] = value[at]
+        value = value.copy()
+        other = np.where(u[:, 2] < 0.5, np.floor(u[:, 3] * vocab_size), value[at])
+        value[at] = np.where(u[:, 1] < 0.8, MASK_ID, other)
+        ends = pa.array(start.astype(np.int32))
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, pa.array(value)),
+                                           pa.ListArray.from_arrays(ends, pa.array(labels))], ["ids", "labels"])
+    return run
 
 
 def causal_labels(ids: Column, pad_id: int = PAD_ID) -> Column:

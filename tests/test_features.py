@@ -143,3 +143,38 @@ def test_span_labels_random(spark):
     s, e = C.span_labels(F.col("o"), F.col("sc"), F.col("ec"), F.col("h"))
     got = {r.i: (r.s, r.e) for r in df.select("i", s.alias("s"), e.alias("e")).collect()}
     assert got == model
+
+
+def test_span_mask_rows_of_one_batch_stay_apart(spark):
+    """Spans end with their row, a batch holds many rows, and positions that
+    cannot be drawn are not hashed one by one in array lambdas."""
+    import hashlib
+    import random
+
+    import pyarrow as pa
+
+    from quarry.functions import text as T
+    from quarry.operators import features as FT
+    rng = random.Random(5)
+    ids = [[rng.randrange(5, 90) for _ in range(rng.randrange(0, 30))] for _ in range(80)]
+    special = [[int(rng.random() < 0.1) for _ in r] for r in ids]
+    ner = [[rng.random() < 0.7 for _ in r] for r in ids]
+    got = FT._masked(42, 0.2, True, True, 100)(pa.array([str(i) for i in range(80)]), pa.array(ids, pa.list_(pa.int32())),
+                                              pa.array(special, pa.list_(pa.int32())), pa.array(ner, pa.list_(pa.bool_())))
+    for r, out in enumerate(got.to_pylist()):
+        def u(p, k):
+            return int(hashlib.md5(f"42:{r}:{p}".encode()).hexdigest()[8 * k:8 * k + 8], 16) / 2 ** 32
+        n = range(len(ids[r]))
+        drawn = {p for p in n if special[r][p] == 0 and ner[r][p] and u(p, 0) < 0.2}
+        for p in sorted(drawn):
+            for step in (1, -1):
+                i = p + step
+                while i in n and ner[r][i]:
+                    drawn.add(i)
+                    i += step
+        new = [FT.MASK_ID if u(p, 1) < 0.8 else int(u(p, 3) * 100) if u(p, 2) < 0.5 else ids[r][p] for p in n]
+        assert out["labels"] == [ids[r][p] if p in drawn else FT.IGNORE for p in n]
+        assert out["ids"] == [new[p] if p in drawn else ids[r][p] for p in n]
+    df = spark.createDataFrame([(["a", "b", "a", "é"],), ([],)], "t array<string>")
+    one, many = df.select(F.transform("t", lambda x: T.hashed_token_id(x, 90, 5)).alias("a"), T.hashed_token_ids("t", 90, 5).alias("b")).collect()
+    assert one.a == one.b and many.a == many.b
