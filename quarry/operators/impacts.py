@@ -1,8 +1,10 @@
 """BM25 top-k with impact bounds.
 
 Documents are dealt into blocks of alike ones: ordered by their most frequent
-term, then by length. For every term and block the largest contribution of the
-term to a document of the block is stored. A search is joins and sums:
+term, then by length. A block is stored as one row with its documents and, for
+every term, the largest contribution of the term to a document of the block (two
+rows where a block's documents are read by two tasks, each with its own bounds). A
+contribution is that of a question weight (count times idf) of 1. A search:
 
 1. The rarest terms of each question (as many as keep the rows small) are scored
    in full; the best documents by these partial scores are scored by all terms.
@@ -10,13 +12,14 @@ term to a document of the block is stored. A search is joins and sums:
 2. The most frequent terms of a question whose largest contributions together
    stay below the threshold cannot bring a document there alone. So only
    documents with one of the other, essential terms can be among the k best.
-   The postings of essential terms are scored.
+   The postings of essential terms are scored, in the task that reads the block.
 3. Of these documents those go on whose partial score and the stored maxima of
    the frequent terms in their block reach the threshold. Only for them the
-   postings of the frequent terms are scored.
+   postings of the frequent terms are scored, from the same row.
 
-The result is that of ``bm25_topk``. The maximum of a term with a negative
-weight (see the idf floor) counts as zero, since a document may lack the term. A
+No postings and no (question, document) rows are shuffled, but for the k best of
+each task. The result is that of ``bm25_topk``. The maximum of a term with a
+negative weight (see the idf floor) counts as zero, since a document may lack the term. A
 question without rare terms, or whose rare terms match fewer than k documents,
 has no threshold: all its terms are essential and all its documents go on.
 """
@@ -24,14 +27,18 @@ has no threshold: all its terms are essential and all its documents go on.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.operators import retrieve as R
+from quarry.operators import scan
 from quarry.operators.chunk import number_rows
-from quarry.operators.index import Bm25Index
-from quarry.plans.sizing import maybe_broadcast
+from quarry.operators.index import Bm25Index, document_postings
+from quarry.plans.sizing import broadcast_limit, maybe_broadcast, measured_bytes
 from quarry.session import materialize
 
 BLOCK_DOCS = 128
@@ -40,50 +47,87 @@ SLACK = 2 * 10.0 ** -R.SCORE_DIGITS  # scores that round to the threshold count
 
 @dataclass
 class ImpactIndex:
-    """``postings``: dkey, document_id, term, block, impact (contribution a
-    unit of question weight); ``bounds``: term, block, top; ``terms``: term, df,
+    """``blocks``: block, docs (dkey, document_id, dl, tc), tops (term, top); as
+    rows ``postings``: dkey, document_id, term, block, impact (contribution a
+    unit of question weight) and ``bounds``: term, block, top; ``terms``: term, df,
     idf, most (its largest contribution anywhere)."""
 
     bm25: Bm25Index
     postings: DataFrame
     bounds: DataFrame
     terms: DataFrame
+    blocks: DataFrame
 
 
 def _impact(index: Bm25Index) -> Column:
     tf, dl = F.col("tf"), F.col("dl")
-    return F.col("idf") * tf * (index.k1 + 1) / (
-        tf + index.k1 * (1 - index.b + index.b * dl / F.lit(float(index.avgdl))))
-
-
-def document_blocks(postings: DataFrame, block_docs: int) -> DataFrame:
-    """``dkey, document_id, block``: documents numbered in the order of their
-    most frequent term (ties: the larger term), length and key, in blocks."""
-    most = F.max(F.struct("tf", "term")).alias("most")
-    docs = postings.groupBy("dkey", "document_id").agg(most, F.max("dl").alias("dl"))
-    order = F.concat_ws("\x00", "most.term", F.lpad(F.col("dl").cast("string"), 12, "0"), "dkey", F.col("document_id").cast("string"))
-    numbered = number_rows(docs.select("dkey", "document_id", order.alias("place")), "place", "i")
-    return numbered.select("dkey", "document_id", F.floor(F.col("i") / block_docs).cast("int").alias("block"))
+    return tf * (index.k1 + 1) / (tf + index.k1 * (1 - index.b + index.b * dl / F.lit(float(index.avgdl))))
+
+
+def document_blocks(documents: DataFrame, block_docs: int) -> DataFrame:
+    """``dkey, document_id, dl, tc, block`` of the documents with a term: numbered
+    in the order of their most frequent term (ties: the larger term), length and
+    key, in blocks. Rows of a block follow each other."""
+    docs = documents.filter(F.size("tc") > 0)
+    most = F.array_max(F.arrays_zip(F.col("tc.tf").alias("tf"), F.col("tc.term").alias("term")))["term"]
+    order = F.concat_ws("\x00", most, F.lpad(F.col("dl").cast("string"), 12, "0"), "dkey", F.col("document_id").cast("string"))
+    numbered = number_rows(docs.select("dkey", "document_id", "dl", "tc", order.alias("place")), "place", "i")
+    return numbered.select("dkey", "document_id", "dl", "tc", F.floor(F.col("i") / block_docs).cast("int").alias("block"))
+
+
+def _with_bounds(values):
+    """Rows of documents, those of a block in sequence -> rows of blocks."""
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            block = batch.column("block").to_numpy()
+            first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+            ends = np.append(first, len(block)).astype(np.int32)
+            names = ["dkey", "document_id", "dl", "tc"]
+            docs = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([batch.column(c) for c in names], names))
+            lists = batch.column("tc")
+            size = lists.value_lengths().to_numpy(zero_copy_only=False)
+            terms = lists.flatten().field(0).dictionary_encode()
+            row = np.repeat(np.arange(len(lists)), size)
+            part = np.repeat(np.arange(len(first)), np.diff(ends))[row]
+            key = part * max(1, len(terms.dictionary)) + terms.indices.to_numpy(zero_copy_only=False)
+            impact = values(batch)(lists.flatten().field(1).to_numpy(zero_copy_only=False).astype(np.float64), row)
+            order = np.argsort(key, kind="stable")
+            at = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
+            top, key = np.maximum.reduceat(impact[order], at), key[order][at]
+            n = np.bincount(key // len(terms.dictionary), minlength=len(first))
+            tops = pa.StructArray.from_arrays([terms.dictionary.take(pa.array(key % len(terms.dictionary))), pa.array(top)], ["term", "top"])
+            yield pa.record_batch([pa.array(block[first]), docs, pa.ListArray.from_arrays(
+                pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), tops)], names=["block", "docs", "tops"])
+    return run
 
 
 def build(index: Bm25Index, block_docs: int = BLOCK_DOCS) -> ImpactIndex:
-    """Postings with their block and contribution, and the bounds: one
-    aggregate with one row per (term, block) in which the term occurs."""
-    side, _ = maybe_broadcast(index.terms.select("term", "idf"), [F.octet_length("term")])
-    rows = index.postings.join(side, "term").join(document_blocks(index.postings, block_docs), ["dkey", "document_id"])
-    postings = materialize(rows.select("dkey", "document_id", "term", "block", _impact(index).alias("impact")), "impact-postings")
-    bounds = materialize(postings.groupBy("term", "block").agg(F.max("impact").alias("top")), "impact-bounds")
-    terms = materialize(index.terms.join(bounds.groupBy("term").agg(F.max("top").alias("most")), "term"), "impact-terms")
-    return ImpactIndex(index, postings, bounds, terms)
+    """The documents moved once, in the order of their blocks, and stored a row a
+    block with the bounds."""
+    docs = document_blocks(document_postings(index), block_docs)
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    of = ",".join(f"{c}:{kinds[c]}" for c in ("dkey", "document_id", "dl", "tc"))
+    blocks = materialize(docs.mapInArrow(_with_bounds(R.bm25_values(index)),
+                                         f"block int, docs array<struct<{of}>>, tops array<struct<term:string,top:double>>"), "impact-blocks")
+    rows = blocks.select("block", F.explode("docs").alias("d")).select("block", "d.*").select(
+        "dkey", "document_id", "dl", "block", F.explode("tc").alias("p")).select(
+        "dkey", "document_id", "dl", "block", F.col("p.term").alias("term"), F.col("p.tf").alias("tf"))
+    postings = rows.select("dkey", "document_id", "term", "block", _impact(index).alias("impact"))
+    tops = blocks.select("block", F.explode("tops").alias("t")).select(F.col("t.term").alias("term"), "block", F.col("t.top").alias("top"))
+    bounds = tops.groupBy("term", "block").agg(F.max("top").alias("top"))
+    terms = materialize(index.terms.join(tops.groupBy("term").agg(F.max("top").alias("most")), "term"), "impact-terms")
+    return ImpactIndex(index, postings, bounds, terms, blocks)
 
 
 def _question_side(index: ImpactIndex, questions: DataFrame, seed_rows: int, **kw) -> DataFrame:
     """``qid, term, weight, seed``: the question's terms in the corpus and
     whether they are among its rarest, of ``seed_rows`` postings together."""
     bm25 = index.bm25
-    qt = R.query_terms(questions, bm25.tokenizer, **kw).join(index.terms.select("term", "df"), "term")
+    qt = R.query_terms(questions, bm25.tokenizer, **kw).join(index.terms.select("term", "df", "idf"), "term")
     rare = Window.partitionBy("qid").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, 0)
-    return qt.select("qid", "term", F.col("qtf").cast("double").alias("weight"),
+    return qt.select("qid", "term", (F.col("qtf") * F.col("idf")).alias("weight"),
                      (F.sum("df").over(rare) <= seed_rows).alias("seed"))
 
 
@@ -94,13 +138,19 @@ def _scores(rows: DataFrame) -> DataFrame:
 def thresholds(index: ImpactIndex, side: DataFrame, k: int) -> DataFrame:
     """``qid, least``: a score that k documents of the question reach, for
     questions whose seed terms match at least k documents."""
-    seeds, _ = maybe_broadcast(side.filter("seed").select("qid", "term", "weight"), [F.octet_length("term")])
-    partial = _scores(index.postings.join(seeds, "term"))
-    few = materialize(R.rank_topk(partial, 2 * k).select("qid", "dkey", "document_id"), "impact-seeds")
-    terms = side.select("qid", "term", "weight")
+    bm25 = index.bm25
+    seeds, small = maybe_broadcast(side.filter("seed").select("qid", "term", "weight"), [F.octet_length("term")])
+    documents = document_postings(bm25)
+    if small and scan.fits((documents, "document_id")):
+        partial = scan.topk(documents, "tc", seeds, 2 * k, values=R.bm25_values(bm25))
+    else:
+        partial = _scores(index.postings.join(seeds, "term"))
+    few = materialize(R.rank_topk(partial, 2 * k).select("qid", "document_id").distinct(), "impact-seeds")
     wanted, _ = maybe_broadcast(few)  # 2k rows a question
-    own = index.postings.join(wanted, ["dkey", "document_id"]).join(terms, ["qid", "term"])
-    best = R.rank_topk(_scores(own), k)
+    own = (documents.join(wanted, "document_id").select("qid", "dkey", "document_id", "dl", F.explode("tc").alias("p"))
+           .select("qid", "dkey", "document_id", "dl", F.col("p.term").alias("term"), F.col("p.tf").alias("tf"))
+           .join(side.select("qid", "term", "weight"), ["qid", "term"]))
+    best = R.rank_topk(_scores(own.withColumn("impact", _impact(bm25))), k)
     return (best.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"))
             .filter(F.col("n") >= k).select("qid", "least"))
 
@@ -116,27 +166,73 @@ def split_terms(index: ImpactIndex, side: DataFrame, least: DataFrame) -> DataFr
 
 def survivors(index: ImpactIndex, split: DataFrame) -> DataFrame:
     """``qid, dkey, document_id, score`` (partial, by essential terms) of the
-    documents that can still be among the k best."""
-    terms, _ = maybe_broadcast(split.filter("essential").select("qid", "term", "weight"), [F.octet_length("term")])
-    partial = (index.postings.join(terms, "term").groupBy("qid", "dkey", "document_id", "block")
-               .agg(F.sum(F.col("weight") * F.col("impact")).alias("score")))
-    rest, _ = maybe_broadcast(split.filter(~F.col("essential")).select("qid", "term", "weight"), [F.octet_length("term")])
-    reach = (index.bounds.join(rest, "term").groupBy("qid", "block")
-             .agg(F.sum(F.greatest(F.lit(0.0), F.col("weight") * F.col("top"))).alias("reach")))
-    limits, _ = maybe_broadcast(split.groupBy("qid").agg(F.max("least").alias("least")))  # a row a question
-    can = F.col("score") + F.coalesce("reach", F.lit(0.0)) >= F.col("least") - SLACK
-    return (partial.join(reach, ["qid", "block"], "left").join(limits, "qid")
-            .filter(F.col("least").isNull() | can).select("qid", "dkey", "document_id", "score"))
+    documents that can still be among the k best, with their postings of frequent terms
+    ``frequent`` (weight, impact). Questions that are too many to broadcast are
+    dealt into slices; each is a pass over the blocks."""
+    need = measured_bytes(split, [F.octet_length("term")])
+    n = max(1, -(-need // broadcast_limit(split.sparkSession)))
+    slices = [split.filter(F.pmod(F.xxhash64("qid"), F.lit(n)) == i) for i in range(n)] if n > 1 else [split]
+    return reduce(DataFrame.unionByName, [_survivors(index, part) for part in slices])
+
+
+def _survivors(index: ImpactIndex, split: DataFrame) -> DataFrame:
+    made = scan.by_term(split.select("qid", "term", "weight", "least", "essential").toArrow(), "qid", "weight", ("least", "essential"))
+    least = np.full(made.n, np.nan)
+    least[made.q] = made.more["least"].astype(np.float64)
+    bc = split.sparkSession.sparkContext.broadcast((made, made.more["essential"].astype(bool), least))
+    values = R.bm25_values(index.bm25)
+
+    def scored(blocks, side, essential, least):
+        """Of some blocks: rows of the documents that go on."""
+        reach = []
+        for _, n, cell, top, entry in scan.products(blocks.column("tops"), lambda x, row: x, side):
+            most = np.where(essential[entry], 0.0, np.maximum(0.0, side.w[entry] * top))
+            reach.append(np.bincount(cell, most, minlength=n * side.n).reshape(n, side.n))
+        reach, lists = np.concatenate(reach), blocks.column("docs")
+        of = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+        docs = pa.RecordBatch.from_struct_array(lists.flatten())
+        for a, n, cell, x, entry in scan.products(docs.column("tc"), values(docs), side):
+            own = essential[entry]
+            S = np.bincount(cell[own], (x * side.w[entry])[own], minlength=n * side.n)
+            live = np.zeros(n * side.n, bool)
+            live[cell[own]] = True
+            can = S.reshape(n, side.n) + reach[of[a:a + n]] >= least - SLACK
+            live &= (np.isnan(least) | can).reshape(-1)
+            at = np.flatnonzero(live)
+            more = np.flatnonzero(~own & live[cell])
+            more = more[np.argsort(cell[more], kind="stable")]
+            size = np.bincount(np.searchsorted(at, cell[more]), minlength=len(at))
+            frequent = pa.ListArray.from_arrays(
+                pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)),
+                pa.StructArray.from_arrays([pa.array(side.w[entry[more]]), pa.array(x[more])], ["weight", "impact"]))
+            row = pa.array(a + at // side.n)
+            yield pa.record_batch([side.qids.take(pa.array(at % side.n)), docs.column("dkey").take(row),
+                                   docs.column("document_id").take(row), pa.array(S[at]), frequent],
+                                  names=["qid", "dkey", "document_id", "score", "frequent"])
+
+    def run(batches):
+        side, essential, least = bc.value
+        step = max(1, scan.CELLS // max(1, side.n))
+        for batch in batches:
+            for a in range(0, batch.num_rows if side.n else 0, step):
+                yield from scored(batch.slice(a, step), side, essential, least)
+
+    kinds = split.schema["qid"].dataType.simpleString(), index.postings.schema["document_id"].dataType.simpleString()
+    return index.blocks.mapInArrow(run, f"qid {kinds[0]}, dkey string, document_id {kinds[1]}, score double, "
+                                        "frequent array<struct<weight:double,impact:double>>")
 
 
 def frequent_postings(index: ImpactIndex, split: DataFrame, live: DataFrame) -> DataFrame:
     """The postings of the frequent terms of the documents ``live``:
     ``qid, dkey, document_id, weight, impact``."""
-    rest = split.filter(~F.col("essential")).select("qid", "term", "weight")
-    wanted = live.select("qid", "dkey", "document_id").join(rest, "qid")
-    # equal keys on both sides: a posting is met once for each question that wants it
-    side, _ = maybe_broadcast(wanted, [F.octet_length("term") + F.octet_length("dkey")])
-    return index.postings.join(side, ["dkey", "document_id", "term"]).select("qid", "dkey", "document_id", "weight", "impact")
+    return live.select("qid", "dkey", "document_id", F.explode("frequent").alias("p")).select(
+        "qid", "dkey", "document_id", "p.weight", "p.impact")
+
+
+def whole_scores(live: DataFrame) -> DataFrame:
+    """``live`` with the contributions of the frequent terms added."""
+    more = F.aggregate("frequent", F.lit(0.0), lambda s, p: s + p["weight"] * p["impact"])
+    return live.select("qid", "dkey", "document_id", (F.col("score") + more).alias("score"))
 
 
 def topk(index: ImpactIndex, questions: DataFrame, k: int = 10, seed_rows: int | None = None, **kw) -> DataFrame:
@@ -146,7 +242,5 @@ def topk(index: ImpactIndex, questions: DataFrame, k: int = 10, seed_rows: int |
     side = materialize(_question_side(index, questions, seed_rows or 200 * k, **kw), "impact-questions")
     least = thresholds(index, side, k)
     split = materialize(split_terms(index, side, least), "impact-terms")
-    live = materialize(survivors(index, split), "impact-survivors")
-    more = _scores(frequent_postings(index, split, live))
-    scores = live.unionByName(more).groupBy("qid", "dkey", "document_id").agg(F.sum("score").alias("score"))
+    scores = whole_scores(survivors(index, split))
     return R.rank_topk(scores, k).select("qid", "rank", "document_id", "score")

@@ -1,13 +1,14 @@
 """Retrieval: sparse and dense top-k over whole question tables.
 
-Sparse scoring is an inverted-index equi-join on ``term``: the query-term side
-(questions x their distinct terms, with weights) is measured and broadcast when
-small, so the postings are streamed once and never shuffled for the join; the
-per-(question, document) sum reuses the postings' ``dkey`` partitioning, and
+Sparse scoring: the query-term side (questions x their distinct terms, with
+weights) is measured and broadcast when small; documents, a row each with
+their terms, are scored where they are read, and a task hands on its k best a
+question (:mod:`.scan`), so no (question, document) rows are shuffled. When the
+query side is too large to broadcast, or an index has postings only, it is an
+inverted-index equi-join on ``term`` and a sum per (question, document): both
+sides are shuffled by term and AQE splits skewed (frequent-term) partitions.
 ``row_number() <= k`` plans as a partial WindowGroupLimit before the shuffle by
-question, so each task sends at most k rows per question. When the query side
-is too large to broadcast, both sides are shuffled by term and AQE splits
-skewed (frequent-term) partitions.
+question.
 
 Dense scoring never materialises question x passage rows. A question matrix
 that measures small is broadcast and the passages stream through
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from quarry.functions import text as T
+from quarry.operators import scan
 from quarry.operators.index import Bm25Index, TfidfIndex, tfidf_terms
 from quarry.plans.sizing import maybe_broadcast
 from quarry.session import materialize
@@ -80,12 +82,22 @@ def _join_postings(postings: DataFrame, qside: DataFrame, small: bool) -> DataFr
 def bm25_scores(index: Bm25Index, questions: DataFrame, qid: str = "qid",
                 question: str = "question", preprocess: bool = True) -> DataFrame:
     """BM25 scores of all matching pairs: ``(qid, dkey, document_id, score)``."""
+    qside, small = bm25_question_side(index, questions, qid, question, preprocess)
+    return _bm25_sums(index, qside, small)
+
+
+def bm25_question_side(index: Bm25Index, questions: DataFrame, qid: str = "qid", question: str = "question",
+                       preprocess: bool = True):
+    """``qid, term, qtf, idf`` and whether its measured size allows a broadcast."""
     qt = query_terms(questions, index.tokenizer, qid, question, preprocess)
     # measure the question side only; joining the (unique-term) statistics
     # cannot add rows, so the bound carries over to the joined side
     qt, small = maybe_broadcast(qt, [F.octet_length("term")])
     # idf per query term; terms absent from the corpus contribute 0 -> dropped
-    qside = qt.join(index.terms.select("term", "idf"), "term")
+    return qt.join(index.terms.select("term", "idf"), "term"), small
+
+
+def _bm25_sums(index: Bm25Index, qside: DataFrame, small: bool) -> DataFrame:
     k1, b = index.k1, index.b
     tf, dl = F.col("tf"), F.col("dl")
     contrib = (F.col("qtf") * F.col("idf") * tf * (k1 + 1)
@@ -106,13 +118,56 @@ def bm25_topk(index: Bm25Index, questions: DataFrame, k: int = 10,
     negative scores, so that every question gets k rows, as the source returns
     them. ``docs`` is the prepared corpus they are taken from (default: the
     documents with at least one term)."""
-    s = bm25_scores(index, questions, **kw)
+    qside, small = bm25_question_side(index, questions, **kw)
+    qid = kw.get("qid", "qid")
+    if small and index.documents is not None and scan.fits((index.documents, "document_id")):
+        rows, side = index.documents, qside.select("qid", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
+        if not pad_zero:
+            s = scan.topk(rows, "tc", side, k, values=bm25_values(index))
+            return rank_topk(s, k).select("qid", "rank", "document_id", "score")
+        rows = _with_padding_flag(rows, docs)
+        if rows is not None:
+            s = scan.topk(rows, "tc", _with_empty_questions(side, questions, qid), k, values=bm25_values(index), pad="pad")
+            return rank_topk(s, k).select("qid", "rank", "document_id", "score")
+    s = _bm25_sums(index, qside, small)
     if pad_zero:
-        s = with_zero_padding(s, docs if docs is not None else index.postings, questions, k,
-                              kw.get("qid", "qid"))
+        s = with_zero_padding(s, docs if docs is not None else index.postings, questions, k, qid)
     return rank_topk(s, k).select("qid", "rank", "document_id", "score")
 
 
+def bm25_values(index: Bm25Index) -> Callable:
+    """What a document's term adds for a weight of 1 (see :func:`scan.topk`)."""
+    k1, b, avgdl = index.k1, index.b, float(index.avgdl)
+
+    def values(batch):
+        dl = batch.column("dl").to_numpy(zero_copy_only=False)
+        return lambda tf, row: tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[row] / avgdl))
+    return values
+
+
+def _with_padding_flag(rows: DataFrame, docs: DataFrame | None) -> DataFrame | None:
+    """``rows`` of an index, and those of ``docs`` that it lacks, with ``pad``:
+    whether the document may fill a top k (it is in ``docs``; without ``docs``: it
+    has a term). None where an id stands for several rows: a row does not show
+    then whether its id matches."""
+    ids = rows.select("document_id")
+    n = ids.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("document_id").alias("ids")).first()
+    if n["n"] != n["ids"]:
+        return None
+    if docs is None:
+        return rows.withColumn("pad", F.size("tc") > 0)
+    own = docs.select("document_id").distinct().withColumn("pad", F.lit(True))
+    return rows.join(own, "document_id", "full_outer")
+
+
+def _with_empty_questions(side: DataFrame, questions: DataFrame, qid: str) -> DataFrame:
+    """``side`` with a row of an impossible term for every question, so that
+    those without a known term are padded too."""
+    every = questions.select(F.col(qid).alias("qid")).distinct()
+    return side.unionByName(every.select("qid", F.lit(NO_TERM).alias("term"), F.lit(0.0).alias("weight")))
+
+
+NO_TERM = "\u0001"  # no token holds a control character after P6
 PAD_BLOCK = 1024
 
 
@@ -184,7 +239,10 @@ def tfidf_query_weights(index: TfidfIndex, questions: DataFrame, qid: str = "qid
 
 
 def tfidf_scores(index: TfidfIndex, questions: DataFrame, **kw) -> DataFrame:
-    qw, small = tfidf_query_weights(index, questions, **kw)
+    return _tfidf_sums(index, *tfidf_query_weights(index, questions, **kw))
+
+
+def _tfidf_sums(index: TfidfIndex, qw: DataFrame, small: bool) -> DataFrame:
     return (_join_postings(index.weights, qw, small)
             .groupBy("qid", "dkey", "document_id")
             .agg(F.sum(F.col("wq") * F.col("w")).alias("score")))
@@ -192,8 +250,12 @@ def tfidf_scores(index: TfidfIndex, questions: DataFrame, **kw) -> DataFrame:
 
 def tfidf_topk(index: TfidfIndex, questions: DataFrame, k: int = 10, **kw) -> DataFrame:
     """R3 (R2 = one question): cosine similarity top-k."""
-    return rank_topk(tfidf_scores(index, questions, **kw), k).select(
-        "qid", "rank", "document_id", "score")
+    qw, small = tfidf_query_weights(index, questions, **kw)
+    if small and index.vectors is not None and scan.fits((index.vectors, "document_id")):
+        s = scan.topk(index.vectors, "v", qw, k, weight="wq")
+    else:
+        s = _tfidf_sums(index, qw, small)
+    return rank_topk(s, k).select("qid", "rank", "document_id", "score")
 
 
 def oov_report(vocab: DataFrame, questions: DataFrame,

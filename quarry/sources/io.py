@@ -195,6 +195,9 @@ def _prepared(home: IndexHome, source: DataFrame, preparation: dict) -> DataFram
         "dkey", "document_id", "title", "ptext"))
 
 
+ROW_A_DOCUMENT = "a row a document"   # of stored postings and weights; part of the fingerprint
+
+
 def bm25_persistent(spark: SparkSession, source: DataFrame, root: str | None = None,
                     preparation: dict | None = None, k1: float = 1.5, b: float = 0.75,
                     epsilon: float = 0.25, tokenizer=None, tokenizer_name: str | None = None,
@@ -204,8 +207,8 @@ def bm25_persistent(spark: SparkSession, source: DataFrame, root: str | None = N
     parameters are the same.
 
     ``preparation`` holds the keyword arguments of ``prepare_corpus``. The
-    corpus is read once per build: documents, postings (bucketed by the
-    document key, so scoring needs no shuffle of them), term statistics.
+    corpus is read once per build: documents, their terms (a row a document,
+    bucketed by its key), term statistics.
     ``buckets`` counts for a new build only; a stored index keeps its own.
     """
     from quarry.operators import index as I
@@ -213,17 +216,17 @@ def bm25_persistent(spark: SparkSession, source: DataFrame, root: str | None = N
     preparation = preparation or {}
     home = IndexHome(spark, "bm25", {
         "source": source_version(spark, source, version), "preparation": preparation, "k1": k1, "b": b,
-        "epsilon": epsilon, "tokenizer": _tokenizer_name(tokenizer, tokenizer_name)}, root)
+        "epsilon": epsilon, "tokenizer": _tokenizer_name(tokenizer, tokenizer_name), "layout": ROW_A_DOCUMENT}, root)
     kept = home.manifest()
     if kept is None:
         n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         docs = _prepared(home, source, preparation)
-        home.write_bucketed("postings", I._postings_with_marker(docs, tokenizer(F.col("ptext"))), "dkey", n)
-        idx = I.bm25_from_postings(home.read_bucketed("postings", "dkey", n), tokenizer, k1, b, epsilon)
+        home.write_bucketed("terms_by_document", I.bm25_documents(docs, tokenizer), "dkey", n)
+        idx = I.bm25_from_documents(home.read_bucketed("terms_by_document", "dkey", n), tokenizer, k1, b, epsilon)
         home.write("terms", idx.terms)
         kept = home.finish(buckets=n, n_docs=idx.n_docs, avgdl=float(idx.avgdl))
-    postings = home.read_bucketed("postings", "dkey", kept["buckets"]).filter(F.col("term").isNotNull())
-    return (I.Bm25Index(postings, home.read("terms"), kept["n_docs"], kept["avgdl"], k1, b, tokenizer),
+    rows = home.read_bucketed("terms_by_document", "dkey", kept["buckets"])
+    return (I.Bm25Index(I.term_rows(rows, "dl"), home.read("terms"), kept["n_docs"], kept["avgdl"], k1, b, tokenizer, rows),
             home.read("docs"))
 
 
@@ -231,7 +234,7 @@ def tfidf_persistent(spark: SparkSession, source: DataFrame, root: str | None =
                      preparation: dict | None = None, ngram_max: int = 2, max_features: int = 50000,
                      tokenizer=None, tokenizer_name: str | None = None,
                      buckets: int | None = None, version: str | None = None):
-    """S4 for TF-IDF: normalised weights (bucketed by the document key), the
+    """S4 for TF-IDF: normalised weights (a row a document, bucketed by its key), the
     vocabulary with idf, and N; reused as :func:`bm25_persistent`."""
     from quarry.operators import index as I
     tokenizer = tokenizer or I.default_tokenizer
@@ -239,16 +242,16 @@ def tfidf_persistent(spark: SparkSession, source: DataFrame, root: str | None =
     home = IndexHome(spark, "tfidf", {
         "source": source_version(spark, source, version), "preparation": preparation,
         "ngram_max": ngram_max, "max_features": max_features,
-        "tokenizer": _tokenizer_name(tokenizer, tokenizer_name)}, root)
+        "tokenizer": _tokenizer_name(tokenizer, tokenizer_name), "layout": ROW_A_DOCUMENT}, root)
     kept = home.manifest()
     if kept is None:
         n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         idx = I.build_tfidf(_prepared(home, source, preparation), tokenizer, ngram_max, max_features)
-        home.write_bucketed("weights", idx.weights, "dkey", n)
+        home.write_bucketed("vectors", I.document_vectors(idx), "dkey", n)
         home.write("vocab", idx.vocab)
         kept = home.finish(buckets=n, n_docs=idx.n_docs)
-    return I.TfidfIndex(home.read_bucketed("weights", "dkey", kept["buckets"]), home.read("vocab"),
-                        kept["n_docs"], ngram_max, tokenizer)
+    vectors = home.read_bucketed("vectors", "dkey", kept["buckets"])
+    return I.TfidfIndex(I.weight_rows(vectors), home.read("vocab"), kept["n_docs"], ngram_max, tokenizer, vectors)
 
 
 ROWS_PER_LIST_FILE = 500_000
@@ -318,19 +321,19 @@ def tfidf_ivf_persistent(spark: SparkSession, source: DataFrame, root: str | Non
                          version: str | None = None, **kw):
     """S4 for IVF over TF-IDF vectors (``sparse_ivf.SparseIvf``): the TF-IDF
     index of :func:`tfidf_persistent` (which takes ``kw``), learned centroids
-    and the postings by cluster."""
+    and the documents by cluster (``rows_per_file``: documents)."""
     from quarry.operators import sparse_ivf as V
     index = tfidf_persistent(spark, source, root, version=version, **kw)
     home = IndexHome(spark, "tfidf-ivf", {
         "source": source_version(spark, source, version), "clusters": num_clusters, "iterations": iterations,
-        "top_terms": top_terms, "rows_per_file": rows_per_file,
+        "top_terms": top_terms, "rows_per_file": rows_per_file, "layout": ROW_A_DOCUMENT,
         "tfidf": {k: v for k, v in kw.items() if k not in ("tokenizer", "buckets")}}, root)
     if home.manifest() is None:
         ivf = V.build_lists(index, V.kmeans(index, num_clusters, iterations, top_terms))
-        write_lists(home, "lists", ivf.lists, "dkey", rows_per_file)
+        write_lists(home, "lists", ivf.documents, "dkey", rows_per_file)
         home.write("centroids", ivf.centroids)
         home.finish()
-    return V.SparseIvf(home.read("centroids"), home.read("lists").drop("sublist"), index)
+    return V.from_documents(home.read("centroids"), home.read("lists").drop("sublist"), index)
 
 
 # ---------------------------------------------------------------- S5, S6 JSON
