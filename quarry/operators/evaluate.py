@@ -178,20 +178,25 @@ def topk_accuracy_by_context(ranked: DataFrame, corpus: DataFrame, questions: Da
     both cleaned with P6. Equality is a hash join on the cleaned texts (the
     texts themselves are compared for the matched pairs, so a hash collision
     cannot count)."""
-    q = questions.select(F.col(qid).alias("qid"),
-                         T.preprocess(F.col(original_context)).alias("_oc"))
+    from quarry.plans.sizing import broadcast_limit
+    from quarry.session import materialize
+    # stored before they are cleaned: what makes the questions runs once, and no
+    # cleaning (or a null check of its result) is pushed down to all texts behind them
+    q = materialize(questions.select(F.col(qid).alias("qid"), F.col(original_context).alias("_raw")), "question-contexts")
+    q = q.withColumn("_oc", T.preprocess(F.col("_raw"))).drop("_raw")
     q = q.withColumn("_k", F.sha2("_oc", 256))
     # ranked has at most questions x max(ks) rows: broadcast it on that bound
-    from quarry.plans.sizing import broadcast_limit
-    bound = questions.count() * max(ks) * 64
+    bound = q.count() * max(ks) * 64
     side = ranked.select("qid", "rank", "document_id")
     if bound <= broadcast_limit(ranked.sparkSession):
         side = F.broadcast(side)
-    r = (corpus.select("document_id", "text").join(side, "document_id")
-               .withColumn("_rc", T.preprocess(F.col("text"))).withColumn("_k", F.sha2("_rc", 256)))
+    # likewise only the texts of ranked documents are cleaned, once
+    r = materialize(corpus.select("document_id", "text").join(side, "document_id")
+                    .select("qid", "rank", T.preprocess(F.col("text")).alias("_rc")), "ranked-texts")
+    r = r.withColumn("_k", F.sha2("_rc", 256))
     first = (r.join(q, ["qid", "_k"]).filter(F.col("_rc") == F.col("_oc"))
               .groupBy("qid").agg(F.min("rank").alias("first_rank")))
-    return _accuracy_at(first, questions.select(F.col(qid).alias("qid")), ks)
+    return _accuracy_at(first, q.select("qid"), ks)
 
 
 def strict_match(pred_text, pred_start, answer_text, answer_start) -> Column:
