@@ -47,9 +47,10 @@ def test_bm25_equals_the_join_and_moves_no_pairs(world, pad):
 def test_tfidf_and_ivf_equal_the_join_and_move_no_pairs(world):
     docs, qs = world
     index = I.build_tfidf(docs, max_features=120)
-    rows_only = dataclasses.replace(index, vectors=None)
+    rows_only = dataclasses.replace(index, vectors=None, counts=None)
     got = R.tfidf_topk(index, qs, k=6)
     assert no_pair_shuffle(got) and rows(got) == rows(R.tfidf_topk(rows_only, qs, k=6))
+    assert rows(got) == rows(R.tfidf_topk(dataclasses.replace(index, counts=None), qs, k=6))
     assert "Window" not in index.weights._jdf.queryExecution().executedPlan().toString()
     ivf = V.build_lists(index, V.kmeans(index, num_clusters=4, iterations=2))
     assert rows(ivf.documents.select(*V.DOC, "cluster_id")) == rows(V.assign(index.weights, ivf.centroids))
