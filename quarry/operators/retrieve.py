@@ -251,10 +251,9 @@ def _tfidf_sums(index: TfidfIndex, qw: DataFrame, small: bool) -> DataFrame:
 def tfidf_topk(index: TfidfIndex, questions: DataFrame, k: int = 10, **kw) -> DataFrame:
     """R3 (R2 = one question): cosine similarity top-k."""
     qw, small = tfidf_query_weights(index, questions, **kw)
-    if small and index.counts is not None and scan.fits((index.counts[0], "document_id")):
+    if small and index.counts is not None and scan.fits((index.counts, "document_id")):
         # scored where the counts are read: the vectors need not be made
-        side = qw.join(index.vocab.select("term", "idf"), "term").select("qid", "term", (F.col("wq") * F.col("idf")).alias("wq"))
-        s = scan.topk(index.counts[0], "tc", side, k, weight="wq", values=scan.over_norm(index.counts[1]))
+        s = scan.topk(index.counts, scan.numbered, scan.by_number(qw, index.vocab, "wq"), k, weight="wq", values=scan.over_norm)
     elif small and index.vectors is not None and scan.fits((index.vectors, "document_id")):
         s = scan.topk(index.vectors, "v", qw, k, weight="wq")
     else:

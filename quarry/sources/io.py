@@ -195,7 +195,8 @@ def _prepared(home: IndexHome, source: DataFrame, preparation: dict) -> DataFram
         "dkey", "document_id", "title", "ptext"))
 
 
-ROW_A_DOCUMENT = "a row a document"   # of stored postings and weights; part of the fingerprint
+ROW_A_DOCUMENT = "a row a document"   # of stored postings; part of the fingerprint
+NUMBERED = "a row a document, numbered terms"   # of stored TF-IDF counts
 
 
 def bm25_persistent(spark: SparkSession, source: DataFrame, root: str | None = None,
@@ -234,23 +235,26 @@ def tfidf_persistent(spark: SparkSession, source: DataFrame, root: str | None =
                      preparation: dict | None = None, ngram_max: int = 2, max_features: int = 50000,
                      tokenizer=None, tokenizer_name: str | None = None,
                      buckets: int | None = None, version: str | None = None):
-    """S4 for TF-IDF: normalised weights (a row a document, bucketed by its key), the
-    vocabulary with idf, and N; reused as :func:`bm25_persistent`."""
+    """S4 for TF-IDF: term numbers with counts and the norm (a row a document, bucketed
+    by its key), the vocabulary with idf, and N; reused as :func:`bm25_persistent`.
+    A vocabulary too large for numbers is stored with the normalised weights."""
     from quarry.operators import index as I
     tokenizer = tokenizer or I.default_tokenizer
     preparation = preparation or {}
     home = IndexHome(spark, "tfidf", {
         "source": source_version(spark, source, version), "preparation": preparation,
         "ngram_max": ngram_max, "max_features": max_features,
-        "tokenizer": _tokenizer_name(tokenizer, tokenizer_name), "layout": ROW_A_DOCUMENT}, root)
+        "tokenizer": _tokenizer_name(tokenizer, tokenizer_name), "layout": NUMBERED}, root)
     kept = home.manifest()
     if kept is None:
         n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        idx = I.build_tfidf(_prepared(home, source, preparation), tokenizer, ngram_max, max_features)
-        home.write_bucketed("vectors", I.document_vectors(idx), "dkey", n)
+        idx = I.build_tfidf(_prepared(home, source, preparation), tokenizer, ngram_max, max_features, stored=True)
+        home.write_bucketed("vectors", I.document_vectors(idx) if idx.counts is None else idx.counts, "dkey", n)
         home.write("vocab", idx.vocab)
         kept = home.finish(buckets=n, n_docs=idx.n_docs)
     vectors = home.read_bucketed("vectors", "dkey", kept["buckets"])
+    if "v" not in vectors.columns:
+        return I.tfidf_from_counts(vectors, home.read("vocab"), kept["n_docs"], ngram_max, tokenizer)
     return I.TfidfIndex(I.weight_rows(vectors), home.read("vocab"), kept["n_docs"], ngram_max, tokenizer, vectors)
 
 
@@ -326,7 +330,7 @@ def tfidf_ivf_persistent(spark: SparkSession, source: DataFrame, root: str | Non
     index = tfidf_persistent(spark, source, root, version=version, **kw)
     home = IndexHome(spark, "tfidf-ivf", {
         "source": source_version(spark, source, version), "clusters": num_clusters, "iterations": iterations,
-        "top_terms": top_terms, "rows_per_file": rows_per_file, "layout": ROW_A_DOCUMENT,
+        "top_terms": top_terms, "rows_per_file": rows_per_file, "layout": NUMBERED,
         "tfidf": {k: v for k, v in kw.items() if k not in ("tokenizer", "buckets")}}, root)
     if home.manifest() is None:
         ivf = V.build_lists(index, V.kmeans(index, num_clusters, iterations, top_terms))
