@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.functions import text as T
 from quarry.operators import index as I
 from quarry.operators import retrieve as R
 from quarry.sources import io
@@ -100,3 +101,26 @@ def test_stored_lists_hold_counts_and_answer_as_before(spark, corpus, tmp_path):
         got = [tuple(r) for r in R.retrieve(qs, method="faiss", k=200, nprobe=3, index=ivf).collect()]
         assert {(q, d): 2 - s for q, _, d, s in got} == pytest.approx({(q, d): 2 * s for q, _, d, s in want}, abs=4e-6)
         assert ivf.lists.count() == ivf.tfidf.weights.count()
+
+
+def test_runs_of_whitespace_as_python_sees_them(spark):
+    """The pattern that passes over lone spaces changes what the plain class changes."""
+    import itertools
+    signs = [" ", "\t", "\x1c", "\xa0", " ", "a", "~", "é"]
+    rows = [("".join(x),) for n in range(6) for x in itertools.product(signs, repeat=n)]
+    got = spark.createDataFrame(rows, "s string").select("s", T.collapse_ws("s").alias("t")).collect()
+    assert len(got) == len(rows) and all(r.t == " ".join(r.s.split()) for r in got)
+
+
+def test_texts_are_split_where_they_are_counted(spark, corpus):
+    """The JVM makes no token strings; before: they were split there and passed one by one."""
+    tokens = I.document_tokens(I.prepare_corpus(corpus))
+    assert tokens.schema["toks"].dataType.simpleString() == "string"
+    texts = ["", " a  b ", "é", None, "a " * 50, "b"]
+    want = [[t for t in (x or "").split(" ") if t] for x in texts]
+    for size in (1, 10, 1000):
+        mp = pytest.MonkeyPatch()
+        mp.setattr(I, "TEXT_SLICE", size)
+        got = [r or [] for part in I._slices(pa.array(texts).slice(0)) for r in part.to_pylist()]
+        mp.undo()
+        assert got == want
