@@ -30,3 +30,8 @@ def _as_sql(spark, folder, name):
 def test_word_ngrams_of_blank_texts(spark, folder):
     got = _as_sql(spark, folder, "i1_word_ngrams")
     assert got[1:4] == [(1, 0, None, None), (2, 0, None, None), (3, 1, None, "one")]
+
+
+def test_whitespace_tokens_of_blank_texts(spark, folder):
+    got = _as_sql(spark, folder, "t1_whitespace_tokens")
+    assert got[1:4] == [(1, 0, None, None), (2, 0, None, None), (3, 1, "one", "one")]
