@@ -1,10 +1,11 @@
 """BM25 top-k with impact bounds.
 
 Documents are dealt into blocks of alike ones: ordered by their most frequent
-term, then by length. A block is stored as one row with its documents and, for
-every term, the largest contribution of the term to a document of the block (two
-rows where a block's documents are read by two tasks, each with its own bounds). A
-contribution is that of a question weight (count times idf) of 1. A search:
+term, then by length. A block is kept with its documents and, for every term, the
+largest contribution of the term to a document of the block (twice where a block's
+documents are read by two tasks, each with its own bounds). A contribution is that
+of a question weight (count times idf) of 1. Some blocks together are stored as one
+row, compressed (a piece): a task holds one piece at a time as arrays. A search:
 
 1. The rarest terms of each question (as many as keep the rows small) are scored
    in full; the best documents by these partial scores are scored by all terms.
@@ -36,19 +37,22 @@ from pyspark.sql import functions as F
 
 from quarry.operators import retrieve as R
 from quarry.operators import scan
-from quarry.operators.chunk import number_rows
+from quarry.operators.chunk import _sorted_by
 from quarry.operators.index import Bm25Index, document_postings
 from quarry.plans.sizing import broadcast_limit, maybe_broadcast, measured_bytes
-from quarry.session import materialize
+from quarry.session import BATCH_BYTES, materialize
 
 BLOCK_DOCS = 128
+PIECE = 1 << 17      # postings stored as one row, unless one block has more
+GROUP_ROWS = 16      # such rows of one row group: what a reader decodes together
+OUT_ROWS = 1 << 16   # rows of one batch of survivors
 SLACK = 2 * 10.0 ** -R.SCORE_DIGITS  # scores that round to the threshold count
 
 
 @dataclass
 class ImpactIndex:
-    """``blocks``: block, docs (dkey, document_id, dl, tc), tops (term, top); as
-    rows ``postings``: dkey, document_id, term, block, impact (contribution a
+    """``blocks``: block (the first), data: rows block, docs (dkey, document_id, dl, tc),
+    tops (term, top), see :func:`_stored`; as rows ``postings``: dkey, document_id, term, block, impact (contribution a
     unit of question weight) and ``bounds``: term, block, top; ``terms``: term, df,
     idf, most (its largest contribution anywhere)."""
 
@@ -65,59 +69,134 @@ def _impact(index: Bm25Index) -> Column:
 
 
 def document_blocks(documents: DataFrame, block_docs: int) -> DataFrame:
-    """``dkey, document_id, dl, tc, block`` of the documents with a term: numbered
-    in the order of their most frequent term (ties: the larger term), length and
-    key, in blocks. Rows of a block follow each other."""
+    """``dkey, document_id, dl, tc, block`` of the documents with a term, ordered by
+    their most frequent term (ties: the larger term), length and key and cut into
+    blocks of at most ``block_docs`` in each range of that order. Rows of a block
+    follow each other; a block's number says its place in the order."""
     docs = documents.filter(F.size("tc") > 0)
     most = F.array_max(F.arrays_zip(F.col("tc.tf").alias("tf"), F.col("tc.term").alias("term")))["term"]
     order = F.concat_ws("\x00", most, F.lpad(F.col("dl").cast("string"), 12, "0"), "dkey", F.col("document_id").cast("string"))
-    numbered = number_rows(docs.select("dkey", "document_id", "dl", "tc", order.alias("place")), "place", "i")
-    return numbered.select("dkey", "document_id", "dl", "tc", F.floor(F.col("i") / block_docs).cast("int").alias("block"))
+    ordered = _sorted_by(docs.select("dkey", "document_id", "dl", "tc", order.alias("place")), "place", None)
+    return ordered.select("dkey", "document_id", "dl", "tc", F.expr(f"monotonically_increasing_id() div {int(block_docs)}").alias("block"))
+
+
+def _pieces(batch):
+    """Rows of documents, those of a block in sequence, some whole blocks at a time."""
+    block = batch.column("block").to_numpy()
+    first = np.append(np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])), len(block))
+    size = batch.column("tc").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    before = np.concatenate([[0], np.cumsum(size)])[first]
+    a = 0
+    while a < len(first) - 1:
+        b = max(a + 1, int(np.searchsorted(before, before[a] + PIECE, "right")) - 1)
+        yield batch.slice(first[a], first[b] - first[a])
+        a = b
+
+
+def _ends(size: np.ndarray) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
+
+
+def _not_less(x: np.ndarray) -> np.ndarray:
+    """The least 32-bit numbers that are not less: bounds stay bounds in half the bytes."""
+    near = x.astype(np.float32)
+    return np.where(near < x, np.nextafter(near, np.float32(np.inf)), near)
+
+
+def _blocks_of(batch, values) -> pa.RecordBatch:
+    """Of a piece of documents the rows block, docs, tops; terms are numbers in a dictionary."""
+    block = batch.column("block").to_numpy()
+    first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+    ends = np.append(first, len(block)).astype(np.int32)
+    lists = batch.column("tc")
+    size = lists.value_lengths().to_numpy(zero_copy_only=False)
+    terms, tf = lists.flatten().field(0).dictionary_encode(), lists.flatten().field(1)
+    width = max(1, len(terms.dictionary))
+    row = np.repeat(np.arange(len(lists)), size)
+    part = np.repeat(np.arange(len(first)), np.diff(ends))[row]
+    key = part * width + terms.indices.to_numpy(zero_copy_only=False)
+    impact = values(batch)(tf.to_numpy(zero_copy_only=False).astype(np.float64), row)
+    order = np.argsort(key, kind="stable")
+    at = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
+    top, key = _not_less(np.maximum.reduceat(impact[order], at)), key[order][at]
+    names = pa.DictionaryArray.from_arrays(pa.array((key % width).astype(np.int32)), terms.dictionary)
+    tops = pa.ListArray.from_arrays(_ends(np.bincount(key // width, minlength=len(first))),
+                                    pa.StructArray.from_arrays([names, pa.array(top)], ["term", "top"]))
+    tc = pa.ListArray.from_arrays(_ends(size), pa.StructArray.from_arrays([terms, tf], ["term", "tf"]))
+    docs = pa.StructArray.from_arrays([*(batch.column(c) for c in ("dkey", "document_id", "dl")), tc], ["dkey", "document_id", "dl", "tc"])
+    return pa.record_batch([pa.array(block[first]), pa.ListArray.from_arrays(pa.array(ends), docs), tops], names=["block", "docs", "tops"])
 
 
 def _with_bounds(values):
-    """Rows of documents, those of a block in sequence -> rows of blocks."""
+    """Rows of documents, those of a block in sequence -> stored pieces."""
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            block = batch.column("block").to_numpy()
-            first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-            ends = np.append(first, len(block)).astype(np.int32)
-            names = ["dkey", "document_id", "dl", "tc"]
-            docs = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([batch.column(c) for c in names], names))
-            lists = batch.column("tc")
-            size = lists.value_lengths().to_numpy(zero_copy_only=False)
-            terms = lists.flatten().field(0).dictionary_encode()
-            row = np.repeat(np.arange(len(lists)), size)
-            part = np.repeat(np.arange(len(first)), np.diff(ends))[row]
-            key = part * max(1, len(terms.dictionary)) + terms.indices.to_numpy(zero_copy_only=False)
-            impact = values(batch)(lists.flatten().field(1).to_numpy(zero_copy_only=False).astype(np.float64), row)
-            order = np.argsort(key, kind="stable")
-            at = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
-            top, key = np.maximum.reduceat(impact[order], at), key[order][at]
-            n = np.bincount(key // len(terms.dictionary), minlength=len(first))
-            tops = pa.StructArray.from_arrays([terms.dictionary.take(pa.array(key % len(terms.dictionary))), pa.array(top)], ["term", "top"])
-            yield pa.record_batch([pa.array(block[first]), docs, pa.ListArray.from_arrays(
-                pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), tops)], names=["block", "docs", "tops"])
+            for part in _pieces(batch) if batch.num_rows else ():
+                piece, sink = _blocks_of(part, values), pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, piece.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(piece)
+                yield pa.record_batch([piece.column("block").slice(0, 1), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
+                                      names=["block", "data"])
     return run
 
 
+def _stored(batches):
+    """The pieces of stored rows, one by one: record batches block, docs, tops."""
+    for batch in batches:
+        for data in batch.column("data"):
+            with pa.ipc.open_stream(data.as_buffer()) as stream:
+                yield stream.read_next_batch()
+
+
+def _documents(piece) -> tuple[np.ndarray, pa.RecordBatch]:
+    """The documents of a piece, and to which of its blocks each belongs."""
+    lists = piece.column("docs")
+    size = lists.value_lengths().to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(lists)), size), pa.RecordBatch.from_struct_array(lists.flatten())
+
+
+def _posting_rows(piece):
+    of, docs = _documents(piece)
+    lists = docs.column("tc")
+    row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    at, flat = pa.array(row), lists.flatten()
+    return pa.record_batch([*(docs.column(c).take(at) for c in ("dkey", "document_id", "dl")), piece.column("block").take(pa.array(of[row])),
+                            flat.field(0).dictionary_decode(), flat.field(1)], names=["dkey", "document_id", "dl", "block", "term", "tf"])
+
+
+def _bound_rows(piece):
+    lists = piece.column("tops")
+    of, flat = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False)), lists.flatten()
+    return pa.record_batch([flat.field(0).dictionary_decode(), piece.column("block").take(pa.array(of)),
+                            flat.field(1).cast(pa.float64())], names=["term", "block", "top"])
+
+
+def _most_rows(piece):
+    """The largest bound of each term of a piece."""
+    flat = piece.column("tops").flatten()
+    names, top = flat.field(0), flat.field(1).to_numpy().astype(np.float64)
+    most = np.full(len(names.dictionary), -np.inf)
+    np.maximum.at(most, names.indices.to_numpy(), top)
+    return pa.record_batch([names.dictionary, pa.array(most)], names=["term", "most"])
+
+
+def _rows(blocks: DataFrame, of, schema: str) -> DataFrame:
+    return blocks.select("data").mapInArrow(lambda batches: (of(piece) for piece in _stored(batches)), schema)
+
+
 def build(index: Bm25Index, block_docs: int = BLOCK_DOCS) -> ImpactIndex:
-    """The documents moved once, in the order of their blocks, and stored a row a
-    block with the bounds."""
+    """The documents moved once, in the order of their blocks, and stored in pieces
+    of blocks with the bounds."""
     docs = document_blocks(document_postings(index), block_docs)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    of = ",".join(f"{c}:{kinds[c]}" for c in ("dkey", "document_id", "dl", "tc"))
-    blocks = materialize(docs.mapInArrow(_with_bounds(R.bm25_values(index)),
-                                         f"block int, docs array<struct<{of}>>, tops array<struct<term:string,top:double>>"), "impact-blocks")
-    rows = blocks.select("block", F.explode("docs").alias("d")).select("block", "d.*").select(
-        "dkey", "document_id", "dl", "block", F.explode("tc").alias("p")).select(
-        "dkey", "document_id", "dl", "block", F.col("p.term").alias("term"), F.col("p.tf").alias("tf"))
+    of = ", ".join(f"{c} {kinds[c]}" for c in ("dkey", "document_id", "dl"))
+    blocks = materialize(docs.mapInArrow(_with_bounds(R.bm25_values(index)), "block bigint, data binary"), "impact-blocks", BATCH_BYTES,
+                         compression="uncompressed", **{"parquet.block.row.count.limit": GROUP_ROWS})
+    rows = _rows(blocks, _posting_rows, f"{of}, block bigint, term string, tf int")
     postings = rows.select("dkey", "document_id", "term", "block", _impact(index).alias("impact"))
-    tops = blocks.select("block", F.explode("tops").alias("t")).select(F.col("t.term").alias("term"), "block", F.col("t.top").alias("top"))
-    bounds = tops.groupBy("term", "block").agg(F.max("top").alias("top"))
-    terms = materialize(index.terms.join(tops.groupBy("term").agg(F.max("top").alias("most")), "term"), "impact-terms")
+    bounds = _rows(blocks, _bound_rows, "term string, block bigint, top double").groupBy("term", "block").agg(F.max("top").alias("top"))
+    most = _rows(blocks, _most_rows, "term string, most double").groupBy("term").agg(F.max("most").alias("most"))
+    terms = materialize(index.terms.join(most, "term"), "impact-terms")
     return ImpactIndex(index, postings, bounds, terms, blocks)
 
 
@@ -145,7 +224,7 @@ def thresholds(index: ImpactIndex, side: DataFrame, k: int) -> DataFrame:
         partial = scan.topk(documents, "tc", seeds, 2 * k, values=R.bm25_values(bm25))
     else:
         partial = _scores(index.postings.join(seeds, "term"))
-    few = materialize(R.rank_topk(partial, 2 * k).select("qid", "document_id").distinct(), "impact-seeds")
+    few = materialize(R.rank_topk(partial, 2 * k).select("qid", "document_id").distinct(), "impact-seeds", BATCH_BYTES)
     wanted, _ = maybe_broadcast(few)  # 2k rows a question
     own = (documents.join(wanted, "document_id").select("qid", "dkey", "document_id", "dl", F.explode("tc").alias("p"))
            .select("qid", "dkey", "document_id", "dl", F.col("p.term").alias("term"), F.col("p.tf").alias("tf"))
@@ -183,14 +262,12 @@ def _survivors(index: ImpactIndex, split: DataFrame) -> DataFrame:
     values = R.bm25_values(index.bm25)
 
     def scored(blocks, side, essential, least):
-        """Of some blocks: rows of the documents that go on."""
+        """Of some blocks of a piece: rows of the documents that go on."""
         reach = []
         for _, n, cell, top, entry in scan.products(blocks.column("tops"), lambda x, row: x, side):
             most = np.where(essential[entry], 0.0, np.maximum(0.0, side.w[entry] * top))
             reach.append(np.bincount(cell, most, minlength=n * side.n).reshape(n, side.n))
-        reach, lists = np.concatenate(reach), blocks.column("docs")
-        of = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
-        docs = pa.RecordBatch.from_struct_array(lists.flatten())
+        reach, (of, docs) = np.concatenate(reach), _documents(blocks)
         for a, n, cell, x, entry in scan.products(docs.column("tc"), values(docs), side):
             own = essential[entry]
             S = np.bincount(cell[own], (x * side.w[entry])[own], minlength=n * side.n)
@@ -201,24 +278,27 @@ def _survivors(index: ImpactIndex, split: DataFrame) -> DataFrame:
             at = np.flatnonzero(live)
             more = np.flatnonzero(~own & live[cell])
             more = more[np.argsort(cell[more], kind="stable")]
-            size = np.bincount(np.searchsorted(at, cell[more]), minlength=len(at))
-            frequent = pa.ListArray.from_arrays(
-                pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)),
-                pa.StructArray.from_arrays([pa.array(side.w[entry[more]]), pa.array(x[more])], ["weight", "impact"]))
-            row = pa.array(a + at // side.n)
-            yield pa.record_batch([side.qids.take(pa.array(at % side.n)), docs.column("dkey").take(row),
-                                   docs.column("document_id").take(row), pa.array(S[at]), frequent],
-                                  names=["qid", "dkey", "document_id", "score", "frequent"])
+            ends = np.append(np.searchsorted(cell[more], at), len(more))
+            for i in range(0, len(at), OUT_ROWS):
+                chosen, bound = at[i:i + OUT_ROWS], ends[i:i + OUT_ROWS + 1]
+                part = more[bound[0]:bound[-1]]
+                frequent = pa.ListArray.from_arrays(
+                    pa.array((bound - bound[0]).astype(np.int32)),
+                    pa.StructArray.from_arrays([pa.array(side.w[entry[part]]), pa.array(x[part])], ["weight", "impact"]))
+                row = pa.array(a + chosen // side.n)
+                yield pa.record_batch([side.qids.take(pa.array(chosen % side.n)), docs.column("dkey").take(row),
+                                       docs.column("document_id").take(row), pa.array(S[chosen]), frequent],
+                                      names=["qid", "dkey", "document_id", "score", "frequent"])
 
     def run(batches):
         side, essential, least = bc.value
         step = max(1, scan.CELLS // max(1, side.n))
-        for batch in batches:
-            for a in range(0, batch.num_rows if side.n else 0, step):
-                yield from scored(batch.slice(a, step), side, essential, least)
+        for piece in _stored(batches):
+            for a in range(0, piece.num_rows if side.n else 0, step):
+                yield from scored(piece.slice(a, step), side, essential, least)
 
     kinds = split.schema["qid"].dataType.simpleString(), index.postings.schema["document_id"].dataType.simpleString()
-    return index.blocks.mapInArrow(run, f"qid {kinds[0]}, dkey string, document_id {kinds[1]}, score double, "
+    return index.blocks.select("data").mapInArrow(run, f"qid {kinds[0]}, dkey string, document_id {kinds[1]}, score double, "
                                         "frequent array<struct<weight:double,impact:double>>")
 
 
