@@ -32,6 +32,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,7 +44,7 @@ from quarry.plans.sizing import broadcast_limit, maybe_broadcast, measured_bytes
 from quarry.session import BATCH_BYTES, materialize
 
 BLOCK_DOCS = 128
-PIECE = 1 << 17      # postings stored as one row, unless one block has more
+PIECE = 1 << 18      # postings stored as one row, unless one block has more
 GROUP_ROWS = 16      # such rows of one row group: what a reader decodes together
 OUT_ROWS = 1 << 16   # rows of one batch of survivors
 SLACK = 2 * 10.0 ** -R.SCORE_DIGITS  # scores that round to the threshold count
@@ -68,20 +69,48 @@ def _impact(index: Bm25Index) -> Column:
     return tf * (index.k1 + 1) / (tf + index.k1 * (1 - index.b + index.b * dl / F.lit(float(index.avgdl))))
 
 
+def _packed(lists: pa.Array) -> pa.Array:
+    """Terms with counts (not null) as bytes, for the exchange: how many they are, the
+    counts, the lengths of the terms, the terms."""
+    if not len(lists):
+        return pa.array([], pa.binary())
+    ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))])
+    flat = lists.flatten()
+    names, tf = pc.cast(flat.field(0), pa.large_binary()), flat.field(1).to_numpy(zero_copy_only=False).astype(np.int32)
+    at = np.frombuffer(names.buffers()[1], np.int64)[names.offset:names.offset + len(names) + 1]
+    size, raw = np.diff(at).astype(np.int32), memoryview(names.buffers()[2] or b"")
+    return pa.array([b"".join((np.int32(b - a).tobytes(), tf[a:b].tobytes(), size[a:b].tobytes(), raw[at[a]:at[b]]))
+                     for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.binary())
+
+
+def _unpacked(rows: pa.Array) -> pa.Array:
+    """What :func:`_packed` has packed."""
+    rows = [r.as_buffer() for r in rows]
+    n = [int(np.frombuffer(r, np.int32, 1)[0]) for r in rows]
+    ints = [np.frombuffer(r, np.int32, 2 * k, 4) for r, k in zip(rows, n)]
+    none = [np.empty(0, np.int32)]
+    tf, size = np.concatenate(none + [x[:k] for x, k in zip(ints, n)]), np.concatenate(none + [x[k:] for x, k in zip(ints, n)])
+    raw = b"".join(memoryview(r)[4 + 8 * k:] for r, k in zip(rows, n))
+    names = pa.Array.from_buffers(pa.string(), len(size), [None, _ends(size).buffers()[1], pa.py_buffer(raw)])
+    return pa.ListArray.from_arrays(_ends(np.array(n, np.int64)), pa.StructArray.from_arrays([names, pa.array(tf)], ["term", "tf"]))
+
+
 def document_blocks(documents: DataFrame, block_docs: int) -> DataFrame:
-    """``dkey, document_id, dl, tc, block`` of the documents with a term, ordered by
+    """``dkey, document_id, dl, tc (packed), block`` of the documents with a term, ordered by
     their most frequent term (ties: the larger term), length and key and cut into
     blocks of at most ``block_docs`` in each range of that order. Rows of a block
     follow each other; a block's number says its place in the order."""
     docs = documents.filter(F.size("tc") > 0)
     most = F.array_max(F.arrays_zip(F.col("tc.tf").alias("tf"), F.col("tc.term").alias("term")))["term"]
     order = F.concat_ws("\x00", most, F.lpad(F.col("dl").cast("string"), 12, "0"), "dkey", F.col("document_id").cast("string"))
-    ordered = _sorted_by(docs.select("dkey", "document_id", "dl", "tc", order.alias("place")), "place", None)
+    packed = F.arrow_udf(_packed, "binary")("tc")
+    ordered = _sorted_by(docs.select("dkey", "document_id", "dl", packed.alias("tc"), order.alias("place")), "place", None)
     return ordered.select("dkey", "document_id", "dl", "tc", F.expr(f"monotonically_increasing_id() div {int(block_docs)}").alias("block"))
 
 
 def _pieces(batch):
     """Rows of documents, those of a block in sequence, some whole blocks at a time."""
+    batch = batch.set_column(batch.schema.get_field_index("tc"), "tc", _unpacked(batch.column("tc")))
     block = batch.column("block").to_numpy()
     first = np.append(np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])), len(block))
     size = batch.column("tc").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -104,7 +133,8 @@ def _not_less(x: np.ndarray) -> np.ndarray:
 
 
 def _blocks_of(batch, values) -> pa.RecordBatch:
-    """Of a piece of documents the rows block, docs, tops; terms are numbers in a dictionary."""
+    """Of a piece of documents the rows block, docs, tops. Terms are numbers in a dictionary,
+    those of ``tops`` (in order in a block) as the difference to the number before."""
     block = batch.column("block").to_numpy()
     first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
     ends = np.append(first, len(block)).astype(np.int32)
@@ -119,7 +149,7 @@ def _blocks_of(batch, values) -> pa.RecordBatch:
     order = np.argsort(key, kind="stable")
     at = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
     top, key = _not_less(np.maximum.reduceat(impact[order], at)), key[order][at]
-    names = pa.DictionaryArray.from_arrays(pa.array((key % width).astype(np.int32)), terms.dictionary)
+    names = pa.array(np.diff(key % width, prepend=0).astype(np.int32))
     tops = pa.ListArray.from_arrays(_ends(np.bincount(key // width, minlength=len(first))),
                                     pa.StructArray.from_arrays([names, pa.array(top)], ["term", "top"]))
     tc = pa.ListArray.from_arrays(_ends(size), pa.StructArray.from_arrays([terms, tf], ["term", "tf"]))
@@ -145,7 +175,12 @@ def _stored(batches):
     for batch in batches:
         for data in batch.column("data"):
             with pa.ipc.open_stream(data.as_buffer()) as stream:
-                yield stream.read_next_batch()
+                piece = stream.read_next_batch()
+            names = piece.column("docs").flatten().field("tc").flatten().field(0).dictionary
+            tops = piece.column("tops")
+            step, top = tops.flatten().flatten()
+            terms = pa.DictionaryArray.from_arrays(pa.array(np.cumsum(step.to_numpy(), dtype=np.int32)), names)
+            yield piece.set_column(2, "tops", pa.ListArray.from_arrays(tops.offsets, pa.StructArray.from_arrays([terms, top], ["term", "top"])))
 
 
 def _documents(piece) -> tuple[np.ndarray, pa.RecordBatch]:

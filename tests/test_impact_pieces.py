@@ -17,7 +17,7 @@ def _batch(docs):
     return pa.record_batch([
         pa.array([f"k{i}" for i in range(len(docs))]), pa.array(range(len(docs)), pa.int64()),
         pa.array([sum(d.values()) for _, d in docs], pa.int32()),
-        pa.array([[{"term": t, "tf": n} for t, n in d.items()] for _, d in docs], kind),
+        M._packed(pa.array([[{"term": t, "tf": n} for t, n in d.items()] for _, d in docs], kind)),
         pa.array([b for b, _ in docs], pa.int64())], names=["dkey", "document_id", "dl", "tc", "block"])
 
 
@@ -64,7 +64,7 @@ def test_a_block_larger_than_a_piece_is_stored_alone(monkeypatch):
 
 
 def test_products_of_numbered_terms():
-    lists = _batch(_docs()).column("tc")
+    lists = M._unpacked(_batch(_docs()).column("tc"))
     flat = lists.flatten()
     coded = pa.ListArray.from_arrays(lists.offsets, pa.StructArray.from_arrays([flat.field(0).dictionary_encode(), flat.field(1)], ["term", "tf"]))
     side = scan.by_term(pa.table({"q": [0, 0, 1, 2], "term": ["t1", "none", "t1", "t5"], "w": [1.0, 2.0, 3.0, 4.0]}), "q", "w")
@@ -86,3 +86,12 @@ def test_python_gets_batches_of_bounded_bytes(spark):
     df = spark.range(60).coalesce(1).selectExpr("repeat('x', 100000) AS t").mapInArrow(sizes, "n long")
     assert max(r.n for r in materialize(df, "bytes", 1 << 20).collect()) < 1.5 * (1 << 20)
     assert materialize(df, "bytes").count() == 1 and spark.conf.get(BATCH_KEY, None) == was
+
+
+def test_packed_terms_come_back():
+    kind = pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int32())]))
+    docs = [[("a", 1), ("\x00é\U0001F600", 3)], [("", 2)], [("long" * 99, 70_000), ("b\u3000c", 1)]]
+    lists = pa.array([[{"term": t, "tf": n} for t, n in d] for d in docs], kind)
+    assert M._unpacked(M._packed(lists)).to_pylist() == lists.to_pylist()
+    assert M._unpacked(M._packed(lists.slice(1, 2))).to_pylist() == lists.slice(1, 2).to_pylist()
+    assert M._unpacked(M._packed(lists.slice(0, 0))).to_pylist() == []
